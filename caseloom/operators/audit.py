@@ -9,6 +9,7 @@ from caseloom.operators import sequence as S
 from caseloom.operators.frame import local_clock
 from caseloom.operators.ranking import exact_quantiles
 from caseloom.schema import LogSchema
+from caseloom.session import literal_table
 
 QUANTILES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 CASE = ["log", "case_id"]
@@ -220,7 +221,7 @@ def role_lint(ev: DataFrame, schema: LogSchema) -> DataFrame:
     """Every raw column with its declared role, or ``unassigned``."""
     spark = ev.sparkSession
     cols = [c for c in ev.columns if c.startswith(("ev_", "case_")) and c != "case_id"]
-    roles = spark.createDataFrame(schema.roles(), "column string, role string, reason string")
+    roles = literal_table(spark, schema.roles(), "column string, role string, reason string")
     prof = column_profile(value_counts(long_columns(ev, cols)))
     return prof.select("log", "column", "cardinality").join(F.broadcast(roles), "column", "left").select(
         "log", "column", "cardinality", F.coalesce("role", F.lit("unassigned")).alias("role"), F.coalesce("reason", F.lit("")).alias("reason"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.functions.columns import clean, decompose_activity, local_time, numeric
+from caseloom.functions.columns import EOS, clean, decompose_activity, local_time, numeric
 from caseloom.operators import sequence as S
 from caseloom.schema import LogSchema
 
@@ -32,7 +32,10 @@ def prefix_frame(events: DataFrame, schema: LogSchema, order: int = 2, max_len:
         "next_act": S.lead("activity"), "prev_us": S.lag("us"), "next_us": S.lead("us"),
         "first_us": S.first("us"), "last_us": S.last("us"),
     }
-    specs.update({f"prev{j}": S.lag("activity", j) for j in range(1, order)} if order > 1 else {})
+    specs.update({f"prev{j}": S.lag("activity", j) for j in range(1, order)})
+    if "act" in events.columns:  # encoded label ids travel with the same pass
+        specs["next_id"] = S.lead("act")
+        specs.update({f"id{j}": S.lag("act", j) for j in range(1, order)})
     f = S.sequence(events, specs, chunk_rows=chunk_rows).withColumn("complete", complete_expr(schema))
     if min_len > 1:
         f = f.where(F.col("n") >= min_len)
@@ -50,16 +53,16 @@ def _shorten(f: DataFrame, keep, chunk_rows) -> DataFrame:
     kept = f.where(keep).withColumnRenamed("n", "_full").drop("last_us", "last_act")
     kept = S.sequence(kept, {"n": S.length(), "last_us": S.last("us"), "last_act": S.last("activity")}, chunk_rows=chunk_rows)
     is_last = F.col("pos") == F.col("n") - 1
-    return kept.withColumns({
-        "complete": F.col("complete") & (F.col("n") == F.col("_full")),
-        "next_act": F.when(~is_last, F.col("next_act")), "next_us": F.when(~is_last, F.col("next_us")),
-    }).drop("_full")
+    ahead = {c: F.when(~is_last, F.col(c)) for c in ("next_act", "next_us", "next_id") if c in kept.columns}
+    return kept.withColumns({"complete": F.col("complete") & (F.col("n") == F.col("_full")), **ahead}).drop("_full")
 
 
 def with_targets(f: DataFrame) -> DataFrame:
     """Targets: next label (``<EOS>`` after a complete case, null when censored), log waiting time, remaining seconds."""
     dt = (F.col("next_us") - F.col("us")) / 1e6
+    ids = {"y_id": F.coalesce("next_id", F.when(F.col("complete"), F.lit(EOS)))} if "next_id" in f.columns else {}
     return f.withColumns({
+        **ids,
         "y": F.coalesce("next_act", F.when(F.col("complete"), F.lit("<EOS>"))),
         "y_ldt": F.log1p(F.greatest(dt, F.lit(0.0))),
         "y_rem": F.when(F.col("complete"), (F.col("last_us") - F.col("us")) / 1e6),
@@ -100,11 +103,12 @@ def components(df: DataFrame, schema: LogSchema, label="activity") -> DataFrame:
 
 def drop_event(frame: DataFrame, drop) -> DataFrame:
     """The same cases without the events where ``drop`` holds, positions renumbered."""
-    keep = frame.where(~drop).drop("pos", "n", "next_act", "prev_us", "next_us", "first_us", "last_us", "last_act",
-                                   "prev1", "prev2", "y", "y_ldt", "y_rem", "dt_s", "elapsed_s")
     specs = {"pos": S.pos(), "n": S.length(), "prev1": S.lag("activity"), "next_act": S.lead("activity"),
              "prev_us": S.lag("us"), "next_us": S.lead("us"), "first_us": S.first("us"), "last_us": S.last("us"),
              "last_act": S.last("activity")}
+    if "act" in frame.columns:
+        specs.update({"id1": S.lag("act"), "next_id": S.lead("act")})
+    keep = frame.where(~drop).drop(*specs, "y", "y_id", "y_ldt", "y_rem", "dt_s", "elapsed_s")
     return with_targets(S.sequence(keep, specs))
 
 

@@ -8,27 +8,33 @@ from caseloom.operators import sequence as S
 from caseloom.session import materialize, small_input
 
 
-def global_rank(df: DataFrame, order: list, name: str = "rank", small: bool | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: list, name: str = "rank", small: bool | None = None, total: str | None = None) -> DataFrame:
     """0-based position of every row in the total order ``order`` (columns or sort expressions).
 
+    ``total`` names an optional column with the number of rows.
+
     Large inputs: one range exchange, one write, then each row's rank is its index inside the
     range partition plus the row counts of the partitions before it.
     """
     if small is None:
         small = small_input(df)
     if small:  # the whole input fits one task, proven by its size on disk
-        return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
+        w = W.orderBy(*order)
+        out = df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+        everything = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        return out.withColumn(total, F.count(F.lit(1)).over(everything)) if total else out
     staged = materialize(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()),
         "rank",
     ).withColumns({"_part": F.shiftright("_mid", 33), "_idx": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))})
     w = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    offsets = staged.groupBy("_part").count().withColumn("_off", F.coalesce(F.sum("count").over(w), F.lit(0)))
-    return (
-        staged.join(F.broadcast(offsets.select("_part", "_off")), "_part")
-        .withColumn(name, F.col("_idx") + F.col("_off"))
-        .drop("_mid", "_part", "_idx", "_off")
-    )
+    everything = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    offsets = staged.groupBy("_part").count().select(
+        "_part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_off"), F.sum("count").over(everything).alias("_tot"))
+    out = staged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_idx") + F.col("_off"))
+    if total:
+        out = out.withColumn(total, F.col("_tot"))
+    return out.drop("_mid", "_part", "_idx", "_off", "_tot")
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], name: str = "q",

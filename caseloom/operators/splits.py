@@ -9,28 +9,27 @@ from caseloom.operators.ranking import global_rank
 from caseloom.session import lookup_side
 
 
-def _count(df: DataFrame) -> Column:
-    """Row count as a scalar subquery (one value, evaluated once)."""
-    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+def _hash_ranked(df: DataFrame, col: str, seed) -> DataFrame:
+    """Distinct values of ``col`` with their hash-order ``rank`` and the number of values ``total``."""
+    ids = df.select(col).distinct().withColumn("_h", hash_order(seed, col))
+    return global_rank(ids, ["_h", col], total="total").drop("_h")
 
 
-def _cut(ranked: DataFrame, n: Column, fracs) -> DataFrame:
-    n_tr, n_va = F.floor(n * F.lit(float(fracs[0]))), F.floor(n * F.lit(float(fracs[1])))
+def _cut(ranked: DataFrame, fracs) -> DataFrame:
+    n_tr, n_va = (F.floor(F.col("total") * F.lit(float(f))) for f in fracs)
     part = F.when(F.col("rank") < n_tr, "train").when(F.col("rank") < n_tr + n_va, "val").otherwise("test")
     return ranked.withColumn("split", part)
 
 
 def split_random(events: DataFrame, seed: int = 0, fracs=(0.7, 0.15)) -> DataFrame:
     """(case_id, split): cases in md5 order, cut at int(n * fraction)."""
-    ids = events.select("case_id").distinct()
-    ranked = global_rank(ids.withColumn("_h", hash_order(seed, "case_id")), ["_h", "case_id"])
-    return _cut(ranked, _count(ids), fracs).select("case_id", "split")
+    return _cut(_hash_ranked(events, "case_id", seed), fracs).select("case_id", "split")
 
 
 def split_chronological(cases: DataFrame, fracs=(0.7, 0.15)) -> DataFrame:
     """(case_id, first_us, last_us, split): cases by (start, case_id)."""
     c = cases.select("case_id", "first_us", "last_us")
-    return _cut(global_rank(c, ["first_us", "case_id"]), _count(c), fracs).select("case_id", "first_us", "last_us", "split")
+    return _cut(global_rank(c, ["first_us", "case_id"], total="total"), fracs).select("case_id", "first_us", "last_us", "split")
 
 
 def chronological_meta(split: DataFrame) -> DataFrame:
@@ -45,18 +44,17 @@ def chronological_meta(split: DataFrame) -> DataFrame:
 
 def split_cv(events: DataFrame, fold: int, n_folds: int = 5, seed: int = 0, val_frac: float = 0.2) -> DataFrame:
     """k-fold split: fold sizes as equal as possible (the first n % k folds get one more); the rest is re-ordered for val/train."""
-    ids = events.select("case_id").distinct()
-    n = _count(ids)
-    r = global_rank(ids.withColumn("_h", hash_order(seed, "case_id")), ["_h", "case_id"])
-    small, extra = F.floor(n / n_folds), n % n_folds
+    r = _hash_ranked(events, "case_id", seed)
+    small, extra = F.floor(F.col("total") / n_folds), F.col("total") % n_folds
     edge = extra * (small + 1)
-    f = F.when(F.col("rank") < edge, F.floor(F.col("rank") / (small + 1))).otherwise(extra + F.floor((F.col("rank") - edge) / F.greatest(small, F.lit(1))))
-    r = r.withColumn("fold", f.cast("int")).drop("rank", "_h")
-    rest = global_rank(r.where(F.col("fold") != fold).withColumn("_h", hash_order(seed + 1000 + fold, "case_id")), ["_h", "case_id"])
-    n_rest = _count(r.where(F.col("fold") != fold))
-    rest = rest.withColumn("split", F.when(F.col("rank") < F.floor(n_rest * val_frac), "val").otherwise("train"))
+    f = F.when(F.col("rank") < edge, F.floor(F.col("rank") / (small + 1))).otherwise(
+        extra + F.floor((F.col("rank") - edge) / F.greatest(small, F.lit(1))))
+    r = r.select("case_id", f.cast("int").alias("fold"))
+    rest = r.where(F.col("fold") != fold).withColumn("_h", hash_order(seed + 1000 + fold, "case_id"))
+    rest = global_rank(rest, ["_h", "case_id"], total="total")
+    rest = rest.withColumn("split", F.when(F.col("rank") < F.floor(F.col("total") * val_frac), "val").otherwise("train"))
     test = r.where(F.col("fold") == fold).withColumn("split", F.lit("test"))
-    return rest.select("case_id", "fold", "split").unionByName(test.select("case_id", "fold", "split"))
+    return rest.select("case_id", "fold", "split").unionByName(test)
 
 
 def leaked_cases(split: DataFrame) -> DataFrame:
@@ -72,11 +70,9 @@ def fingerprint(split: DataFrame) -> DataFrame:
 
 def split_groups(df: DataFrame, group: str, held_frac: float = 0.25, seed: int = 0) -> DataFrame:
     """Rows with a ``part`` column: whole groups held out, max(1, int(n * f)) of them, none if there is one group."""
-    g = df.select(group).distinct()
-    r = global_rank(g.withColumn("_h", hash_order(seed, group)), ["_h", group])
-    n = _count(g)
-    n_held = F.when(n > 1, F.greatest(F.lit(1), F.floor(n * held_frac))).otherwise(0)
-    held = r.withColumn("part", F.when(F.col("rank") < n_held, "heldout").otherwise("train")).select(group, "part")
+    r = _hash_ranked(df, group, seed)
+    n_held = F.when(F.col("total") > 1, F.greatest(F.lit(1), F.floor(F.col("total") * held_frac))).otherwise(0)
+    held = r.select(group, F.when(F.col("rank") < n_held, "heldout").otherwise("train").alias("part"))
     return df.join(lookup_side(held, "groups"), group)
 
 
@@ -91,9 +87,8 @@ def select_groups(df: DataFrame, group: str, budget: int, seed: int = 0) -> Data
 
 def few_shot(train: DataFrame, frac: float = 0.05, at_least: int = 20, seed: int = 0) -> DataFrame:
     """max(int(n * f), at_least) cases of a train part, in hash order."""
-    ids = train.select("case_id").distinct()
-    r = global_rank(ids.withColumn("_h", hash_order(seed, "case_id")), ["_h", "case_id"])
-    return r.where(F.col("rank") < F.greatest(F.floor(_count(ids) * frac), F.lit(at_least))).select("case_id")
+    r = _hash_ranked(train, "case_id", seed)
+    return r.where(F.col("rank") < F.greatest(F.floor(F.col("total") * frac), F.lit(at_least))).select("case_id")
 
 
 def sample_prefixes(prefixes: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -106,3 +101,24 @@ def statistics(frame: DataFrame, split: DataFrame) -> DataFrame:
     return frame.join(split.select("case_id", "split"), "case_id").groupBy("split").agg(
         F.count_distinct("case_id").alias("n_cases"), F.count("y").alias("n_prefixes"),
         rnd(F.sum(((F.col("pos") == 0) & F.col("complete")).cast("double")) / F.sum((F.col("pos") == 0).cast("double"))).alias("complete_share"))
+
+
+def cutoff(split: DataFrame) -> Column:
+    """Start of the first test case, as a scalar sub-query."""
+    return split.where(F.col("split") == "test").agg(F.min("first_us").alias("c")).scalar()
+
+
+def strict_events(events: DataFrame, split: DataFrame) -> DataFrame:
+    """Train and validation events before the cutoff, test events whole; ``_full`` is the uncut case length."""
+    ev = events.join(lookup_side(split.select("case_id", "split"), "split"), "case_id")
+    return ev.where((F.col("split") == "test") | (F.col("us") < cutoff(split)))
+
+
+def strict_counts(events: DataFrame, split: DataFrame) -> DataFrame:
+    """Dropped and truncated cases per non-test part."""
+    ev = events.join(lookup_side(split.select("case_id", "split"), "split"), "case_id").where(F.col("split") != "test")
+    per = ev.withColumn("_c", cutoff(split)).groupBy("split", "case_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("us") < F.col("_c")).alias("kept"))
+    return per.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_cases"), F.count_if(F.col("kept") == 0).alias("n_dropped"),
+        F.count_if((F.col("kept") > 0) & (F.col("kept") < F.col("n"))).alias("n_truncated"), F.sum("kept").alias("n_events"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "audit"]
+MODULES = ["core", "audit", "splits", "encoding", "models"]
 
 
 def load_all():

@@ -54,7 +54,7 @@ def split_cte(x: str, seed: int = 0, fr=(0.7, 0.15), src: str | None = None) ->
     """Random split of a log's cases by hash order with exact sizes."""
     src = src or f"(SELECT DISTINCT case_id FROM {x}_raw)"
     return f"""{x}_rk AS (SELECT case_id, row_number() OVER (ORDER BY {hash60(seed, 'case_id')}, case_id) - 1 AS rank, count(*) OVER () AS n_cases FROM {src}),
-{x}_split AS (SELECT case_id, CASE WHEN rank < floor(n_cases * {fr[0]}) THEN 'train' WHEN rank < floor(n_cases * {fr[0]}) + floor(n_cases * {fr[1]}) THEN 'val' ELSE 'test' END AS split FROM {x}_rk)"""
+{x}_split AS (SELECT case_id, CASE WHEN rank < floor(n_cases * {fr[0]}::DOUBLE) THEN 'train' WHEN rank < floor(n_cases * {fr[0]}::DOUBLE) + floor(n_cases * {fr[1]}::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM {x}_rk)"""
 
 
 def with_(*ctes: str) -> str:

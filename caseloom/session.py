@@ -55,14 +55,22 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few constant rows inside the plan, so the optimizer knows their size (an RDD-backed table has none)."""
+    cols = [c.strip().rsplit(" ", 1) for c in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, cols)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def input_bytes(df: DataFrame) -> int | None:
-    """Total size of the leaf relations under ``df`` or None when the optimizer cannot tell."""
+    """Total size of the distinct leaf relations under ``df``, or None when the optimizer cannot tell."""
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        sizes = {}
         for i in range(leaves.size()):
-            total += int(leaves.apply(i).stats().sizeInBytes().toString())
-        return total
+            leaf = leaves.apply(i)
+            sizes[leaf.canonicalized().hashCode()] = int(str(leaf.stats().sizeInBytes()))
+        return sum(sizes.values())
     except Exception:
         return None
 
