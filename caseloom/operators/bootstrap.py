@@ -14,18 +14,22 @@ def case_sums(df: DataFrame, value: str, case: str = "case_id") -> DataFrame:
     return df.groupBy(case).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 300, seed: int = 0) -> DataFrame:
-    """Mean and 95 % percentile interval: ``n_boot`` resamples of whole cases with replacement.
+def replicates(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 300, seed: int = 0) -> DataFrame:
+    """(b, m): replicate means over whole cases drawn with replacement.
 
     Each replicate draws as many cases as there are; a draw is a hash of (replicate, slot), so lost
     tasks recompute the same draws.  Draws are spread over the case slots, then joined on the index.
     """
-    sums = global_rank(case_sums(df, value, case), [case], "idx")
-    n = sums.agg(F.count(F.lit(1)).alias("n")).scalar()
-    slots = sums.select(F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    draws = slots.select("b", (hash_order(seed, "b", "slot") % n).alias("idx"))
-    reps = draws.join(lookup_side(sums.select("idx", "s", "c"), "boot"), "idx").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
-    return _interval(df, value, reps)
+    sums = global_rank(case_sums(df, value, case), [case], "idx", total="total")
+    slots = sums.select(F.col("idx").alias("slot"), "total", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    draws = slots.select("b", (hash_order(seed, "b", "slot") % F.col("total")).alias("idx"))
+    side = lookup_side(sums.select("idx", "s", "c"), "boot")
+    return draws.join(side, "idx").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 300, seed: int = 0) -> DataFrame:
+    """Mean and 95 % percentile interval from ``n_boot`` resamples of whole cases."""
+    return _interval(df, value, replicates(df, value, case, n_boot, seed))
 
 
 def bootstrap_mean_poisson(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 300, seed: int = 0) -> DataFrame:
@@ -55,11 +59,10 @@ def _interval(df: DataFrame, value: str, reps: DataFrame) -> DataFrame:
 
 def bootstrap_median(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 100, seed: int = 0) -> DataFrame:
     """Median and its interval: replicates need the resampled rows, kept as (replicate, value, multiplicity) counts."""
-    cases = global_rank(df.select(case).distinct(), [case], "idx")
-    n = cases.agg(F.count(F.lit(1)).alias("n")).scalar()
-    slots = cases.select(F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    mult = slots.select("b", (hash_order(seed, "b", "slot") % n).alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
-    rows = df.where(F.col(value).isNotNull()).join(cases, case).select("idx", F.col(value).alias("v"))
+    cases = global_rank(df.select(case).distinct(), [case], "idx", total="total")
+    slots = cases.select(F.col("idx").alias("slot"), "total", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    mult = slots.select("b", (hash_order(seed, "b", "slot") % F.col("total")).alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
+    rows = df.where(F.col(value).isNotNull()).join(cases.drop("total"), case).select("idx", F.col(value).alias("v"))
     drawn = rows.join(mult, "idx").select("b", F.explode(F.array_repeat("v", F.col("w").cast("int"))).alias("v"))
     reps = exact_quantiles(drawn, ["b"], "v", [0.5], "_q").select("b", F.col("_q")[0].alias("m"))
     mid = exact_quantiles(df, [], value, [0.5], "_q").agg(F.max(F.col("_q")[0]).alias("m")).scalar()

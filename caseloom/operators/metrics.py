@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from caseloom.functions import pyfuncs
+from caseloom.functions.pyfuncs import by_value
 from caseloom.functions.columns import EOS, first_argmax, prefix_bucket, rnd
 from caseloom.operators.ranking import average_rank, exact_quantiles
 
@@ -122,61 +124,30 @@ def interval(df: DataFrame, lo: str, hi: str, true: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sequences
-def _damerau(a, b) -> float:
-    """1 - unrestricted Damerau-Levenshtein distance / longer length; two empty lists are identical."""
-    a, b = list(a), list(b)
-    n, m = len(a), len(b)
-    if not n and not m:
-        return 1.0
-    inf = n + m
-    last: dict = {}
-    d = [[inf] * (m + 2) for _ in range(n + 2)]
-    for i in range(n + 1):
-        d[i + 1][1] = i
-    for j in range(m + 1):
-        d[1][j + 1] = j
-    for i, x in enumerate(a, 1):
-        seen = 0
-        for j, y in enumerate(b, 1):
-            swap_i, swap_j = last.get(y, 0), seen
-            cost = 0 if x == y else 1
-            if not cost:
-                seen = j
-            d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1,
-                                  d[swap_i][swap_j] + (i - swap_i - 1) + 1 + (j - swap_j - 1))
-        last[x] = i
-    return 1.0 - d[n + 1][m + 1] / max(n, m)
-
-
-@F.pandas_udf(DoubleType())
-def dl_similarity(a, b):
-    """Normalised Damerau-Levenshtein similarity of two id arrays, in Arrow batches; repeated pairs are scored once."""
-    import pandas as pd
-
-    cache: dict = {}
+def _dl_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    seen: dict = {}
     out = []
     for x, y in zip(a, b):
         key = (tuple(x), tuple(y))
-        if key not in cache:
-            cache[key] = _damerau(*key)
-        out.append(cache[key])
+        if key not in seen:
+            seen[key] = pyfuncs.similarity(*key)
+        out.append(seen[key])
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("medoid int, mean_pair double")
-def medoid(samples):
-    """Index of the sample most similar to the others (first on ties) for a fixed small number of samples per row."""
-    import pandas as pd
+def _medoid_batch(samples: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([pyfuncs.medoid_of(s) for s in samples], columns=["medoid", "mean_pair"])
 
-    best, mean = [], []
-    for ss in samples:
-        ss = [tuple(s) for s in ss]
-        k = len(ss)
-        sim = [[_damerau(p, q) for q in ss] for p in ss]
-        tot = [sum(sim[i][j] for j in range(k) if j != i) for i in range(k)]
-        best.append(max(range(k), key=lambda i: (round(tot[i], 12), -i)))
-        mean.append(sum(tot) / (k * (k - 1)) if k > 1 else 1.0)
-    return pd.DataFrame({"medoid": best, "mean_pair": mean})
+
+def dl_similarity(a, b) -> Column:
+    """Normalised Damerau-Levenshtein similarity of two id arrays, in Arrow batches; a repeated pair is scored once per batch."""
+    return F.pandas_udf(by_value(_dl_batch), T.DoubleType())(a, b)
+
+
+def medoid(samples) -> Column:
+    """struct<medoid, mean_pair> of a short array of id arrays."""
+    out = T.StructType([T.StructField("medoid", T.IntegerType()), T.StructField("mean_pair", T.DoubleType())])
+    return F.pandas_udf(by_value(_medoid_batch), out)(samples)
 
 
 def suffix_report(df: DataFrame, max_len: int, terminal_ids: list[int]) -> DataFrame:
@@ -212,21 +183,21 @@ def binary_report(df: DataFrame, by: list[str] | None = None, y: str = "y", p: s
     c = src.groupBy(*keys, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     c = c.withColumn("np", -F.col("p"))
     run = S.sequence(c, {"cum_pos": S.running_sum("pos"), "cum_n": S.running_sum("n")}, case=keys, order=("np",))
-    tot = c.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("n").alias("N"))
+    tot = c.groupBy(*keys).agg(F.sum("pos").alias("tp"), F.sum("n").alias("tn"))
     run = run.join(tot, keys)
-    neg_below = (F.col("N") - F.col("cum_n")) - (F.col("P") - F.col("cum_pos"))  # negatives with a smaller score
+    neg_below = (F.col("tn") - F.col("cum_n")) - (F.col("tp") - F.col("cum_pos"))  # negatives with a smaller score
     ties = F.col("n") - F.col("pos")
     cp = clip(F.col("p"), 1e-6)
     cp = F.least(cp, F.lit(1 - 1e-6))
     ll = -(F.col("pos") * F.ln(cp) + (F.col("n") - F.col("pos")) * F.ln(1 - cp))
     right = F.when(F.col("p") > 0.5, F.col("pos")).otherwise(F.col("n") - F.col("pos"))
-    both = (F.max("P") > 0) & (F.max("P") < F.max("N"))
+    both = (F.max("tp") > 0) & (F.max("tp") < F.max("tn"))
     out = run.groupBy(*keys).agg(
-        F.max("N").alias("n"), rnd(F.max("P") / F.max("N")).alias("pos_rate"),
-        rnd(F.when(both, F.sum(F.col("pos") * (neg_below + 0.5 * ties)) / (F.max("P") * (F.max("N") - F.max("P"))))).alias("auroc"),
-        rnd(F.when(both, F.sum(F.col("pos") / F.col("P") * (F.col("cum_pos") / F.col("cum_n"))))).alias("avg_precision"),
-        rnd(F.when(both, F.sum(ll) / F.max("N"))).alias("log_loss"), rnd(F.when(both, F.sum(right) / F.max("N"))).alias("accuracy"),
-        rnd(F.when(both, F.greatest(F.max("P"), F.max("N") - F.max("P")) / F.max("N"))).alias("majority"))
+        F.max("tn").alias("n"), rnd(F.max("tp") / F.max("tn")).alias("pos_rate"),
+        rnd(F.when(both, F.sum(F.col("pos") * (neg_below + 0.5 * ties)) / (F.max("tp") * (F.max("tn") - F.max("tp"))))).alias("auroc"),
+        rnd(F.when(both, F.sum(F.col("pos") / F.col("tp") * (F.col("cum_pos") / F.col("cum_n"))))).alias("avg_precision"),
+        rnd(F.when(both, F.sum(ll) / F.max("tn"))).alias("log_loss"), rnd(F.when(both, F.sum(right) / F.max("tn"))).alias("accuracy"),
+        rnd(F.when(both, F.greatest(F.max("tp"), F.max("tn") - F.max("tp")) / F.max("tn"))).alias("majority"))
     return out if by else out.drop("_all")
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "audit", "splits", "encoding", "models"]
+MODULES = ["core", "audit", "splits", "encoding", "models", "evaluation"]
 
 
 def load_all():

@@ -60,8 +60,8 @@ def rollout_sql(limit: int) -> str:
     """Greedy continuation per distinct context as a recursive query."""
     return f""", am AS MATERIALIZED (SELECT k, ctx, arg_min(cls, (-p, cls)) AS best FROM pr GROUP BY ALL),
 st AS (SELECT DISTINCT id1, act FROM e WHERE split = 'test'),
-ro AS (SELECT id1 AS s1, act AS s2, id1, act, '' AS suffix, 0 AS step, false AS fin FROM st
- UNION ALL SELECT s1, s2, act, nx, suffix || CASE WHEN nx = 2 THEN '' ELSE '>' || nx END, step + 1, nx = 2 FROM (SELECT ro.*, coalesce(a2.best, a1.best, a0.best) AS nx FROM ro
+ro AS (SELECT id1 AS s1, act AS s2, id1, act, CAST([] AS INTEGER[]) AS suffix, 0 AS step, false AS fin FROM st
+ UNION ALL SELECT s1, s2, act, nx, CASE WHEN nx = 2 THEN suffix ELSE list_append(suffix, nx) END, step + 1, nx = 2 FROM (SELECT ro.*, coalesce(a2.best, a1.best, a0.best) AS nx FROM ro
   LEFT JOIN am a2 ON a2.k = 2 AND a2.ctx = ro.id1 || '>' || ro.act LEFT JOIN am a1 ON a1.k = 1 AND a1.ctx = CAST(ro.act AS VARCHAR) LEFT JOIN am a0 ON a0.k = 0 WHERE step < {limit} AND NOT fin)),
 rx AS MATERIALIZED (SELECT s1, s2, suffix FROM ro QUALIFY row_number() OVER (PARTITION BY s1, s2 ORDER BY step DESC) = 1)
 """
@@ -71,11 +71,11 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("m5_greedy_rollout", recursive(ms.model("c") + rollout_sql(20)) + "SELECT case_id, pos, suffix FROM e JOIN rx ON rx.s2 = e.act AND rx.s1 IS NOT DISTINCT FROM e.id1 WHERE split = 'test'")
+@query("m5_greedy_rollout", recursive(ms.model("c") + rollout_sql(20)) + "SELECT case_id, pos, array_to_string(suffix, ',') AS suffix FROM e JOIN rx ON rx.s2 = e.act AND rx.s1 IS NOT DISTINCT FROM e.id1 WHERE split = 'test'")
 def m5(spark, d):
     p, m = fitted(spark, d, log="dialogs")
     out = ro.greedy(p.part("test").select("case_id", "pos", "id1", "act"), m, 20)
-    return out.select("case_id", "pos", F.concat_ws("", F.transform("pred", lambda x: F.concat(F.lit(">"), x.cast("string")))).alias("suffix"))
+    return out.select("case_id", "pos", F.array_join("pred", ",").alias("suffix"))
 
 
 SAMPLE_STEPS, SAMPLES = 8, 4
@@ -85,8 +85,8 @@ def sample_sql(limit: int = SAMPLE_STEPS, n: int = SAMPLES) -> str:
     u = q.unit(1, "(case_id || ':' || pos || ':' || sample || ':' || step)")
     return f""", cu AS MATERIALIZED (SELECT k, ctx, cls, sum(p) OVER (PARTITION BY k, ctx ORDER BY cls) AS c FROM pr),
 hk AS MATERIALIZED (SELECT DISTINCT k, ctx FROM pr),
-ro AS (SELECT case_id, pos, sample, id1, act, '' AS suffix, 0 AS step, false AS fin FROM e CROSS JOIN (SELECT unnest(range({n})) AS sample) WHERE split = 'test'
- UNION ALL SELECT case_id, pos, sample, act, nx, suffix || CASE WHEN nx = 2 THEN '' ELSE '>' || nx END, step + 1, nx = 2 FROM (
+ro AS (SELECT case_id, pos, sample, id1, act, CAST([] AS INTEGER[]) AS suffix, 0 AS step, false AS fin FROM e CROSS JOIN (SELECT unnest(range({n})) AS sample) WHERE split = 'test'
+ UNION ALL SELECT case_id, pos, sample, act, nx, CASE WHEN nx = 2 THEN suffix ELSE list_append(suffix, nx) END, step + 1, nx = 2 FROM (
   SELECT r.case_id, r.pos, r.sample, r.act, r.suffix, r.step, least(count(*) FILTER (c <= u), (SELECT sz - 1 FROM vs))::INTEGER AS nx FROM (
    SELECT ro.*, {u} AS u, CASE WHEN h2.ctx IS NOT NULL THEN 2 WHEN h1.ctx IS NOT NULL THEN 1 ELSE 0 END AS k, CASE WHEN h2.ctx IS NOT NULL THEN id1 || '>' || act WHEN h1.ctx IS NOT NULL THEN CAST(act AS VARCHAR) ELSE '' END AS ctx
    FROM ro LEFT JOIN hk h2 ON h2.k = 2 AND h2.ctx = ro.id1 || '>' || ro.act LEFT JOIN hk h1 ON h1.k = 1 AND h1.ctx = CAST(ro.act AS VARCHAR) WHERE step < {limit} AND NOT fin) r
@@ -100,10 +100,10 @@ def sampled(spark, d, log="dialogs"):
     return p, ro.sample(p.part("test").select("case_id", "pos", "id1", "act"), m, SAMPLE_STEPS, SAMPLES, seed=1)
 
 
-@query("m6_sampled_rollout", recursive(ms.model("c") + sample_sql()) + "SELECT case_id, pos, sample, suffix FROM sx")
+@query("m6_sampled_rollout", recursive(ms.model("c") + sample_sql()) + "SELECT case_id, pos, sample, array_to_string(suffix, ',') AS suffix FROM sx")
 def m6(spark, d):
     _, s = sampled(spark, d)
-    return s.select("case_id", "pos", "sample", F.concat_ws("", F.transform("suffix", lambda x: F.concat(F.lit(">"), x.cast("string")))).alias("suffix"))
+    return s.select("case_id", "pos", "sample", F.array_join("suffix", ",").alias("suffix"))
 
 
 @query("m7_floor_vector", ms.model() + """, z AS (SELECT cx0.k, cx0.ctx, v.id AS cls, coalesce(cnt.n / total, 1e-6) AS p FROM tot cx0 CROSS JOIN v LEFT JOIN cnt ON cnt.k = cx0.k AND cnt.ctx = cx0.ctx AND cnt.y = v.id)

@@ -40,16 +40,16 @@ def rows_of(cols, data):
     return [cols[i] for i in order], sorted((tuple(norm(r[i]) for i in order) for r in data), key=repr)
 
 
-def compare(spark_df, con, sql: str):
-    sc, sr = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+def compare(cols, rows, con, sql: str):
+    sc, sr = rows_of(cols, rows)
     cur = con.execute(sql)
     dc, dr = rows_of([d[0] for d in cur.description], cur.fetchall())
     if sc != dc:
-        return f"columns {sc} vs {dc}", len(sr)
+        return f"columns {sc} vs {dc}"
     if len(sr) != len(dr):
-        return f"rows {len(sr)} vs {len(dr)}", len(sr)
+        return f"rows {len(sr)} vs {len(dr)}"
     bad = [(a, b) for a, b in zip(sr, dr) if a != b]
-    return (f"{len(bad)} differing rows, first {bad[0]}" if bad else None), len(sr)
+    return f"{len(bad)} differing rows, first {bad[0]}" if bad else None
 
 
 def main(argv=None):
@@ -71,18 +71,17 @@ def main(argv=None):
         t = time.time()
         try:
             df = fn(spark, sf_dir)
-            if name in oracle:
-                err, n = compare(df, con, oracle[name])
-            else:
-                err, n = None, len(df.collect())
+            cols, rows = df.columns, [tuple(r) for r in df.collect()]
+            st = time.time() - t
+            err, n = (compare(cols, rows, con, oracle[name]), len(rows)) if name in oracle else (None, len(rows))
         except Exception as ex:
-            err, n = "EXC " + str(ex)[:600], -1
+            err, n, st = "EXC " + str(ex)[:600], -1, 0
         dt = time.time() - t
         if err or n == 0:
             bad += 1
-            print(f"FAIL {name} rows={n}: {str(err)[:900]}", flush=True)
-        elif dt > a.slow or a.names:
-            print(f"ok {name} rows={n} {dt:.1f}s{'' if name in oracle else ' (rows only)'}", flush=True)
+            print(f"FAIL {name} rows={n}: {str(err)[:700]!r}", flush=True)
+        elif st > a.slow or a.names:
+            print(f"ok {name} rows={n} spark {st:.1f}s sql {dt - st:.1f}s{'' if name in oracle else ' (rows only)'}", flush=True)
     print(f"{len(qs)} queries, {bad} bad")
     spark.stop()
     return 1 if bad else 0
