@@ -1,8 +1,8 @@
 """Continuations from transition tables: greedy, sampled, and consensus.
 
-All rows advance in lock step.  A step needs only the last ``order`` labels, so greedy continuation
-runs once per *distinct* context and is joined back to the prefixes.  The frontier is written every
-few steps, which cuts lineage and survives lost executors.
+A step needs only the last ``order`` labels, so greedy continuation runs once per *distinct* context and
+is joined back to the prefixes.  Sampled rows advance in lock step; the frontier is written every few
+steps, which cuts lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -52,15 +52,59 @@ def _start(df: DataFrame) -> DataFrame:
     return df.withColumns({"suffix": F.array().cast("array<int>"), "_alive": F.lit(True)})
 
 
-def greedy(prefixes: DataFrame, m: TransitionModel, max_len: int = 50, every: int = 10) -> DataFrame:
-    """Prefixes with ``pred``: the greedy continuation up to the end label or ``max_len``."""
+def _key(cols: list[str], names: list[str] | None = None) -> Column:
+    return F.concat_ws(">", *[F.col(c).cast("string") for c in (names or cols)])
+
+
+def context_steps(starts: DataFrame, m: TransitionModel) -> DataFrame:
+    """(key, emit, dst): one greedy step for every context reachable from ``starts``; dst is null at the end label.
+
+    New contexts are expanded level by level until none is left; their number is bounded by the contexts
+    the greedy path can visit, not by the data.
+    """
     cols = context_columns(m.order)
     best = materialize(argmax_table(m), "argmax")
-    key = F.concat_ws(">", *[F.col(c).cast("string") for c in cols]).alias("_key")
-    front = _start(prefixes.select(key, *cols).distinct())
-    done = _loop(front, best, "best", F.lit(0), lambda step: F.col("_v"), m.order, max_len, every)
-    done = lookup_side(done.select("_key", F.col("suffix").alias("pred")), "greedy")
-    return prefixes.withColumn("_key", key).join(done, "_key").drop("_key")
+    level = starts.select(_key(cols).alias("key"), *cols).distinct()
+    known = None
+    while True:
+        step = _value_of_context(level, best, m.order, "best", F.lit(0)).withColumnRenamed("_v", "emit")
+        go = F.col("emit") != EOS
+        moved = [*[F.col(b) for b in cols[1:]], F.col("emit")]
+        step = step.select("key", "emit", *[F.when(go, c).alias(f"n_{a}") for a, c in zip(cols, moved)])
+        step = materialize(step.withColumn("dst", F.when(F.col("emit") != EOS, _key(cols, [f"n_{c}" for c in cols]))), "steps")
+        known = step if known is None else known.unionByName(step)
+        fresh = step.where(F.col("dst").isNotNull()).select(F.col("dst").alias("key"), *[F.col(f"n_{c}").alias(c) for c in cols]).distinct()
+        fresh = fresh.join(known.select("key"), "key", "left_anti")
+        if fresh.isEmpty():
+            return known.select("key", "emit", "dst")
+        level = fresh
+
+
+def _compose(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Follow ``first``, then ``then`` from where it stopped."""
+    nxt = then.select(F.col("key").alias("dst"), F.col("suffix").alias("_s"), F.col("dst").alias("_d"))
+    out = first.join(lookup_side(nxt, "jump"), "dst", "left")
+    return out.select("key", F.concat("suffix", F.coalesce("_s", F.array().cast("array<int>"))).alias("suffix"), F.col("_d").alias("dst"))
+
+
+def greedy(prefixes: DataFrame, m: TransitionModel, max_len: int = 50) -> DataFrame:
+    """Prefixes with ``pred``: the greedy continuation up to the end label or ``max_len``.
+
+    Contexts form a functional graph, so continuations of 1, 2, 4, ... steps follow from each other
+    (about log2(max_len) joins of a small table instead of max_len).
+    """
+    cols = context_columns(m.order)
+    steps = context_steps(prefixes, m)
+    jump = steps.select("key", F.when(F.col("dst").isNotNull(), F.array("emit")).otherwise(F.array().cast("array<int>")).alias("suffix"), "dst")
+    total, left = None, max_len
+    while left:
+        if left & 1:
+            total = jump if total is None else _compose(total, jump)
+        left >>= 1
+        if left:
+            jump = materialize(_compose(jump, jump), "jump")
+    done = lookup_side(total.select(F.col("key").alias("_key"), F.col("suffix").alias("pred")), "greedy")
+    return prefixes.withColumn("_key", _key(cols)).join(done, "_key").drop("_key")
 
 
 def cumulative(probs: Column) -> Column:

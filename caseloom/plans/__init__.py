@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "audit", "splits", "encoding", "models", "evaluation"]
+MODULES = ["core", "audit", "splits", "encoding", "models", "evaluation", "downstream"]
 
 
 def load_all():
