@@ -73,3 +73,30 @@ def action_activity(code, error_type) -> Column:
     first = F.try_element_at(api_calls(code), F.lit(1))
     base = F.coalesce(first, F.when(code != "", F.lit("python.no_api")).otherwise(F.lit("none.no_code")))
     return F.concat(base, F.when(_c(error_type).isNotNull(), "|err").otherwise("|ok"))
+
+
+# Words of a task text that imply an app.
+APP_KEYWORDS = {
+    "spotify": ["spotify", "song", "playlist", "album", "artist", "music"],
+    "venmo": ["venmo", "pay ", "payment", "money", "owe", "rent"],
+    "gmail": ["gmail", "email", "e-mail", "mail", "inbox"],
+    "amazon": ["amazon", "order", "product", "cart", "purchase", "return"],
+    "splitwise": ["splitwise", "split", "expense", "bill"],
+    "todoist": ["todoist", "todo", "task list", "to-do", "project"],
+    "phone": ["phone", "contact", "text message", "sms", "alarm", "message"],
+    "file_system": ["file", "folder", "directory"],
+    "simple_note": ["note", "notes"],
+}
+
+
+def implied_apps(text, published: list[str] | None = None) -> Column:
+    """Apps whose keywords occur in a text, limited to the published ones; one pass over the text, no join."""
+    low = F.lower(_c(text))
+    out = []
+    for app, words in APP_KEYWORDS.items():
+        if published is None or app in published:
+            hit = low.contains(words[0])
+            for w in words[1:]:
+                hit = hit | low.contains(w)
+            out.append(F.when(hit, F.lit(app)))
+    return F.filter(F.array(*out), lambda a: a.isNotNull())

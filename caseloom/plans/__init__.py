@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "audit", "splits", "encoding", "models", "evaluation", "downstream"]
+MODULES = ["core", "audit", "splits", "encoding", "models", "evaluation", "downstream", "traces"]
 
 
 def load_all():
