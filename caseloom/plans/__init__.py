@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "audit", "splits", "encoding", "models", "evaluation", "downstream", "traces"]
+MODULES = ["core", "audit", "splits", "encoding", "models", "evaluation", "downstream", "traces", "learners", "streams"]
 
 
 def load_all():

@@ -241,7 +241,7 @@ def published(spark, d):
     return c.select(tx.call_app(F.col("c")).alias("app"), F.substring_index("c", ".", -1).alias("api")).distinct()
 
 
-_PUB = f", pb AS (SELECT DISTINCT unnest({CALLS}) AS call FROM cd WHERE turn = 0 AND cand = 0 AND conv_id % 9 < 9), cl AS (SELECT episode_id, step_index, cand, unnest({CALLS}) AS call FROM cd), vi AS (SELECT * FROM cl ANTI JOIN pb USING (call)) "
+_PUB = f", pb AS (SELECT DISTINCT unnest({CALLS}) AS call FROM cd WHERE turn = 0 AND cand = 0), cl AS (SELECT episode_id, step_index, cand, unnest({CALLS}) AS call FROM cd), vi AS (SELECT * FROM cl ANTI JOIN pb USING (call)) "
 query("t20_schema_gate", CD.rstrip() + _PUB + "SELECT episode_id, step_index, cand, call FROM vi")(
     lambda s, d: tc.schema_violations(ep.candidates(s, d), published(s, d)))
 query("j8_schema_check", CD.rstrip() + _PUB + "SELECT call, count(*) AS n FROM vi GROUP BY 1")(
@@ -294,7 +294,7 @@ def t24s(spark, d):
 
 
 @query("v19_trace_report", GM + ", " + ms.scored("split = 'test' AND pos < n - 1").replace("bc.case_id, bc.pos, bc.y_id", "bc.case_id, bc.pos, bc.y_id") + f""", yv AS (SELECT s.*, v.value, split_part(v.value, '|', 1) AS base FROM s JOIN v ON v.id = s.y_id),
-pq AS (SELECT yv.case_id, yv.pos, any_value(value LIKE '%|err') AS y, coalesce(max(CASE WHEN pd.cls = coalesce(vo.id, 1) THEN p END), 0) AS po, coalesce(max(CASE WHEN pd.cls = coalesce(ve.id, 1) THEN p END), 0) AS pe FROM yv LEFT JOIN v vo ON vo.value = base || '|ok' LEFT JOIN v ve ON ve.value = base || '|err' JOIN pd ON pd.case_id = yv.case_id AND pd.pos = yv.pos WHERE NOT starts_with(base, 'outcome.') GROUP BY ALL),
+pq AS (SELECT yv.case_id, yv.pos, any_value(yv.value LIKE '%|err') AS y, coalesce(max(CASE WHEN pd.cls = coalesce(vo.id, 1) THEN p END), 0) AS po, coalesce(max(CASE WHEN pd.cls = coalesce(ve.id, 1) THEN p END), 0) AS pe FROM yv LEFT JOIN v vo ON vo.value = base || '|ok' LEFT JOIN v ve ON ve.value = base || '|err' JOIN pd ON pd.case_id = yv.case_id AND pd.pos = yv.pos WHERE NOT starts_with(base, 'outcome.') GROUP BY ALL),
 sc AS (SELECT 'validity' AS what, CASE WHEN y THEN 1 ELSE 0 END AS y, round(pe / (po + pe + 1e-9), 9) AS p FROM pq
  UNION ALL SELECT 'outcome', CASE WHEN e.last_act = 'outcome.success|ok' THEN 1 ELSE 0 END, round(pd.p, 9) FROM pd JOIN e ON e.case_id = pd.case_id AND e.pos = pd.pos JOIN v ON v.id = pd.cls AND v.value = 'outcome.success|ok' WHERE e.pos = e.n - 2)
 SELECT what, (SELECT round(avg({ONE.format('pred = y_id')}), 6) FROM s) AS next_top1, (SELECT count(*) FROM s) AS n_steps, count(*) AS n, (SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*), 6) FROM sc a JOIN sc b ON a.what = b.what AND a.y = 1 AND b.y = 0 WHERE a.what = sc.what) AS auroc FROM sc GROUP BY what""")

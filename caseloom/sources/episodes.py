@@ -69,13 +69,13 @@ def nest(steps: DataFrame, candidates: DataFrame, episodes: DataFrame) -> DataFr
     usage = F.struct("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
     cf = F.when(F.col("has_cf"), F.struct(F.when(F.col("cf_error").isNotNull(), F.struct(F.col("cf_error").alias("type"), F.lit("").alias("message"))).alias("error"),
                                           "passes_before", "passes_after", "failures_after", F.col("cf_done").alias("done")))
-    cand = F.struct("cand", "action_raw", F.struct(F.lit("execute_code").alias("type"), "code").alias("action"), usage.alias("usage"), cf.alias("counterfactual"))
+    cand = F.struct("cand", "action_raw", F.struct(F.lit("execute_code").alias("type"), "code").alias("action"), null.cast("double").alias("score"), usage.alias("usage"), cf.alias("counterfactual"))
     cs = candidates.groupBy("episode_id", F.col("step_index").alias("_si")).agg(F.sort_array(F.collect_list(cand)).alias("candidates"))
     s = steps.withColumn("_si", F.col("step_index") if "order_index" not in steps.columns else F.col("order_index")).join(cs, ["episode_id", "_si"])
     err = F.when(F.col("error_type").isNotNull(), F.struct(F.col("error_type").alias("type"), F.col("error_message").alias("message")))
     step = F.struct("_si", "step_index", F.timestamp_micros("step_us").alias("timestamp"), "observation", F.lit("h").alias("action_schema_ref"),
                     F.transform("candidates", lambda c: c.dropFields("cand")).alias("candidates"), "chosen_index", "tool_result", err.alias("error"),
-                    F.col("done").alias("success_state"), F.struct("passes", "failures").alias("evaluator_output"))
+                    null.cast("double").alias("reward"), F.col("done").alias("success_state"), F.struct("passes", "failures").alias("evaluator_output"))
     docs = s.groupBy("episode_id").agg(F.transform(F.sort_array(F.collect_list(step)), lambda x: x.dropFields("_si")).alias("steps"))
     e = episodes.join(docs, "episode_id")
     lit = F.lit
