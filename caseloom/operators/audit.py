@@ -194,27 +194,23 @@ def variant_keys(ev: DataFrame) -> DataFrame:
     return p.groupBy(*CASE).agg(F.count(F.lit(1)).alias("len"), h(1).alias("h1"), h(2).alias("h2"))
 
 
-def variants(ev: DataFrame, top: int = 5) -> DataFrame:
-    """Per log: number of variants, the ``top`` most frequent ones with text, and their joint share."""
+def variants(ev: DataFrame, top: int = 5, text_events: int = 10_000) -> DataFrame:
+    """Per log: number of variants, the ``top`` most frequent ones, and their joint share.
+
+    Ties go to the variant whose first case id comes first.  The text of a variant is read back from that
+    one case; variants longer than ``text_events`` keep their row with a null text.
+    """
     key = ["log", "len", "h1", "h2"]
     vc = variant_keys(ev).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("case_id"))
     tot = vc.groupBy("log").agg(F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("n_cases"))
-    # a tie at the cut is broken by the variant text, so keep every variant as frequent as the top-th
-    rk = F.rank().over(W.partitionBy("log").orderBy(F.desc("n")))
-    cand = vc.withColumn("_r", rk).where(F.col("_r") <= top)
-    heads = tied_heads(ev, cand, top)
-    rn = F.row_number().over(W.partitionBy("log").orderBy(F.desc("n"), "variant"))
-    best = heads.withColumn("rank", rn).where(F.col("rank") <= top)
+    rn = F.row_number().over(W.partitionBy("log").orderBy(F.desc("n"), "case_id"))
+    best = vc.withColumn("rank", rn).where(F.col("rank") <= top).select("log", "case_id", "rank", "n", "len")
     share = best.groupBy("log").agg(F.sum("n").alias("top_n"))
-    return best.join(tot, "log").join(share, "log").select(
-        "log", "rank", "variant", "n", "n_variants", rnd(F.col("top_n") / F.col("n_cases")).alias("top_share"))
-
-
-def tied_heads(ev: DataFrame, cand: DataFrame, top: int) -> DataFrame:
-    """Texts of the candidate variants, read back from one representative case each."""
-    rep = ev.join(cand.select("log", "case_id", "n"), CASE)
-    return rep.groupBy("log", "case_id", "n").agg(F.array_join(F.transform(
+    short = ev.join(F.broadcast(best.where(F.col("len") <= text_events).select(*CASE)), CASE, "left_semi")  # ``top`` cases per log
+    text = short.groupBy(*CASE).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("us", "event_idx", "activity"))), lambda e: e["activity"]), " > ").alias("variant"))
+    out = best.join(text, CASE, "left").join(tot, "log").join(share, "log")
+    return out.select("log", "rank", "variant", "n", "n_variants", rnd(F.col("top_n") / F.col("n_cases")).alias("top_share"))
 
 
 def role_lint(ev: DataFrame, schema: LogSchema) -> DataFrame:

@@ -147,13 +147,14 @@ class Prepared:
         return self.frame.where(F.col("split") == name)
 
 
-def prepare(events: DataFrame, schema: LogSchema, split: DataFrame, order: int = 2, vocab: DataFrame | None = None,
+def prepare(events: DataFrame, schema: LogSchema, split: DataFrame | None = None, order: int = 2, vocab: DataFrame | None = None,
             store: bool = True, **frame_options) -> Prepared:
     """Split, train vocabulary, label ids and targets in one ordered pass over the events.
 
+    ``split`` may be left out when the events carry a ``split`` column (see ``splits.assign_random``).
     The frame is read many times (fit, calibrate, score), so it is written once by default.
     """
-    ev = events.join(lookup_side(split.select("case_id", "split"), "split"), "case_id")
+    ev = events if split is None else events.join(lookup_side(split.select("case_id", "split"), "split"), "case_id")
     if vocab is None:
         vocab = materialize(fit_vocab(ev.where(F.col("split") == "train"), "activity"), "vocab")
     size = vocab.count()

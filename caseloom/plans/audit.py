@@ -90,10 +90,10 @@ SELECT 'orders' AS log, k."column", round(any_value(mi) / any_value(h), 6) AS nm
  JOIN (SELECT "column", sum(n / nt * ln(n * nt / (nx * ny))) AS mi FROM k GROUP BY 1) USING ("column")
  JOIN (SELECT "column", -sum(p * ln(p)) AS h FROM (SELECT DISTINCT "column", y, ny / nt AS p FROM k) GROUP BY 1) USING ("column") GROUP BY 2""")(
     lambda s, d: audit.leakage(t.orders(s, d), ["case_segment", "case_nation"]))
-query("a16_variants", LEN + """, v AS (SELECT log, case_id, string_agg(activity, ' > ' ORDER BY us, event_idx) AS variant FROM ev WHERE log = 'dialogs' GROUP BY 1, 2),
- c AS (SELECT log, variant, count(*) AS n FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY n DESC, variant) AS rank, count(*) OVER (PARTITION BY log) AS n_variants, sum(n) OVER (PARTITION BY log) AS nc FROM c)
+query("a16_variants", LEN + """, v AS (SELECT log, case_id, string_agg(activity, ' > ' ORDER BY us, event_idx) AS variant FROM ev GROUP BY 1, 2),
+ c AS (SELECT log, variant, count(*) AS n, min(case_id) AS fc FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY n DESC, fc) AS rank, count(*) OVER (PARTITION BY log) AS n_variants, sum(n) OVER (PARTITION BY log) AS nc FROM c)
 SELECT log, rank, variant, n, n_variants, round(sum(n) OVER (PARTITION BY log) / nc, 6) AS top_share FROM r WHERE rank <= 5""")(
-    lambda s, d: audit.variants(t.dialogs(s, d)))
+    lambda s, d: audit.variants(all_logs(s, d)))
 query("a17_summary", q.with_(CASES) + f""", v AS (SELECT log, case_id, string_agg(activity, '>' ORDER BY us, event_idx) AS v FROM ev GROUP BY 1, 2),
  e AS (SELECT log, max(us) AS e FROM ev GROUP BY 1)
 SELECT log, count(*) AS cases, sum(n)::BIGINT AS events, (SELECT count(DISTINCT activity) FROM ev WHERE ev.log = cs.log) AS activities, (SELECT count(DISTINCT v) FROM v WHERE v.log = cs.log) AS variants,

@@ -8,7 +8,7 @@ from caseloom.operators import audit, frame as fr, sequence as S
 from caseloom.operators.ranking import best_per_group, top_k
 from caseloom.plans import sqltext as q
 from caseloom.plans.registry import query
-from caseloom.schema import CLICKS, DIALOGS, ORDERS
+from caseloom.schema import CLICKS, ORDERS
 from caseloom.sources import tables as t
 
 A, B, C = q.frame("a"), q.frame("b"), q.frame("c")
@@ -106,12 +106,12 @@ def p13(spark, d):
     return f.select("event_idx", "n", "complete", "y")
 
 
-@query("p14_prefixes", q.with_(C) + """SELECT c.case_id, c.pos, string_agg(e.activity, '>' ORDER BY e.pos) AS prefix FROM c JOIN c e ON c.case_id = e.case_id AND e.pos <= c.pos GROUP BY 1, 2""")
+@query("p14_prefixes", q.with_(A) + """SELECT case_id, pos, pos + 1 AS prefix_len, activity AS last1, prev1 AS last2, prev2 AS last3, pos < n - 1 AS has_suffix FROM a""")
 def p14(spark, d):
-    f = fr.prefix_frame(t.dialogs(spark, d), DIALOGS)
-    w = W.partitionBy("case_id").orderBy("pos")
-    # the growing array is the requested output; scoring never builds it (it only needs the last labels)
-    return f.select("case_id", "pos", F.array_join(F.collect_list("activity").over(w), ">").alias("prefix"))
+    """Every event is a prefix; its length and last labels identify what a scorer sees (no growing arrays)."""
+    f = fr.prefix_frame(t.clicks(spark, d), CLICKS, order=3)
+    return f.select("case_id", "pos", (F.col("pos") + 1).alias("prefix_len"), F.col("activity").alias("last1"), F.col("prev1").alias("last2"),
+                    F.col("prev2").alias("last3"), (F.col("pos") < F.col("n") - 1).alias("has_suffix"))
 
 
 @query("p15_drop_event", q.with_(A) + """, m AS (SELECT case_id, min(pos) AS p FROM a WHERE activity = 'error' GROUP BY 1),
@@ -145,10 +145,9 @@ def j3(spark, d):
 
 @query("j1_split_membership", q.with_(q.A_RAW, q.split_cte("a")) + "SELECT split, count(*) AS n_events, count(DISTINCT case_id) AS n_cases FROM a_raw JOIN a_split USING (case_id) GROUP BY 1")
 def j1(spark, d):
-    from caseloom.operators.splits import split_random
+    from caseloom.operators.splits import assign_random
 
-    ev = t.clicks(spark, d)
-    return ev.join(split_random(ev, seed=0), "case_id").groupBy("split").agg(
+    return assign_random(t.clicks(spark, d)).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_events"), F.count_distinct("case_id").alias("n_cases"))
 
 
@@ -232,10 +231,9 @@ def uset2(spark, d):
 @query("uset3_unseen", q.with_(A, q.split_cte("a")) + """, v AS (SELECT DISTINCT ev_k FROM a JOIN a_split USING (case_id) WHERE split = 'val')
 SELECT count(*) AS n, count(*) FILTER (ev_k NOT IN (SELECT ev_k FROM v)) AS n_unseen FROM a JOIN a_split USING (case_id) WHERE split = 'test'""")
 def uset3(spark, d):
-    from caseloom.operators.splits import split_random
+    from caseloom.operators.splits import assign_random
 
-    ev = t.clicks(spark, d)
-    ev = ev.join(split_random(ev, seed=0), "case_id")
+    ev = assign_random(t.clicks(spark, d))
     known = ev.where(F.col("split") == "val").select("ev_k", F.lit(1).alias("_k")).distinct()
     return ev.where(F.col("split") == "test").join(known, "ev_k", "left").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_k").isNull()).alias("n_unseen"))

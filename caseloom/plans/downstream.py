@@ -8,7 +8,7 @@ from caseloom.plans import modelsql as ms, sqltext as q
 from caseloom.plans.evaluation import GREEDY, MAX_LEN, ONE, SIM, case_nll, greedy_pairs
 from caseloom.plans.models import LAPLACE, _REM, fitted, m14, prepared, recursive, seed_models, seed_predictions, seeds_sql, sf_sql, rollout_sql
 from caseloom.plans.registry import query
-from caseloom.schema import ORDERS
+from caseloom.schema import ORDERS, get_schema
 from caseloom.session import literal_table
 from caseloom.sources import tables as t
 from caseloom.plans.registry import ORACLE
@@ -151,10 +151,12 @@ def q4m(spark, d):
 # ------------------------------------------------------------------ report tables
 def metric_rows(spark, d, log, split_name, order, seed=0):
     """Tidy (run, model, metric, value, seed) rows of one fitted model."""
-    schema = {"clicks": t, "orders": t}[log]
     ev = t.read_log(spark, d, log)
-    split = sp.split_random(ev, seed) if split_name == "random" else sp.split_chronological(fr.case_table(ev, ORDERS))
-    p = en.prepare(ev, ORDERS if log == "orders" else _clicks(), split, order=order)
+    schema = get_schema(log)
+    if split_name == "random":
+        p = en.prepare(sp.assign_random(ev, seed), schema, order=order)
+    else:
+        p = en.prepare(ev, schema, sp.split_chronological(fr.case_table(ev, schema)), order=order)
     m = tr.TransitionModel(order, 0.1, p.size, None, tr.smooth(tr.transition_counts(p.part("train"), order), p.size, 0.1), None, None, None)
     s = me.score(tr.predict_next(tr.compact(p.part("test"), order), m))
     r = s.agg(me.wavg("nll").alias("nll"), me.wavg("correct").alias("accuracy"))
@@ -162,12 +164,6 @@ def metric_rows(spark, d, log, split_name, order, seed=0):
         F.lit(f"{log}_{split_name}").alias("run"), F.lit(f"order{order}").alias("model"), "metric", "value", F.lit(seed).alias("seed"))
 
 
-def _clicks():
-    from caseloom.schema import CLICKS
-
-    return CLICKS
-
-
 def metric_sql(x, seed, order, chrono=False, where="split = 'train'"):
     """(nll, accuracy) of an order-``order`` model as a sub-select."""
     base = ms.encoded(x, seed)

@@ -96,7 +96,7 @@ query("e9_remaining", q.with_(A) + "SELECT event_idx, y_rem FROM a")(
     lambda s, d: fr.prefix_frame(t.clicks(s, d), CLICKS).select("event_idx", "y_rem"))
 
 
-@query("e10_suffix", q.with_(C) + "SELECT c.case_id, c.pos, string_agg(e.activity, '>' ORDER BY e.pos) AS suffix FROM c JOIN c e ON c.case_id = e.case_id AND e.pos > c.pos WHERE c.complete GROUP BY 1, 2")
+@query("e10_suffix", q.with_(C) + "SELECT c.case_id, c.pos, string_agg(e.activity, '>' ORDER BY e.pos) AS suffix FROM c JOIN c e ON c.case_id = e.case_id AND e.pos > c.pos WHERE c.complete AND c.n <= 64 GROUP BY 1, 2")
 def e10(spark, d):
     f = fr.prefix_frame(t.dialogs(spark, d), DIALOGS)
     return fr.suffixes(f, f.where("complete")).select("case_id", "pos", F.array_join("suffix", ">").alias("suffix"))

@@ -110,8 +110,9 @@ def v11(spark, d):
 
 # ------------------------------------------------------------------ continuations
 MAX_LEN = 12
+LONGEST = 64
 TEXT = "array_to_string(list_transform({}, lambda x: chr(65 + x)), '')"
-_TRUE = """tv AS MATERIALIZED (SELECT p.case_id, p.pos, p.id1, p.act, list(x.act ORDER BY x.pos) AS tru FROM e p JOIN e x ON x.case_id = p.case_id AND x.pos > p.pos WHERE p.split = 'test' AND p.complete AND p.pos < p.n - 1 GROUP BY ALL),
+_TRUE = f"""tv AS MATERIALIZED (SELECT p.case_id, p.pos, p.id1, p.act, list(x.act ORDER BY x.pos) AS tru FROM e p JOIN e x ON x.case_id = p.case_id AND x.pos > p.pos WHERE p.split = 'test' AND p.complete AND p.pos < p.n - 1 AND p.n <= {LONGEST} GROUP BY ALL),
 gp AS MATERIALIZED (SELECT tv.case_id, tv.pos, suffix AS pred, tru FROM tv JOIN rx ON rx.s2 = tv.act AND rx.s1 IS NOT DISTINCT FROM tv.id1) """
 GREEDY = recursive(ms.model("b") + rollout_sql(MAX_LEN)) + ", " + _TRUE
 SIM = f"CASE WHEN len(pred) = 0 AND len(tru) = 0 THEN 1.0::DOUBLE ELSE 1 - damerau_levenshtein({TEXT.format('pred')}, {TEXT.format('tru')}) / greatest(len(pred), len(tru)) END"
@@ -120,7 +121,7 @@ SIM = f"CASE WHEN len(pred) = 0 AND len(tru) = 0 THEN 1.0::DOUBLE ELSE 1 - damer
 def true_suffixes(p):
     f = p.part("test")
     pick = f.where(F.col("complete") & (F.col("pos") < F.col("n") - 1))
-    s = fr.suffixes(f.withColumn("activity", F.col("act")), pick)
+    s = fr.suffixes(f, pick, LONGEST, "act")
     return pick, s.withColumnRenamed("suffix", "true")
 
 

@@ -7,13 +7,14 @@ from caseloom.operators import encode as en, metrics as me, rollout as ro, split
 from caseloom.plans import modelsql as ms, sqltext as q
 from caseloom.plans.registry import query
 from caseloom.schema import CLICKS, DIALOGS, ORDERS
+from caseloom.session import lookup_side
 from caseloom.sources import tables as t
 
 
 def prepared(spark, d, seed=0, log="clicks", **kw):
     schema = {"clicks": CLICKS, "orders": ORDERS, "dialogs": DIALOGS}[log]
     ev = t.read_log(spark, d, log)
-    return en.prepare(ev, schema, sp.split_random(ev, seed), **kw)
+    return en.prepare(sp.assign_random(ev, seed), schema, **kw)
 
 
 def fitted(spark, d, seed=0, log="clicks", **kw):
@@ -209,7 +210,8 @@ def m14(spark, d):
     p = prepared(spark, d)
     train = p.part("train")
     few = sp.few_shot(train, 0.05, 20, seed=9)
-    source, small = train.join(F.broadcast(few), "case_id", "left_anti"), train.join(F.broadcast(few), "case_id", "left_semi")
+    few = lookup_side(few, "few")
+    source, small = train.join(few, "case_id", "left_anti"), train.join(few, "case_id", "left_semi")
     cs, cf = tr.transition_counts(source, p.order), tr.transition_counts(small, p.order)
     both = cs.withColumn("n", F.col("n") * 0.25).unionByName(cf.withColumn("n", F.col("n") * 1.0)).groupBy("k", "ctx", "y").agg(F.sum("n").alias("n"))
     test = tr.compact(p.part("test"), p.order)

@@ -52,7 +52,7 @@ def st1(spark, d):
 @query("st1_online_predictions", ms.model() + ", " + ms.best_context("act >= 0") + "SELECT case_id, event_idx, cls, round(p, 8) AS p FROM bc JOIN pr ON pr.k = bc.k AND pr.ctx = bc.ctx")
 def st1p(spark, d):
     ev = t.clicks(spark, d)
-    p = en.prepare(ev, CLICKS, sp.split_random(ev))
+    p = en.prepare(sp.assign_random(ev), CLICKS)
     m = tr.fit_prepared(p)
     out = on.run_available(on.online_predictions(on.online_features(replay(spark, d)), p.vocab, m).select("case_id", "event_idx", "probs"), "online-pred")
     return spark.read.parquet(out).select("case_id", "event_idx", F.posexplode("probs").alias("cls", "p")).withColumn("p", rnd("p", 8))
