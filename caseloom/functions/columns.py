@@ -52,6 +52,11 @@ def hash_order(seed, *cols) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def hash_key(seed, *cols) -> Column:
+    """The same order as :func:`hash_order` as 15 hex digits; cheaper where only the order matters."""
+    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[_c(c).cast("string") for c in cols])), 1, 15)
+
+
 def hash_unit(seed, *cols) -> Column:
     """Uniform value in [0, 1) with 52 bits, a pure function of its inputs."""
     text = F.concat_ws(":", F.lit(str(seed)), *[_c(c).cast("string") for c in cols])

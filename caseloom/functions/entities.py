@@ -14,14 +14,23 @@ _ENTITY = T.StructType([
     T.StructField("first_ids", T.ArrayType(T.StringType())), T.StructField("keys", T.ArrayType(T.StringType()))])
 
 
+# What each rule needs before its value: a secret name with its separator and quote, or a JWT head.
+_CANDIDATE = rf"""(?i)(?:{'|'.join(SECRET_KEYS)})(?:["']?\s*:|\w*\s*=)\s*["']|eyJ"""
+
+
 def redact(c, salt: str = "") -> Column:
-    """struct<text, n>: whole text masked by the three rules, with the number of masks."""
+    """struct<text, n>: whole text masked by the three rules, with the number of masks.
+
+    Only texts that can match at all are sent to Python; the others stay in the JVM untouched.
+    """
 
     def batch(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([pyfuncs.redact(x, salt) for x in s], columns=["text", "n"])
 
     by_value(batch)
-    return F.pandas_udf(batch, _REDACTED)(F.col(c) if isinstance(c, str) else c)
+    c = F.col(c) if isinstance(c, str) else c
+    r = F.pandas_udf(batch, _REDACTED)(F.when(c.rlike(_CANDIDATE), c))
+    return F.struct(F.coalesce(r["text"], c).alias("text"), r["n"].alias("n"))
 
 
 def _summary_batch(s: pd.Series) -> pd.DataFrame:

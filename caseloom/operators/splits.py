@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from caseloom.functions.columns import hash_order, rnd
+from caseloom.functions.columns import hash_key, hash_order, rnd
 from caseloom.operators.ranking import global_rank
 from caseloom.session import lookup_side
 
 
 def _hash_ranked(df: DataFrame, col: str, seed) -> DataFrame:
     """Distinct values of ``col`` with their hash-order ``rank`` and the number of values ``total``."""
-    ids = df.select(col).distinct().withColumn("_h", hash_order(seed, col))
+    ids = df.select(col).distinct().withColumn("_h", hash_key(seed, col))
     return global_rank(ids, ["_h", col], total="total").drop("_h")
 
 
@@ -29,16 +29,21 @@ def split_random(events: DataFrame, seed: int = 0, fracs=(0.7, 0.15)) -> DataFra
 def assign_random(events: DataFrame, seed: int = 0, fracs=(0.7, 0.15)) -> DataFrame:
     """Events with a ``split`` column, equal to joining :func:`split_random` but without a join.
 
-    Only the case ids are ranked; the two cut points (hash, case_id) come back as scalar sub-queries and
-    every event is placed by comparing its own case against them, so the facts are not shuffled.
+    Only the case ids are ranked; the two cut points (hash, case_id) are one small row, and every event is
+    placed by comparing its own case against them, so the facts are not shuffled.
     """
-    r = global_rank(events.select("case_id").distinct().withColumn("_h", hash_order(seed, "case_id")), ["_h", "case_id"], total="total")
+    r = global_rank(events.select("case_id").distinct().withColumn("_h", hash_key(seed, "case_id")), ["_h", "case_id"], total="total")
     n_tr, n_va = (F.floor(F.col("total") * F.lit(float(f))) for f in fracs)
     key = F.struct(F.col("_h").alias("h"), F.col("case_id").alias("c"))
-    cuts = r.agg(F.struct(F.min(F.when(F.col("rank") >= n_tr, key)).alias("val"), F.min(F.when(F.col("rank") >= n_tr + n_va, key)).alias("test")).alias("s")).scalar()
-    own = F.struct(hash_order(seed, "case_id").alias("h"), F.col("case_id").alias("c"))
-    part = F.when(own >= F.col("_cut.test"), "test").when(own >= F.col("_cut.val"), "val").otherwise("train")
-    return events.withColumn("_cut", cuts).withColumn("split", part).drop("_cut")
+    cut = r.agg(F.min(F.when(F.col("rank") >= n_tr, key)).alias("val"), F.min(F.when(F.col("rank") >= n_tr + n_va, key)).alias("test")).first()
+
+    def from_cut(c) -> Column:
+        if c is None:
+            return F.lit(False)
+        return (F.col("_h") > c["h"]) | ((F.col("_h") == c["h"]) & (F.col("case_id") >= F.lit(c["c"])))
+
+    part = F.when(from_cut(cut["test"]), "test").when(from_cut(cut["val"]), "val").otherwise("train")
+    return events.withColumn("_h", hash_key(seed, "case_id")).withColumn("split", part).drop("_h")
 
 
 def split_chronological(cases: DataFrame, fracs=(0.7, 0.15)) -> DataFrame:
@@ -65,7 +70,7 @@ def split_cv(events: DataFrame, fold: int, n_folds: int = 5, seed: int = 0, val_
     f = F.when(F.col("rank") < edge, F.floor(F.col("rank") / (small + 1))).otherwise(
         extra + F.floor((F.col("rank") - edge) / F.greatest(small, F.lit(1))))
     r = r.select("case_id", f.cast("int").alias("fold"))
-    rest = r.where(F.col("fold") != fold).withColumn("_h", hash_order(seed + 1000 + fold, "case_id"))
+    rest = r.where(F.col("fold") != fold).withColumn("_h", hash_key(seed + 1000 + fold, "case_id"))
     rest = global_rank(rest, ["_h", "case_id"], total="total")
     rest = rest.withColumn("split", F.when(F.col("rank") < F.floor(F.col("total") * val_frac), "val").otherwise("train"))
     test = r.where(F.col("fold") == fold).withColumn("split", F.lit("test"))
@@ -93,7 +98,7 @@ def split_groups(df: DataFrame, group: str, held_frac: float = 0.25, seed: int =
 
 def select_groups(df: DataFrame, group: str, budget: int, seed: int = 0) -> DataFrame:
     """Whole groups in hash order while their running size stays within ``budget`` rows."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("_h", hash_order(seed, group))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("_h", hash_key(seed, group))
     # every group has at least one row, so no group beyond the first ``budget`` can fit
     w = W.orderBy("_h", group).rowsBetween(W.unboundedPreceding, W.currentRow)
     head = sizes.orderBy("_h", group).limit(budget)
@@ -108,7 +113,7 @@ def few_shot(train: DataFrame, frac: float = 0.05, at_least: int = 20, seed: int
 
 def sample_prefixes(prefixes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """At most ``n`` evaluation prefixes without replacement (a sampling operator; n is its parameter)."""
-    return prefixes.withColumn("_h", hash_order(seed, "case_id", "pos")).orderBy("_h", "case_id", "pos").limit(n).drop("_h")
+    return prefixes.withColumn("_h", hash_key(seed, "case_id", "pos")).orderBy("_h", "case_id", "pos").limit(n).drop("_h")
 
 
 def statistics(frame: DataFrame, split: DataFrame) -> DataFrame:

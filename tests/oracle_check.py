@@ -57,6 +57,7 @@ def main(argv=None):
     ap.add_argument("names", nargs="*")
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--slow", type=float, default=4.0)
+    ap.add_argument("--large", action="store_true", help="force the layouts used for large inputs, with tiny chunks")
     a = ap.parse_args(argv)
     sf_dir = f"/root/testdata/sf{a.sf}"
     import __spark_entry__ as e
@@ -64,6 +65,11 @@ def main(argv=None):
 
     spark = local_session("check", 8)
     spark.sparkContext.setLogLevel("ERROR")
+    if a.large:
+        from caseloom.operators import sequence
+
+        spark.conf.set("caseloom.smallInputBytes", "0")
+        sequence.CHUNK_ROWS = 40
     con = connect(sf_dir)
     oracle, bad = e.oracle_sql(), 0
     qs = {k: v for k, v in e.queries().items() if not a.names or any(k == n or k.startswith(n + "_") or (n.endswith("*") and k.startswith(n[:-1])) for n in a.names)}
