@@ -64,7 +64,7 @@ def with_targets(f: DataFrame) -> DataFrame:
     return f.withColumns({
         **ids,
         "y": F.coalesce("next_act", F.when(F.col("complete"), F.lit("<EOS>"))),
-        "y_ldt": F.log1p(F.greatest(dt, F.lit(0.0))),
+        "y_ldt": F.when(dt.isNotNull(), F.log1p(F.greatest(dt, F.lit(0.0)))),  # greatest() skips nulls
         "y_rem": F.when(F.col("complete"), (F.col("last_us") - F.col("us")) / 1e6),
         "dt_s": F.greatest(F.coalesce((F.col("us") - F.col("prev_us")) / 1e6, F.lit(0.0)), F.lit(0.0)),
         "elapsed_s": F.greatest((F.col("us") - F.col("first_us")) / 1e6, F.lit(0.0)),

@@ -30,7 +30,7 @@ def frame(x: str, max_len: int | None = None, complete: str | None = None) -> st
  FROM {src} WINDOW w AS (PARTITION BY case_id ORDER BY us, event_idx)),
 {x}_c AS (SELECT *, ({comp}) AS complete FROM {x}_w),
 {x} AS (SELECT *, coalesce(next_act, CASE WHEN complete THEN '<EOS>' END) AS y,
- ln(1 + greatest((next_us - us) / 1e6, 0)) AS y_ldt, CASE WHEN complete THEN (last_us - us) / 1e6 END AS y_rem,
+ CASE WHEN next_us IS NOT NULL THEN ln(1 + greatest((next_us - us) / 1e6, 0)) END AS y_ldt, CASE WHEN complete THEN (last_us - us) / 1e6 END AS y_rem,
  greatest(coalesce((us - prev_us) / 1e6, 0), 0) AS dt_s, (us - first_us) / 1e6 AS elapsed_s FROM {x}_c)"""
 
 

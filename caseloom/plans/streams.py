@@ -72,7 +72,7 @@ def st2(spark, d):
 def st3(spark, d):
     path = scratch_path(spark, "inbox")
     corrupted(spark, d).write.json(path)
-    stream = on.event_stream(spark, path, se.EPISODE, fmt="json", files_per_batch=4)
+    stream = on.event_stream(spark, path, se.EPISODE + ", _corrupt string", fmt="json", files_per_batch=4)
     out = on.run_available(stream, "sink", on_batch=on.episode_sink)
     part = lambda s: spark.read.schema(se.EPISODE).json(f"{out}/{s}/*").select(F.lit(s).alias("sink"))
     return part("episodes").unionByName(part("invalid")).groupBy("sink").agg(F.count(F.lit(1)).alias("n"))

@@ -31,12 +31,16 @@ def read_episodes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "trace_file", F.col("_metadata.file_path"))
 
 
-def validation_errors(required: list[str] | None = None) -> Column:
-    """Rule names an episode document breaks; an empty array means it is valid."""
+def validation_errors(required: list[str] | None = None, corrupt: str | None = None) -> Column:
+    """Rule names an episode document breaks; an empty array means it is valid.
+
+    ``corrupt`` names the column with the raw text of unparsable lines, where the reader kept one.
+    """
     steps = F.coalesce("steps", F.array())
     gap = F.exists(F.transform(steps, lambda s, i: s["step_index"] != i), lambda b: b)
     pick = F.exists(steps, lambda s: s["chosen_index"].isNull() | (s["chosen_index"] < 0) | (s["chosen_index"] >= F.size(F.coalesce(s["candidates"], F.array()))))
     rules = [
+        *([F.when(F.col(corrupt).isNotNull(), "unparsable")] if corrupt else []),
         F.when(gap, "step_index"), F.when(pick, "chosen_index"),
         F.when(~F.coalesce("schema_version", F.lit("1.1.0")).isin(SCHEMA_VERSIONS), "schema_version"),
         F.when(F.col("termination_reason").isNotNull() & ~F.col("termination_reason").isin(TERMINATIONS), "termination_reason"),
@@ -88,9 +92,10 @@ def nest(steps: DataFrame, candidates: DataFrame, episodes: DataFrame) -> DataFr
 
 def write_validated(episodes: DataFrame, path: str) -> tuple[str, str]:
     """Valid documents and dead letters (with their errors) as two JSON folders; nothing is dropped."""
-    checked = episodes.withColumn("errors", validation_errors())
+    corrupt = "_corrupt" if "_corrupt" in episodes.columns else None
+    checked = episodes.withColumn("errors", validation_errors(corrupt=corrupt))
     ok, bad = f"{path}/episodes", f"{path}/invalid"
-    checked.where(F.size("errors") == 0).drop("errors").write.mode("append").json(ok)
+    checked.where(F.size("errors") == 0).drop("errors", "_corrupt").write.mode("append").json(ok)
     checked.where(F.size("errors") > 0).write.mode("append").json(bad)
     return ok, bad
 

@@ -78,7 +78,7 @@ def run_available(df: DataFrame, label: str, mode: str = "append", on_batch=None
 
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
-    r = spark.readStream.schema(schema).format(fmt)
+    r = spark.readStream.schema(schema).format(fmt).option("columnNameOfCorruptRecord", "_corrupt")
     return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).load(folder)
 
 
@@ -129,8 +129,8 @@ def episode_sink(folder: str, redact_text: bool = True, salt: str = ""):
 
     def put(batch: DataFrame, number: int) -> None:
         b = batch.withColumn("task_instruction", redact("task_instruction", salt)["text"]) if redact_text else batch
-        checked = materialize(b.withColumn("errors", se.validation_errors()), "sink")
-        checked.where(F.size("errors") == 0).drop("errors").write.mode("overwrite").json(f"{folder}/episodes/batch={number}")
+        checked = materialize(b.withColumn("errors", se.validation_errors(corrupt="_corrupt" if "_corrupt" in b.columns else None)), "sink")
+        checked.where(F.size("errors") == 0).drop("errors", "_corrupt").write.mode("overwrite").json(f"{folder}/episodes/batch={number}")
         checked.where(F.size("errors") > 0).write.mode("overwrite").json(f"{folder}/invalid/batch={number}")
 
     return put
