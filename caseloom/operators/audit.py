@@ -9,7 +9,7 @@ from caseloom.operators import sequence as S
 from caseloom.operators.frame import local_clock
 from caseloom.operators.ranking import exact_quantiles
 from caseloom.schema import LogSchema
-from caseloom.session import literal_table
+from caseloom.session import literal_table, materialize, stage_if_large
 
 QUANTILES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 CASE = ["log", "case_id"]
@@ -38,14 +38,13 @@ def cases(ev: DataFrame) -> DataFrame:
 
 def length_quantiles(ev: DataFrame) -> DataFrame:
     c = ev.groupBy(*CASE).agg(F.count(F.lit(1)).alias("n"))
-    mean = c.groupBy("log").agg(rnd(F.avg("n")).alias("mean"))
-    return _quantile_columns(exact_quantiles(c, ["log"], "n", QUANTILES), "q").join(mean, "log")
+    return _quantile_columns(exact_quantiles(c, ["log"], "n", QUANTILES, extra=[rnd(F.avg("n")).alias("mean")]), "q")
 
 
 def duration_quantiles(ev: DataFrame) -> DataFrame:
     c = cases(ev).withColumn("h", (F.col("last_us") - F.col("first_us")) / 1e6 / 3600)
-    agg = c.groupBy("log").agg(rnd(F.avg("h")).alias("mean"), F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us"))
-    return _quantile_columns(exact_quantiles(c, ["log"], "h", QUANTILES), "q").join(agg, "log")
+    more = [rnd(F.avg("h")).alias("mean"), F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us")]
+    return _quantile_columns(exact_quantiles(c, ["log"], "h", QUANTILES, extra=more), "q")
 
 
 def border_activities(ev: DataFrame, top: int = 10) -> DataFrame:
@@ -58,19 +57,19 @@ def border_activities(ev: DataFrame, top: int = 10) -> DataFrame:
     return n.withColumn("_r", rn).where((F.col("border") == "last") | (F.col("_r") <= top)).drop("_r")
 
 
-def terminal_share(ev: DataFrame, terminal: dict[str, tuple[str, ...]]) -> DataFrame:
+def terminal_share(cs: DataFrame, terminal: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Share of cases (see :func:`cases`) whose last activity is terminal in their log."""
     hit = F.lit(False)
     for log, acts in terminal.items():
         hit = hit | ((F.col("log") == log) & F.col("last_act").isin(list(acts)))
-    return cases(ev).groupBy("log").agg(rnd(F.avg(hit.cast("double"))).alias("frac_terminal"))
+    return cs.groupBy("log").agg(rnd(F.avg(hit.cast("double"))).alias("frac_terminal"))
 
 
-def censoring(ev: DataFrame) -> DataFrame:
-    """Cases ending within 7 / 30 days of their log's end (one row per log joins back, not a product)."""
-    c = cases(ev)
-    ends = ev.groupBy("log").agg(F.max("us").alias("end_us"))
+def censoring(cs: DataFrame) -> DataFrame:
+    """Cases (see :func:`cases`) ending within 7 / 30 days of their log's end; one row per log joins back, not a product."""
+    ends = F.broadcast(cs.groupBy("log").agg(F.max("last_us").alias("end_us")))
     days = (F.col("end_us") - F.col("last_us")) / 1e6 / 86400
-    return c.join(ends, "log").groupBy("log").agg(
+    return cs.join(ends, "log").groupBy("log").agg(
         F.count_if(days <= 7).alias("within_7d"), F.count_if(days <= 30).alias("within_30d"))
 
 
@@ -78,8 +77,8 @@ def gaps(ev: DataFrame) -> DataFrame:
     """Waiting-time quantiles, share of zero gaps."""
     g = S.sequence(ev, {"prev_us": S.lag("us")}, case=CASE).where(F.col("prev_us").isNotNull())
     g = g.select("log", ((F.col("us") - F.col("prev_us")) / 1e6).alias("dt"))
-    zero = g.groupBy("log").agg(rnd(F.avg((F.col("dt") == 0).cast("double"))).alias("frac_zero"))
-    return _quantile_columns(exact_quantiles(g, ["log"], "dt", QUANTILES), "q").join(zero, "log")
+    zero = rnd(F.avg((F.col("dt") == 0).cast("double"))).alias("frac_zero")
+    return _quantile_columns(exact_quantiles(g, ["log"], "dt", QUANTILES, extra=[zero]), "q")
 
 
 def backward_share(ev: DataFrame) -> DataFrame:
@@ -169,7 +168,8 @@ def leakage(ev: DataFrame, columns: list[str], lo: int = 2, hi: int = 200) -> Da
     per_case = ev.groupBy(*CASE).agg(*aggs)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns]))
     xy = per_case.select("log", "y", cells.alias("c")).select("log", "y", "c.*").where(F.col("x").isNotNull())
-    joint = xy.groupBy("log", "column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    # a contingency table is small next to the events and is read four times below
+    joint = stage_if_large(xy.groupBy("log", "column", "x", "y").agg(F.count(F.lit(1)).alias("n")), "joint")
     tot = joint.groupBy("log", "column").agg(F.sum("n").alias("nt"), F.count_distinct("x").alias("card"))
     tot = tot.where((F.col("card") >= lo) & (F.col("card") <= hi)).select("log", "column", "nt")
     px = joint.groupBy("log", "column", "x").agg(F.sum("n").alias("nx"))
@@ -201,7 +201,7 @@ def variants(ev: DataFrame, top: int = 5, text_events: int = 10_000) -> DataFram
     one case; variants longer than ``text_events`` keep their row with a null text.
     """
     key = ["log", "len", "h1", "h2"]
-    vc = variant_keys(ev).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("case_id"))
+    vc = stage_if_large(variant_keys(ev).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("case_id")), "variants")
     tot = vc.groupBy("log").agg(F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("n_cases"))
     rn = F.row_number().over(W.partitionBy("log").orderBy(F.desc("n"), "case_id"))
     best = vc.withColumn("rank", rn).where(F.col("rank") <= top).select("log", "case_id", "rank", "n", "len")
@@ -239,14 +239,14 @@ def crosstab(ev: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
 
 def summary(ev: DataFrame, schemas: dict[str, LogSchema]) -> DataFrame:
     """One row per log with the headline figures."""
-    c = cases(ev)
+    c = materialize(cases(ev), "cases")  # one pass over the events, then small tables
     per = c.groupBy("log").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("events"))
     acts = ev.groupBy("log").agg(F.count_distinct("activity").alias("activities"))
     nv = variant_keys(ev).groupBy("log").agg(F.count_distinct("len", "h1", "h2").alias("variants"))
     q = exact_quantiles(c.withColumn("n", F.col("n").cast("double")), ["log"], "n", [0.5, 0.95], "lq")
     h = exact_quantiles(c.withColumn("h", (F.col("last_us") - F.col("first_us")) / 1e6 / 3600), ["log"], "h", [0.5, 0.95], "hq")
-    t = terminal_share(ev, {s.name: s.terminal for s in schemas.values()})
-    cs = censoring(ev).select("log", "within_30d")
+    t = terminal_share(c, {s.name: s.terminal for s in schemas.values()})
+    cs = censoring(c).select("log", "within_30d")
     out = per.join(acts, "log").join(nv, "log").join(q, "log").join(h, "log").join(t, "log").join(cs, "log")
     return out.select(
         "log", "cases", "events", "activities", "variants", rnd(F.col("lq")[0]).alias("len_p50"), rnd(F.col("lq")[1]).alias("len_p95"),

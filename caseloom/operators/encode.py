@@ -11,7 +11,7 @@ from caseloom.functions.columns import SPECIALS, UNK, decompose_activity, local_
 from caseloom.operators.frame import prefix_frame
 from caseloom.operators.ranking import global_rank
 from caseloom.schema import LogSchema
-from caseloom.session import literal_table, lookup_side, materialize
+from caseloom.session import literal_table, lookup_side, materialize, materialize_counted
 
 CAT_SPECIALS = SPECIALS[:2]
 
@@ -156,7 +156,8 @@ def prepare(events: DataFrame, schema: LogSchema, split: DataFrame | None = None
     """
     ev = events if split is None else events.join(lookup_side(split.select("case_id", "split"), "split"), "case_id")
     if vocab is None:
-        vocab = materialize(fit_vocab(ev.where(F.col("split") == "train"), "activity"), "vocab")
-    size = vocab.count()
+        vocab, size = materialize_counted(fit_vocab(ev.where(F.col("split") == "train"), "activity"), "vocab")
+    else:
+        size = vocab.count()
     frame = prefix_frame(lookup(ev, vocab, "activity", "act"), schema, order=order, **frame_options)
     return Prepared(materialize(frame, "frame") if store else frame, vocab, size, order, schema)

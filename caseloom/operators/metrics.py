@@ -9,6 +9,7 @@ from caseloom.functions import pyfuncs
 from caseloom.functions.pyfuncs import by_value
 from caseloom.functions.columns import EOS, first_argmax, prefix_bucket, rnd
 from caseloom.operators.ranking import average_rank, exact_quantiles
+from caseloom.session import stage_if_large
 
 TEMPERATURES = [0.3 + 0.7 * i / 14 for i in range(15)] + [1.0 + 3.0 * i / 30 for i in range(31)]
 
@@ -181,7 +182,7 @@ def binary_report(df: DataFrame, by: list[str] | None = None, y: str = "y", p: s
     keys = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
     c = src.groupBy(*keys, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("np", -F.col("p"))
+    c = stage_if_large(c.withColumn("np", -F.col("p")), "scores")
     run = S.sequence(c, {"cum_pos": S.running_sum("pos"), "cum_n": S.running_sum("n")}, case=keys, order=("np",))
     tot = c.groupBy(*keys).agg(F.sum("pos").alias("tp"), F.sum("n").alias("tn"))
     run = run.join(tot, keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.operators import sequence as S
-from caseloom.session import materialize, small_input
+from caseloom.session import materialize, small_input, stage_if_large
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank", small: bool | None = None, total: str | None = None) -> DataFrame:
@@ -38,9 +38,11 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", small: bool | No
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], name: str = "q",
-                    small: bool | None = None) -> DataFrame:
+                    small: bool | None = None, extra: list[Column] | None = None) -> DataFrame:
     """Linear-interpolation quantiles as an array column, one row per group (nulls ignored).
 
+    ``extra`` are further aggregates over the same rows.
+
     ``percentile`` keeps every distinct value of a group in one task.  Beyond small inputs the
     values are counted per (group, value) first, ordered with :func:`sequence` (which splits a hot
     group), and only the two order statistics around each requested rank are kept.
@@ -49,10 +51,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], n
     if small is None:
         small = small_input(df)
     if small:
-        return df.groupBy(*by).agg(F.percentile(value, [float(q) for q in qs]).alias(name))
+        return df.groupBy(*by).agg(F.percentile(value, [float(q) for q in qs]).alias(name), *(extra or []))
     keys = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
-    counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    if extra:
+        src = materialize(src, "values")
+    counts = materialize(src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")), "value-counts")
     n = counts.groupBy(*keys).agg(F.sum("_w").alias("_n"))
     runs = S.sequence(counts, {"_hi": S.running_sum("_w")}, case=keys, order=(value,), chunk_rows=S.CHUNK_ROWS)
     runs = runs.join(n, keys)
@@ -67,7 +71,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], n
         parts.append(F.max(x - F.floor(x)).alias(f"_g{i}"))
     out = hits.groupBy(*keys).agg(*parts)
     arr = F.array(*[F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * F.col(f"_g{i}") for i in range(len(qs))])
-    return out.select(*by, arr.alias(name))
+    if not extra:
+        return out.select(*by, arr.alias(name))
+    more = src.groupBy(*keys).agg(*extra)
+    return out.select(*keys, arr.alias(name)).join(more, keys).drop("_all")
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
@@ -76,7 +83,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str = "rank") -
     Works on (group, value) counts, so ties cost nothing and a hot group is split by ``sequence``.
     """
     keys = by or ["_all"]
-    src = df if by else df.withColumn("_all", F.lit(0))
+    src = stage_if_large(df if by else df.withColumn("_all", F.lit(0)), "values")
     counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
     ranked = S.sequence(counts, {"_below": S.running_sum("_t", inclusive=False)}, case=keys, order=(value,))
     ranked = ranked.select(*keys, value, (F.col("_below") + (F.col("_t") + 1) / 2).alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caseloom.functions.columns import EOS, hash_unit
 from caseloom.operators.metrics import dl_similarity, medoid
 from caseloom.operators.transitions import TransitionModel, argmax_table, context_columns, context_key
-from caseloom.session import lookup_side, materialize
+from caseloom.session import lookup_side, materialize, materialize_counted
 
 
 def _value_of_context(df: DataFrame, table: DataFrame, order: int, value: str, default: Column) -> Column | DataFrame:
@@ -59,12 +59,14 @@ def _key(cols: list[str], names: list[str] | None = None) -> Column:
 def context_steps(starts: DataFrame, m: TransitionModel) -> DataFrame:
     """(key, emit, dst): one greedy step for every context reachable from ``starts``; dst is null at the end label.
 
-    New contexts are expanded level by level until none is left; their number is bounded by the contexts
-    the greedy path can visit, not by the data.
+    The walk begins at the start contexts and every full context of the model, then expands level by level
+    until nothing new is reached; the table follows the model's size, not the data.
     """
     cols = context_columns(m.order)
     best = materialize(argmax_table(m), "argmax")
-    level = starts.select(_key(cols).alias("key"), *cols).distinct()
+    parts = F.split("ctx", ">")
+    trained = best.where(F.col("k") == m.order).select(F.col("ctx").alias("key"), *[parts[i].cast("int").alias(c) for i, c in enumerate(cols)])
+    level = starts.select(_key(cols).alias("key"), *cols).unionByName(trained).distinct()
     known = None
     while True:
         step = _value_of_context(level, best, m.order, "best", F.lit(0)).withColumnRenamed("_v", "emit")
@@ -74,10 +76,9 @@ def context_steps(starts: DataFrame, m: TransitionModel) -> DataFrame:
         step = materialize(step.withColumn("dst", F.when(F.col("emit") != EOS, _key(cols, [f"n_{c}" for c in cols]))), "steps")
         known = step if known is None else known.unionByName(step)
         fresh = step.where(F.col("dst").isNotNull()).select(F.col("dst").alias("key"), *[F.col(f"n_{c}").alias(c) for c in cols]).distinct()
-        fresh = fresh.join(known.select("key"), "key", "left_anti")
-        if fresh.isEmpty():
+        level, n_new = materialize_counted(fresh.join(known.select("key"), "key", "left_anti"), "level")
+        if not n_new:
             return known.select("key", "emit", "dst")
-        level = fresh
 
 
 def _compose(first: DataFrame, then: DataFrame) -> DataFrame:

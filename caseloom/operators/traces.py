@@ -210,9 +210,9 @@ def world_state(facts_: DataFrame, max_notes: int = 12) -> DataFrame:
     at = F.when(F.col("kind") == "note", -F.col("step_index")).otherwise(F.col("step_index"))
     g = facts_.groupBy("episode_id", "kind", "key").agg(F.max_by(F.struct(F.col("value").alias("v")), at).alias("_v"), F.abs(F.max(at)).alias("since"))
     g = g.select("episode_id", "kind", "key", F.col("_v")["v"].alias("value"), "since").where(F.col("value").isNotNull())
-    rn = F.row_number().over(W.partitionBy("episode_id", "kind").orderBy(F.desc("since"), F.desc("key")))
-    notes = g.where(F.col("kind") == "note").withColumn("_r", rn).where(F.col("_r") <= max_notes).drop("_r")
-    return g.where(F.col("kind") != "note").unionByName(notes)
+    newest = F.row_number().over(W.partitionBy("episode_id", "kind").orderBy(F.desc("since"), F.desc("key")))
+    g = g.withColumn("_r", newest)
+    return g.where((F.col("kind") != "note") | (F.col("_r") <= max_notes)).drop("_r")
 
 
 # ------------------------------------------------------------------ run comparison

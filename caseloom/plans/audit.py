@@ -40,10 +40,10 @@ query("a5_border_activities", q.with_(CASES) + """, b AS (SELECT log, 'first' AS
 SELECT * FROM b QUALIFY border = 'last' OR row_number() OVER (PARTITION BY log, border ORDER BY n DESC, activity) <= 10""")(
     lambda s, d: audit.border_activities(all_logs(s, d)))
 query("a6_terminal_share", q.with_(CASES) + f"SELECT log, round(avg(CASE WHEN {TERM} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS frac_terminal FROM cs GROUP BY 1")(
-    lambda s, d: audit.terminal_share(all_logs(s, d), {k: v.terminal for k, v in LOGS.items()}))
+    lambda s, d: audit.terminal_share(audit.cases(all_logs(s, d)), {k: v.terminal for k, v in LOGS.items()}))
 query("a7_censoring", q.with_(CASES) + """SELECT log, count(*) FILTER (d <= 7) AS within_7d, count(*) FILTER (d <= 30) AS within_30d FROM
  (SELECT log, (max(last_us) OVER (PARTITION BY log) - last_us) / 1e6 / 86400 AS d FROM cs) GROUP BY 1""")(
-    lambda s, d: audit.censoring(all_logs(s, d)))
+    lambda s, d: audit.censoring(audit.cases(all_logs(s, d))))
 query("a8_gaps", LEN + f""", g AS (SELECT log, (us - lag(us) OVER (PARTITION BY log, case_id ORDER BY us, event_idx)) / 1e6 AS dt FROM ev)
 SELECT log, {quant('dt')}, round(avg(CASE WHEN dt = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS frac_zero FROM g WHERE dt IS NOT NULL GROUP BY 1""")(
     lambda s, d: audit.gaps(all_logs(s, d)))

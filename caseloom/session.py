@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 SMALL_INPUT_KEY = "caseloom.smallInputBytes"
 SMALL_INPUT_DEFAULT = 64 * 1024 * 1024
@@ -55,6 +55,18 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
+    """:func:`materialize` plus the number of rows, observed while writing (no second job)."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
+def stage_if_large(df: DataFrame, label: str = "stage") -> DataFrame:
+    """For a table that is read more than once: written when its input is large, recomputed when it is small."""
+    return df if small_input(df) else materialize(df, label)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few constant rows inside the plan, so the optimizer knows their size (an RDD-backed table has none)."""
     cols = [c.strip().rsplit(" ", 1) for c in schema.split(",")]
