@@ -232,7 +232,8 @@ def run_summary(episodes: DataFrame, steps: DataFrame) -> DataFrame:
 
 def over_runs(summary: DataFrame, metrics: list[str]) -> DataFrame:
     long = summary.unpivot(["run_id"], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value")
-    return long.groupBy("metric").agg(rnd(F.avg("value")).alias("mean"), rnd(F.stddev_pop("value")).alias("std"), F.count(F.lit(1)).alias("n_runs"))
+    # the inputs carry six digits, so the spread is reported with four
+    return long.groupBy("metric").agg(rnd(F.avg("value"), 4).alias("mean"), rnd(F.stddev_pop("value"), 4).alias("std"), F.count(F.lit(1)).alias("n_runs"))
 
 
 def fatal_first_step(steps: DataFrame) -> DataFrame:

@@ -331,7 +331,7 @@ def runs(spark, d):
 _MET = ["tgc", "sgc", "invalid_rate", "mean_steps", "mean_wall_s", "mean_cost_usd", "override_rate"]
 _UNP = "(UNPIVOT (SELECT run_id, " + ", ".join(f"{m}::DOUBLE AS {m}" for m in _MET) + " FROM rs) ON " + ", ".join(_MET) + " INTO NAME metric VALUE v)"
 query("t26_run_summary", RUNS + "SELECT * FROM rs")(runs)
-query("t26_over_runs", RUNS + f"SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n_runs FROM {_UNP} GROUP BY 1")(
+query("t26_over_runs", RUNS + f"SELECT metric, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, count(*) AS n_runs FROM {_UNP} GROUP BY 1")(
     lambda s, d: tc.over_runs(runs(s, d), _MET))
 
 

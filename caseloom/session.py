@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SMALL_INPUT_KEY = "caseloom.smallInputBytes"
 SMALL_INPUT_DEFAULT = 64 * 1024 * 1024
@@ -56,10 +56,9 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def materialize_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
-    """:func:`materialize` plus the number of rows, observed while writing (no second job)."""
-    seen = Observation()
-    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
-    return out, seen.get["n"]
+    """:func:`materialize` plus the number of rows, read from the file footers."""
+    out = materialize(df, label)
+    return out, out.count()
 
 
 def stage_if_large(df: DataFrame, label: str = "stage") -> DataFrame:
