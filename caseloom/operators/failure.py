@@ -9,6 +9,19 @@ from caseloom.operators import metrics as me, sequence as S, transitions as tr
 from caseloom.operators.frame import drop_event
 
 
+# Words that mark an informative event in the process logs.
+INFORMATIVE = ["REJECTED", "Queued", "Wait", "Send Reminder", "SAVED"]
+
+
+def is_informative(label="activity", words: list[str] | None = None) -> Column:
+    """Does the label contain one of the words?"""
+    words = words or INFORMATIVE
+    hit = F.col(label).contains(words[0])
+    for w in words[1:]:
+        hit = hit | F.col(label).contains(w)
+    return hit
+
+
 def derailment(pairs: DataFrame) -> DataFrame:
     """After the first wrong step (if it is not the last): mean error rate, share mostly wrong."""
     n = F.least(F.size("pred"), F.size("true"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.columns import rnd
+from caseloom.session import lookup_side
 
 
 def model_rows(metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -28,7 +29,7 @@ def relative_change(before: DataFrame, after: DataFrame, keys: list[str]) -> Dat
 def fold_report(folds: DataFrame, published: DataFrame) -> DataFrame:
     """Mean and population deviation over folds per (model, metric), next to published values where known."""
     m = folds.groupBy("model", "metric").agg(rnd(F.avg("value")).alias("mean"), rnd(F.stddev_pop("value")).alias("std"), F.count(F.lit(1)).alias("n_folds"))
-    return m.join(F.broadcast(published), "metric", "left")
+    return m.join(lookup_side(published, "published"), "metric", "left")
 
 
 def add_sources(rows: list[DataFrame]) -> DataFrame:

@@ -104,7 +104,7 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ cost and totals
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds ``cost_usd``; a model without a price costs nothing.  ``prices``: model_id, p_in, p_out, p_write, p_read per million."""
-    j = usage.join(F.broadcast(prices), "model_id", "left")
+    j = usage.join(lookup_side(prices, "prices"), "model_id", "left")
     z = lambda c: F.coalesce(c, F.lit(0.0))
     cost = (F.col("input_tokens") * z("p_in") + F.col("output_tokens") * z("p_out") + F.col("cache_write_tokens") * z("p_write") + F.col("cache_read_tokens") * z("p_read")) / 1e6
     return j.withColumn("cost_usd", cost).drop("p_in", "p_out", "p_write", "p_read")
@@ -238,6 +238,7 @@ def over_runs(summary: DataFrame, metrics: list[str]) -> DataFrame:
 
 def fatal_first_step(steps: DataFrame) -> DataFrame:
     """Episodes whose first step failed at the model for billing or authentication reasons."""
+    # fixed values: words of such messages
     words = ["credit balance", "authentication", "invalid x-api-key", "permission"]
     m = F.lower("error_message")
     hit = m.contains(words[0])

@@ -35,7 +35,7 @@ SELECT CASE WHEN l IS NULL THEN 'none' ELSE {_DB.format('(pos - l)')} END AS buc
 def f4(spark, d):
     p, m = fitted(spark, d)
     s = me.score(tr.predict_next(p.part("test"), m))
-    return fa.accuracy_by_distance(s, F.col("activity") == "error")
+    return fa.accuracy_by_distance(s, fa.is_informative(words=["error"]))
 
 
 @query("f5_forgetting", ms.model() + """, fi AS (SELECT case_id, min(CASE WHEN activity = 'error' THEN pos END) AS i0, count(*) AS ln FROM e WHERE split = 'test' GROUP BY 1),
@@ -51,7 +51,7 @@ kl AS (SELECT bs.case_id, bs.pos, any_value(bs.pos - i0) AS dist, sum(p1.p * (ln
 SELECT """ + _DB.format("dist") + " AS bucket, count(*) AS n, round(avg(kl), 6) + 0.0 AS kl FROM kl GROUP BY 1")
 def f5(spark, d):
     p, m = fitted(spark, d)
-    return fa.forgetting(p.part("test"), m, F.col("activity") == "error").withColumn("kl", F.col("kl") + 0.0)
+    return fa.forgetting(p.part("test"), m, fa.is_informative(words=["error"])).withColumn("kl", F.col("kl") + 0.0)
 
 
 @query("f6_worst_suffixes", GREEDY + f"SELECT case_id, pos, round({SIM}, 6) AS sim, array_to_string(pred, ',') AS pred, array_to_string(tru, ',') AS \"true\" FROM gp WHERE len(tru) >= 3 ORDER BY 3, 1, 2 LIMIT 3")

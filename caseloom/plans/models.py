@@ -134,7 +134,7 @@ def sf_sql(x: str) -> str:
 def m11(spark, d):
     p = prepared(spark, d)
     lp = tr.fit_laplace(p.part("train"))
-    out = p.part("test").withColumn("posb", F.least("pos", F.lit(10))).join(F.broadcast(lp), ["act", "posb"])
+    out = p.part("test").withColumn("posb", F.least("pos", F.lit(10))).join(lookup_side(lp, "laplace"), ["act", "posb"])
     return out.select("case_id", "pos", rnd("mu").alias("mu"), rnd("b").alias("b"), rnd(tr.laplace_sf("mu", "b", F.log1p(F.lit(86400.0)))).alias("p_over_day"))
 
 

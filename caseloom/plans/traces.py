@@ -8,7 +8,7 @@ from caseloom.functions.entities import redact
 from caseloom.operators import encode as en, metrics as me, reports as rp, splits as sp, traces as tc, transitions as tr, worldmodel as wm
 from caseloom.plans import episodes as ep, modelsql as ms, sqltext as q
 from caseloom.plans.registry import query
-from caseloom.session import literal_table, scratch_path
+from caseloom.session import literal_table, lookup_side, scratch_path
 from caseloom.sources import episodes as se
 from caseloom.sources.tables import table
 
@@ -136,7 +136,7 @@ def t4(spark, d):
 
 @query("j12_price_default", q.with_(ep.CAND_SQL, _PRICES) + "SELECT model_id, count(*) AS n, coalesce(max(p_in), 0) AS p_in FROM cd LEFT JOIN pz USING (model_id) GROUP BY 1")
 def j12(spark, d):
-    return ep.candidates(spark, d).join(F.broadcast(prices(spark)), "model_id", "left").groupBy("model_id").agg(
+    return ep.candidates(spark, d).join(lookup_side(prices(spark), "prices"), "model_id", "left").groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max("p_in"), F.lit(0.0)).alias("p_in"))
 
 

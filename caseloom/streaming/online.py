@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caseloom.functions.pyfuncs import by_value
 from caseloom.operators import traces as tc, transitions as tr
-from caseloom.session import materialize, scratch_path
+from caseloom.session import lookup_side, materialize, scratch_path
 from caseloom.sources import episodes as se
 
 ONLINE = "case_id string, event_idx long, us long, activity string, pos long, prev1 string, prev2 string, dt_s double, elapsed_s double, bag string, late boolean"
@@ -55,8 +55,8 @@ def online_predictions(features: DataFrame, vocab: DataFrame, m: tr.TransitionMo
     """Next-label distribution per streamed event: stream-static joins with the model tables (order-2 contexts)."""
     v = vocab.select("value", "id")
     f = features.where(~F.col("late"))
-    f = f.join(F.broadcast(v.withColumnRenamed("id", "_a")), f["activity"] == F.col("value"), "left").drop("value")
-    f = f.join(F.broadcast(v.select(F.col("value").alias("_p"), F.col("id").alias("_i1"))), F.col("prev1") == F.col("_p"), "left").drop("_p")
+    f = f.join(lookup_side(v.withColumnRenamed("id", "_a")), f["activity"] == F.col("value"), "left").drop("value")
+    f = f.join(lookup_side(v.select(F.col("value").alias("_p"), F.col("id").alias("_i1"))), F.col("prev1") == F.col("_p"), "left").drop("_p")
     f = f.withColumns({"act": F.coalesce("_a", F.lit(1)), "id1": F.when(F.col("prev1").isNotNull(), F.coalesce("_i1", F.lit(1)))}).drop("_a", "_i1")
     hits = []
     for k in range(m.order, -1, -1):
