@@ -98,8 +98,8 @@ def _terms(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_evidence: float,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """(id, text hash, terms) of the documents in which a term gives a protected value away; None if there are none.
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text hash, terms) of the documents in which a term gives a protected value away.
 
     Corpus counts cover all documents.  Per value and per term they are aggregated on the map side, and rows are
     (document, own value, own term), so a value held by a third of all documents is only a larger count.
@@ -111,18 +111,15 @@ def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_ev
     rare = held.groupBy("_v", "_x").agg(F.count(F.lit(1)).alias("_c")).groupBy("_v").agg(
         F.count(F.lit(1)).alias("_texts"), F.sum("_c").alias("_nv")).where(F.col("_texts") >= min_support)
     values = materialize(rare, "pii-values")
-    if values.isEmpty():
-        return None
     holders = measured_side(held.join(values, "_v").select("_id", "_x", "_v", "_nv"), "pii-holders", 160)
     mine = d.join(holders.withColumnsRenamed({"_id": "_hid", "_x": "_hx"}),
                   (F.col("_x") == F.col("_hx")) & F.col("_id").eqNullSafe(F.col("_hid")))
     mine = materialize(mine.select("_id", "_x", "_v", "_nv", F.explode(_terms(F.col("_t"))).alias("_w")), "pii-terms")
     pairs = mine.groupBy("_v", "_nv", "_w").agg(F.count(F.lit(1)).alias("_cw"), F.approx_count_distinct("_x").alias("_texts"))
     pairs = materialize(pairs.where(F.col("_texts") >= min_support).drop("_texts"), "pii-pairs")
-    if pairs.isEmpty():
-        return None
-    n = d.count()
-    freq = d.select(F.explode(_terms(F.col("_t"))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_nw"))
+    freq = materialize(d.select(F.explode(_terms(F.col("_t"))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_nw"))
+                       .where(F.col("_nw") >= min_support), "pii-frequencies")
+    n = max(d.count(), 1)
     j = pairs.join(freq, "_w")
     pmi = F.log(F.col("_cw") * F.lit(float(n)) / (F.col("_nv") * F.col("_nw")))
     content = F.log(F.lit(float(n)) / F.col("_nv"))
@@ -136,8 +133,7 @@ def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_ev
     # two-by-two log-likelihood ratio
     llr = 2 * (g(a, r * c / n) + g(b, r * (n - c) / n) + g(e, (n - r) * c / n) + g(f, (n - r) * (n - c) / n))
     flagged = j.where((content > 0) & (pmi >= threshold * content) & (llr >= min_evidence)).select("_v", "_w")
-    hits = mine.join(flagged, ["_v", "_w"]).groupBy("_id", "_x").agg(F.collect_set("_w").alias("_terms"))
-    return hits
+    return mine.join(flagged, ["_v", "_w"]).groupBy("_id", "_x").agg(F.collect_set("_w").alias("_terms"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
@@ -149,8 +145,6 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     out = docs.withColumns({f"_{k}": s for k, s in base_spans(text_of(text_col)).items()})
     hits = disclosing_terms(docs, threshold, min_support, min_evidence, id_col, text_col)
-    if hits is None:
-        return out.withColumn("_term", F.array().cast(_SPANS))
     hits = measured_side(hits.withColumnsRenamed({"_id": "_hid", "_x": "_hx"}), "pii-hits", 4096)
     out = out.join(hits, (F.xxhash64(text_of(text_col)) == F.col("_hx")) & F.col(id_col).eqNullSafe(F.col("_hid")), "left")
     base = F.concat(*[F.col(f"_{k}") for k, *_ in KINDS])
