@@ -4,8 +4,9 @@ Base spans are found by four patterns with checks.  The method then asks, over t
 about a protected value (an e-mail address, a network address, ...): with document frequencies, a term t discloses a
 value c when their pointwise mutual information reaches ``threshold`` times the information content of c, i.e. when
 seeing t removes that share of the uncertainty about c.  Such terms are spans of kind ``term`` in the documents that
-hold c.  A value needs ``min_support`` different texts before the corpus can say anything about it, and the
-co-occurrence must be beyond chance (log-likelihood ratio above ``min_evidence``), so single mentions never flag a word.
+hold c.  A value needs ``min_support`` different texts before the corpus can say anything about it, the
+co-occurrence must be beyond chance (log-likelihood ratio above ``min_evidence``), so single mentions never flag a word,
+and at least half of the documents must show t between different neighbours: copies of one text are one witness.
 
 Built-in functions only; whole texts; positions are code points, ends exclusive.
 """
@@ -92,9 +93,15 @@ def _values(kind: str, spans: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct lower-case terms of a text without its protected values."""
+    """Lower-case terms of a text without its protected values."""
     clean = reduce(lambda t, k: F.when(k[2](t), F.regexp_replace(t, k[1], " ")).otherwise(t), KINDS, text)
-    return F.array_distinct(F.array_remove(F.split(F.lower(clean), r"[^\p{L}\p{N}]+"), ""))
+    return F.array_remove(F.split(F.lower(clean), r"[^\p{L}\p{N}]+"), "")
+
+
+def _in_context(terms: Column) -> Column:
+    """Structs (term, hash of its two neighbours)."""
+    return let(terms, lambda w: F.transform(w, lambda x, i: F.struct(
+        x.alias("w"), F.xxhash64(F.get(w, i - 1), F.get(w, i + 1)).alias("near"))))
 
 
 def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_evidence: float,
@@ -114,10 +121,11 @@ def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_ev
     holders = measured_side(held.join(values, "_v").select("_id", "_x", "_v", "_nv"), "pii-holders", 160)
     mine = d.join(holders.withColumnsRenamed({"_id": "_hid", "_x": "_hx"}),
                   (F.col("_x") == F.col("_hx")) & F.col("_id").eqNullSafe(F.col("_hid")))
-    mine = materialize(mine.select("_id", "_x", "_v", "_nv", F.explode(_terms(F.col("_t"))).alias("_w")), "pii-terms")
-    pairs = mine.groupBy("_v", "_nv", "_w").agg(F.count(F.lit(1)).alias("_cw"), F.approx_count_distinct("_x").alias("_texts"))
-    pairs = materialize(pairs.where(F.col("_texts") >= min_support).drop("_texts"), "pii-pairs")
-    freq = materialize(d.select(F.explode(_terms(F.col("_t"))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_nw"))
+    mine = mine.select("_id", "_x", "_v", "_nv", F.explode(_in_context(_terms(F.col("_t")))).alias("_o"))
+    mine = materialize(mine.groupBy("_id", "_x", "_v", "_nv", F.col("_o.w").alias("_w")).agg(F.min("_o.near").alias("_near")), "pii-terms")
+    pairs = mine.groupBy("_v", "_nv", "_w").agg(F.count(F.lit(1)).alias("_cw"), F.approx_count_distinct("_near").alias("_seen"))
+    pairs = pairs.where((F.col("_seen") >= min_support) & (F.col("_seen") * 2 >= F.col("_cw"))).drop("_seen")
+    freq = materialize(d.select(F.explode(F.array_distinct(_terms(F.col("_t")))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_nw"))
                        .where(F.col("_nw") >= min_support), "pii-frequencies")
     n = max(d.count(), 1)
     j = pairs.join(freq, "_w")

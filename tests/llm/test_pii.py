@@ -57,16 +57,15 @@ def test_base_spans_match_the_plain_patterns(spark):
 
 
 def test_disclosing_terms(spark):
-    rows = [(i, f"Agent Zorro{'' if i % 2 else '!'} wrote word{i} from z@corp.org today") for i in range(10)]
+    rows = [(i, f"a{i} Zorro b{i} wrote z@corp.org today") for i in range(10)]
     rows += [(100 + i, f"plain words wrote today from {i}") for i in range(90)]
+    rows += [(200 + i, f"copied text of Quux here c{i} 10.0.0.1") for i in range(20)]  # one context: one witness
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.pii_spans(df).collect()}
-    assert got[1].startswith("email:29:39") or "term:6:11" in got[1]
-    assert all("term:6:11" in got[i] and "term:0:5" in got[i] for i in range(10))
-    assert all("term" not in got[100 + i] for i in range(90))
-    assert all(x.count("term") == 2 for x in (got[i] for i in range(10)))
+    assert all(got[i] == "email:20:30,term:3:8" for i in range(10))
+    assert all("term" not in x for i, x in got.items() if i >= 100)
     red = {r.doc_id: r.text for r in pii.redact(df).collect()}
-    assert red[1] == "[TERM] [TERM] wrote word1 from [EMAIL] today" and red[105] == rows[15][1]
+    assert red[1] == "a1 [TERM] b1 wrote [EMAIL] today" and red[105] == rows[15][1]
 
 
 def test_redact_overlaps_and_empty(spark):
