@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import exact_dedup as dedup, pii, quality
+from caseloom.llm import bpe, exact_dedup as dedup, pii, quality, token_files
 from caseloom.llm.common import table
 
 QUERIES: dict = {}
@@ -57,3 +58,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pii")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)

@@ -59,7 +59,7 @@ def test_base_spans_match_the_plain_patterns(spark):
 def test_disclosing_terms(spark):
     rows = [(i, f"a{i} Zorro b{i} wrote z@corp.org today") for i in range(10)]
     rows += [(100 + i, f"plain words wrote today from {i}") for i in range(90)]
-    rows += [(200 + i, f"copied text of Quux here c{i} 10.0.0.1") for i in range(20)]  # one context: one witness
+    rows += [(200 + i, f"copied text of Quux here 10.0.0.1{" " * i}") for i in range(20)]  # one context: one witness
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.pii_spans(df).collect()}
     assert all(got[i] == "email:18:28,term:3:8" for i in range(10))
