@@ -44,8 +44,15 @@ class WordwiseEncoder:
     def __init__(self, encode: Callable[[str], str], limit: int = REMEMBERED):
         self.encode = encode
         self.first = Remembered(lambda w: encode(w) if w else "", limit)
-        self.later = Remembered(lambda w: encode(" " + w), limit)
+        self.later = Remembered(self._word, limit)
         self.newline = encode("\n")
+        self.mark = {m: encode(m) for m in ".,"}
+
+    def _word(self, word: str) -> str:
+        """Ids of a space and a word; letters and a closing mark are separate matches of the split pattern."""
+        if word[-1:] in self.mark and word[:-1].isalpha():
+            return self.later[word[:-1]] + self.mark[word[-1]]
+        return self.encode(" " + word)
 
     def __call__(self, text: str) -> str:
         if _ODD.search(text):
