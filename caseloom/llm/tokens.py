@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 
 #: Remembered pieces per generation; two generations are held, so memory is bounded.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Pieces longer than this are not remembered.
 LONG_PIECE = 64
 _ODD = re.compile(r"[^\S \n]|\s\s(?:\s|\Z)")
