@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import bpe, exact_dedup as dedup, pii, quality, token_files
+from caseloom.llm import bpe, exact_dedup as dedup, ngram_join, packing, pii, quality, token_files
 from caseloom.llm.common import table
 
 QUERIES: dict = {}
@@ -69,3 +69,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
