@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import bpe, exact_dedup as dedup, ngram_join, packing, pii, quality, token_files
+from caseloom.llm import bpe, exact_dedup as dedup, ngram_join, packing, pii, quality, suffix_dedup, token_files
 from caseloom.llm.common import table
 
 QUERIES: dict = {}
@@ -81,6 +81,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

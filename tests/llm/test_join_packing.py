@@ -87,9 +87,9 @@ def test_plan_covers_the_histogram(seed):
         for n, k in p.items():
             got[n] = got.get(n, 0) + k * t
     assert got == h
-    # no algorithm needs fewer than the total length; big items may force more
-    least = max(-(-sum(n * c for n, c in h.items()) // size), sum(c for n, c in h.items() if 2 * n > size))
-    assert sum(t for _, t in plan) <= 1.03 * least + 12 + len(h) // 4
+    rest, order = [h[n] for n in sorted(h, reverse=True)], sorted(h, reverse=True)
+    largest_first = sum(t for _, t in packing._greedy(order, rest, size))
+    assert -(-sum(n * c for n, c in h.items()) // size) <= sum(t for _, t in plan) <= largest_first + len(h) // 8 + 2
 
 
 def test_pack(spark):
