@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import bpe, exact_dedup as dedup, ngram_join, packing, pii, quality, suffix_dedup, token_files
+from caseloom.llm import bpe, exact_dedup as dedup, ngram_join, packing, page_text, pii, quality, suffix_dedup, token_files, toxicity
 from caseloom.llm.common import table
 
 QUERIES: dict = {}
@@ -71,6 +71,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -81,6 +86,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_page_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
