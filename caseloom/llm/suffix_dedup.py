@@ -9,7 +9,8 @@ each 200, which equal strings share by construction, one position in about eight
 * Windows (starts of 200 bytes) with one cover position form a segment.  Its bucket is the 40 bytes at that position,
   and its rank is a 128-bit name of all bytes that its windows span, computed before any comparison.
 * Equal names resolve long ties at once: all windows of both segments are repeated.
-* Only buckets with two different names are looked into, window by window, one row of each name standing for all.
+* Only buckets with two different names are looked into, window by window, one place of each name standing for all;
+  they are sorted by task, one bucket after another.
 
 Buckets, names and windows are grouped by Spark, so memory is bounded by a document chunk, not by a bucket; names are
 counted on the map side first, so a passage of any frequency is a few rows.
@@ -29,6 +30,8 @@ from caseloom.session import materialize
 
 #: Length of a repeated string, bytes of a bucket key, and window starts handled at once.
 LENGTH, KEY, CHUNK = 200, 40, 1 << 20
+#: Names of a bucket that one task resolves (some 300 bytes each).
+TASK_NAMES = 10_000
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -95,14 +98,6 @@ def segments(data: bytes, length: int = LENGTH, key: int = KEY, chunk: int = CHU
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def window_names(data: bytes, first: int, count: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit names of ``count`` windows from ``first``."""
-    part = np.frombuffer(data, np.uint8)[first:first + count - 1 + length]
-    _ONE.load(part), _TWO.load(part)
-    at = np.arange(count)
-    return _ONE.of(at, at + length).view(np.int64), _TWO.of(at, at + length).view(np.int64)
-
-
 def _segment_rows(d: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,26 +111,100 @@ def _segment_rows(d: DataFrame, length: int) -> DataFrame:
     return d.mapInArrow(work, f"_id {d.schema['_id'].dataType.simpleString()}, _x long, _a long, _n long, _b long, _k1 long, _k2 long")
 
 
-def _window_rows(open_: DataFrame, length: int) -> DataFrame:
-    """One row per window of the listed segments: bucket, name, copies, and the place of a segment without copies."""
+def _contexts(open_: DataFrame, length: int) -> DataFrame:
+    """The listed segments with the bytes that their windows span."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, x, t, segs in zip(b.column("_id"), b.column("_x"), b.column("_t"), b.column("_segs").to_pylist()):
-                data = t.as_py().encode()
-                for s in segs:
-                    w1, w2 = window_names(data, s["_a"], s["_n"], length)
-                    n = len(w1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i.as_py()] * n, i.type), pa.array(np.full(n, x.as_py(), np.int64)), pa.array(s["_a"] + np.arange(n)),
-                         pa.array(np.full(n, s["_b"], np.int64)), pa.array(w1), pa.array(w2), pa.array(np.full(n, s["_c"], np.int64))],
-                        names=["_id", "_x", "_s", "_b", "_w1", "_w2", "_c"])
+        seen = set()  # repeated rows share their segments; a partition holds all rows of a document
+        for batch in batches:
+            rows = []
+            for i, x, t, segs in zip(*(batch.column(c) for c in ("_id", "_x")), batch.column("_t"), batch.column("_segs").to_pylist()):
+                at = (i.as_py(), x.as_py())
+                if at not in seen:
+                    seen.add(at)
+                    data = t.as_py().encode()
+                    rows += [(*at, s["_a"], s["_b"], s["_c"], data[s["_a"]:s["_a"] + s["_n"] - 1 + length]) for s in segs]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [batch.schema.field("_id").type, *[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_id", "_x", "_a", "_b", "_c", "_bytes"])
+
+    return open_.mapInArrow(work, f"_id {open_.schema['_id'].dataType.simpleString()}, _x long, _a long, _b long, _c long, _bytes binary")
+
+
+def _names_of(contexts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """128-bit names of all windows, with their context and offset."""
+    size = np.array([len(c) for c in contexts])
+    joined = np.frombuffer(b"".join(contexts), np.uint8)
+    _ONE.load(joined), _TWO.load(joined)
+    n = size - length + 1
+    owner = np.repeat(np.arange(len(contexts)), n)
+    offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(size) - size)[owner] + offset
+    return _ONE.of(at, at + length), _TWO.of(at, at + length), owner, offset
+
+
+def _repeated_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """Ranges of repeated windows, bucket by bucket; ``contexts`` is partitioned and sorted by bucket."""
+    schema = contexts.schema["_id"].dataType.simpleString()
+
+    def resolve(rows: list[tuple]) -> pa.RecordBatch | None:
+        w1, w2, owner, offset = _names_of([r[5] for r in rows], length)
+        copies = np.array([r[4] for r in rows])
+        order = np.lexsort((w2, w1))
+        a, b = w1[order], w2[order]
+        group = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+        hit = np.zeros(len(order), bool)
+        hit[order] = np.bincount(group, copies[owner[order]])[group] > 1
+        hit &= copies[owner] == 1  # names with copies are repeated already
+        at = np.nonzero(hit)[0]
+        if not len(at):
+            return None
+        first = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(owner[at]) > 0)])
+        last = np.append(first[1:], True)
+        own = owner[at[first]]
+        start = np.array([rows[k][2] for k in own])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([rows[k][0] for k in own], kind), pa.array([rows[k][1] for k in own], pa.int64()),
+             pa.array(start + offset[at[first]]), pa.array(start + offset[at[last]] + length)], names=["_id", "_x", "_s", "_e"])
+
+    kind = pa.string() if schema == "string" else pa.int32() if schema == "int" else pa.int64()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("_id", "_x", "_a", "_b", "_c", "_bytes"))):
+                if len(held) >= 4000 and held[-1][3] != row[3]:  # whole buckets, several small ones at once
+                    if (out := resolve(held)) is not None:
+                        yield out
+                    held = []
+                held.append(row)
+        if held and (out := resolve(held)) is not None:
+            yield out
+
+    return contexts.mapInArrow(work, f"_id {schema}, _x long, _s long, _e long")
 
-    return open_.mapInArrow(work, f"_id {open_.schema['_id'].dataType.simpleString()}, _x long, _s long, _b long, _w1 long, _w2 long, _c long")
 
+def _window_rows(contexts: DataFrame, length: int) -> DataFrame:
+    """One row per window, for buckets too large for one task."""
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(``_id``, ``_x``, ``_s``, ``_e``): byte ranges that repeated strings cover; ``docs`` has ``_id``, ``_x``, ``_t``."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 1000):
+                part = batch.slice(k, 1000)
+                w1, w2, owner, offset = _names_of(part.column("_bytes").to_pylist(), length)
+                i, x, a, c = (part.column(n).take(pa.array(owner)) for n in ("_id", "_x", "_a", "_c"))
+                yield pa.RecordBatch.from_arrays([i, x, pa.array(a.to_numpy(zero_copy_only=False) + offset), pa.array(w1.view(np.int64)),
+                                                  pa.array(w2.view(np.int64)), c], names=["_id", "_x", "_s", "_w1", "_w2", "_c"])
+
+    return contexts.mapInArrow(work, f"_id {contexts.schema['_id'].dataType.simpleString()}, _x long, _s long, _w1 long, _w2 long, _c long")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, task_names: int = TASK_NAMES) -> DataFrame:
+    """(``_id``, ``_x``, ``_s``, ``_e``): byte ranges that repeated strings cover; ``docs`` has ``_id``, ``_x``, ``_t``.
+
+    Buckets of up to ``task_names`` names are resolved by one task each; larger ones by a grouping of their windows,
+    which Spark spreads.  Both count the same names.
+    """
     rows = materialize(_segment_rows(docs, length), "segments")
     buckets = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_b")
     rows = materialize(rows.join(buckets, "_b"), "shared-segments")
@@ -144,16 +213,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = materialize(rows.groupBy(*name).agg(F.count(F.lit(1)).alias("_c"), place), "segment-names")
     same = rows.join(names.where("_c > 1").select(*name), name, "left_semi").select(
         "_id", "_x", F.col("_a").alias("_s"), (F.col("_a") + F.col("_n") - 1 + length).alias("_e"))
-    several = names.groupBy("_b").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_b")
-    todo = names.join(several, "_b", "left_semi").select("_at._id", "_at._x", F.struct(F.col("_at._a").alias("_a"), "_n", "_b", "_c").alias("_seg"))
+    several = names.groupBy("_b").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    todo = names.join(several.select("_b"), "_b", "left_semi").select("_at._id", "_at._x", F.struct(F.col("_at._a").alias("_a"), "_n", "_b", "_c").alias("_seg"))
     todo = todo.groupBy("_id", "_x").agg(F.collect_list("_seg").alias("_segs"))  # at most a document's own segments
     todo = todo.withColumnsRenamed({"_id": "_hid", "_x": "_hx"})
     found = docs.join(todo.hint("shuffle_hash"), (F.col("_x") == F.col("_hx")) & F.col("_id").eqNullSafe(F.col("_hid"))).drop("_hid", "_hx")
-    windows = materialize(_window_rows(found, length).distinct(), "windows")
-    keys = ["_b", "_w1", "_w2"]
+    contexts = materialize(_contexts(found, length), "contexts")
+    large = materialize(several.where(F.col("_k") > task_names).select("_b"), "large-buckets")
+    small = contexts.join(large, "_b", "left_anti").repartition("_b").sortWithinPartitions("_b")
+    parts = _repeated_windows(small.select("_id", "_x", "_a", "_b", "_c", "_bytes"), length)
+    windows = _window_rows(contexts.join(large, "_b", "left_semi").select("_id", "_x", "_a", "_b", "_c", "_bytes"), length)
+    keys = ["_w1", "_w2"]
     twice = windows.groupBy(*keys).agg(F.sum("_c").alias("_k")).where("_k > 1").select(*keys)
     single = windows.where("_c = 1").join(twice, keys, "left_semi").select("_id", "_x", "_s", (F.col("_s") + length).alias("_e"))
-    return same.union(single)
+    return same.union(parts).union(single)
 
 
 def _sweep(data: bytes, spans) -> tuple[int, int, bytes]:
@@ -169,7 +242,8 @@ def _sweep(data: bytes, spans) -> tuple[int, int, bytes]:
     return removed, runs, b"".join(kept)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   task_names: int = TASK_NAMES) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the remaining bytes).
 
     Null and empty texts, and texts shorter than ``length`` bytes, keep everything.  A repeated row is another place:
@@ -177,7 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table gives no rows.
     """
     d = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_x", F.xxhash64("_t"))
-    spans = repeated_spans(d, length).groupBy("_id", "_x").agg(F.collect_set(F.struct("_s", "_e")).alias("_spans"))
+    spans = repeated_spans(d, length, task_names).groupBy("_id", "_x").agg(F.collect_set(F.struct("_s", "_e")).alias("_spans"))
     spans = materialize(spans, "repeats").withColumnsRenamed({"_id": "_hid", "_x": "_hx"})
     both = d.join(spans.hint("shuffle_hash"), (F.col("_x") == F.col("_hx")) & F.col("_id").eqNullSafe(F.col("_hid")), "left")
 

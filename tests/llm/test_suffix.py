@@ -34,6 +34,8 @@ def test_matches_counting_every_string(spark):
     df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, n_bytes string").repartition(3)
     got = sorted((tuple(x) for x in sd.remove_repeats(df).drop("kept").collect()), key=repr)
     assert got == brute(rows)
+    spread = sd.remove_repeats(df, task_names=1).drop("kept").collect()  # every bucket by the grouping of windows
+    assert sorted((tuple(x) for x in spread), key=repr) == brute(rows)
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
