@@ -1,7 +1,7 @@
 """Near-duplicate documents: exact Jaccard join on 5-word shingles by rare-first prefix filtering.
 
 1. Documents with equal shingle sets fall together by a 128-bit fingerprint; one of each class goes on.
-2. Shingles get one global order, rare first, from counts of 2^16 hash buckets over all documents (a fixed-size table).
+2. Shingles get one global order, rare first, from counts of 2^18 hash buckets over all documents (a fixed-size table).
    Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each, in any fixed order.
 3. Shingles that occur in two prefixes or more are kept; they name the candidates.  Length and positional filters apply
    to each shared shingle; the first one shared by a linked pair always passes.  Distinct pairs are verified once on
@@ -28,7 +28,7 @@ from caseloom.session import materialize
 #: Words of a shingle, and the threshold as a percentage.
 WORDS, PERCENT = 5, 75
 #: Buckets of the frequency table that orders the shingles.
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
     kind = sets.schema["_id"].dataType.simpleString()
     rows = pairs.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x")), "_a")
     rows = rows.join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y")), "_b")
-    return materialize(rows.select("_a", "_b", "_x", "_y").mapInArrow(work, f"_a {kind}, _b {kind}"), label)
+    return materialize(rows.select("_a", "_b", "_x", "_y").mapInArrow(work, f"_a {kind}, _b {kind}").distinct(), label)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,8 +185,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = firsts.select("_id", "_n", F.posexplode("_prefix").alias("_p", "_h"))
     common = words.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_h")
     shared = materialize(words.join(common, "_h"), "shared-shingles")
-    wanted = measured_side(shared.select("_id").distinct(), "candidates", 64)
-    sets = materialize(_sets(d.join(wanted, "_id", "left_semi")).distinct(), "shingle-sets")
     links = done = None
     for turn in (1, 2, 3):
         rows = shared
@@ -210,6 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if done is not None:
             pairs = pairs.join(done, ["_a", "_b"], "left_anti")
         pairs = materialize(pairs, f"pairs-{turn}")
+        ends = pairs.select(F.col("_a").alias("_id")).union(pairs.select(F.col("_b").alias("_id"))).distinct()
+        sets = materialize(_sets(d.join(measured_side(ends, f"candidates-{turn}", 64), "_id", "left_semi")), f"shingle-sets-{turn}")
         found = _verified(pairs, sets, percent, f"links-{turn}")
         links = found if links is None else links.union(found)
         done = pairs if done is None else done.union(pairs)
