@@ -8,7 +8,7 @@ from caseloom.functions.columns import AUDIT_MISSING_TOKENS, rnd
 from caseloom.operators import sequence as S
 from caseloom.operators.frame import local_clock
 from caseloom.operators.ranking import exact_quantiles
-from caseloom.schema import LogSchema
+from caseloom.schema import EventLog
 from caseloom.session import literal_table, materialize, stage_if_large
 
 QUANTILES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
@@ -88,7 +88,7 @@ def backward_share(ev: DataFrame) -> DataFrame:
     return g.groupBy("log").agg(rnd(F.avg(back.cast("double"))).alias("frac_backward"))
 
 
-def clock_profile(ev: DataFrame, schema: LogSchema) -> DataFrame:
+def clock_profile(ev: DataFrame, schema: EventLog) -> DataFrame:
     c = local_clock(ev, schema)
     hist = F.explode(F.array(
         F.struct(F.lit("weekday").alias("unit"), F.col("weekday").alias("slot")),
@@ -96,14 +96,14 @@ def clock_profile(ev: DataFrame, schema: LogSchema) -> DataFrame:
     return c.select("log", hist.alias("h")).select("log", "h.*").groupBy("log", "unit", "slot").agg(F.count(F.lit(1)).alias("n"))
 
 
-def time_quality(ev: DataFrame, schema: LogSchema) -> DataFrame:
+def time_quality(ev: DataFrame, schema: EventLog) -> DataFrame:
     c = local_clock(ev, schema)
     return c.groupBy("log").agg(
         rnd(F.avg(F.col("ts").isNull().cast("double"))).alias("frac_missing_ts"),
         rnd(F.avg(F.coalesce(F.col("midnight"), F.lit(False)).cast("double"))).alias("frac_midnight"))
 
 
-def midnight_by_activity(ev: DataFrame, schema: LogSchema, top: int = 8) -> DataFrame:
+def midnight_by_activity(ev: DataFrame, schema: EventLog, top: int = 8) -> DataFrame:
     c = local_clock(ev, schema).groupBy("log", "activity").agg(F.avg(F.col("midnight").cast("double")).alias("share"))
     c = c.where(F.col("share") > 0)
     rn = F.row_number().over(W.partitionBy("log").orderBy(F.desc("share"), "activity"))
@@ -213,11 +213,11 @@ def variants(ev: DataFrame, top: int = 5, text_events: int = 10_000) -> DataFram
     return out.select("log", "rank", "variant", "n", "n_variants", rnd(F.col("top_n") / F.col("n_cases")).alias("top_share"))
 
 
-def role_lint(ev: DataFrame, schema: LogSchema) -> DataFrame:
+def role_lint(ev: DataFrame, schema: EventLog) -> DataFrame:
     """Every raw column with its declared role, or ``unassigned``."""
     spark = ev.sparkSession
     cols = [c for c in ev.columns if c.startswith(("ev_", "case_")) and c != "case_id"]
-    roles = literal_table(spark, schema.roles(), "column string, role string, reason string")
+    roles = literal_table(spark, schema.role_rows(), "column string, role string, reason string")
     prof = column_profile(value_counts(long_columns(ev, cols)))
     return prof.select("log", "column", "cardinality").join(F.broadcast(roles), "column", "left").select(
         "log", "column", "cardinality", F.coalesce("role", F.lit("unassigned")).alias("role"), F.coalesce("reason", F.lit("")).alias("reason"))
@@ -237,7 +237,7 @@ def crosstab(ev: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
     return out.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"n_{v}") for v in values])
 
 
-def summary(ev: DataFrame, schemas: dict[str, LogSchema]) -> DataFrame:
+def summary(ev: DataFrame, schemas: dict[str, EventLog]) -> DataFrame:
     """One row per log with the headline figures."""
     c = materialize(cases(ev), "cases")  # one pass over the events, then small tables
     per = c.groupBy("log").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("events"))
@@ -245,7 +245,7 @@ def summary(ev: DataFrame, schemas: dict[str, LogSchema]) -> DataFrame:
     nv = variant_keys(ev).groupBy("log").agg(F.count_distinct("len", "h1", "h2").alias("variants"))
     q = exact_quantiles(c.withColumn("n", F.col("n").cast("double")), ["log"], "n", [0.5, 0.95], "lq")
     h = exact_quantiles(c.withColumn("h", (F.col("last_us") - F.col("first_us")) / 1e6 / 3600), ["log"], "h", [0.5, 0.95], "hq")
-    t = terminal_share(c, {s.name: s.terminal for s in schemas.values()})
+    t = terminal_share(c, {s.name: s.endings for s in schemas.values()})
     cs = censoring(c).select("log", "within_30d")
     out = per.join(acts, "log").join(nv, "log").join(q, "log").join(h, "log").join(t, "log").join(cs, "log")
     return out.select(

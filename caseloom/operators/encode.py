@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caseloom.functions.columns import SPECIALS, UNK, decompose_activity, local_time
 from caseloom.operators.frame import prefix_frame
 from caseloom.operators.ranking import global_rank
-from caseloom.schema import LogSchema
+from caseloom.schema import EventLog
 from caseloom.session import literal_table, lookup_side, materialize, materialize_counted
 
 CAT_SPECIALS = SPECIALS[:2]
@@ -94,10 +94,10 @@ def _with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_s", packed)
 
 
-def time_features(frame: DataFrame, scalers: DataFrame, schema: LogSchema) -> DataFrame:
+def time_features(frame: DataFrame, scalers: DataFrame, schema: EventLog) -> DataFrame:
     """z(log1p gap), z(log1p elapsed), sin/cos of local hour and weekday, z(log1p position)."""
     f = _with_row(frame, scalers)
-    loc = local_time("ts", schema.local_tz)
+    loc = local_time("ts", schema.zone)
     h, wd = F.hour(loc) * (2 * math.pi / 24), F.weekday(loc) * (2 * math.pi / 7)
     z = lambda x, n: (x - F.col(f"_s.{n}_mean")) / F.col(f"_s.{n}_std")
     return f.withColumns({
@@ -107,10 +107,10 @@ def time_features(frame: DataFrame, scalers: DataFrame, schema: LogSchema) -> Da
     }).drop("_s")
 
 
-def synthetic_time(frame: DataFrame, seconds: Column, schema: LogSchema) -> DataFrame:
+def synthetic_time(frame: DataFrame, seconds: Column, schema: EventLog) -> DataFrame:
     """Clock features of a generated next event ``seconds`` later, in the log's real zone."""
     ts = F.timestamp_add("MICROSECOND", F.round(seconds * 1e6).cast("long"), F.col("ts"))
-    loc = local_time(ts, schema.local_tz)
+    loc = local_time(ts, schema.zone)
     return frame.withColumns({"s_hour": F.hour(loc), "s_weekday": F.weekday(loc)})
 
 
@@ -141,13 +141,13 @@ class Prepared:
     vocab: DataFrame
     size: int
     order: int
-    schema: LogSchema
+    schema: EventLog
 
     def part(self, name: str) -> DataFrame:
         return self.frame.where(F.col("split") == name)
 
 
-def prepare(events: DataFrame, schema: LogSchema, split: DataFrame | None = None, order: int = 2, vocab: DataFrame | None = None,
+def prepare(events: DataFrame, schema: EventLog, split: DataFrame | None = None, order: int = 2, vocab: DataFrame | None = None,
             store: bool = True, **frame_options) -> Prepared:
     """Split, train vocabulary, label ids and targets in one ordered pass over the events.
 

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.columns import EOS, clean, decompose_activity, local_time, numeric
 from caseloom.operators import sequence as S
-from caseloom.schema import LogSchema
+from caseloom.schema import EventLog
 
 
-def complete_expr(schema: LogSchema, last_activity="last_act"):
-    if schema.censored or not schema.terminal:
+def complete_expr(schema: EventLog, last_activity="last_act"):
+    if schema.open_ended or not schema.endings:
         return F.lit(False)
-    return F.col(last_activity).isin(list(schema.terminal))
+    return F.col(last_activity).isin(list(schema.endings))
 
 
-def prefix_frame(events: DataFrame, schema: LogSchema, order: int = 2, max_len: int | None = None,
+def prefix_frame(events: DataFrame, schema: EventLog, order: int = 2, max_len: int | None = None,
                  cutoff_us=None, assume_complete: bool = False, min_len: int = 1,
                  chunk_rows: int | None = None) -> DataFrame:
     """Ordered events with targets.
@@ -71,15 +71,15 @@ def with_targets(f: DataFrame) -> DataFrame:
     })
 
 
-def local_clock(df: DataFrame, schema: LogSchema) -> DataFrame:
-    loc = local_time("ts", schema.local_tz)
+def local_clock(df: DataFrame, schema: EventLog) -> DataFrame:
+    loc = local_time("ts", schema.zone)
     return df.withColumns({
         "hour": F.hour(loc), "weekday": F.weekday(loc),
         "midnight": (F.hour(loc) == 0) & (F.minute(loc) == 0) & (F.second(loc) == 0),
     })
 
 
-def case_table(events: DataFrame, schema: LogSchema, chunk_rows: int | None = None) -> DataFrame:
+def case_table(events: DataFrame, schema: EventLog, chunk_rows: int | None = None) -> DataFrame:
     """One row per case as a mergeable aggregate: borders, length, completeness and first-row attributes."""
     first = F.struct("us", "event_idx")
     aggs = [
@@ -87,18 +87,18 @@ def case_table(events: DataFrame, schema: LogSchema, chunk_rows: int | None = No
         F.min_by("activity", first).alias("first_act"), F.max_by("activity", first).alias("last_act"),
     ]
     # an attribute is wrapped in a struct so that a null on the first row is kept as the value
-    for c in schema.case_cat:
+    for c in schema.of("case_cat"):
         aggs.append(F.min_by(F.struct(F.col(f"case_{c}").alias("v")), first).alias(f"case_{c}"))
-    for c in schema.case_num:
+    for c in schema.of("case_num"):
         aggs.append(F.min_by(F.struct(F.col(f"case_{c}").alias("v")), first).alias(f"num_{c}"))
     out = events.groupBy("case_id").agg(*aggs)
-    cols = {f"case_{c}": clean(F.col(f"case_{c}")["v"]) for c in schema.case_cat}
-    cols.update({f"num_{c}": numeric(F.col(f"num_{c}")["v"]) for c in schema.case_num})
+    cols = {f"case_{c}": clean(F.col(f"case_{c}")["v"]) for c in schema.of("case_cat")}
+    cols.update({f"num_{c}": numeric(F.col(f"num_{c}")["v"]) for c in schema.of("case_num")})
     return out.withColumns(cols).withColumn("complete", complete_expr(schema)) if cols else out.withColumn("complete", complete_expr(schema))
 
 
-def components(df: DataFrame, schema: LogSchema, label="activity") -> DataFrame:
-    return df.withColumn("components", decompose_activity(label, schema.family))
+def components(df: DataFrame, schema: EventLog, label="activity") -> DataFrame:
+    return df.withColumn("components", decompose_activity(label, schema.label_rule))
 
 
 def drop_event(frame: DataFrame, drop) -> DataFrame:

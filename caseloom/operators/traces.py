@@ -72,11 +72,18 @@ _EXAMPLE = ["example_id", "group_id", "episode_id", "step_index", "candidate_ind
             "instruction", "last_observation", "last_error", "last_code", "n_prev_errors", "schema_version", "builder_version"]
 
 
+def _regress(gain: Column, done: Column, failures: Column) -> Column:
+    """1 when checks were lost or a finished state still fails, 0 otherwise; null when the gain is not known."""
+    early = F.coalesce(done, F.lit(False)) & (F.coalesce(failures, F.lit(0)) > 0)
+    return F.when(gain.isNotNull(), ((gain < 0) | early).cast("int"))
+
+
 def executed_examples(context: DataFrame) -> DataFrame:
+    has_code = F.coalesce("code", F.lit("")) != ""
     c = context.withColumns({
         "example_id": example_id("episode_id", "step_index", "chosen_index"), "group_id": group_key(), "candidate_index": F.col("chosen_index"), "source": F.lit("executed"),
-        "label_valid": (F.col("error_type").isNull() & (F.col("code") != "")).cast("int"), "label_success": F.col("success").cast("int"),
-        "label_progress": (F.col("reward") > 0).cast("int"), "label_regress": ((F.col("reward") < 0) | (F.col("done") & (F.col("failures") > 0))).cast("int"),
+        "label_valid": (F.col("error_type").isNull() & has_code).cast("int"), "label_success": F.col("success").cast("int"),
+        "label_progress": (F.col("reward") > 0).cast("int"), "label_regress": _regress(F.col("reward"), F.col("done"), F.col("failures")),
         "builder_version": F.lit(BUILDER_VERSION)})
     return c.select(*_EXAMPLE)
 
@@ -85,11 +92,11 @@ def counterfactual_examples(candidates: DataFrame, context: DataFrame) -> DataFr
     """Examples for recorded outcomes of candidates that were not executed."""
     ctx = context.select(*STEP, "chosen_index", "instruction", "last_observation", "last_error", "last_code", "n_prev_errors", "schema_version")
     c = candidates.where("has_cf").join(ctx, STEP).where(F.col("cand") != F.col("chosen_index"))
-    delta = F.col("passes_after") - F.col("passes_before")
+    delta, has_code = F.col("passes_after") - F.col("passes_before"), F.coalesce("code", F.lit("")) != ""
     c = c.withColumns({
         "example_id": example_id("episode_id", "step_index", "cand"), "group_id": group_key(), "candidate_index": F.col("cand"), "source": F.lit("counterfactual"),
-        "label_valid": (F.col("cf_error").isNull() & (F.col("code") != "")).cast("int"), "label_success": F.lit(None).cast("int"),
-        "label_progress": (delta > 0).cast("int"), "label_regress": ((delta < 0) | (F.col("cf_done") & (F.col("failures_after") > 0))).cast("int"),
+        "label_valid": (F.col("cf_error").isNull() & has_code).cast("int"), "label_success": F.lit(None).cast("int"),
+        "label_progress": (delta > 0).cast("int"), "label_regress": _regress(delta, F.col("cf_done"), F.col("failures_after")),
         "builder_version": F.lit(BUILDER_VERSION)})
     return c.select(*_EXAMPLE)
 
@@ -219,7 +226,7 @@ def world_state(facts_: DataFrame, max_notes: int = 12) -> DataFrame:
 def run_summary(episodes: DataFrame, steps: DataFrame) -> DataFrame:
     """One row per run: task and scenario completion, validity, length, time, cost, terminations, overrides."""
     over = steps.groupBy("episode_id").agg(F.count_if("overrode_first").alias("overrides"), F.count_if(F.col("error_type").isNotNull()).alias("invalid"))
-    e = episodes.join(over, "episode_id").withColumn("ok", F.coalesce("success", F.lit(False)))
+    e = episodes.join(over, "episode_id", "left").fillna(0, ["overrides", "invalid"]).withColumn("ok", F.coalesce("success", F.lit(False)))
     scen = e.groupBy("run_id", group_key().alias("g")).agg(F.bool_and("ok").alias("all_ok")).groupBy("run_id").agg(rnd(F.avg(F.col("all_ok").cast("double"))).alias("sgc"))
     runs = e.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_episodes"), rnd(F.avg(F.col("ok").cast("double"))).alias("tgc"),

@@ -9,11 +9,11 @@ from caseloom.functions.text import action_activity
 from caseloom.operators import encode as en, metrics as me, rollout as ro, transitions as tr
 from caseloom.operators.encode import Prepared
 from caseloom.operators.traces import OUTCOME_FAIL, OUTCOME_OK
-from caseloom.schema import LogSchema
+from caseloom.schema import EventLog
 from caseloom.session import lookup_side
 
-AGENT = LogSchema(name="episodes", family="agent", activity_keys=("activity",), event_cat=("error_type", "n_calls", "prev_error"),
-                  case_cat=("benchmark",), terminal=(OUTCOME_OK, OUTCOME_FAIL), local_tz="UTC")
+AGENT = EventLog("episodes", "UTC", "agent", {"activity": ("activity",), "event_cat": ("error_type", "n_calls", "prev_error"), "case_cat": ("benchmark",)},
+                 endings=(OUTCOME_OK, OUTCOME_FAIL))
 
 
 def _label_ids(df: DataFrame, vocab: DataFrame, label: str, out: str) -> DataFrame:

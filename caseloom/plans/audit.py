@@ -1,5 +1,7 @@
 """Audit queries A1-A19 over the three logs together."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from caseloom.operators import audit
@@ -40,7 +42,7 @@ query("a5_border_activities", q.with_(CASES) + """, b AS (SELECT log, 'first' AS
 SELECT * FROM b QUALIFY border = 'last' OR row_number() OVER (PARTITION BY log, border ORDER BY n DESC, activity) <= 10""")(
     lambda s, d: audit.border_activities(all_logs(s, d)))
 query("a6_terminal_share", q.with_(CASES) + f"SELECT log, round(avg(CASE WHEN {TERM} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS frac_terminal FROM cs GROUP BY 1")(
-    lambda s, d: audit.terminal_share(audit.cases(all_logs(s, d)), {k: v.terminal for k, v in LOGS.items()}))
+    lambda s, d: audit.terminal_share(audit.cases(all_logs(s, d)), {k: v.endings for k, v in LOGS.items()}))
 query("a7_censoring", q.with_(CASES) + """SELECT log, count(*) FILTER (d <= 7) AS within_7d, count(*) FILTER (d <= 30) AS within_30d FROM
  (SELECT log, (max(last_us) OVER (PARTITION BY log) - last_us) / 1e6 / 86400 AS d FROM cs) GROUP BY 1""")(
     lambda s, d: audit.censoring(audit.cases(all_logs(s, d))))
@@ -58,7 +60,7 @@ query("a10_time_quality", q.with_(_LOC) + "SELECT log, round(avg(CASE WHEN ts IS
 # order dates are midnights of the stored clock, so this one reads the zone as stored
 query("a11_midnight_by_activity", LEN + """SELECT log, activity, round(share, 6) AS share FROM (SELECT log, activity, avg(CASE WHEN ts = date_trunc('day', ts) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share
  FROM ev GROUP BY 1, 2) WHERE share > 0 QUALIFY row_number() OVER (PARTITION BY log ORDER BY share DESC, activity) <= 8""")(
-    lambda s, d: audit.midnight_by_activity(all_logs(s, d).where(F.col("ts").isNotNull()), type(ORDERS)(**{**ORDERS.__dict__, "local_tz": "UTC"})))
+    lambda s, d: audit.midnight_by_activity(all_logs(s, d).where(F.col("ts").isNotNull()), replace(ORDERS, zone="UTC")))
 
 _BC = ["ev_status", "ev_priority", "case_segment", "case_nation", "case_balance"]
 _VC = q.B_RAW + """, cells AS (SELECT case_id, us, event_idx, unnest([{'column':'ev_status','value':ev_status},{'column':'ev_priority','value':ev_priority},

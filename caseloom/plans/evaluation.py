@@ -144,7 +144,7 @@ def v13(spark, d):
     from caseloom.schema import ORDERS
 
     p, m, pairs = greedy_pairs(spark, d)
-    terminal = [r["id"] for r in p.vocab.where(F.col("value").isin(list(ORDERS.terminal))).select("id").collect()]  # a handful of label ids
+    terminal = [r["id"] for r in p.vocab.where(F.col("value").isin(list(ORDERS.endings))).select("id").collect()]  # a handful of label ids
     return me.suffix_report(pairs, MAX_LEN, terminal)
 
 

@@ -6,7 +6,7 @@ from caseloom.functions.columns import rnd
 from caseloom.operators import encode as en, splits as sp, transitions as tr
 from caseloom.plans import episodes as ep, modelsql as ms, sqltext as q
 from caseloom.plans.registry import query
-from caseloom.plans.traces import _WS, EPI, ERRS, ST, corrupted
+from caseloom.plans.traces import MASKED_SQL, _WS, EPI, ERRS, ST, corrupted, masked_candidates
 from caseloom.schema import CLICKS
 from caseloom.session import scratch_path
 from caseloom.sources import episodes as se, tables as t, xes
@@ -76,3 +76,12 @@ def st3(spark, d):
     out = on.run_available(stream, "sink", on_batch=on.episode_sink)
     part = lambda s: spark.read.schema(se.EPISODE).json(f"{out}/{s}/*").select(F.lit(s).alias("sink"))
     return part("episodes").unionByName(part("invalid")).groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st3_masked_documents", MASKED_SQL)
+def st3m(spark, d):
+    path = scratch_path(spark, "inbox")
+    corrupted(spark, d).write.json(path)
+    stream = on.event_stream(spark, path, se.EPISODE + ", _corrupt string", fmt="json", files_per_batch=4)
+    out = on.run_available(stream, "sink", on_batch=lambda folder: on.episode_sink(folder, "s"))
+    return masked_candidates(spark, f"{out}/episodes/*", f"{out}/invalid/*")

@@ -77,6 +77,29 @@ def red_count(col):
     return f"(len(regexp_extract_all({col}, '{_RED1}')) + len(regexp_extract_all({col}, '{_RED}')) + len(regexp_extract_all({col}, '{_RED3}')))"
 
 
+_STEP_ONLY = ep.STEP_SQL[ep.STEP_SQL.index("sp0 AS"):]
+_SECRET = r"(?:password|access_token)=''([^'']*)''"
+MASKED = (f"CASE WHEN regexp_matches(code, '{_SECRET}') THEN replace(code, '=''' || regexp_extract(code, '{_SECRET}', 1) || '''', "
+          f"'=''<REDACTED:' || substr(sha256('s' || regexp_extract(code, '{_SECRET}', 1)), 1, 8) || '>''') ELSE code END")
+# code stands in a document twice, as action and inside the raw reply
+MASKED_SQL = (q.with_(ep.CAND_SQL, _STEP_ONLY, ep.EP_SQL, ERRS) + f", a AS (SELECT episode_id, 2 * sum({red_count('code')}) AS n FROM cd GROUP BY 1), b AS (SELECT episode_id, sum({red_count('observation')} + {red_count('tool_result')} "
+              f"+ coalesce({red_count('error_message')}, 0)) AS n FROM st GROUP BY 1) SELECT cd.episode_id, cand, {MASKED} AS code, CASE WHEN errors = '' THEN 'episodes' ELSE 'invalid' END AS sink, "
+              f"(a.n + b.n + {red_count('instruction')})::BIGINT AS n_redactions FROM cd JOIN er USING (episode_id) JOIN ep USING (episode_id) JOIN a USING (episode_id) JOIN b USING (episode_id)")
+
+
+def masked_candidates(spark, ok, bad):
+    """Code of all candidates as the sinks hold it, with the count of each document."""
+    part = lambda path, name: spark.read.schema(se.EPISODE).json(path).withColumn("sink", F.lit(name))
+    docs = part(ok, "episodes").unionByName(part(bad, "invalid"))
+    counts = docs.select("episode_id", "sink", F.col("redaction.n_redactions").cast("long").alias("n_redactions"))
+    return se.flatten_candidates(docs).select("episode_id", "cand", "code").join(counts, "episode_id")
+
+
+@query("s7_masked_documents", MASKED_SQL)
+def s7m(spark, d):
+    return masked_candidates(spark, *se.write_validated(corrupted(spark, d), scratch_path(spark, "sink"), "s"))
+
+
 _PRICES = "pz AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for m, a, b, c, e in ep.PRICES) + ") v(model_id, p_in, p_out, p_write, p_read))"
 _COST = _PRICES + ", co AS (SELECT cd.*, (input_tokens * coalesce(p_in, 0) + output_tokens * coalesce(p_out, 0) + cache_write_tokens * coalesce(p_write, 0) + cache_read_tokens * coalesce(p_read, 0)) / 1e6 AS cost_usd FROM cd LEFT JOIN pz USING (model_id))"
 
@@ -93,7 +116,7 @@ def costed(spark, d):
 def s9(spark, d):
     errs = corrupted(spark, d).select("episode_id", "run_id", F.size(se.validation_errors()).alias("n_errors"))
     use = costed(spark, d).groupBy("episode_id").agg(F.sum("cost_usd").alias("cost_usd"), F.sum(redact("code", "s")["n"]).alias("n_redactions"))
-    return se.manifest(errs.join(use, "episode_id"))
+    return se.manifest(errs.join(use, "episode_id", "left").fillna(0, ["cost_usd", "n_redactions"]))
 
 
 @query("t1_flatten", ST + "SELECT episode_id, step_index, 3 AS n_candidates, code, error_type FROM st")
@@ -140,11 +163,10 @@ def j12(spark, d):
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max("p_in"), F.lit(0.0)).alias("p_in"))
 
 
-_STEPS_AFTER_CAND = ep.STEP_SQL[ep.STEP_SQL.index("sp0 AS"):]
-FULL = q.with_(ep.CAND_SQL, _STEPS_AFTER_CAND, ep.EP_SQL)
+FULL = q.with_(ep.CAND_SQL, _STEP_ONLY, ep.EP_SQL)
 
 
-@query("t5_totals", q.with_(ep.CAND_SQL, _STEPS_AFTER_CAND, ep.EP_SQL, _COST) + """, u AS (SELECT episode_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost_usd), 9) AS cost_usd FROM co GROUP BY 1),
+@query("t5_totals", q.with_(ep.CAND_SQL, _STEP_ONLY, ep.EP_SQL, _COST) + """, u AS (SELECT episode_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost_usd), 9) AS cost_usd FROM co GROUP BY 1),
 s AS (SELECT episode_id, count(*) AS steps, count(*) FILTER (error_type IS NOT NULL) AS invalid_actions FROM st GROUP BY 1) SELECT s.*, u.* EXCLUDE (episode_id), stored_steps = steps AS agrees FROM s JOIN u USING (episode_id) JOIN ep USING (episode_id)""")
 def t5(spark, d):
     t = tc.totals(costed(spark, d), ep.steps(spark, d)).withColumn("cost_usd", rnd("cost_usd", 9))
@@ -320,7 +342,7 @@ j AS (SELECT ep.*, {_TE} AS ok, cost, ov, iv FROM ep JOIN u USING (episode_id) J
 sg AS (SELECT run_id, avg({ONE.format('a')}) AS sgc FROM (SELECT run_id, coalesce(scenario_id, task_id) AS g, bool_and(ok) AS a FROM j GROUP BY ALL) GROUP BY 1),
 rs AS (SELECT run_id, count(*) AS n_episodes, round(avg({ONE.format('ok')}), 6) AS tgc, round(any_value(sgc), 6) AS sgc, round(sum(iv) / sum(n_steps), 6) AS invalid_rate, round(sum(n_steps) / count(*), 6) AS mean_steps, round(avg(wall_s), 6) AS mean_wall_s, round(avg(cost), 6) AS mean_cost_usd,
  count(*) FILTER (termination_reason = 'completed') AS n_completed, count(*) FILTER (termination_reason = 'max_steps') AS n_max_steps, count(*) FILTER (termination_reason = 'error') AS n_error, count(*) FILTER (termination_reason = 'budget') AS n_budget, round(sum(ov) / sum(n_steps), 6) AS override_rate FROM j JOIN sg USING (run_id) GROUP BY run_id) """
-RUNS = q.with_(ep.CAND_SQL, _STEPS_AFTER_CAND, ep.EP_SQL, _COST).rstrip() + _SUM
+RUNS = q.with_(ep.CAND_SQL, _STEP_ONLY, ep.EP_SQL, _COST).rstrip() + _SUM
 
 
 def runs(spark, d):

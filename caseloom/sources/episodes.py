@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caseloom.session import scratch_path
+from caseloom.functions.entities import redact_documents
+from caseloom.session import materialize, scratch_path
 
 USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_tokens:bigint,cache_write_tokens:bigint,cost_usd:double,latency_s:double>"
 ERROR = "struct<type:string,message:string>"
@@ -90,10 +91,15 @@ def nest(steps: DataFrame, candidates: DataFrame, episodes: DataFrame) -> DataFr
         F.struct(F.col("stored_steps").cast("int").alias("steps"), "wall_s").alias("totals"), null.cast("string").alias("task_meta"))
 
 
-def write_validated(episodes: DataFrame, path: str) -> tuple[str, str]:
-    """Valid documents and dead letters (with their errors) as two JSON folders; nothing is dropped."""
-    corrupt = "_corrupt" if "_corrupt" in episodes.columns else None
-    checked = episodes.withColumn("errors", validation_errors(corrupt=corrupt))
+def masked_and_checked(episodes: DataFrame, salt: str = "") -> DataFrame:
+    """Masked documents with ``redaction`` and ``errors``, stored once, so both sinks read the same rows."""
+    d = redact_documents(episodes, salt)
+    return materialize(d.withColumn("errors", validation_errors(corrupt="_corrupt" if "_corrupt" in d.columns else None)), "checked-documents")
+
+
+def write_validated(episodes: DataFrame, path: str, salt: str = "") -> tuple[str, str]:
+    """Valid documents and dead letters (with their errors) as two JSON folders; every text masked first, nothing dropped."""
+    checked = masked_and_checked(episodes, salt)
     ok, bad = f"{path}/episodes", f"{path}/invalid"
     checked.where(F.size("errors") == 0).drop("errors", "_corrupt").write.mode("append").json(ok)
     checked.where(F.size("errors") > 0).write.mode("append").json(bad)

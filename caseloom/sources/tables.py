@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.functions.columns import activity_label, epoch_us
-from caseloom.schema import CLICKS, DIALOGS, ORDERS, LogSchema
+from caseloom.schema import CLICKS, DIALOGS, ORDERS, EventLog
 from caseloom.session import lookup_side
 
 
@@ -33,10 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_activity(df: DataFrame, schema: LogSchema) -> DataFrame:
+def with_activity(df: DataFrame, schema: EventLog) -> DataFrame:
     return df.withColumns({
         "log": F.lit(schema.name),
-        "activity": activity_label(*[f"ev_{k}" for k in schema.activity_keys]),
+        "activity": activity_label(*[f"ev_{k}" for k in schema.of("activity")]),
         "us": epoch_us("ts"),
     })
 

@@ -120,16 +120,14 @@ def read_latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ episode sink
-def episode_sink(folder: str, redact_text: bool = True, salt: str = ""):
-    """foreachBatch target: redact, validate, write valid documents and dead letters.
+def episode_sink(folder: str, salt: str = ""):
+    """foreachBatch target: mask every text, validate, write valid documents and dead letters.
 
     Batches are written under their number, so a replayed batch overwrites itself instead of repeating rows.
     """
-    from caseloom.functions.entities import redact
 
     def put(batch: DataFrame, number: int) -> None:
-        b = batch.withColumn("task_instruction", redact("task_instruction", salt)["text"]) if redact_text else batch
-        checked = materialize(b.withColumn("errors", se.validation_errors(corrupt="_corrupt" if "_corrupt" in b.columns else None)), "sink")
+        checked = se.masked_and_checked(batch, salt)
         checked.where(F.size("errors") == 0).drop("errors", "_corrupt").write.mode("overwrite").json(f"{folder}/episodes/batch={number}")
         checked.where(F.size("errors") > 0).write.mode("overwrite").json(f"{folder}/invalid/batch={number}")
 

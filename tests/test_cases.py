@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.columns import UNK, decompose_activity
 from caseloom.operators import encode as en, frame as fr, metrics as me, rollout as ro, splits as sp, transitions as tr
-from caseloom.schema import LogSchema
+from caseloom.schema import EventLog
 
-SCHEMA = LogSchema(name="claims", family="document", activity_keys=("name",), event_cat=("role",), case_cat=("unit",), case_num=("amount",),
-                   terminal=("Payment Handled",), local_tz="UTC")
+SCHEMA = EventLog("claims", "UTC", "document", {"activity": ("name",), "event_cat": ("role",), "case_cat": ("unit",), "case_num": ("amount",)},
+                  endings=("Payment Handled",))
 STEPS = ["Declaration SUBMITTED by EMPLOYEE", "Declaration APPROVED by ADMINISTRATION", "Declaration FINAL_APPROVED by SUPERVISOR", "Request Payment", "Payment Handled"]
 LOOP = "Declaration REJECTED by ADMINISTRATION"
 DAY = 86_400_000_000
