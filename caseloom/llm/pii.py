@@ -4,9 +4,10 @@ Base spans are found by four patterns with checks.  The method then asks, over t
 about a protected value (an e-mail address, a network address, ...): with document frequencies, a term t discloses a
 value c when their pointwise mutual information reaches ``threshold`` times the information content of c, i.e. when
 seeing t removes that share of the uncertainty about c.  Such terms are spans of kind ``term`` in the documents that
-hold c.  A value needs ``min_support`` different texts before the corpus can say anything about it, the
-co-occurrence must be beyond chance (log-likelihood ratio above ``min_evidence``), so single mentions never flag a word,
-and at least half of the documents must show t between different neighbours: copies of one text are one witness.
+hold c.  A value needs ``min_support`` witnesses before the corpus can say anything about it, and the co-occurrence must
+be beyond chance (log-likelihood ratio above ``min_evidence``), so single mentions never flag a word.  A witness is a
+class of near copies among the documents with values, so copies count once and a fixed phrase in different texts counts
+in each; all counts are exact.
 
 Built-in functions only; whole texts; positions are code points, ends exclusive.
 """
@@ -29,6 +30,8 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _TERM = r"[\p{L}\p{N}]+"
+#: Passages in a text's sketch, those of them that look for near copies, and the similarity from which texts are copies.
+SKETCH, KEYS, ALIKE = 24, 6, 0.5
 #: Placeholder texts of :func:`redact`, by kind.
 MASK = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -98,37 +101,65 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(clean), r"[^\p{L}\p{N}]+"), "")
 
 
-def _in_context(terms: Column) -> Column:
-    """Structs (term, hash of its two neighbours)."""
-    return let(terms, lambda w: F.transform(w, lambda x, i: F.struct(
-        x.alias("w"), F.xxhash64(F.get(w, i - 1), F.get(w, i + 1)).alias("near"))))
+def _sketch(terms: Column) -> Column:
+    """The ``SKETCH`` smallest hashes of a text's three-word passages."""
+    def passages(w: Column) -> Column:
+        return F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+    return let(terms, lambda w: F.slice(F.array_sort(F.array_distinct(
+        F.slice(passages(w), F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))))), 1, SKETCH))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of the passages behind two sketches."""
+    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return let(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+
+
+def witnesses(texts: DataFrame) -> DataFrame:
+    """(text hash ``_x``, class ``_g``) of the texts that are near copies of a text with a smaller hash.
+
+    Each of the ``KEYS`` smallest passages proposes the smallest text that shows it; a proposal counts where the sketches
+    are alike by ``ALIKE``.  Links always lead to a smaller hash and are followed to their end.
+    """
+    keyed = texts.select("_x", "_s", F.explode(F.slice("_s", 1, KEYS)).alias("_k"))
+    first = keyed.groupBy("_k").agg(F.min(F.struct("_x", "_s")).alias("_b"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    near = keyed.join(first, "_k").where((F.col("_b._x") < F.col("_x")) & (_alike(F.col("_s"), F.col("_b._s")) >= ALIKE))
+    near = materialize(near.groupBy("_x").agg(F.min("_b._x").alias("_g")), "pii-copies")
+    while True:
+        up = near.select(F.col("_x").alias("_g"), F.col("_g").alias("_up"))
+        step = materialize(near.join(up, "_g", "left").select("_x", F.coalesce("_up", "_g").alias("_g"), F.col("_up").isNotNull().alias("_moved")), "pii-copies")
+        near = step.select("_x", "_g")
+        if not step.where("_moved").limit(1).count():
+            return near
 
 
 def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_evidence: float,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text hash, terms) of the documents in which a term gives a protected value away.
 
-    Corpus counts cover all documents.  Per value and per term they are aggregated on the map side, and rows are
-    (document, own value, own term), so a value held by a third of all documents is only a larger count.
+    Corpus counts cover all documents; those with values count by class of near copies, the others one by one.  Counts per
+    value and term are aggregated on the map side, so a value held by a third of all documents is only a larger count.
     """
     d = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_x", F.xxhash64("_t"))
     found = F.concat(*[_values(k, s) for k, s in base_spans(F.col("_t")).items()])
-    held = materialize(d.where(F.col("_t").rlike("@|[0-9]")).withColumn("_v", F.array_distinct(found))
-                       .where(F.size("_v") > 0).select("_id", "_x", F.explode("_v").alias("_v")), "pii-held")
-    rare = held.groupBy("_v", "_x").agg(F.count(F.lit(1)).alias("_c")).groupBy("_v").agg(
-        F.count(F.lit(1)).alias("_texts"), F.sum("_c").alias("_nv")).where(F.col("_texts") >= min_support)
-    values = materialize(rare, "pii-values")
-    holders = measured_side(held.join(values, "_v").select("_id", "_x", "_v", "_nv"), "pii-holders", 160)
-    mine = d.join(holders.withColumnsRenamed({"_id": "_hid", "_x": "_hx"}),
-                  (F.col("_x") == F.col("_hx")) & F.col("_id").eqNullSafe(F.col("_hid")))
-    mine = mine.select("_id", "_x", "_v", "_nv", F.explode(_in_context(_terms(F.col("_t")))).alias("_o"))
-    mine = materialize(mine.groupBy("_id", "_x", "_v", "_nv", F.col("_o.w").alias("_w")).agg(F.min("_o.near").alias("_near")), "pii-terms")
-    pairs = mine.groupBy("_v", "_nv", "_w").agg(F.count(F.lit(1)).alias("_cw"), F.approx_count_distinct("_near").alias("_seen"))
-    pairs = pairs.where((F.col("_seen") >= min_support) & (F.col("_seen") * 2 >= F.col("_cw"))).drop("_seen")
+    held = d.where(F.col("_t").rlike("@|[0-9]")).withColumn("_vs", F.array_distinct(found)).where(F.size("_vs") > 0)
+    seen = let(_terms(F.col("_t")), lambda w: F.struct(F.array_distinct(w).alias("ws"), _sketch(w).alias("s")))
+    held = materialize(held.withColumn("_o", seen).select("_id", "_x", "_vs", F.col("_o.ws").alias("_ws"), F.col("_o.s").alias("_s")), "pii-held")
+    copies = measured_side(witnesses(held.select("_x", "_s").dropDuplicates(["_x"])), "pii-witnesses", 16)
+    held = held.drop("_s").join(copies, "_x", "left").withColumn("_g", F.coalesce("_g", "_x"))
+    mine = held.select("_id", "_x", "_g", "_ws", F.explode("_vs").alias("_v"))
+    values = mine.groupBy("_v", "_g").agg(F.count(F.lit(1)).alias("_c")).groupBy("_v").agg(F.count(F.lit(1)).alias("_nv"))
+    values = measured_side(values.where(F.col("_nv") >= min_support), "pii-values", 96)
+    mine = mine.join(values, "_v").select("_id", "_x", "_g", "_v", "_nv", F.explode("_ws").alias("_w"))
+    pairs = mine.groupBy("_v", "_nv", "_w", "_g").agg(F.count(F.lit(1)).alias("_c")).groupBy("_v", "_nv", "_w").agg(
+        F.count(F.lit(1)).alias("_cw"), F.sum("_c").alias("_held"))
+    pairs = pairs.where(F.col("_cw") >= min_support)
     freq = materialize(d.select(F.explode(F.array_distinct(_terms(F.col("_t")))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_nw"))
                        .where(F.col("_nw") >= min_support), "pii-frequencies")
-    n = max(d.count(), 1)
-    j = pairs.join(freq, "_w")
+    size = held.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_g").alias("classes")).first()
+    n = max(d.count() - size["rows"] + size["classes"], 1)
+    j = pairs.join(freq, "_w").withColumn("_nw", F.col("_nw") - F.col("_held") + F.col("_cw"))
     pmi = F.log(F.col("_cw") * F.lit(float(n)) / (F.col("_nv") * F.col("_nw")))
     content = F.log(F.lit(float(n)) / F.col("_nv"))
 
@@ -141,6 +172,7 @@ def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_ev
     # two-by-two log-likelihood ratio
     llr = 2 * (g(a, r * c / n) + g(b, r * (n - c) / n) + g(e, (n - r) * c / n) + g(f, (n - r) * (n - c) / n))
     flagged = j.where((content > 0) & (pmi >= threshold * content) & (llr >= min_evidence)).select("_v", "_w")
+    flagged = measured_side(flagged, "pii-flagged", 96)
     return mine.join(flagged, ["_v", "_w"]).groupBy("_id", "_x").agg(F.collect_set("_w").alias("_terms"))
 
 

@@ -68,6 +68,25 @@ def test_disclosing_terms(spark):
     assert red[1] == "a1 [TERM] b1 wrote [EMAIL] today" and red[105] == rows[15][1]
 
 
+def test_fixed_signature_and_near_copies(spark):
+    r = random.Random(5)
+    vocab = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nt", "rst", "ll", "sk")]
+
+    def words(n):
+        return " ".join(r.choice(vocab) for _ in range(n))
+
+    rows = [(i, f"{words(30)}. Best, Jane Doe <jane@corp.org>") for i in range(12)]  # the same neighbours in each text
+    rows += [(100 + i, f"{words(30)} Best") for i in range(200)]
+    base = words(60).split()
+    for i in range(20):  # near copies: one witness, though the neighbours of Vex differ
+        w = base[:30] + [f"k{i}", "Vex", f"m{i}"] + base[30:]
+        rows.append((400 + i, " ".join(w) + " 10.0.0.1"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in pii.redact(df).collect()}
+    assert all(got[i].endswith("Best, [TERM] [TERM] <[EMAIL]>") and got[i].count("[TERM]") == 2 for i in range(12))
+    assert not any("[TERM]" in t for i, t in got.items() if i >= 100)
+
+
 def test_redact_overlaps_and_empty(spark):
     df = spark.createDataFrame([(1, "x +4111111111111111 y 10.0.0.1"), (2, None), (3, "é a@b.cc!")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
