@@ -4,16 +4,19 @@ Base spans are found by four patterns with checks.  The method then asks, over t
 about a protected value (an e-mail address, a network address, ...): with document frequencies, a term t discloses a
 value c when their pointwise mutual information reaches ``threshold`` times the information content of c, i.e. when
 seeing t removes that share of the uncertainty about c.  Such terms are spans of kind ``term`` in the documents that
-hold c.  A value needs ``min_support`` witnesses before the corpus can say anything about it, and the co-occurrence must
-be beyond chance (log-likelihood ratio above ``min_evidence``), so single mentions never flag a word.  A witness is a
-class of near copies among the documents with values, so copies count once and a fixed phrase in different texts counts
-in each; all counts are exact.
+hold c.  Most values stand in one document, so c is also what a value has in common with others: its mail domain,
+network, number prefix and kind.  P(c | t) is estimated from the other witnesses of t, with one count of prior weight at
+the rate of c, so there is no least support, and one witness alone says nothing.  The co-occurrence must be beyond
+chance: a log-likelihood ratio above ``min_evidence`` and above that of the best of as many random pairs as there are.
+A witness is a class of near copies among the documents with values, so copies count once and a fixed phrase in
+different texts counts in each; all counts are exact.
 
 Built-in functions only; whole texts; positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -91,8 +94,22 @@ def _named(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
+#: What a value shares with others, by kind: mail domain, networks of two and three bytes, issuer, country and area.
+SHARED = {
+    "email": (lambda v: F.regexp_extract(v, "@.*", 0),),
+    "ip": (lambda v: F.concat(F.substring_index(v, ".", 2), F.lit(".*")), lambda v: F.concat(F.substring_index(v, ".", 3), F.lit(".*"))),
+    "card": (lambda v: F.concat(F.substring(F.regexp_replace(v, "[^0-9]", ""), 1, 6), F.lit("*")),),
+    "phone": (lambda v: F.concat(F.lit("+"), F.substring(F.regexp_replace(v, "[^0-9]", ""), 1, 5), F.lit("*")),),
+}
+
+
 def _values(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.concat(F.lit(kind + ":"), F.lower(x["v"])))
+    """The values, and what they share with others, as names."""
+    def names(x: Column) -> Column:
+        v = F.lower(x["v"])
+        return F.array(*[F.concat(F.lit(kind + ":"), n) for n in (v, *(f(v) for f in SHARED[kind]), F.lit("*"))])
+
+    return F.flatten(F.transform(spans, names))
 
 
 def _terms(text: Column) -> Column:
@@ -134,7 +151,7 @@ def witnesses(texts: DataFrame) -> DataFrame:
             return near
 
 
-def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_evidence: float,
+def disclosing_terms(docs: DataFrame, threshold: float, min_evidence: float,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text hash, terms) of the documents in which a term gives a protected value away.
 
@@ -150,17 +167,19 @@ def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_ev
     held = held.drop("_s").join(copies, "_x", "left").withColumn("_g", F.coalesce("_g", "_x"))
     mine = held.select("_id", "_x", "_g", "_ws", F.explode("_vs").alias("_v"))
     values = mine.groupBy("_v", "_g").agg(F.count(F.lit(1)).alias("_c")).groupBy("_v").agg(F.count(F.lit(1)).alias("_nv"))
-    values = measured_side(values.where(F.col("_nv") >= min_support), "pii-values", 96)
+    values = measured_side(values.where(F.col("_nv") > 1), "pii-values", 96)  # one witness has no other
     mine = mine.join(values, "_v").select("_id", "_x", "_g", "_v", "_nv", F.explode("_ws").alias("_w"))
     pairs = mine.groupBy("_v", "_nv", "_w", "_g").agg(F.count(F.lit(1)).alias("_c")).groupBy("_v", "_nv", "_w").agg(
         F.count(F.lit(1)).alias("_cw"), F.sum("_c").alias("_held"))
-    pairs = pairs.where(F.col("_cw") >= min_support)
+    pairs = pairs.where(F.col("_cw") > 1)
     freq = materialize(d.select(F.explode(F.array_distinct(_terms(F.col("_t")))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_nw"))
-                       .where(F.col("_nw") >= min_support), "pii-frequencies")
+                       .where(F.col("_nw") > 1), "pii-frequencies")
     size = held.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_g").alias("classes")).first()
     n = max(d.count() - size["rows"] + size["classes"], 1)
     j = pairs.join(freq, "_w").withColumn("_nw", F.col("_nw") - F.col("_held") + F.col("_cw"))
-    pmi = F.log(F.col("_cw") * F.lit(float(n)) / (F.col("_nv") * F.col("_nw")))
+    rate = F.col("_nv") / F.lit(float(n))
+    pmi = F.log((F.col("_cw") - 1 + rate) / F.col("_nw") / rate)
+    evidence = max(min_evidence, 2 * math.log(max(freq.count() * values.count(), 1)))
     content = F.log(F.lit(float(n)) / F.col("_nv"))
 
     def g(o: Column, e: Column) -> Column:
@@ -171,20 +190,20 @@ def disclosing_terms(docs: DataFrame, threshold: float, min_support: int, min_ev
     f = F.lit(float(n)) - r - c + a
     # two-by-two log-likelihood ratio
     llr = 2 * (g(a, r * c / n) + g(b, r * (n - c) / n) + g(e, (n - r) * c / n) + g(f, (n - r) * (n - c) / n))
-    flagged = j.where((content > 0) & (pmi >= threshold * content) & (llr >= min_evidence)).select("_v", "_w")
+    flagged = j.where((content > 0) & (pmi >= threshold * content) & (llr >= evidence)).select("_v", "_w")
     flagged = measured_side(flagged, "pii-flagged", 96)
     return mine.join(flagged, ["_v", "_w"]).groupBy("_id", "_x").agg(F.collect_set("_w").alias("_terms"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-               min_support: int = 8, min_evidence: float = 30.0) -> DataFrame:
+               min_evidence: float = 30.0) -> DataFrame:
     """``docs`` with array columns ``_email``, ``_ip``, ``_card``, ``_phone`` and ``_term`` of (s, e, v).
 
     Null and empty texts have no spans; repeated rows get equal spans; every other column passes through.
     Terms are whole words outside base spans.
     """
     out = docs.withColumns({f"_{k}": s for k, s in base_spans(text_of(text_col)).items()})
-    hits = disclosing_terms(docs, threshold, min_support, min_evidence, id_col, text_col)
+    hits = disclosing_terms(docs, threshold, min_evidence, id_col, text_col)
     hits = measured_side(hits.withColumnsRenamed({"_id": "_hid", "_x": "_hx"}), "pii-hits", 4096)
     out = out.join(hits, (F.xxhash64(text_of(text_col)) == F.col("_hx")) & F.col(id_col).eqNullSafe(F.col("_hid")), "left")
     base = F.concat(*[F.col(f"_{k}") for k, *_ in KINDS])

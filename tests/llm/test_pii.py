@@ -87,6 +87,23 @@ def test_fixed_signature_and_near_copies(spark):
     assert not any("[TERM]" in t for i, t in got.items() if i >= 100)
 
 
+def test_values_of_few_texts(spark):
+    r = random.Random(6)
+    vocab = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nt", "rst", "ll", "sk")]
+
+    def words(n):
+        return " ".join(r.choice(vocab) for _ in range(n))
+
+    rows = [(i, f"{words(12)} Quill {words(9)} quill{i // 3}@solo.net") for i in range(3)]  # one value in three texts
+    rows += [(100 + i, f"{words(12)} Zorro {words(9)} p{i}@corp.org") for i in range(12)]  # each value in one text
+    rows += [(200 + i, f"{words(12)} Hapax{i} {words(9)} 10.{i}.{i}.1") for i in range(12)]  # each word once
+    rows += [(300 + i, words(25)) for i in range(1500)]
+    got = {x.doc_id: x.text for x in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].count("[TERM]") == 1 and "Quill" not in got[i] for i in range(3))
+    assert all(got[i].count("[TERM]") == 1 and "Zorro" not in got[i] for i in range(100, 112))
+    assert not any("[TERM]" in t for i, t in got.items() if i >= 200)
+
+
 def test_redact_overlaps_and_empty(spark):
     df = spark.createDataFrame([(1, "x +4111111111111111 y 10.0.0.1"), (2, None), (3, "é a@b.cc!")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
