@@ -112,22 +112,20 @@ def drop_event(frame: DataFrame, drop) -> DataFrame:
     return with_targets(S.sequence(keep, specs))
 
 
-def case_labels(frame: DataFrame, max_len: int, label: str = "activity") -> DataFrame:
-    """(case_id, labels): label sequence of every case with at most ``max_len`` events.
+def case_labels(frame: DataFrame, label: str = "activity") -> DataFrame:
+    """(case_id, labels): label sequence of every case.
 
-    Longer cases count as cut off (see ``prefix_frame(max_len=...)``), so they have no complete sequence
-    and the collected arrays are bounded.
+    An array is one label longer than the suffix of the case's first prefix, so it is no larger than an output row.
     """
-    short = frame.where(F.col("n") <= max_len)
     ordered = F.sort_array(F.collect_list(F.struct("pos", F.col(label).alias("l"))))
-    return short.groupBy("case_id").agg(F.transform(ordered, lambda e: e["l"]).alias("labels"))
+    return frame.groupBy("case_id").agg(F.transform(ordered, lambda e: e["l"]).alias("labels"))
 
 
-def suffixes(frame: DataFrame, prefixes: DataFrame, max_len: int = 64, label: str = "activity") -> DataFrame:
-    """(case_id, pos, suffix): true continuation of the chosen prefixes of cases with at most ``max_len`` events.
+def suffixes(frame: DataFrame, prefixes: DataFrame, label: str = "activity") -> DataFrame:
+    """(case_id, pos, suffix): true continuation of the chosen prefixes, whole at any length.
 
     One array per case, sliced per prefix; no pairing of prefixes with events.
     """
-    j = prefixes.select("case_id", "pos").join(case_labels(frame, max_len, label), "case_id")
+    j = prefixes.select("case_id", "pos").join(case_labels(frame, label), "case_id")
     cut = F.slice("labels", (F.col("pos") + 2).cast("int"), F.size("labels"))
     return j.select("case_id", "pos", F.when(F.col("pos") < F.size("labels") - 1, cut).alias("suffix")).where(F.col("suffix").isNotNull())

@@ -121,7 +121,7 @@ SIM = f"CASE WHEN len(pred) = 0 AND len(tru) = 0 THEN 1.0::DOUBLE ELSE 1 - damer
 def true_suffixes(p):
     f = p.part("test")
     pick = f.where(F.col("complete") & (F.col("pos") < F.col("n") - 1))
-    s = fr.suffixes(f, pick, LONGEST, "act")
+    s = fr.suffixes(f, pick, "act")
     return pick, s.withColumnRenamed("suffix", "true")
 
 

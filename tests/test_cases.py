@@ -164,3 +164,10 @@ def test_saved_tables_reload_identically(spark, log):
     v = en.fit_vocab(log, "activity")
     back = load_tables(spark, save_tables(spark, {"vocab": v, "split": sp.split_random(log)}, "t"))
     assert set(map(tuple, back["vocab"].collect())) == set(map(tuple, v.collect()))
+
+
+def test_suffixes_of_long_cases_are_whole(spark):
+    acts = [f"s{i}" for i in range(199)] + ["Payment Handled"]
+    f = fr.prefix_frame(events(spark, [("long", 0, acts), ("short", DAY, STEPS)]), SCHEMA)
+    got = {(r.case_id, r.pos): r.suffix for r in fr.suffixes(f, f.where("complete")).collect()}
+    assert len(got) == 199 + 4 and all(got["long", p] == acts[p + 1:] for p in range(199))
