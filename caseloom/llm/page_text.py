@@ -28,6 +28,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style noscript template head title select option textarea button svg math iframe object "
                     "canvas audio video".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                      "h5 h6 header hr main menu nav ol p pre section table ul li".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -57,6 +59,7 @@ class Page(HTMLParser):
         self.nodes = [Node("html", -1, "")]
         self.stack = [0]
         self.skip: list[str] = []
+        self.inner: list[str] = []  # open elements inside a skipped option
         self.links = 0
         self.blocks: list[tuple[int, str]] = []
         self.held: list[str] = []
@@ -84,9 +87,18 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
-            if tag == self.skip[-1] and tag not in VOID:
-                self.skip.append(tag)
-            return
+            top = self.skip[-1]
+            if (top == "head" and tag not in IN_HEAD) or (top == "option" and tag in ("option", "optgroup")):
+                self.skip.pop()  # its end tag is left out
+                self.inner.clear()
+            else:
+                if top == "option":
+                    self.inner += [tag] * (tag not in VOID)
+                elif top == "head":
+                    self.skip += [tag] * (tag in SKIPPED and tag != "head")
+                elif tag == top and tag not in VOID:
+                    self.skip.append(tag)
+                return
         if tag == "body" and len(self.stack) > 1:
             return
         if tag in SKIPPED:
@@ -115,10 +127,19 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.skip:
-            if tag == self.skip[-1]:
+            top = self.skip[-1]
+            if tag == top:
                 self.skip.pop()
+                self.inner.clear()
             elif tag == "head":  # an unclosed title
                 self.skip.clear()
+            elif top == "option" and tag in self.inner:
+                while self.inner.pop() != tag:
+                    pass
+            elif top == "option" and tag not in INLINE:  # the parent's end
+                self.skip.pop()
+                self.inner.clear()
+                self.handle_endtag(tag)
             return
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
@@ -126,6 +147,8 @@ class Page(HTMLParser):
             self.pop({tag})
 
     def handle_data(self, data):
+        if self.skip == ["head"] and data.strip():
+            self.skip.clear()
         if not self.skip:
             self.held.append(data)
             if self.links and len(self.stack):

@@ -57,6 +57,18 @@ def test_page_edges(model, spark):
     assert pt.extract_pages(df.limit(0), model).count() == 0
 
 
+def test_omitted_end_tags(spark):
+    def blocks(html):
+        return [t for _, t in pt.Page(html).blocks]
+
+    for head in ("<head>", "<head></head>", "<head><title>x</title><noscript><img>y</noscript><style>p{}</style><meta a=b>"):
+        assert blocks(f"<html>{head}<body><p>One.</p><p>Two.</p>") == ["One.", "Two."]
+        assert blocks(f"{head}<p>One.") == blocks(f"{head}One.") == ["One."]
+    for options in ("<option value=a><option value=b>", "<option>a<optgroup label=x><option><div>b</div> c", "<option>a</option><option><b>b</b>"):
+        assert blocks(f"<body><p>One.</p><datalist>{options}</datalist><p>Two.</p>") == ["One.", "Two."]
+        assert blocks(f"<div><p>One.</p><select>{options}</select><p>Two.</p></div>") == ["One.", "Two."]
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     vocab = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nt", "rst", "ll", "sk")]
