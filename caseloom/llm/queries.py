@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import bpe, exact_dedup as dedup, ngram_join, packing, page_text, pii, quality, suffix_dedup, token_files, toxicity
+from caseloom.llm import bpe, exact_dedup as dedup, ngram_join, packing, page_text, phrases, pii, quality, sharding, suffix_dedup, token_files, toxicity
 from caseloom.llm.common import table
 
 QUERIES: dict = {}
@@ -96,6 +96,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query("op12_sharding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS s, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, a, 1 AS cut, s[1] AS left_part, array_to_string(s[2:], ' ') AS right_part FROM c
+         UNION ALL SELECT lang, k, phrase, a, 2, s[1] || ' ' || s[2], s[3] FROM c WHERE k = 3),
+scored AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, cut, x.f AS l, y.f AS r,
+                  (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = left_part JOIN f y ON y.lang = cuts.lang AND y.phrase = right_part),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, phrase, max(a) AS m FROM (SELECT lang, a, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN longer USING (lang, phrase) WHERE m IS NULL OR k = 3 OR 100 * m < 50 * a),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
