@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import bpe, exact_dedup as dedup, ngram_join, packing, page_text, phrases, pii, quality, sharding, suffix_dedup, token_files, toxicity
+from caseloom.llm import bpe, conversations, exact_dedup as dedup, ngram_join, packing, page_text, phrases, pii, quality, sharding, suffix_dedup, token_files, toxicity
 from caseloom.llm.common import table
 
 QUERIES: dict = {}
@@ -96,6 +96,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 @query("op12_sharding")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
