@@ -28,7 +28,7 @@ from caseloom.llm.common import measured_side
 from caseloom.session import materialize
 
 #: Turns of a search window (2 ** bits), and windows or groups combined at once (2 ** bits).
-WINDOW_BITS, GROUP_BITS = 7, 10
+WINDOW_BITS, GROUP_BITS = 6, 10
 #: Role states: nothing yet, after system, after user, after assistant.  A conversation may end in the first and the last.
 START, SYSTEM, USER, ASSISTANT = range(4)
 STATES = range(4)
@@ -48,65 +48,70 @@ def _fits(initial: str, state: int) -> bool:
     return initial == ("a" if state == USER else "u")
 
 
-def lower_bounds(turns: list[tuple[str, bool]]) -> list[int]:
-    """For each suffix of turns (initial, truncated) a cost that no edit list undercuts.
+def options(turn: tuple[str, bool], state: int) -> list[tuple[int, str, int]]:
+    """(cost, edits, next state) for a turn: delete it, give it the next role or keep it, after at most one insertion.
 
-    Every truncated turn costs 3 at least.  Two neighbours that cannot follow each other need an edit of one of them or an
-    insertion between them: 3 more, or 1 more where a truncated one of them may be deleted; pairs are taken disjoint.
+    After two insertions the same role comes next as before them, so more are never needed.
     """
-    n = len(turns)
-    bound, pairs = [0] * (n + 1), [0] * (n + 2)
-    for i in range(n - 1, -1, -1):
-        pairs[i] = pairs[i + 1]
-        if i + 1 < n and turns[i][0] + turns[i + 1][0] not in ("su", "ua", "au"):
-            pairs[i] = max(pairs[i], pairs[i + 2] + (1 if turns[i][1] or turns[i + 1][1] else INSERT))
-        bound[i] = (bound[i + 1] - pairs[i + 1]) + pairs[i] + (TRUNCATED if turns[i][1] else 0)
-    return bound
+    initial, truncated = turn
+    extra, step = (TRUNCATED if truncated else 0), _after(state)
+    found = [(DELETE, "D", state), (REROLE + extra, "R", step), (INSERT + REROLE + extra, "IR", _after(step))]
+    if _fits(initial, state):
+        found.append((extra, "K", step))
+    elif _fits(initial, step):
+        found.append((INSERT + extra, "IK", _after(step)))
+    if initial == "s" and state == START:
+        found.append((extra, "K", SYSTEM))
+    return found
+
+
+def lower_bounds(turns: list[tuple[str, bool]]) -> list[list[int]]:
+    """For each suffix of turns (initial, truncated) and each state a cost that no edit list undercuts.
+
+    The relaxation lets a conversation stop after any role, so the bounds fit every way to leave a window.
+    """
+    bound = [[0] * len(STATES)]
+    for turn in reversed(turns):
+        bound.append([min(price + bound[-1][to] for price, _, to in options(turn, s)) for s in STATES])
+    return bound[::-1]
 
 
-def search(turns: list[tuple[str, bool]], entry: int, closing: tuple[int, ...]) -> tuple[int, str, int]:
+def search(turns: list[tuple[str, bool]], entry: int, closing: tuple[int, ...], bound: list[list[int]] | None = None) -> tuple[int, str, int]:
     """(cost, edits, last state) of the cheapest, ASCII-least edits of turns (initial, truncated) from ``entry``.
 
     ``closing`` is the cost of stopping in each state; it counts in the result, which is (NEVER, "", entry) if no edit
     list reaches an allowed state.  Depth first with an explicit stack: a prefix is left when its cost and the bound of its
-    suffix exceed the best list found, or when its node (turn, state) was reached by a prefix no worse.
+    suffix exceed the best list found (or equal it, with larger initials so far), or when its node (turn, state) was reached
+    by a prefix no worse.
     """
-    n, bound = len(turns), lower_bounds(turns)
+    n, bound = len(turns), bound or lower_bounds(turns)
     best, edits, last = NEVER, "", entry
     table: list[dict[int, tuple[int, str]]] = [{} for _ in range(n + 1)]
     stack = [(0, entry, 0, "")]
     while stack:
         i, state, cost, audit = stack.pop()
-        if cost + bound[i] > best or (cost + bound[i] == best and audit > edits[:len(audit)]):
+        least = cost + bound[i][state]
+        if least > best or (least == best and audit > edits[:len(audit)]):
             continue
         seen = table[i].get(state)
         if seen is not None and seen <= (cost, audit):
             continue
         table[i][state] = (cost, audit)
         if i == n:
-            total = cost + closing[state]
-            if (total, audit) < (best, edits):
-                best, edits, last = total, audit, state
+            if (cost + closing[state], audit) < (best, edits):
+                best, edits, last = cost + closing[state], audit, state
             continue
-        initial, truncated = turns[i]
-        extra, step = (TRUNCATED if truncated else 0), _after(state)
-        options = [(DELETE, "D", state), (REROLE + extra, "R", step), (INSERT + REROLE + extra, "IR", _after(step))]
-        if _fits(initial, state):
-            options.append((extra, "K", step))
-        elif _fits(initial, step):  # after two insertions the same role comes next as before them
-            options.append((INSERT + extra, "IK", _after(step)))
-        if initial == "s" and state == START:
-            options.append((extra, "K", SYSTEM))
-        options.sort(key=lambda o: (-o[0], [-ord(c) for c in o[1]]))  # the most promising edit is taken off the stack first
-        stack.extend((i + 1, to, cost + price, audit + marks) for price, marks, to in options)
+        # the most promising edit is taken off the stack first
+        found = sorted(options(turns[i], state), key=lambda o: (-o[0] - bound[i + 1][o[2]], [-ord(c) for c in o[1]]))
+        stack.extend((i + 1, to, cost + price, audit + marks) for price, marks, to in found)
     return best, edits, last
 
 
 def window_answers(turns: list[tuple[str, bool]]) -> tuple[list[int], list[int]]:
     """Costs [entry, last] of a window and, for each entry, the rank of the last states by their edit lists."""
-    costs, ranks = [], []
+    costs, ranks, bound = [], [], lower_bounds(turns)
     for entry in STATES:
-        found = [search(turns, entry, tuple(0 if s == last else NEVER for s in STATES)) for last in STATES]
+        found = [search(turns, entry, tuple(0 if s == last else NEVER for s in STATES), bound) for last in STATES]
         order = sorted(STATES, key=lambda s: found[s][1])
         costs += [f[0] for f in found]
         ranks += [order.index(s) for s in STATES]
