@@ -20,8 +20,8 @@ from caseloom.llm.common import text_of
 from caseloom.llm.token_files import encoder
 from caseloom.session import literal_table, materialize
 
-#: Column-generation steps and relative gap to the lower bound at which the linear program counts as solved.
-STEPS, GAP = 300, 0.0005
+#: Relative gap to the lower bound at which the linear program counts as solved.
+GAP = 0.0005
 
 
 def _greedy(lengths: list[int], left: list[int], size: int) -> list[tuple[dict[int, int], int]]:
@@ -45,10 +45,10 @@ def _greedy(lengths: list[int], left: list[int], size: int) -> list[tuple[dict[i
     return out
 
 
-def _fractional_start(lengths: list[int], demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A basic solution: patterns filled largest first, each used until one of its lengths is exhausted."""
+def _fractional_start(lengths: list[int], demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """A basic solution: patterns filled largest first, each used until one of its lengths is exhausted (listed last)."""
     left, m = demand.astype(float).copy(), len(lengths)
-    columns, uses = np.zeros((m, m)), np.zeros(m)
+    columns, uses, order = np.zeros((m, m)), np.zeros(m), []
     alive = np.ones(m, bool)
     for j in range(m):
         room, pattern = size, np.zeros(m)
@@ -66,46 +66,64 @@ def _fractional_start(lengths: list[int], demand: np.ndarray, size: int) -> tupl
         left[out] = 0
         alive[out] = False
         columns[:, j] = pattern
-    return columns, uses
+        order.append(out)
+    return columns, uses, order
+
+
+def _inverse(columns: np.ndarray, order: list[int]) -> np.ndarray:
+    """Inverse of the first basis: a pattern holds only lengths not yet exhausted, so in that order it is triangular.
+
+    Sums over the few non-zero entries, without matrix routines: their threads may hang in a process that runs Spark.
+    """
+    low, m = columns[order], len(order)
+    out = np.zeros((m, m))
+    for i in range(m):
+        on = np.nonzero(low[i, :i])[0]
+        out[i] = -(low[i, on][:, None] * out[on]).sum(axis=0)
+        out[i, i] += 1
+        out[i] /= low[i, i]
+    found = np.empty((m, m))
+    found[:, order] = out
+    return found
 
 
 def _knapsack(lengths: np.ndarray, price: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     """Best value of a sequence and its pattern (unbounded copies)."""
-    best, pick = np.zeros(size + 1), np.full(size + 1, -1)
-    by_length = np.argsort(lengths)
-    asc, value = lengths[by_length], price[by_length]
-    for c in range(int(asc[0]), size + 1):
-        k = np.searchsorted(asc, c, side="right")
-        total = best[c - asc[:k]] + value[:k]
-        i = int(np.argmax(total))
+    value, column = np.full(size + 1, -np.inf), np.full(size + 1, -1)
+    value[lengths], column[lengths] = price, np.arange(len(lengths))
+    best, pick = np.zeros(size + 1), np.zeros(size + 1, int)
+    for c in range(int(lengths.min()), size + 1):
+        total = best[c - 1::-1] + value[1:c + 1] if c > 1 else best[:1] + value[1:2]
+        i = int(total.argmax())
         if total[i] > best[c - 1]:
-            best[c], pick[c] = total[i], by_length[i]
+            best[c], pick[c] = total[i], i + 1
         else:
             best[c] = best[c - 1]
     pattern, c = np.zeros(len(lengths)), size
     while c > 0:
-        if pick[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-        else:
-            pattern[pick[c]] += 1
-            c -= int(lengths[pick[c]])
+        if pick[c]:
+            pattern[column[pick[c]]] += 1
+        c -= int(pick[c]) or 1
     return float(best[size]), pattern
 
 
-def plan_patterns(histogram: dict[int, int], size: int, steps: int = STEPS, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> copies) with whole numbers of uses that cover exactly ``histogram`` (length -> count)."""
-    lengths = sorted((n for n, c in histogram.items() if c > 0 and 0 < n <= size), reverse=True)
-    if not lengths:
-        return []
-    size_of, demand = np.array(lengths), np.array([histogram[n] for n in lengths], float)
-    columns, uses = _fractional_start(lengths, demand, size)
-    inverse = np.linalg.inv(columns)
-    for _ in range(steps):
-        price = inverse.sum(axis=0)
+def solve_program(lengths: list[int], demand: np.ndarray, size: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
+    """(patterns as columns, their uses, lower bound of the number of sequences) by column generation.
+
+    Ends when the price test finds no better pattern or the bound is within ``gap``; or, where equal solutions follow each
+    other, after as many steps without progress as there are lengths.
+    """
+    size_of, bound, idle = np.array(lengths), 0.0, 0
+    columns, uses, order = _fractional_start(lengths, demand, size)
+    inverse = _inverse(columns, order)
+    while idle <= len(lengths):
+        price, total = inverse.sum(axis=0), float(uses.sum())
         value, pattern = _knapsack(size_of, price, size)
-        if value <= 1 + 1e-9 or uses.sum() <= (1 + gap) * float(price @ demand) / value:
+        bound = max(bound, float((price * demand).sum()) / max(value, 1.0))
+        if value <= 1 + 1e-9 or total <= (1 + gap) * bound:
             break
-        step = inverse @ pattern
+        held = np.nonzero(pattern)[0]
+        step = (inverse[:, held] * pattern[held]).sum(axis=1)
         on = step > 1e-9
         if not on.any():
             break
@@ -115,9 +133,20 @@ def plan_patterns(histogram: dict[int, int], size: int, steps: int = STEPS, gap:
         uses = uses - ratio[out] * step
         uses[out] = ratio[out]
         columns[:, out] = pattern
-        pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
+        pivot, moved = inverse[out] / step[out], np.nonzero(step)[0]
+        inverse[moved] -= step[moved][:, None] * pivot
         inverse[out] = pivot
+        idle = idle + 1 if uses.sum() > total - 1e-9 else 0
+    return columns, uses, bound
+
+
+def plan_patterns(histogram: dict[int, int], size: int, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length -> copies) with whole numbers of uses that cover exactly ``histogram`` (length -> count)."""
+    lengths = sorted((n for n, c in histogram.items() if c > 0 and 0 < n <= size), reverse=True)
+    if not lengths:
+        return []
+    demand = np.array([histogram[n] for n in lengths], float)
+    columns, uses, _ = solve_program(lengths, demand, size, gap)
     plan, left = [], demand.astype(np.int64)
     for j in np.argsort(-uses):
         copies = columns[:, j].astype(np.int64)

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -92,6 +93,28 @@ def test_plan_covers_the_histogram(seed):
     assert -(-sum(n * c for n, c in h.items()) // size) <= sum(t for _, t in plan) <= largest_first + len(h) // 8 + 2
 
 
+def test_program_is_solved_beside_a_session(spark):
+    """A full histogram, planned in a process that runs Spark: ends at the price test or the gap, and in seconds."""
+    r = np.random.default_rng(0)
+    assert spark.range(10).count() == 10
+    for m in (127, 1023):
+        lengths, demand = list(range(1023, 1023 - m, -1)), r.integers(1, 500, m).astype(float)
+        start = time.monotonic()
+        columns, uses, bound = packing.solve_program(lengths, demand, 1024)
+        assert time.monotonic() - start < 60
+        assert np.allclose((columns * uses).sum(axis=1), demand) and (uses > -1e-6).all()
+        assert ((columns * np.array(lengths)[:, None]).sum(axis=0) <= 1024).all()
+        assert bound - 1e-6 <= uses.sum() <= bound * (1 + packing.GAP) + 1e-6
+        assert bound >= (demand * np.array(lengths)).sum() / 1024 - 1e-6
+
+
+def test_inverse_of_the_first_basis():
+    lengths, demand = [9, 7, 5, 3, 2], np.array([4., 9, 1, 7, 30])
+    columns, _, order = packing._fractional_start(lengths, demand, 20)
+    inverse = packing._inverse(columns, order)
+    assert np.allclose((columns[:, :, None] * inverse[None]).sum(axis=1), np.eye(5))
+
+
 def test_pack(spark):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
