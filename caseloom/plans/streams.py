@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from caseloom.functions.columns import rnd
+from caseloom.functions.columns import hash_unit, rnd
 from caseloom.operators import encode as en, splits as sp, transitions as tr
 from caseloom.plans import episodes as ep, modelsql as ms, sqltext as q
+from caseloom.plans.models import _REM, _WAIT
 from caseloom.plans.registry import query
 from caseloom.plans.traces import MASKED_SQL, _WS, EPI, ERRS, ST, corrupted, masked_candidates
 from caseloom.schema import CLICKS
@@ -49,6 +50,39 @@ def st1(spark, d):
     return spark.read.parquet(out).select("case_id", "event_idx", "pos", "prev1", "prev2", "dt_s", "elapsed_s", "late")
 
 
+DELAY_S, TURNS = 2 * 86_400, 4
+
+
+def shuffled_arrival(spark, d):
+    """The click log in ``TURNS`` parts by an arrival time up to a day after the event, and a last row that tells the time."""
+    ev = t.clicks(spark, d).select("case_id", "event_idx", "us", "activity")
+    lo, hi = ev.agg(F.min("us"), F.max("us")).first()
+    at = F.col("us") + (hash_unit(5, "event_idx") * 86_400_000_000).cast("long")
+    edges = [lo + (hi - lo) * i // TURNS for i in range(1, TURNS)]
+    turn = sum([(at >= e).cast("int") for e in edges], F.lit(0))
+    parts = [ev.where(turn == i) for i in range(TURNS)]
+    return [*parts, on.clock_row(ev, hi + 2 * DELAY_S * 1_000_000)]
+
+
+def event_time_run(spark, d, label, after=lambda f: f):
+    out = on.run_in_turns(shuffled_arrival(spark, d), label, lambda s: after(on.event_time_features(s, f"{DELAY_S} seconds")))
+    return spark.read.parquet(out)
+
+
+@query("st1_event_time_features", q.with_(q.frame("a")) + "SELECT case_id, event_idx, pos, prev1, prev2, dt_s, elapsed_s, false AS late FROM a")
+def st1e(spark, d):
+    return event_time_run(spark, d, "event-time").select("case_id", "event_idx", "pos", "prev1", "prev2", "dt_s", "elapsed_s", "late")
+
+
+@query("st1_online_forecasts", ms.model() + _WAIT + ms.best_context("act >= 0", "wt") + _REM + """SELECT bc.case_id, bc.event_idx, round(exp(lo) - 1, 4) AS dt_lo, round(exp(md) - 1, 4) AS dt_hat, round(exp(hi) - 1, 4) AS dt_hi,
+ round(coalesce(rm.med, (SELECT med FROM rg), 0), 4) AS rem_hat FROM bc JOIN wt ON wt.k = bc.k AND wt.ctx = bc.ctx LEFT JOIN rm ON rm.act = bc.act AND rm.posb = least(bc.pos, 10)""")
+def st1f(spark, d):
+    p = en.prepare(sp.assign_random(t.clicks(spark, d)), CLICKS)
+    m = tr.fit_prepared(p)
+    out = event_time_run(spark, d, "forecasts", lambda f: on.online_forecasts(f, p.vocab, m).select("case_id", "event_idx", "dt_lo", "dt_hat", "dt_hi", "rem_hat"))
+    return out.select("case_id", "event_idx", *[rnd(c, 4).alias(c) for c in ("dt_lo", "dt_hat", "dt_hi", "rem_hat")])
+
+
 @query("st1_online_predictions", ms.model() + ", " + ms.best_context("act >= 0") + "SELECT case_id, event_idx, cls, round(p, 8) AS p FROM bc JOIN pr ON pr.k = bc.k AND pr.ctx = bc.ctx")
 def st1p(spark, d):
     ev = t.clicks(spark, d)

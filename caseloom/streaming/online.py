@@ -1,8 +1,10 @@
 """Structured Streaming forms: online case state, world state, and the two-way episode sink.
 
-Order policy of the online state: inside a micro-batch events of a case are applied in (time, id) order.
-An event older than the last applied one is late: it is emitted with ``late = true`` and never applied
-out of order, so on in-order input the output equals the batch frame row for row.
+Two order policies of the online state.  By arrival (:func:`online_features`): inside a micro-batch events of a case
+are applied in (time, id) order, at once.  By event time (:func:`event_time_features`): events wait until the watermark
+has passed them and are applied in order of time over all micro-batches.  Under both, an event that comes too late for
+its place is emitted with ``late = true`` and never applied out of order, so without late events the output equals the
+batch frame row for row.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caseloom.functions.pyfuncs import by_value
@@ -19,6 +22,8 @@ from caseloom.session import lookup_side, materialize, scratch_path
 from caseloom.sources import episodes as se
 
 ONLINE = "case_id string, event_idx long, us long, activity string, pos long, prev1 string, prev2 string, dt_s double, elapsed_s double, bag string, late boolean"
+FEATURE = Row(*[c.split()[0] for c in ONLINE.split(", ")])
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STATE = "pos long, prev1 string, prev2 string, first_us long, last_us long, last_idx long, bag string"
 
 
@@ -51,13 +56,129 @@ def online_features(stream: DataFrame) -> DataFrame:
     return ev.groupBy("case_id").applyInPandasWithState(by_value(_advance), ONLINE, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def online_predictions(features: DataFrame, vocab: DataFrame, m: tr.TransitionModel) -> DataFrame:
-    """Next-label distribution per streamed event: stream-static joins with the model tables (order-2 contexts)."""
+class CaseClock(StatefulProcessor):
+    """Prefix features of one case in order of event time.
+
+    Events wait in a list state; a timer at the oldest one fires when the watermark has passed it and releases all that
+    are due.  The list holds what arrived within the watermark's delay, never a whole case.  ``idle_ms`` after the last
+    applied event the state of a case is given up.
+    """
+
+    CHUNK = 1000
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_idx long, activity string")
+        self.last = handle.getValueState("last", "pos long, prev1 string, prev2 string, first_us long, last_us long")
+        self.bag = handle.getMapState("bag", "activity string", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        passed, held, oldest = timerValues.getCurrentWatermarkInMs() * 1000, [], None
+        for r in rows:
+            if r["us"] is None or r["activity"] is None:
+                continue
+            if r["us"] < passed:
+                yield FEATURE(key[0], r["event_idx"], r["us"], r["activity"], None, None, None, None, None, None, True)
+                continue
+            held.append((r["us"], r["event_idx"], r["activity"]))
+            oldest = r["us"] if oldest is None else min(oldest, r["us"])
+            if len(held) >= self.CHUNK:
+                self.waiting.appendList(held)
+                held = []
+        if held:
+            self.waiting.appendList(held)
+        if oldest is not None:
+            self.handle.registerTimer(oldest // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
+        due = [e for e in held if e[0] < now * 1000]
+        if due:
+            yield from self._apply(key[0], due)
+            rest = held[len(due):]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            else:
+                self.waiting.clear()
+        if self.idle_ms is not None and len(due) == len(held) and self.last.exists():
+            end = self.last.get()[4] // 1000 + self.idle_ms + 1
+            if end <= now:
+                self.last.clear()
+                self.bag.clear()
+            else:
+                self.handle.registerTimer(end)
+
+    def _apply(self, case, events) -> Iterator[Row]:
+        import json
+
+        pos, p1, p2, first, last = self.last.get() if self.last.exists() else (0, None, None, None, None)
+        bag = {k[0]: v[0] for k, v in self.bag.iterator()} if self.bag.exists() else {}
+        changed = set()
+        for us, idx, activity in events:
+            first = us if first is None else first
+            gap = 0.0 if last is None else (us - last) / 1e6
+            bag[activity] = bag.get(activity, 0) + 1
+            changed.add(activity)
+            yield FEATURE(case, idx, us, activity, pos, p1, p2, max(gap, 0.0), (us - first) / 1e6, json.dumps(bag, sort_keys=True), False)
+            pos, p1, p2, last = pos + 1, activity, p1, us
+        self.last.update((pos, p1, p2, first, last))
+        for activity in changed:
+            self.bag.updateValue((activity,), (bag[activity],))
+
+    def close(self) -> None:
+        pass
+
+
+def event_time_features(stream: DataFrame, delay: str, idle_ms: int | None = None) -> DataFrame:
+    """Prefix features of an event stream (case_id, event_idx, us, activity) in order of event time.
+
+    Rows come out when the watermark, ``delay`` behind the newest event, has passed them.  Rows behind the watermark on
+    arrival come out as late.  Events without time or label only move the watermark (see :func:`clock_row`).  Needs the
+    RocksDB state store (:func:`run_available` selects it).
+    """
+    ev = stream.select("case_id", "event_idx", "us", "activity", F.timestamp_micros("us").alias("_at")).withWatermark("_at", delay)
+    # without the time column Spark does not drop late rows before the processor sees them
+    return ev.drop("_at").groupBy("case_id").transformWithState(by_value(CaseClock)(idle_ms), ONLINE, "Append", "EventTime")
+
+
+def clock_row(df: DataFrame, us) -> DataFrame:
+    """One row of an event stream that only tells the time, as a source sends when it is idle or ends."""
+    t = df.sparkSession.range(1).select(F.lit(us).cast("long").alias("us"))
+    return t.select(*[F.col("us") if c == "us" else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+def online_forecasts(features: DataFrame, vocab: DataFrame, m: tr.TransitionModel) -> DataFrame:
+    """Waiting time (10 %, median, 90 %) and remaining time in seconds per streamed event, from the model's tables."""
+    f = with_context(features.where(~F.col("late")), vocab)
+    hits = []
+    for k in range(m.order, -1, -1):
+        t = m.waits.where(F.col("k") == k).select(F.col("ctx").alias(f"_x{k}"), F.col("ldt").alias(f"_v{k}"))
+        f = f.withColumn(f"_key{k}", tr.context_key(m.order, k)).join(lookup_side(t), F.col(f"_key{k}") == F.col(f"_x{k}"), "left").drop(f"_key{k}", f"_x{k}")
+        hits.append(f"_v{k}")
+    f = f.withColumn("_w", F.coalesce(*hits)).drop(*hits)
+    f = f.withColumns({c: F.expm1(F.col("_w")[i]) for i, c in enumerate(("dt_lo", "dt_hat", "dt_hi"))}).drop("_w")
+    whole = m.remain_all.agg(F.max("rem_all")).first()[0]
+    rem = m.remains.select(F.col("act").alias("_ra"), F.col("posb").alias("_rp"), "rem_med")
+    f = f.join(lookup_side(rem), (F.col("act") == F.col("_ra")) & (F.least("pos", F.lit(tr.REM_BUCKETS)) == F.col("_rp")), "left")
+    return f.withColumn("rem_hat", F.coalesce("rem_med", F.lit(whole), F.lit(0.0))).drop("_ra", "_rp", "rem_med")
+
+
+def with_context(features: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Label ids of the current and the previous event, by stream-static joins."""
     v = vocab.select("value", "id")
-    f = features.where(~F.col("late"))
-    f = f.join(lookup_side(v.withColumnRenamed("id", "_a")), f["activity"] == F.col("value"), "left").drop("value")
+    f = features.join(lookup_side(v.withColumnRenamed("id", "_a")), features["activity"] == F.col("value"), "left").drop("value")
     f = f.join(lookup_side(v.select(F.col("value").alias("_p"), F.col("id").alias("_i1"))), F.col("prev1") == F.col("_p"), "left").drop("_p")
-    f = f.withColumns({"act": F.coalesce("_a", F.lit(1)), "id1": F.when(F.col("prev1").isNotNull(), F.coalesce("_i1", F.lit(1)))}).drop("_a", "_i1")
+    return f.withColumns({"act": F.coalesce("_a", F.lit(1)), "id1": F.when(F.col("prev1").isNotNull(), F.coalesce("_i1", F.lit(1)))}).drop("_a", "_i1")
+
+
+def online_predictions(features: DataFrame, vocab: DataFrame, m: tr.TransitionModel) -> DataFrame:
+    """Next-label distribution per streamed event: stream-static joins with the model tables (order-2 contexts)."""
+    f = with_context(features.where(~F.col("late")), vocab)
     hits = []
     for k in range(m.order, -1, -1):
         t = m.probs.where(F.col("k") == k).select(F.col("ctx").alias(f"_x{k}"), F.col("probs").alias(f"_v{k}"))
@@ -66,17 +187,39 @@ def online_predictions(features: DataFrame, vocab: DataFrame, m: tr.TransitionMo
     return f.withColumn("probs", F.coalesce(*hits)).drop(*hits)
 
 
-def run_available(df: DataFrame, label: str, mode: str = "append", on_batch=None) -> str:
-    """Process everything available into a Parquet folder (or through ``on_batch``) and return the folder."""
+def run_available(df: DataFrame, label: str, mode: str = "append", on_batch=None, to: tuple[str, str] | None = None) -> str:
+    """Process everything available into a Parquet folder (or through ``on_batch``) and return the folder.
+
+    ``to`` names output and checkpoint of an earlier run that goes on.
+    """
     spark = df.sparkSession
-    out, ck = scratch_path(spark, label), scratch_path(spark, f"{label}-ck")
+    out, ck = to or (scratch_path(spark, label), scratch_path(spark, f"{label}-ck"))
     w = df.writeStream.outputMode(mode).option("checkpointLocation", ck).trigger(availableNow=True)
     w = w.foreachBatch(on_batch(out)) if on_batch else w.format("parquet").option("path", out)
-    q = w.start()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = w.start()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
     q.awaitTermination()
     return out
 
 
+def run_in_turns(parts: list[DataFrame], label: str, build) -> str:
+    """Let ``parts`` arrive one after the other, each processed before the next one comes; returns the output folder.
+
+    ``build`` makes the streaming query of the arrival folder.  State and watermark pass from turn to turn through the
+    checkpoint, as after a restart.
+    """
+    spark = parts[0].sparkSession
+    inbox, *to = (scratch_path(spark, f"{label}-{part}") for part in ("inbox", "out", "ck"))
+    for part in parts:
+        part.write.mode("append").parquet(inbox)
+        run_available(build(event_stream(spark, inbox, parts[0].schema)), label, to=tuple(to))
+    return to[0]
+
+
 def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
     r = spark.readStream.schema(schema).format(fmt).option("columnNameOfCorruptRecord", "_corrupt")
     return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).load(folder)
