@@ -28,7 +28,7 @@ from caseloom.llm.common import measured_side, text_of
 from caseloom.session import materialize
 
 #: Words of a block, bytes of a text that are cut into words at once, rows of an output batch, bits of the map of pairs.
-BLOCK, SLICE, ROWS, MAP_BITS = 1 << 20, 1 << 22, 1 << 17, 24
+BLOCK, SLICE, ROWS, MAP_BITS = 1 << 19, 1 << 22, 1 << 14, 24
 #: No byte of UTF-8 text has this value, so it can stand for a border between pieces.
 BORDER = b"\xff"
 _FOLD = bytes(BORDER[0] if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
