@@ -6,41 +6,83 @@ import json
 import re
 import sys
 
+import numpy as np
+
+
+#: Table cells that one call holds at once.
+CELLS = 1 << 21
+
+
+def _padded(seqs: list, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(s) for s in seqs])
+    out = np.full((len(seqs), max(1, sizes.max())), fill, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = [x for s in seqs for x in s]
+    return out, sizes
+
+
+def edit_distances(a: list, b: list) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distances of pairs (a[k], b[k]) of label id sequences, all pairs at once.
+
+    The table is filled by anti-diagonals.  Where a label of one side last stood on the other side follows from the
+    labels alone, so it is laid out before; shorter pairs read their cell of the padded table.
+    """
+    (x, n), (y, m) = _padded(a, -1), _padded(b, -2)
+    count, rows, cols = len(a), x.shape[1], y.shape[1]
+    same = x[:, :, None] == y[:, None, :]
+    above, before = np.zeros(same.shape, np.int32), np.zeros(same.shape, np.int32)  # last row above, last column before, with a match
+    above[:, 1:] = np.maximum.accumulate(np.where(same, np.arange(1, rows + 1)[:, None], 0), axis=1)[:, :-1]
+    before[:, :, 1:] = np.maximum.accumulate(np.where(same, np.arange(1, cols + 1), 0), axis=2)[:, :, :-1]
+    wide, far = cols + 2, rows + cols
+    table = np.full((count, rows + 2, wide), far, np.int32)
+    table[:, 1:, 1], table[:, 1, 1:] = np.arange(rows + 1), np.arange(cols + 1)
+    flat = table.reshape(count, -1)
+    for k in range(2, rows + cols + 1):
+        i = np.arange(max(1, k - cols), min(rows, k - 1) + 1)
+        j = k - i
+        up, left = above[:, i - 1, j - 1], before[:, i - 1, j - 1]
+        swap = np.take_along_axis(flat, up * wide + left, 1) + (k - 1 - up - left)
+        step = np.minimum(flat[:, i * wide + j + 1], flat[:, (i + 1) * wide + j]) + 1
+        flat[:, (i + 1) * wide + j + 1] = np.minimum(np.minimum(flat[:, i * wide + j] + ~same[:, i - 1, j - 1], step), swap)
+    return table[np.arange(count), n + 1, m + 1]
+
+
+def similarities(pairs: list[tuple[tuple, tuple]]) -> np.ndarray:
+    """1 - unrestricted Damerau-Levenshtein distance / longer length; two empty sequences are identical.
+
+    Pairs of similar length are scored together, so that little is padded.
+    """
+    longer = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
+    order, out, at = np.argsort(longer, kind="stable"), np.ones(len(pairs)), 0
+    at = int(np.searchsorted(longer[order], 1))
+    while at < len(pairs):
+        size = int(longer[order[at]])
+        limit = size + size // 4
+        end = min(int(np.searchsorted(longer[order], limit, side="right")), at + max(1, CELLS // (limit + 2) ** 2))
+        part = order[at:end]
+        out[part] = 1.0 - edit_distances([pairs[k][0] for k in part], [pairs[k][1] for k in part]) / longer[part]
+        at = end
+    return out
+
 
 def similarity(a, b) -> float:
-    """1 - unrestricted Damerau-Levenshtein distance / longer length; two empty lists are identical."""
-    a, b = list(a), list(b)
-    n, m = len(a), len(b)
-    if not n and not m:
-        return 1.0
-    far = n + m
-    last: dict = {}
-    d = [[far] * (m + 2) for _ in range(n + 2)]
-    for i in range(n + 1):
-        d[i + 1][1] = i
-    for j in range(m + 1):
-        d[1][j + 1] = j
-    for i, x in enumerate(a, 1):
-        seen = 0
-        for j, y in enumerate(b, 1):
-            swap_i, swap_j = last.get(y, 0), seen
-            cost = 0 if x == y else 1
-            if not cost:
-                seen = j
-            d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1,
-                                  d[swap_i][swap_j] + (i - swap_i - 1) + 1 + (j - swap_j - 1))
-        last[x] = i
-    return 1.0 - d[n + 1][m + 1] / max(n, m)
-
-
-def medoid_of(samples) -> tuple[int, float]:
-    """(index most similar to the others, mean pair similarity); the number of samples is a small parameter."""
-    ss = [tuple(s) for s in samples]
-    k = len(ss)
-    sim = [[similarity(p, q) for q in ss] for p in ss]
-    tot = [sum(sim[i][j] for j in range(k) if j != i) for i in range(k)]
-    best = max(range(k), key=lambda i: (round(tot[i], 12), -i))
-    return best, (sum(tot) / (k * (k - 1)) if k > 1 else 1.0)
+    return float(similarities([(tuple(a), tuple(b))])[0])
+
+
+def medoids(rows: list) -> list[tuple[int, float]]:
+    """Per list of samples: (index most similar to the others, mean pair similarity); each pair of values is scored once."""
+    lists = [[tuple(s) for s in samples] for samples in rows]
+    index: dict = {}
+    for ss in lists:
+        for i, p in enumerate(ss):
+            for q in ss[:i]:
+                index.setdefault((min(p, q), max(p, q)), len(index))
+    sims = similarities(list(index))
+    out = []
+    for ss in lists:
+        k = len(ss)
+        tot = [sum(float(sims[index[(min(p, q), max(p, q))]]) for j, q in enumerate(ss) if j != i) for i, p in enumerate(ss)]
+        out.append((max(range(k), key=lambda i: (round(tot[i], 12), -i)), sum(tot) / (k * (k - 1)) if k > 1 else 1.0))
+    return out
 
 
 def by_value(fn):

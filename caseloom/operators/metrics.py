@@ -126,25 +126,33 @@ def interval(df: DataFrame, lo: str, hi: str, true: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sequences
 def _dl_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    seen: dict = {}
-    out = []
-    for x, y in zip(a, b):
-        key = (tuple(x), tuple(y))
-        if key not in seen:
-            seen[key] = pyfuncs.similarity(*key)
-        out.append(seen[key])
-    return pd.Series(out, dtype="float64")
+    pairs = [(tuple(x), tuple(y)) for x, y in zip(a, b)]
+    index: dict = {}
+    at = [index.setdefault(p, len(index)) for p in pairs]
+    return pd.Series(pyfuncs.similarities(list(index))[at] if at else [], dtype="float64")
 
 
 def _medoid_batch(samples: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([pyfuncs.medoid_of(s) for s in samples], columns=["medoid", "mean_pair"])
+    return pd.DataFrame(pyfuncs.medoids(list(samples)), columns=["medoid", "mean_pair"])
 
 
 def dl_similarity(a, b) -> Column:
-    """Normalised Damerau-Levenshtein similarity of two id arrays, in Arrow batches; a repeated pair is scored once per batch."""
+    """Normalised Damerau-Levenshtein similarity of two id arrays, in Arrow batches; a repeated pair is scored once per batch,
+    and the pairs of a batch are scored together."""
     return F.pandas_udf(by_value(_dl_batch), T.DoubleType())(a, b)
 
 
+def pair_similarity(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, pred, true, w, sim): different pairs with their weight, each scored once."""
+    pairs = df.groupBy(*(by or []), "pred", "true").agg(F.count(F.lit(1)).alias("w"))
+    return pairs.withColumn("sim", dl_similarity("pred", "true"))
+
+
+def similarity_by_length(df: DataFrame) -> DataFrame:
+    pairs = pair_similarity(df.withColumn("bucket", prefix_bucket(F.col("pos") + 1)), ["bucket"])
+    return pairs.groupBy("bucket").agg(rnd(wavg("sim")).alias("similarity"), F.sum("w").alias("n"))
+
+
 def medoid(samples) -> Column:
     """struct<medoid, mean_pair> of a short array of id arrays."""
     out = T.StructType([T.StructField("medoid", T.IntegerType()), T.StructField("mean_pair", T.DoubleType())])
@@ -153,13 +161,13 @@ def medoid(samples) -> Column:
 
 def suffix_report(df: DataFrame, max_len: int, terminal_ids: list[int]) -> DataFrame:
     """Similarity, exact match, termination and coherence of predicted suffixes (``pred``/``true`` id arrays)."""
-    s = df.withColumn("sim", dl_similarity("pred", "true"))
+    s = pair_similarity(df)
     head = F.slice("pred", 1, F.greatest(F.size("pred") - 1, F.lit(0)))
     cont = F.exists(head, lambda a: a.isin(terminal_ids))
     return s.agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.avg("sim")).alias("similarity"), rnd(F.avg((F.col("pred") == F.col("true")).cast("double"))).alias("exact"),
-        rnd(F.avg((F.size("pred") < max_len).cast("double"))).alias("terminated"), rnd(F.avg(cont.cast("double"))).alias("post_terminal"),
-        rnd(F.avg(F.size("pred"))).alias("len_pred"), rnd(F.avg(F.size("true"))).alias("len_true"))
+        F.sum("w").alias("n"), rnd(wavg("sim")).alias("similarity"), rnd(wavg((F.col("pred") == F.col("true")).cast("double"))).alias("exact"),
+        rnd(wavg((F.size("pred") < max_len).cast("double"))).alias("terminated"), rnd(wavg(cont.cast("double"))).alias("post_terminal"),
+        rnd(wavg(F.size("pred"))).alias("len_pred"), rnd(wavg(F.size("true"))).alias("len_true"))
 
 
 def step_errors(df: DataFrame, steps: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from caseloom.functions.columns import hash_unit, prefix_bucket, rnd
+from caseloom.functions.columns import hash_unit, rnd
 from caseloom.operators import bootstrap as bo, frame as fr, metrics as me, rollout as ro, transitions as tr
 from caseloom.operators.ranking import exact_quantiles
 from caseloom.plans import modelsql as ms, sqltext as q
@@ -109,10 +109,9 @@ def v11(spark, d):
 
 
 # ------------------------------------------------------------------ continuations
-MAX_LEN = 12
-LONGEST = 64
+MAX_LEN = 50
 TEXT = "array_to_string(list_transform({}, lambda x: chr(65 + x)), '')"
-_TRUE = f"""tv AS MATERIALIZED (SELECT p.case_id, p.pos, p.id1, p.act, list(x.act ORDER BY x.pos) AS tru FROM e p JOIN e x ON x.case_id = p.case_id AND x.pos > p.pos WHERE p.split = 'test' AND p.complete AND p.pos < p.n - 1 AND p.n <= {LONGEST} GROUP BY ALL),
+_TRUE = f"""tv AS MATERIALIZED (SELECT p.case_id, p.pos, p.id1, p.act, list(x.act ORDER BY x.pos) AS tru FROM e p JOIN e x ON x.case_id = p.case_id AND x.pos > p.pos WHERE p.split = 'test' AND p.complete AND p.pos < p.n - 1 GROUP BY ALL),
 gp AS MATERIALIZED (SELECT tv.case_id, tv.pos, suffix AS pred, tru FROM tv JOIN rx ON rx.s2 = tv.act AND rx.s1 IS NOT DISTINCT FROM tv.id1) """
 GREEDY = recursive(ms.model("b") + rollout_sql(MAX_LEN)) + ", " + _TRUE
 SIM = f"CASE WHEN len(pred) = 0 AND len(tru) = 0 THEN 1.0::DOUBLE ELSE 1 - damerau_levenshtein({TEXT.format('pred')}, {TEXT.format('tru')}) / greatest(len(pred), len(tru)) END"
@@ -152,8 +151,7 @@ query("v14_step_errors", GREEDY + f", st2 AS (SELECT unnest(range(least(len(pred
     lambda s, d: me.step_errors(greedy_pairs(s, d)[2]))
 BUCKET = "CASE WHEN pos + 1 = 1 THEN '1' WHEN pos + 1 = 2 THEN '2' WHEN pos + 1 = 3 THEN '3' WHEN pos + 1 <= 5 THEN '4-5' WHEN pos + 1 <= 10 THEN '6-10' WHEN pos + 1 <= 20 THEN '11-20' ELSE '21-10000' END"
 query("v14_similarity_by_length", GREEDY + f"SELECT {BUCKET} AS bucket, round(avg({SIM}), 6) AS similarity, count(*) AS n FROM gp GROUP BY 1")(
-    lambda s, d: greedy_pairs(s, d)[2].withColumn("sim", me.dl_similarity("pred", "true")).groupBy(prefix_bucket(F.col("pos") + 1).alias("bucket")).agg(
-        rnd(F.avg("sim")).alias("similarity"), F.count(F.lit(1)).alias("n")))
+    lambda s, d: me.similarity_by_length(greedy_pairs(s, d)[2]))
 
 
 _SS = SIM.replace("pred", "suffix")

@@ -83,6 +83,41 @@ def test_similarity_matches_brute_force(a, b):
     assert abs(pyfuncs.similarity(a, b) - brute_similarity(tuple(a), tuple(b))) < 1e-12
 
 
+def cell_by_cell(a, b):
+    """The distance of one pair by the usual table with the last matching row of each label."""
+    far, last = len(a) + len(b), {}
+    d = {(i, j): far if i < 0 or j < 0 else i + j for i in range(-1, len(a) + 1) for j in range(-1, len(b) + 1)}
+    for i, x in enumerate(a, 1):
+        seen = 0
+        for j, y in enumerate(b, 1):
+            up, left = last.get(y, 0), seen
+            seen = j if x == y else seen
+            d[i, j] = min(d[i - 1, j - 1] + (x != y), d[i, j - 1] + 1, d[i - 1, j] + 1, d[up - 1, left - 1] + (i - up - 1) + 1 + (j - left - 1))
+        last[x] = i
+    return d[len(a), len(b)]
+
+
+def test_similarities_of_many_pairs_at_once(monkeypatch):
+    r = random.Random(4)
+    seq = lambda n, k: tuple(r.randrange(k) for _ in range(n))
+    pairs = [(seq(r.randrange(9), 3), seq(r.randrange(9), 3)) for _ in range(300)]
+    pairs += [(seq(r.choice([0, 30, 61, 200]), 12), seq(r.choice([1, 25, 60, 200]), 12)) for _ in range(30)] + [((), ()), ((5,), (5,))]
+    pairs += [(p, p[:7] + p[8:] + (1,)) for p in (seq(250, 5), seq(13, 2))]
+    want = [1.0 if not a and not b else 1 - cell_by_cell(a, b) / max(len(a), len(b)) for a, b in pairs]
+    assert np.allclose(pyfuncs.similarities(pairs), want, atol=1e-12)
+    monkeypatch.setattr(pyfuncs, "CELLS", 3000)
+    assert np.allclose(pyfuncs.similarities(pairs), want, atol=1e-12) and len(pyfuncs.similarities([])) == 0
+
+
+def test_medoids_of_many_rows():
+    r = random.Random(5)
+    rows = [[[r.randrange(3) for _ in range(r.randrange(6))] for _ in range(k)] for k in (1, 2, 4, 4, 5, 5)]
+    for ss, (best, mean) in zip(rows, pyfuncs.medoids(rows)):
+        tot = [sum(pyfuncs.similarity(p, q) for j, q in enumerate(ss) if j != i) for i, p in enumerate(ss)]
+        assert best == max(range(len(ss)), key=lambda i: (round(tot[i], 12), -i))
+        assert abs(mean - (sum(tot) / (len(ss) * (len(ss) - 1)) if len(ss) > 1 else 1.0)) < 1e-12
+
+
 def test_metric_sanity(spark):
     assert pyfuncs.similarity([1, 2, 3], [1, 2, 3]) == 1.0 and pyfuncs.similarity([], [1, 2]) == 0.0 and 0 < pyfuncs.similarity([1, 3, 2], [1, 2, 3]) < 1
     df = spark.createDataFrame([([0.9, 0.1], int(i == 9)) for i in range(10)], "probs array<double>, y_id int")
