@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from caseloom.functions.columns import rnd
 from caseloom.operators import metrics as me, transitions as tr
 from caseloom.operators.ranking import exact_quantiles, global_rank
-from caseloom.session import stage_if_large
 
 COVERAGES = (1.0, 0.9, 0.8, 0.7, 0.5, 0.3)
 TENTHS = tuple(i / 10 for i in range(1, 11))
@@ -31,12 +30,9 @@ def selective(scored: DataFrame) -> DataFrame:
     return wide.select(rnd(mean10).alias("mean10"), rows)
 
 
-def epistemic(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """Per row: entropy of the mean forecast and mutual information (entropy of the mean minus mean entropy)."""
-    preds = stage_if_large(preds, "predictions")
-    mean = tr.ensemble(preds, [*keys, "y_id"])
-    single = preds.groupBy(*keys).agg(F.avg(me.entropy(F.col("probs"))).alias("_h"))
-    return me.score(mean).join(single, keys).withColumn("mi", F.col("entropy") - F.col("_h")).drop("_h")
+def epistemic(mean: DataFrame) -> DataFrame:
+    """Scored rows of :func:`transitions.predict_mean` with the mutual information: entropy of the mean minus mean entropy."""
+    return me.score(mean).withColumn("mi", F.col("entropy") - F.col("mean_entropy")).drop("mean_entropy")
 
 
 def uncertainty_report(rows: DataFrame) -> DataFrame:

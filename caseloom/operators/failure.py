@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.columns import distance_bucket, rnd
-from caseloom.operators import metrics as me, sequence as S, transitions as tr
+from caseloom.operators import metrics as me, sequence as S, sparse, transitions as tr
 from caseloom.operators.frame import drop_event
 
 
@@ -68,8 +68,8 @@ def forgetting(frame: DataFrame, m: tr.TransitionModel, informative: Column) ->
     cols = tr.context_columns(m.order)
     base = tr.predict_next(f.where((F.col("pos") > F.col("i0")) & (F.col("pos") < F.col("n") - 1)).select("case_id", "pos", "i0", *cols), m)
     cut = tr.predict_next(drop_event(f, F.col("pos") == F.col("i0")).select("case_id", (F.col("pos") + 1).alias("pos"), *cols), m)
-    j = base.join(cut.select("case_id", "pos", F.col("probs").alias("q")), ["case_id", "pos"])
-    kl = F.aggregate(F.zip_with("probs", "q", lambda p, q: p * (F.ln(p + 1e-9) - F.ln(q + 1e-9))), F.lit(0.0), lambda a, x: a + x)
+    j = base.join(cut.select("case_id", "pos", F.col("dist").alias("q")), ["case_id", "pos"])
+    kl = sparse.divergence("dist", "q")
     return j.groupBy(distance_bucket(F.col("pos") - F.col("i0")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(kl)).alias("kl"))
 
 
@@ -79,8 +79,3 @@ def worst_suffixes(pairs: DataFrame, k: int = 3, min_len: int = 3) -> DataFrame:
     return s.orderBy("sim", "case_id", "pos").limit(k).select(
         "case_id", "pos", "sim", F.array_join("pred", ",").alias("pred"), F.array_join("true", ",").alias("true"))
 
-
-def top_classes(probs: Column, k: int = 3) -> Column:
-    """The k most probable class ids, lowest id first on ties."""
-    ranked = F.array_sort(F.transform(probs, lambda p, i: F.struct((-p).alias("p"), i.alias("i"))))
-    return F.transform(F.slice(ranked, 1, k), lambda s: s["i"])

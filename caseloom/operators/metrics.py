@@ -1,4 +1,7 @@
-"""Evaluation metrics as weighted aggregates.  Scored tables carry ``probs``, ``y_id`` and optionally ``w``."""
+"""Evaluation metrics as weighted aggregates.
+
+Scored tables carry ``y_id``, optionally ``w``, and a forecast: ``dist`` (see ``sparse``) or, from learners, dense ``probs``.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from caseloom.functions import pyfuncs
 from caseloom.functions.pyfuncs import by_value
 from caseloom.functions.columns import EOS, first_argmax, prefix_bucket, rnd
+from caseloom.operators import sparse
 from caseloom.operators.ranking import average_rank, exact_quantiles
 from caseloom.session import stage_if_large
 
@@ -29,10 +33,15 @@ def entropy(probs: Column, bits: bool = False) -> Column:
 
 def score(df: DataFrame) -> DataFrame:
     """Per-row quantities every metric needs: p_y, pred, conf, correct, rank of the truth, entropy, Brier."""
-    p = F.col("probs")
-    py = F.element_at(p, F.col("y_id") + 1)
     if "w" not in df.columns:
         df = df.withColumn("w", F.lit(1))
+    if "dist" in df.columns:  # no list of all classes
+        df = df.withColumns({"p_y": sparse.prob("dist", "y_id"), "pred": sparse.argmax("dist")})
+        return df.withColumns({
+            "nll": -F.ln(clip(F.col("p_y"))), "conf": sparse.top("dist"), "rank_y": sparse.rank("dist", "y_id"), "entropy": sparse.entropy("dist"),
+            "brier": sparse.over("dist", lambda p: p * p) - 2 * F.col("p_y") + 1, "correct": (F.col("pred") == F.col("y_id")).cast("double")})
+    p = F.col("probs")
+    py = F.element_at(p, F.col("y_id") + 1)
     # classes placed before the truth: larger probability, or equal with a lower index
     ahead = F.size(F.filter(p, lambda x, i: (x > py) | ((x == py) & (i < F.col("y_id")))))
     return df.withColumns({
@@ -81,18 +90,21 @@ def ece(scored: DataFrame, bins: int = 15) -> DataFrame:
 
 def temper(probs: Column, t: Column) -> Column:
     z = F.transform(probs, lambda p: F.ln(clip(p)) / t)
-    top = F.array_max(z)
-    e = F.transform(z, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / _sum(e))
+    e = sparse.bind(z, lambda x: sparse.bind(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return sparse.bind(e, lambda x: sparse.bind(_sum(x), lambda s: F.transform(x, lambda v: v / s)))
 
 
 def temperature_curve(scored: DataFrame) -> DataFrame:
     """(i, t, nll) over the fixed grid; the grid is an array literal, so nothing is joined."""
     grid = F.posexplode(F.array(*[F.lit(t) for t in TEMPERATURES])).alias("i", "t")
-    rows = scored.select("probs", "y_id", "w", grid)
-    z = F.transform(F.col("probs"), lambda p: F.ln(clip(p)) / F.col("t"))
-    lse = F.array_max(z) + F.ln(_sum(F.transform(z, lambda v: F.exp(v - F.array_max(z)))))
-    return rows.withColumn("nll", lse - F.element_at(z, F.col("y_id") + 1)).groupBy("i", "t").agg(wavg("nll").alias("nll"))
+    if "dist" in scored.columns:
+        rows = scored.select("dist", "y_id", "w", grid)
+        nll = sparse.log_scale("dist", "t") - F.ln(clip(sparse.prob("dist", "y_id"))) / F.col("t")
+    else:
+        rows = scored.select("probs", "y_id", "w", grid)
+        z = F.transform(F.col("probs"), lambda p: F.ln(clip(p)) / F.col("t"))
+        nll = sparse.bind(z, lambda x: sparse.bind(F.array_max(x), lambda m: m + F.ln(_sum(F.transform(x, lambda v: F.exp(v - m))))) - F.element_at(x, F.col("y_id") + 1))
+    return rows.withColumn("nll", nll).groupBy("i", "t").agg(wavg("nll").alias("nll"))
 
 
 def fit_temperature(scored: DataFrame) -> DataFrame:
@@ -102,7 +114,11 @@ def fit_temperature(scored: DataFrame) -> DataFrame:
 
 def apply_temperature(df: DataFrame, temperature: DataFrame) -> DataFrame:
     t = temperature.agg(F.max("temperature").alias("t")).scalar()
-    return df.withColumn("_t", t).withColumn("probs", temper(F.col("probs"), F.col("_t"))).drop("_t")
+    df = df.withColumn("_t", t)
+    if "dist" in df.columns:
+        df = df.withColumn("dist", sparse.temper("dist", "_t"))
+        return df.withColumn("probs", sparse.dense("dist")).drop("_t")
+    return df.withColumn("probs", temper(F.col("probs"), F.col("_t"))).drop("_t")
 
 
 def by_prefix_length(scored: DataFrame) -> DataFrame:

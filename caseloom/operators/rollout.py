@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.columns import EOS, hash_unit
+from caseloom.operators import sparse
 from caseloom.operators.metrics import dl_similarity, medoid
 from caseloom.operators.transitions import TransitionModel, argmax_table, context_columns, context_key
 from caseloom.session import lookup_side, materialize, materialize_counted
@@ -108,21 +109,16 @@ def greedy(prefixes: DataFrame, m: TransitionModel, max_len: int = 50) -> DataFr
     return prefixes.withColumn("_key", _key(cols)).join(done, "_key").drop("_key")
 
 
-def cumulative(probs: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(probs)), lambda n: F.aggregate(F.slice(probs, 1, n), F.lit(0.0), lambda a, b: a + b))
-
-
 def sample(prefixes: DataFrame, m: TransitionModel, max_len: int, n: int = 5, seed: int = 0, every: int = 8) -> DataFrame:
     """(case_id, pos, sample, suffix): ancestral continuations; each draw is a hash of (case, pos, sample, step)."""
-    table = materialize(m.probs.select("k", "ctx", cumulative(F.col("probs")).alias("cum")), "cumulative")
-    uniform = F.array(*[F.lit((i + 1) / m.size) for i in range(m.size)])
+    table = materialize(m.probs.select("k", "ctx", "dist"), "distributions")
     front = _start(prefixes.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
 
     def pick(step: int) -> Column:
         u = hash_unit(seed, "case_id", "pos", "sample", F.lit(step))
-        return F.least(F.size(F.filter("_v", lambda c: c <= u)), F.lit(m.size - 1))
+        return sparse.draw("_v", u)
 
-    return _loop(front, table, "cum", uniform, pick, m.order, max_len, every)
+    return _loop(front, table, "dist", sparse.uniform(m.size), pick, m.order, max_len, every)
 
 
 def consensus(samples: DataFrame, truth: DataFrame, keys=("case_id", "pos")) -> DataFrame:

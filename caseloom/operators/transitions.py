@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caseloom.operators import sparse
 from caseloom.operators.encode import Prepared
 from caseloom.operators.ranking import exact_quantiles
 from caseloom.session import lookup_side
@@ -44,11 +45,15 @@ def transition_counts(train: DataFrame, order: int, weight: Column | None = None
 
 
 def smooth(counts: DataFrame, size: int, alpha: float) -> DataFrame:
-    """(k, ctx, total, probs): dense smoothed distribution per context."""
-    g = counts.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("_m"))
-    p = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                    lambda i: (F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)) + alpha) / (F.col("total") + alpha * size))
-    return g.select("k", "ctx", "total", p.alias("probs"))
+    """(k, ctx, total, dist): smoothed distribution per context, listing the classes that follow it (see ``sparse``)."""
+    g = counts.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("y", "n"))).alias("_p"))
+    return g.select("k", "ctx", "total", sparse.smoothed(F.col("_p"), F.col("total"), size, alpha).alias("dist"))
+
+
+def floor_vectors(counts: DataFrame, size: int, floor: float = 1e-6) -> DataFrame:
+    """(k, ctx, dist): shares of the classes that follow a context, ``floor`` for all others, scaled to sum to one."""
+    g = counts.groupBy("k", "ctx").agg(F.sum("n").alias("_t"), F.sort_array(F.collect_list(F.struct("y", "n"))).alias("_p"))
+    return g.select("k", "ctx", sparse.floored(F.col("_p"), F.col("_t"), size, floor).alias("dist"))
 
 
 @dataclass
@@ -57,7 +62,7 @@ class TransitionModel:
     alpha: float
     size: int
     counts: DataFrame  # k, ctx, y, n
-    probs: DataFrame  # k, ctx, total, probs
+    probs: DataFrame  # k, ctx, total, dist
     waits: DataFrame  # k, ctx, ldt array<q10, median, q90> of log1p seconds
     remains: DataFrame  # act, posb, rem_med
     remain_all: DataFrame  # one row: global median
@@ -113,10 +118,32 @@ def _lookup_backoff(df: DataFrame, table: DataFrame, order: int, value: str, out
 
 
 def predict_next(df: DataFrame, m: TransitionModel) -> DataFrame:
-    """Add ``probs`` (dense) and the context order used; unseen everywhere means uniform."""
-    out = _lookup_backoff(df, m.probs, m.order, "probs", "probs")
-    uniform = F.transform(F.sequence(F.lit(0), F.lit(m.size - 1)), lambda i: F.lit(1.0 / m.size))
-    return out.withColumn("probs", F.coalesce("probs", uniform))
+    """Add ``dist`` and the context order used; unseen everywhere means uniform.
+
+    ``probs`` lists all classes; it is an expression on ``dist`` and costs nothing where it is not read.
+    """
+    out = _lookup_backoff(df, m.probs, m.order, "dist", "dist").withColumnRenamed("dist_k", "probs_k")
+    return with_probs(out.withColumn("dist", F.coalesce("dist", sparse.uniform(m.size))))
+
+
+def with_probs(df: DataFrame) -> DataFrame:
+    return df.withColumn("probs", sparse.dense("dist"))
+
+
+def predict_mean(df: DataFrame, models: list[TransitionModel]) -> DataFrame:
+    """Add ``dist``, the mean forecast of several models, and ``mean_entropy`` of the single ones.
+
+    Forecasts depend on the context alone, so models are looked up and mixed once per *distinct* context.
+    """
+    order = max(m.order for m in models)
+    cols = context_columns(order)
+    keyed = df.withColumn("_ck", _full_key(order))
+    each = keyed.select("_ck", *cols).distinct()
+    for i, m in enumerate(models):
+        each = predict_next(each, m).drop("probs", "probs_k").withColumnRenamed("dist", f"_d{i}")
+    all_ = F.array(*[F.col(f"_d{i}") for i in range(len(models))])
+    mean = each.select("_ck", sparse.mixture(all_).alias("dist"), (sum([sparse.entropy(f"_d{i}") for i in range(len(models))], F.lit(0.0)) / len(models)).alias("mean_entropy"))
+    return with_probs(keyed.join(lookup_side(mean, "mean-forecasts"), "_ck").drop("_ck"))
 
 
 def predict_wait(df: DataFrame, m: TransitionModel) -> DataFrame:
@@ -152,31 +179,15 @@ def laplace_sf(mu, b, x) -> Column:
     return F.when(x < mu, 1 - 0.5 * F.exp(z)).otherwise(0.5 * F.exp(-z))
 
 
-# ------------------------------------------------------------------ class vectors
-def floor_probs(probs: Column, floor: float = 1e-6) -> Column:
-    """Every class gets at least ``floor``; the vector is renormalised."""
-    lifted = F.transform(probs, lambda p: F.greatest(p, F.lit(floor)))
-    total = F.aggregate(lifted, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(lifted, lambda p: p / total)
-
-
-def dense_probs(pairs: Column, size: int, floor: float = 1e-6) -> Column:
-    """Class-complete vector from a map class -> p; absent classes get ``floor``, then renormalise."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(pairs, i), F.lit(floor)))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(raw, lambda p: p / total)
-
-
-def ensemble(preds: DataFrame, keys: list[str], probs: str = "probs") -> DataFrame:
-    """Mean probability vector over models: average per (row, class), re-assembled in class order."""
-    long = preds.select(*keys, F.posexplode(probs).alias("cls", "p"))
-    avg = long.groupBy(*keys, "cls").agg(F.avg("p").alias("p"))
-    return avg.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("cls", "p"))), lambda s: s["p"]).alias(probs))
+# ------------------------------------------------------------------ class distributions
+def ensemble(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean distribution over the forecasts of each key; their number is that of the models."""
+    return preds.groupBy(*keys).agg(F.collect_list("dist").alias("_d")).select(*keys, sparse.mixture(F.col("_d")).alias("dist"))
 
 
 def argmax_table(m: TransitionModel) -> DataFrame:
     """(k, ctx, best): greedy next label per context, lowest id on ties."""
-    return m.probs.select("k", "ctx", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("best"))
+    return m.probs.select("k", "ctx", sparse.argmax("dist").alias("best"))
 
 
 def component_counts(train: DataFrame, vocab: DataFrame, family: str, order: int = 1) -> DataFrame:
@@ -196,9 +207,9 @@ def predict_components(df: DataFrame, m: TransitionModel, comp: DataFrame, famil
     dist = smooth(comp.select(F.lit(1).alias("k"), F.col("component").alias("ctx"), "y", "n"), m.size, m.alpha)
     labels = df.where(F.col("act") == UNK).select("activity").distinct()
     parts = labels.select("activity", F.explode(decompose_activity("activity", family)).alias("ctx"))
-    known = parts.join(lookup_side(dist.select("ctx", "probs"), "components"), "ctx")
-    per = ensemble(known, ["activity"]).withColumnRenamed("probs", "_comp")
+    known = parts.join(lookup_side(dist.select("ctx", "dist"), "components"), "ctx")
+    per = ensemble(known, ["activity"]).withColumnRenamed("dist", "_comp")
     out = predict_next(df, m).join(lookup_side(per, "unseen"), "activity", "left")
-    return out.withColumn("probs", F.when((F.col("act") == UNK) & F.col("_comp").isNotNull(), F.col("_comp")).otherwise(F.col("probs"))).drop("_comp")
+    return with_probs(out.withColumn("dist", F.when((F.col("act") == UNK) & F.col("_comp").isNotNull(), F.col("_comp")).otherwise(F.col("dist"))).drop("_comp"))
 
 

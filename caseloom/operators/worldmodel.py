@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.functions.columns import UNK, first_argmax, rnd
+from caseloom.functions.columns import UNK, rnd
 from caseloom.functions.text import action_activity
-from caseloom.operators import encode as en, metrics as me, rollout as ro, transitions as tr
+from caseloom.operators import encode as en, metrics as me, rollout as ro, sparse, transitions as tr
 from caseloom.operators.encode import Prepared
 from caseloom.operators.traces import OUTCOME_FAIL, OUTCOME_OK
 from caseloom.schema import EventLog
@@ -37,17 +37,17 @@ def candidate_scores(p: Prepared, m: tr.TransitionModel, candidates: DataFrame)
     A call never seen in training gets 0.5 and the unknown label's mass.
     """
     c = tr.predict_next(_before_step(p, candidates), m)
-    at = lambda i: F.coalesce(F.element_at("probs", F.coalesce(F.col(i), F.lit(0)) + 1), F.lit(0.0))
+    at = lambda i: sparse.prob("dist", F.coalesce(F.col(i), F.lit(0)))
     po, pe = F.when(F.col("ok_id").isNull(), 0.0).otherwise(at("ok_id")), F.when(F.col("err_id").isNull(), 0.0).otherwise(at("err_id"))
     unseen = F.col("ok_id").isNull() & F.col("err_id").isNull()
     return c.withColumns({
         "valid": F.when(unseen, 0.5).otherwise((po + 1e-6) / (po + pe + 2e-6)),
-        "plausible": F.when(unseen, F.element_at("probs", UNK + 1)).otherwise(po + pe)})
+        "plausible": F.when(unseen, sparse.prob("dist", F.lit(UNK))).otherwise(po + pe)})
 
 
 def success_scores(p: Prepared, m: tr.TransitionModel, candidates: DataFrame, n: int = 8, max_len: int = 30, seed: int = 0) -> DataFrame:
     """``success``: share of sampled continuations after a successful call that reach the success outcome; ``score``: the product."""
-    c = candidate_scores(p, m, candidates).drop("probs", "probs_k")
+    c = candidate_scores(p, m, candidates).drop("dist", "probs", "probs_k")
     cols = tr.context_columns(p.order)
     moved = {a: F.col(b) for a, b in zip(cols[:-1], cols[1:])}
     start = c.select(F.concat_ws("#", "episode_id", "cand").alias("case_id"), F.col("step_index").alias("pos"), "episode_id", "cand", "valid", "plausible",
@@ -72,14 +72,14 @@ def report(p: Prepared, m: tr.TransitionModel) -> DataFrame:
     label = en.inverse_lookup(t, p.vocab, "y_id", "y_label").withColumn("base", F.substring_index("y_label", "|", 1))
     v = label.withColumns({"_ok": F.concat("base", F.lit("|ok")), "_err": F.concat("base", F.lit("|err"))})
     v = _label_ids(_label_ids(v, p.vocab, "_ok", "ok_id"), p.vocab, "_err", "err_id")
-    at = lambda i: F.element_at("probs", F.coalesce(F.col(i), F.lit(UNK)) + 1)
+    at = lambda i: sparse.prob("dist", F.coalesce(F.col(i), F.lit(UNK)))
     po, pe = at("ok_id"), at("err_id")
     valid = v.where(~F.col("base").startswith("outcome.")).select(
         F.lit("validity").alias("what"), F.col("y_label").endswith("|err").cast("int").alias("y"), F.round(pe / (po + pe + 1e-9), 9).alias("p"))
     goal = p.vocab.where(F.col("value") == OUTCOME_OK).agg(F.max("id").alias("i")).scalar()
     final = t.where(F.col("pos") == F.col("n") - 2).withColumn("_g", goal)
     outcome = final.select(F.lit("outcome").alias("what"), (F.col("last_act") == OUTCOME_OK).cast("int").alias("y"),
-                           F.round(F.element_at("probs", F.coalesce(F.col("_g"), F.lit(UNK)) + 1), 9).alias("p"))
+                           F.round(sparse.prob("dist", F.coalesce(F.col("_g"), F.lit(UNK))), 9).alias("p"))
     auc = me.binary_report(valid.unionByName(outcome), ["what"]).select("what", "n", "auroc")
-    top = t.agg(rnd(F.avg((first_argmax(F.col("probs")) == F.col("y_id")).cast("double"))).alias("a"), F.count(F.lit(1)).alias("b")).agg(F.first(F.struct("a", "b")).alias("s")).scalar()
+    top = t.agg(rnd(F.avg((sparse.argmax("dist") == F.col("y_id")).cast("double"))).alias("a"), F.count(F.lit(1)).alias("b")).agg(F.first(F.struct("a", "b")).alias("s")).scalar()
     return auc.withColumn("_t", top).select("what", F.col("_t.a").alias("next_top1"), F.col("_t.b").alias("n_steps"), "n", "auroc")

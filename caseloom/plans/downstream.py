@@ -66,7 +66,7 @@ hs AS MATERIALIZED (SELECT case_id, pos, avg(h) AS h FROM (SELECT model_id, case
 
 def ensemble_rows(spark, d):
     p, preds = seed_predictions(spark, d)
-    return p, preds, ds.epistemic(preds, ["case_id", "pos"])
+    return p, preds, ds.epistemic(preds)
 
 
 _COV = ", ".join(f"({c}, {c / 100}::DOUBLE)" for c in (100, 90, 80, 70, 50, 30))

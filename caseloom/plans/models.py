@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caseloom.functions.columns import rnd
-from caseloom.operators import encode as en, metrics as me, rollout as ro, splits as sp, transitions as tr
+from caseloom.operators import encode as en, metrics as me, rollout as ro, sparse, splits as sp, transitions as tr
 from caseloom.plans import modelsql as ms, sqltext as q
 from caseloom.plans.registry import query
 from caseloom.schema import CLICKS, DIALOGS, ORDERS
@@ -29,7 +29,7 @@ def join_text(col, n=8):
 @query("m1_transitions", ms.model() + "SELECT cnt.k, cnt.ctx, y, cnt.n, total::BIGINT AS total, round(p, 8) AS p FROM cnt JOIN tot USING (k, ctx) JOIN pr ON pr.k = cnt.k AND pr.ctx = cnt.ctx AND pr.cls = y")
 def m1(spark, d):
     p, m = fitted(spark, d)
-    return m.counts.join(m.probs, ["k", "ctx"]).select("k", "ctx", "y", "n", "total", rnd(F.element_at("probs", F.col("y") + 1), 8).alias("p"))
+    return m.counts.join(m.probs, ["k", "ctx"]).select("k", "ctx", "y", "n", "total", rnd(sparse.prob("dist", "y"), 8).alias("p"))
 
 
 @query("m2_backoff", ms.model() + ", " + ms.best_context("split = 'test'") + "SELECT case_id, pos, bc.k, cls, round(p, 8) AS p FROM bc JOIN pr ON pr.k = bc.k AND pr.ctx = bc.ctx")
@@ -72,14 +72,14 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("m5_greedy_rollout", recursive(ms.model("c") + rollout_sql(20)) + "SELECT case_id, pos, array_to_string(suffix, ',') AS suffix FROM e JOIN rx ON rx.s2 = e.act AND rx.s1 IS NOT DISTINCT FROM e.id1 WHERE split = 'test'")
+@query("m5_greedy_rollout", recursive(ms.model("c") + rollout_sql(50)) + "SELECT case_id, pos, array_to_string(suffix, ',') AS suffix FROM e JOIN rx ON rx.s2 = e.act AND rx.s1 IS NOT DISTINCT FROM e.id1 WHERE split = 'test'")
 def m5(spark, d):
     p, m = fitted(spark, d, log="dialogs")
-    out = ro.greedy(p.part("test").select("case_id", "pos", "id1", "act"), m, 20)
+    out = ro.greedy(p.part("test").select("case_id", "pos", "id1", "act"), m, 50)
     return out.select("case_id", "pos", F.array_join("pred", ",").alias("suffix"))
 
 
-SAMPLE_STEPS, SAMPLES = 8, 4
+SAMPLE_STEPS, SAMPLES = 30, 5
 
 
 def sample_sql(limit: int = SAMPLE_STEPS, n: int = SAMPLES) -> str:
@@ -111,9 +111,7 @@ def m6(spark, d):
 SELECT k, ctx, cls, round(p / sum(p) OVER (PARTITION BY k, ctx), 8) AS p FROM z""")
 def m7(spark, d):
     p, m = fitted(spark, d)
-    tot = m.counts.groupBy("k", "ctx").agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("c"))
-    pairs = F.transform_values("c", lambda y, n: n / F.col("t"))
-    return tot.select("k", "ctx", F.posexplode(tr.dense_probs(pairs, m.size)).alias("cls", "p")).withColumn("p", rnd("p", 8))
+    return tr.floor_vectors(m.counts, m.size).select("k", "ctx", F.posexplode(sparse.dense("dist")).alias("cls", "p")).withColumn("p", rnd("p", 8))
 
 
 @query("m10_wait_interval", ms.model() + _WAIT + ms.best_context("split = 'test'", "wt") + "SELECT case_id, pos, round(exp(lo) - 1, 4) AS dt_lo, round(exp(hi) - 1, 4) AS dt_hi FROM bc JOIN wt ON wt.k = bc.k AND wt.ctx = bc.ctx")
@@ -162,13 +160,10 @@ def seed_models(spark, d, n=3):
 
 
 def seed_predictions(spark, d, n=3):
+    """The mean forecast of the models for every test row with a next label."""
     p, ms_ = seed_models(spark, d, n)
-    test = p.part("test").where(F.col("y_id").isNotNull())
-    parts = [tr.predict_next(test, m).select("case_id", "pos", "n", "y_id", "probs").withColumn("model_id", F.lit(i)) for i, m in enumerate(ms_)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return p, out
+    test = p.part("test").where(F.col("y_id").isNotNull()).select("case_id", "pos", "n", "y_id", *tr.context_columns(p.order))
+    return p, tr.predict_mean(test, ms_)
 
 
 def seeds_sql(n: int = 3) -> str:
@@ -189,8 +184,7 @@ def seeds_sql(n: int = 3) -> str:
 
 @query("m13_ensemble", seeds_sql() + "SELECT case_id, pos, cls, round(p, 8) AS p FROM en")
 def m13(spark, d):
-    _, preds = seed_predictions(spark, d)
-    out = tr.ensemble(preds, ["case_id", "pos"])
+    _, out = seed_predictions(spark, d)
     return out.select("case_id", "pos", F.posexplode("probs").alias("cls", "p")).withColumn("p", rnd("p", 8))
 
 

@@ -181,10 +181,10 @@ def online_predictions(features: DataFrame, vocab: DataFrame, m: tr.TransitionMo
     f = with_context(features.where(~F.col("late")), vocab)
     hits = []
     for k in range(m.order, -1, -1):
-        t = m.probs.where(F.col("k") == k).select(F.col("ctx").alias(f"_x{k}"), F.col("probs").alias(f"_v{k}"))
+        t = m.probs.where(F.col("k") == k).select(F.col("ctx").alias(f"_x{k}"), F.col("dist").alias(f"_v{k}"))
         f = f.withColumn(f"_key{k}", tr.context_key(m.order, k)).join(t, F.col(f"_key{k}") == F.col(f"_x{k}"), "left").drop(f"_key{k}", f"_x{k}")
         hits.append(f"_v{k}")
-    return f.withColumn("probs", F.coalesce(*hits)).drop(*hits)
+    return tr.with_probs(f.withColumn("dist", F.coalesce(*hits)).drop(*hits))
 
 
 def run_available(df: DataFrame, label: str, mode: str = "append", on_batch=None, to: tuple[str, str] | None = None) -> str:
