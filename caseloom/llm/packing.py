@@ -22,6 +22,8 @@ from caseloom.session import literal_table, materialize
 
 #: Relative gap to the lower bound at which the linear program counts as solved.
 GAP = 0.0005
+#: Weight of the best prices so far when a pattern is priced.
+CENTRE = 0.85
 
 
 def _greedy(lengths: list[int], left: list[int], size: int) -> list[tuple[dict[int, int], int]]:
@@ -110,19 +112,31 @@ def _knapsack(lengths: np.ndarray, price: np.ndarray, size: int) -> tuple[float,
 def solve_program(lengths: list[int], demand: np.ndarray, size: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
     """(patterns as columns, their uses, lower bound of the number of sequences) by column generation.
 
-    Ends when the price test finds no better pattern or the bound is within ``gap``; or, where equal solutions follow each
-    other, after as many steps without progress as there are lengths.
+    Ends when the price test finds no better pattern or the bound is within ``gap`` or the next whole number; or, where equal solutions follow each
+    other, after as many steps without progress as there are lengths.  Prices of the basis swing widely at first, so a
+    pattern is priced between them and the prices with the best bound so far (length / size to begin with, whose bound is
+    the total length); the weight of the latter is lowered whenever the pattern found does not improve the basis.
     """
-    size_of, bound, idle = np.array(lengths), 0.0, 0
+    size_of, idle, pull = np.array(lengths), 0, CENTRE
     columns, uses, order = _fractional_start(lengths, demand, size)
     inverse = _inverse(columns, order)
+    centre = size_of / size
+    bound = float((centre * demand).sum())
     while idle <= len(lengths):
         price, total = inverse.sum(axis=0), float(uses.sum())
-        value, pattern = _knapsack(size_of, price, size)
-        bound = max(bound, float((price * demand).sum()) / max(value, 1.0))
-        if value <= 1 + 1e-9 or total <= (1 + gap) * bound:
+        if total <= max((1 + gap) * bound, float(np.ceil(bound - 1e-9))):  # no whole number lies between
             break
+        tried = pull * centre + (1 - pull) * price
+        value, pattern = _knapsack(size_of, tried, size)
+        if value > 1e-9 and float((tried * demand).sum()) / max(value, 1.0) > bound:
+            bound, centre = float((tried * demand).sum()) / max(value, 1.0), tried / max(value, 1.0)
         held = np.nonzero(pattern)[0]
+        if (price[held] * pattern[held]).sum() <= 1 + 1e-9:
+            if not pull:
+                break  # the price test: no pattern improves the basis
+            pull = pull / 2 if pull > 0.01 else 0.0
+            continue
+        pull = min(CENTRE, pull * 1.5 + 0.01)
         step = (inverse[:, held] * pattern[held]).sum(axis=1)
         on = step > 1e-9
         if not on.any():

@@ -29,6 +29,8 @@ from caseloom.session import materialize
 
 #: Words of a block, bytes of a text that are cut into words at once, rows of an output batch, bits of the map of pairs.
 BLOCK, SLICE, ROWS, MAP_BITS = 1 << 19, 1 << 22, 1 << 14, 24
+#: Parts of a language that are ranked apart first.
+SALTS = 64
 #: No byte of UTF-8 text has this value, so it can stand for a border between pieces.
 BORDER = b"\xff"
 _FOLD = bytes(BORDER[0] if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -275,7 +277,9 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: floa
     later = F.col("_s2") < F.col("_s1")
     three = three.withColumns({o: F.when(later, F.col(f"_{c}2")).otherwise(F.col(f"_{c}1")) for o, c in (("l", "l"), ("r", "r"), ("score", "s"))})
     columns = ["_lang", "_p", "a", "l", "r", "score"]
-    best = W.partitionBy("_lang").orderBy(F.desc("score"), F.desc("a"), "_p")
-    ranked = two.select(*columns).union(three.select(*columns)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked, order = two.select(*columns).union(three.select(*columns)), [F.desc("score"), F.desc("a"), "_p"]
+    for parts in ([F.pmod(F.xxhash64("_p"), F.lit(SALTS))], []):  # the best of each part first: no task ranks a whole language
+        best = W.partitionBy("_lang", *parts).orderBy(*order)
+        ranked = ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.join(total, "_lang").select(
         F.col("_lang").alias("lang"), F.col("rank").cast("long").alias("rank"), F.col("_p").alias("phrase"), "a", "l", "r", "n", "score")
