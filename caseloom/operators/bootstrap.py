@@ -1,9 +1,20 @@
-"""Case-level (cluster) bootstrap."""
+"""Case-level (cluster) bootstrap.
+
+:func:`replicates` draws case numbers and joins them.  The ``split_`` forms need no draws: how often each case stands in a
+replicate follows from hashes alone.  All draws of a replicate go down a binary tree over blocks of cases; each node
+splits its draws by a binomial number whose generator is keyed by (seed, replicate, node), so both halves always add up
+and every task finds the same numbers.  Inside its block a case's count comes from the block's own generator.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from caseloom.functions.pyfuncs import by_value
 from caseloom.functions.columns import hash_order, hash_unit, rnd
 from caseloom.operators.ranking import exact_quantiles, global_rank
 from caseloom.session import lookup_side
@@ -50,6 +61,96 @@ def bootstrap_mean_poisson(df: DataFrame, value: str, case: str = "case_id", n_b
     return _interval(df, value, reps)
 
 
+#: Cases of a block, the leaf of the splitting tree.
+BLOCK = 1024
+
+
+def block_draws(total: int, block: int, replicate: int, seed: int, size: int = BLOCK) -> int:
+    """Draws of a replicate (as many as cases) that fall into a block of cases."""
+    lo, hi, draws = 0, -(-total // size), total
+    while hi - lo > 1 and draws:
+        mid = (lo + hi) // 2
+        share = (mid - lo) * size / (min(hi * size, total) - lo * size)
+        left = int(np.random.default_rng([seed, replicate, lo, hi]).binomial(draws, share))
+        lo, hi, draws = (lo, mid, left) if block < mid else (mid, hi, draws - left)
+    return draws
+
+
+def block_counts(total: int, block: int, n_boot: int, seed: int, size: int = BLOCK) -> np.ndarray:
+    """(replicate, case of the block): how often each case is drawn."""
+    cases = min(size, total - block * size)
+    out = np.zeros((n_boot, cases), np.int64)
+    for b in range(n_boot):
+        k = block_draws(total, block, b, seed, size)
+        out[b] = np.bincount(np.random.default_rng([seed, b, block]).integers(0, cases, k), minlength=cases)
+    return out
+
+
+class _Counts:
+    """Counts of the block last asked for; rows come in order of case number."""
+
+    def __init__(self, n_boot: int, seed: int, size: int):
+        self.n_boot, self.seed, self.size, self.at, self.held = n_boot, seed, size, None, None
+
+    def of(self, idx: np.ndarray, total: int) -> np.ndarray:
+        """(replicate, row) of a batch."""
+        out = np.empty((self.n_boot, len(idx)), np.int64)
+        for block in np.unique(idx // self.size):
+            if self.at != (total, block):
+                self.at, self.held = (total, block), block_counts(total, int(block), self.n_boot, self.seed, self.size)
+            mine = idx // self.size == block
+            out[:, mine] = self.held[:, idx[mine] % self.size]
+        return out
+
+
+def split_replicates(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 300, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """(b, m, cases): replicate means over whole cases drawn with replacement; ``cases`` drawn are as many as there are.
+
+    Tasks send one row per replicate, whatever the number of cases; there is no join.  A case without a value counts as
+    drawn and adds nothing.
+    """
+    sums = global_rank(case_sums(df, value, case), [case], "idx", total="total")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, part = _Counts(n_boot, seed, block), np.zeros((3, n_boot))
+        for b in batches:
+            s, c, idx, total = (b.column(x).to_numpy(zero_copy_only=False) for x in ("s", "c", "idx", "total"))
+            if len(idx):
+                w = counts.of(idx, int(total[0]))
+                part += [(w * np.nan_to_num(s.astype(float))).sum(axis=1), (w * c).sum(axis=1), w.sum(axis=1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot), pa.int32()), pa.array(part[0]), pa.array(part[1]), pa.array(part[2])], names=["b", "s", "c", "k"])
+
+    parts = sums.select("s", "c", "idx", "total").mapInArrow(by_value(work), "b int, s double, c double, k double")
+    return parts.groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"), F.sum("k").cast("long").alias("cases")).where("cases > 0")
+
+
+def split_bootstrap_mean(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 300, seed: int = 0) -> DataFrame:
+    """Mean and 95 % percentile interval from :func:`split_replicates`."""
+    return _interval(df, value, split_replicates(df, value, case, n_boot, seed).drop("cases"))
+
+
+def split_bootstrap_median(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 100, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """Median and its interval; replicates are (value, weight) counts, so a value drawn often is one row."""
+    cases = global_rank(df.select(case).distinct(), [case], "idx", total="total")
+    rows = df.where(F.col(value).isNotNull()).groupBy(case, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).join(cases, case)
+    rows = rows.repartitionByRange("idx").sortWithinPartitions("idx")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts(n_boot, seed, block)
+        for b in batches:
+            for part in (b.slice(k, 2000) for k in range(0, len(b), 2000)):
+                v, n, idx, total = (part.column(x).to_numpy(zero_copy_only=False) for x in ("v", "n", "idx", "total"))
+                w = counts.of(idx, int(total[0])) * n
+                rep, row = np.nonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int32()), pa.array(v[row]), pa.array(w[rep, row])], names=["b", "v", "w"])
+
+    drawn = rows.select("v", "n", "idx", "total").mapInArrow(by_value(work), "b int, v double, w long").groupBy("b", "v").agg(F.sum("w").alias("w"))
+    reps = exact_quantiles(drawn, ["b"], "v", [0.5], "_q", weight="w").select("b", F.col("_q")[0].alias("m"))
+    mid = exact_quantiles(df, [], value, [0.5], "_q").agg(F.max(F.col("_q")[0]).alias("m")).scalar()
+    q = F.percentile("m", [0.025, 0.975])
+    return reps.agg(rnd(F.max(mid)).alias("median"), rnd(q[0]).alias("lo"), rnd(q[1]).alias("hi"), F.count(F.lit(1)).alias("n_boot"))
+
+
 def _interval(df: DataFrame, value: str, reps: DataFrame) -> DataFrame:
     """n_boot replicate means: a bounded table, so the built-in percentile is enough."""
     mean = df.agg(F.avg(value).alias("m")).scalar()

@@ -38,10 +38,10 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", small: bool | No
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], name: str = "q",
-                    small: bool | None = None, extra: list[Column] | None = None) -> DataFrame:
+                    small: bool | None = None, extra: list[Column] | None = None, weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles as an array column, one row per group (nulls ignored).
 
-    ``extra`` are further aggregates over the same rows.
+    ``extra`` are further aggregates over the same rows.  ``weight`` says how many times a row stands.
 
     ``percentile`` keeps every distinct value of a group in one task.  Beyond small inputs the
     values are counted per (group, value) first, ordered with :func:`sequence` (which splits a hot
@@ -51,12 +51,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], n
     if small is None:
         small = small_input(df)
     if small:
-        return df.groupBy(*by).agg(F.percentile(value, [float(q) for q in qs]).alias(name), *(extra or []))
+        times = F.col(weight) if weight else F.lit(1)
+        return df.groupBy(*by).agg(F.percentile(value, [float(q) for q in qs], times).alias(name), *(extra or []))
     keys = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
     if extra:
         src = materialize(src, "values")
-    counts = materialize(src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")), "value-counts")
+    counts = materialize(src.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_w")), "value-counts")
     n = counts.groupBy(*keys).agg(F.sum("_w").alias("_n"))
     runs = S.sequence(counts, {"_hi": S.running_sum("_w")}, case=keys, order=(value,), chunk_rows=S.CHUNK_ROWS)
     runs = runs.join(n, keys)

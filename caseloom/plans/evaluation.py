@@ -193,6 +193,8 @@ def case_nll(spark, d):
 query("v17_bootstrap", _BOOT + "SELECT (SELECT round(avg(-ln(greatest(p_y, 1e-12))), 6) FROM s) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(*) AS n_boot FROM rp")(
     lambda s, d: bo.bootstrap_mean(case_nll(s, d), "nll", n_boot=N_BOOT))
 query("v17_bootstrap_poisson")(lambda s, d: bo.bootstrap_mean_poisson(case_nll(s, d), "nll", n_boot=N_BOOT))
+query("v17_bootstrap_split")(lambda s, d: bo.split_bootstrap_mean(case_nll(s, d), "nll"))
+query("v17_bootstrap_split_median")(lambda s, d: bo.split_bootstrap_median(t.orders(s, d), "ev_price"))
 query("v17_bootstrap_median", q.with_(q.B_RAW) + f""", cs AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS idx, count(*) OVER () AS ng FROM (SELECT DISTINCT case_id FROM b_raw)),
 dr AS (SELECT b, {q.hash60(0, "(b || ':' || idx)")} % ng AS j FROM cs CROSS JOIN range(20) r(b)), rp AS (SELECT b, median(ev_price) AS m FROM dr JOIN cs ON cs.idx = dr.j JOIN b_raw USING (case_id) GROUP BY b)
 SELECT (SELECT round(median(ev_price), 6) FROM b_raw) AS median, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(*) AS n_boot FROM rp""")(
@@ -211,6 +213,9 @@ def v18(spark, d):
     return me.binary_report(lab.select(F.col("quality").alias("y"), p.alias("p")))
 
 
+query("j10_split_replicates")(lambda s, d: bo.split_replicates(case_nll(s, d), "nll").select("b", rnd("m").alias("m"), "cases"))
+
+
 @query("j10_bootstrap_replicates", _BOOT + "SELECT b, round(m, 6) AS m FROM rp")
 def j10(spark, d):
     return bo.replicates(case_nll(spark, d), "nll", n_boot=N_BOOT).select(F.col("b"), rnd("m").alias("m"))
