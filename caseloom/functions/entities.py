@@ -1,19 +1,11 @@
-"""Masking of secrets as column expressions, and summaries of JSON tool results."""
+"""Masking of secrets as column expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from caseloom.functions import pyfuncs
-from caseloom.functions.pyfuncs import by_value
-
-_ENTITY = T.StructType([
-    T.StructField("count", T.LongType()), T.StructField("id_field", T.StringType()),
-    T.StructField("first_ids", T.ArrayType(T.StringType())), T.StructField("keys", T.ArrayType(T.StringType()))])
-
 # Secret key names, the three masking rules, their version, and the form of a mask.
 SECRET_KEYS = ("password", "passwd", "secret", "api_key", "apikey", "access_token", "auth_token", "token", "verification_code", "otp")
 _KEY = "|".join(SECRET_KEYS)
@@ -68,16 +60,6 @@ def redact(c, salt: str = "") -> Column:
     return F.struct(out["text"].alias("text"), out["n"].alias("n"))
 
 
-def entity_summary(c, first: int = 5) -> Column:
-    """Record summary of a JSON tool result over all its records; null when it holds no record.  ``first`` ids are listed."""
-
-    def batch(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([pyfuncs.record_summary(x, first) for x in s], columns=_ENTITY.fieldNames()).astype({"count": "Int64"})
-
-    s = F.pandas_udf(by_value(batch), _ENTITY)(_column(c))
-    return F.when(s["count"].isNotNull(), s)
-
-
 def mask_value(c: Column, salt: str = "") -> Column:
     """Whole-value mask of a secret field; empty and already masked values stay."""
     return F.when(c.isNull() | (c == "") | c.startswith(MASK_HEAD), c).otherwise(_mask(c, salt))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 import sys
 
 import numpy as np
@@ -93,33 +91,3 @@ def by_value(fn):
         cloudpickle.register_pickle_by_value(sys.modules[name])
     return fn
 
-
-def json_value(text: str):
-    """The JSON value of a tool result: the text itself, else the first array, else the first object inside it.
-
-    The decoder reads a value where a bracket stands, so brackets inside strings do not end it.
-    """
-    try:
-        return json.loads(text)
-    except ValueError:
-        pass
-    decoder = json.JSONDecoder()
-    for bracket in (r"\[", r"\{"):
-        for at in re.finditer(bracket, text):
-            try:
-                return decoder.raw_decode(text, at.start())[0]
-            except ValueError:
-                continue
-    return None
-
-
-def record_summary(text, first: int):
-    """(count, id field, first ids, keys) of a list of records or of one record; Nones where there is no record."""
-    found = json_value(text) if text else None
-    one = isinstance(found, dict)
-    records = [found] if one else found
-    if not isinstance(records, list) or not records or not all(isinstance(r, dict) for r in records):
-        return None, None, None, None
-    names = sorted(set().union(*records))
-    key = None if one else next((k for k in names if k == "id" or k.endswith("_id")), None)
-    return len(records), key, [str(r.get(key)) for r in records[:first]] if key else None, names

@@ -8,6 +8,9 @@ from pyspark.sql import Column, functions as F
 API_CALL = r"apis\.([a-z_]+)\.([a-z_]+)\("
 CODE_FENCE = r"(?s)```(?:python)?\s*\n(.*?)```"
 TOKEN_ASSIGN = r"""(?m)^\s*([A-Za-z_]\w*)\s*=\s*apis\.([a-z_]+)\.login\("""
+TOKEN_FIELD = r"""(?m)^\s*([A-Za-z_]\w*)\s*=\s*apis\.([a-z_]+)\.login\(.*?\)\s*\[\s*['"]access_token['"]\s*\]"""
+DOC_CALL = r"""apis\.api_docs\.show_api_doc\(\s*app_name\s*=\s*['"]([a-z_]+)['"]\s*,\s*api_name\s*=\s*['"]([a-z_]+)['"]"""
+DESCRIPTION_CALL = r"""apis\.api_docs\.show_api_descriptions\(\s*app_name\s*=\s*['"]([a-z_]+)['"]"""
 NOTE_CALL = r"""(?m)^\s*note\(\s*(['"])(.*?)\1\s*\)"""
 
 

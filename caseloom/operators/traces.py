@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.columns import rnd
-from caseloom.functions.text import NOTE_CALL, TOKEN_ASSIGN, action_activity, api_calls, call_app
+from caseloom.functions import records as rec
+from caseloom.functions.text import DESCRIPTION_CALL, DOC_CALL, NOTE_CALL, TOKEN_ASSIGN, TOKEN_FIELD, action_activity, api_calls, call_app, implied_apps
 from caseloom.operators import sequence as S
 from caseloom.session import lookup_side
 
@@ -182,44 +183,112 @@ def lookahead_score() -> Column:
 
 
 # ------------------------------------------------------------------ world state
+FACT = ["episode_id", "step_index", "place", "kind", "key", "value"]
+KINDS = ("app", "api", "signature", "auth", "entity", "error", "note")
+
+
 def facts(steps: DataFrame, keep_errors: int = 120, keep_note: int = 160) -> DataFrame:
-    """(episode_id, step_index, kind, key, value): state changes of each step; a null value clears the key."""
-    from caseloom.functions.entities import entity_summary
+    """State changes of each step (``FACT``), numbered by ``place`` inside the step; a null value clears the key.
 
+    Kinds: apps and calls seen, signatures and calls read from documentation, the variable of a login token, the summary of
+    the last productive call's records, errors per call (cleared by a later result) and notes.
+    """
     ok = F.col("error_type").isNull()
     calls = api_calls("code")
     world = F.filter(calls, lambda c: call_app(c) != "api_docs")
     useful = F.filter(calls, lambda c: ~call_app(c).isin(META_APPS))
     target = F.try_element_at(useful, F.lit(-1))
-    s = steps.where(F.col("code") != "").select(*STEP, "code", "error_type", "error_message", world.alias("world"), F.when(ok, target).alias("target"), F.when(ok & target.isNotNull(), F.col("tool_result")).alias("result"))
-    s = s.withColumn("entity", entity_summary("result"))
+    found = lambda rule, i: F.regexp_extract_all("code", F.lit(rule), F.lit(i))
+    one = lambda rule, i: F.when(F.col("code").rlike(rule) & ok, F.regexp_extract("code", rule, i))
+    s = steps.where(F.col("code") != "").select(*STEP, "code", "error_type", "error_message", world.alias("world"), F.when(ok, target).alias("target"), F.when(ok & target.isNotNull(), F.col("tool_result")).alias("result"),
+                                                F.when(one(DOC_CALL, 1).isNotNull(), F.concat(one(DOC_CALL, 1), F.lit("."), one(DOC_CALL, 2))).alias("documented"), one(DESCRIPTION_CALL, 1).alias("described"), "tool_result")
+    s = s.withColumns({"entity": rec.record_summary("result"), "signature": F.when(F.col("documented").isNotNull(), rec.signature("tool_result")),
+                       "listed": F.when(F.col("described").isNotNull(), rec.listed_names("tool_result"))})
     row = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.cast("string").alias("value"))
     empty = F.lit("")
     null = F.lit(None).cast("string")
-    tokens = F.arrays_zip(F.regexp_extract_all("code", F.lit(TOKEN_ASSIGN), F.lit(1)).alias("var"), F.regexp_extract_all("code", F.lit(TOKEN_ASSIGN), F.lit(2)).alias("app"))
-    notes = F.transform(F.regexp_extract_all("code", F.lit(NOTE_CALL), F.lit(2)), lambda n: F.substring(F.trim(n), 1, keep_note))
+    pairs = lambda rule: F.arrays_zip(found(rule, 1).alias("var"), found(rule, 2).alias("app"))
+    tokens = F.when(F.size(found(TOKEN_FIELD, 1)) > 0, pairs(TOKEN_FIELD)).otherwise(pairs(TOKEN_ASSIGN))  # the token itself goes before any login
+    notes = F.transform(found(NOTE_CALL, 2), lambda n: F.substring(F.trim(n), 1, keep_note))
     parts = [
         F.transform("world", lambda c: row("app", call_app(c), empty)),
         F.transform("world", lambda c: row("api", c, empty)),
+        F.transform(F.coalesce("listed", F.array().cast("array<string>")), lambda n: row("api", F.concat("described", F.lit("."), n), empty)),
+        F.when(F.col("signature").isNotNull(), F.array(row("signature", F.col("documented"), F.col("signature")))).otherwise(F.array()),
         F.when(~ok, F.transform("world", lambda c: row("error", c, F.substring("error_message", 1, keep_errors)))).otherwise(F.array()),
         F.when(ok, F.transform(tokens, lambda t: row("auth", t["app"], t["var"]))).otherwise(F.array()),
         F.transform(F.filter(notes, lambda n: n != ""), lambda n: row("note", n, empty)),
         F.when(F.col("entity").isNotNull(), F.array(row("entity", F.col("target"), F.to_json("entity")), row("error", F.col("target"), null))).otherwise(F.array()),
     ]
-    return s.select(*STEP, F.inline(F.concat(*parts)))
+    return s.select(*STEP, F.posexplode(F.concat(*parts)).alias("place", "_f")).select(*STEP, "place", "_f.*")
 
 
-def world_state(facts_: DataFrame, max_notes: int = 12) -> DataFrame:
-    """Latest value per key at the end of each episode; cleared errors are gone, only the newest notes stay."""
+def seed_facts(episodes: DataFrame, published: DataFrame) -> DataFrame:
+    """What is known before the first step (step -1): apps that the task text implies, their published calls, and login signatures.
+
+    ``episodes``: episode_id, task_instruction; ``published``: app, api, signature (null where no documentation is given).
+    """
+    known = lookup_side(published.select(F.col("app").alias("_app"), "api", "signature"), "published")
+    implied = episodes.select("episode_id", F.explode(implied_apps("task_instruction")).alias("app")).join(known, F.col("app") == F.col("_app"))
+    row = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.cast("string").alias("value"))
+    call = F.concat_ws(".", "app", "api")
+    login = F.when((F.col("api") == "login") & F.col("signature").isNotNull(), F.array(row("signature", call, F.col("signature")))).otherwise(F.array())
+    rows = F.concat(F.array(row("app", F.col("app"), F.lit("")), row("api", call, F.lit(""))), login)
+    return implied.select("episode_id", F.lit(-1).alias("step_index"), F.posexplode(rows).alias("place", "_f")).select(*STEP, "place", "_f.*").distinct()
+
+
+def fact_order() -> Column:
+    """Order in which facts of a key count: the latest wins, but a note keeps the place of its first occurrence."""
+    back = F.when(F.col("kind") == "note", -1).otherwise(1)
+    return F.struct((back * F.col("step_index")).alias("s"), (back * F.col("place")).alias("p"))
+
+
+def newest_notes(state: DataFrame, max_notes: int = 12) -> DataFrame:
+    """``state`` (with ``since`` and ``place``) with only the newest notes of each episode."""
     from pyspark.sql import Window as W
 
-    # a note keeps the position of its first occurrence; everything else its latest value
-    at = F.when(F.col("kind") == "note", -F.col("step_index")).otherwise(F.col("step_index"))
-    g = facts_.groupBy("episode_id", "kind", "key").agg(F.max_by(F.struct(F.col("value").alias("v")), at).alias("_v"), F.abs(F.max(at)).alias("since"))
-    g = g.select("episode_id", "kind", "key", F.col("_v")["v"].alias("value"), "since").where(F.col("value").isNotNull())
-    newest = F.row_number().over(W.partitionBy("episode_id", "kind").orderBy(F.desc("since"), F.desc("key")))
-    g = g.withColumn("_r", newest)
-    return g.where((F.col("kind") != "note") | (F.col("_r") <= max_notes)).drop("_r")
+    newest = F.row_number().over(W.partitionBy("episode_id", "kind").orderBy(F.desc("since"), F.desc("place")))
+    notes = state.where("kind = 'note'").withColumn("_r", newest).where(F.col("_r") <= max_notes).drop("_r")
+    return state.where("kind <> 'note'").unionByName(notes)
+
+
+def world_state(facts_: DataFrame, max_notes: int = 12) -> DataFrame:
+    """Latest value per key at the end of each episode; cleared errors are gone, only the newest notes stay."""
+    at = fact_order()
+    g = facts_.groupBy("episode_id", "kind", "key").agg(F.max_by(F.struct(F.col("value").alias("v")), at).alias("_v"), F.max(at).alias("_at"))
+    g = g.select("episode_id", "kind", "key", F.col("_v")["v"].alias("value"), F.abs("_at.s").alias("since"), F.abs("_at.p").alias("place"))
+    return newest_notes(g.where(F.col("value").isNotNull()), max_notes)
+
+
+def world_intervals(facts_: DataFrame, max_notes: int = 12) -> DataFrame:
+    """(episode_id, kind, key, value, valid_from, valid_to): what holds after step ``valid_from`` and before the end of ``valid_to``.
+
+    An interval ends where its key changes or is cleared, a note's where ``max_notes`` newer ones stand; ``valid_to`` is null
+    while it holds.  Of several changes in one step the last by ``place`` counts.
+    """
+    rest = S.sequence(facts_.where("kind <> 'note'"), {"valid_to": S.lead("step_index")}, case=["episode_id", "kind", "key"], order=("step_index", "place"))
+    firsts = facts_.where("kind = 'note'").groupBy("episode_id", "kind", "key").agg(F.min(F.struct("step_index", "place", "value")).alias("_f"))
+    firsts = firsts.select("episode_id", "kind", "key", "_f.*")
+    notes = S.sequence(firsts, {"valid_to": S.lead("step_index", max_notes)}, case=EPISODE, order=("step_index", "place"))
+    both = rest.select(*FACT, "valid_to").unionByName(notes.select(*FACT, "valid_to")).withColumnRenamed("step_index", "valid_from")
+    holds = F.col("value").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+    return both.where(holds).select("episode_id", "kind", "key", "value", "valid_from", "valid_to")
+
+
+def state_at(intervals: DataFrame, at: DataFrame) -> DataFrame:
+    """The state after each step of ``at`` (episode_id, step_index): one row per key that holds there."""
+    j = at.select(*STEP).join(intervals, "episode_id")
+    return j.where((F.col("valid_from") <= F.col("step_index")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("step_index")))).drop("valid_from", "valid_to")
+
+
+def state_sizes(intervals: DataFrame, steps: DataFrame) -> DataFrame:
+    """Number of keys of each kind after every step, as running sums of starts and ends: no row per step and key."""
+    ends = intervals.where(F.col("valid_to").isNotNull()).select("episode_id", F.col("valid_to").alias("step_index"), "kind", F.lit(-1).alias("d"))
+    moves = intervals.select("episode_id", F.col("valid_from").alias("step_index"), "kind", F.lit(1).alias("d")).unionByName(ends)
+    moves = moves.unionByName(steps.select(*STEP, F.lit(None).cast("string").alias("kind"), F.lit(0).alias("d")))
+    per = moves.groupBy(*STEP).agg(F.max(F.col("kind").isNull().cast("int")).alias("_step"), *[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"_{k}") for k in KINDS])
+    run = S.sequence(per, {f"n_{k}": S.running_sum(f"_{k}") for k in KINDS}, case=EPISODE, order=("step_index",))
+    return run.where("_step = 1").select(*STEP, *[F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
 
 
 # ------------------------------------------------------------------ run comparison

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caseloom.functions.columns import hash_unit, rnd
-from caseloom.operators import encode as en, splits as sp, transitions as tr
+from caseloom.operators import encode as en, splits as sp, traces as tc, transitions as tr
 from caseloom.plans import episodes as ep, modelsql as ms, sqltext as q
 from caseloom.plans.models import _REM, _WAIT
 from caseloom.plans.registry import query
@@ -99,7 +99,8 @@ def st2(spark, d):
     stream = on.event_stream(spark, path, steps.schema)
     out = on.run_available(on.world_state_stream(stream), "world", "update", on.latest_table)
     latest = on.read_latest(spark, out, ["episode_id", "kind", "key"])
-    return latest.select("episode_id", "kind", "key", F.col("_v.v").alias("value")).where(F.col("value").isNotNull())
+    state = latest.select("episode_id", "kind", "key", F.col("_v.v").alias("value"), "since", "place").where(F.col("value").isNotNull())
+    return tc.newest_notes(state).drop("since", "place")
 
 
 @query("st3_episode_sink", EPI.rstrip() + ", " + ERRS + " SELECT CASE WHEN errors = '' THEN 'episodes' ELSE 'invalid' END AS sink, count(*) AS n FROM er GROUP BY 1")

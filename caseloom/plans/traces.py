@@ -336,6 +336,11 @@ fa AS (SELECT episode_id, step_index, 'app' AS kind, split_part(unnest(world), '
 wl AS (SELECT episode_id, kind, key, (arg_max([value], CASE WHEN kind = 'note' THEN -step_index ELSE step_index END))[1] AS value FROM fa GROUP BY ALL) """
 query("t25_world_state", ST.rstrip() + _WS + "SELECT episode_id, kind, key, value FROM wl WHERE value IS NOT NULL")(
     lambda s, d: tc.world_state(tc.facts(ep.steps(s, d))).select("episode_id", "kind", "key", "value"))
+query("t25_state_per_step", ST.rstrip() + _WS + ", wp AS (SELECT st.episode_id, st.step_index, kind, key, (arg_max([value], CASE WHEN kind = 'note' THEN -fa.step_index ELSE fa.step_index END))[1] AS value FROM st LEFT JOIN fa ON fa.episode_id = st.episode_id AND fa.step_index <= st.step_index GROUP BY ALL) SELECT episode_id, step_index, "
+      + ", ".join(f"count(*) FILTER (kind = '{k}' AND value IS NOT NULL) AS n_{k}" for k in tc.KINDS if k != "note") + ", least(count(*) FILTER (kind = 'note'), 12) AS n_note FROM wp GROUP BY 1, 2")(
+    lambda s, d: tc.state_sizes(tc.world_intervals(tc.facts(ep.steps(s, d))), ep.steps(s, d)))
+query("t25_state_at_last_step", ST.rstrip() + _WS + "SELECT episode_id, kind, key, value FROM wl WHERE value IS NOT NULL")(
+    lambda s, d: tc.state_at(tc.world_intervals(tc.facts(ep.steps(s, d))), ep.steps(s, d).groupBy("episode_id").agg(F.max("step_index").alias("step_index"))).select("episode_id", "kind", "key", "value"))
 _TE = "coalesce(success, false)"
 _SUM = f""", u AS (SELECT episode_id, sum(cost_usd) AS cost FROM co GROUP BY 1), v0 AS (SELECT episode_id, count(*) FILTER (overrode_first) AS ov, count(*) FILTER (error_type IS NOT NULL) AS iv FROM st GROUP BY 1),
 j AS (SELECT ep.*, {_TE} AS ok, cost, ov, iv FROM ep JOIN u USING (episode_id) JOIN v0 USING (episode_id)),

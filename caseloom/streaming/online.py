@@ -240,9 +240,9 @@ def in_batches(df: DataFrame, bounds: list, column: str, label: str) -> str:
 def world_state_stream(steps: DataFrame) -> DataFrame:
     """Running world state of a step stream: state changes are stateless rows, the latest value per key is a
     streaming aggregate, so its state is one value per (episode, kind, key)."""
-    f = tc.facts(steps)
-    at = F.when(F.col("kind") == "note", -F.col("step_index")).otherwise(F.col("step_index"))
-    return f.groupBy("episode_id", "kind", "key").agg(F.max_by(F.struct(F.col("value").alias("v")), at).alias("_v"), F.max(at).alias("at"))
+    at = tc.fact_order()
+    g = tc.facts(steps).groupBy("episode_id", "kind", "key").agg(F.max_by(F.struct(F.col("value").alias("v")), at).alias("_v"), F.max(at).alias("_at"))
+    return g.select("episode_id", "kind", "key", "_v", F.abs("_at.s").alias("since"), F.abs("_at.p").alias("place"))
 
 
 def latest_table(folder: str):

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.functions import entities as ent, pyfuncs, text as tx
+from caseloom.functions import entities as ent, text as tx
 from caseloom.operators import traces as tc
 from caseloom.sources import episodes as se, xes
 
@@ -66,16 +66,6 @@ def test_step_activity(spark):
     assert f("z = apis.depot.fetch(2)", None) == "depot.fetch|ok" and f("x", "api_error") == "python.no_api|err" and f("", None) == "none.no_code|ok"
 
 
-def test_json_summary():
-    f = lambda text: pyfuncs.record_summary(text, 2)
-    assert f('[{"order_id": 7}, {"order_id": 8, "z": 0}, {"order_id": 9}]') == (3, "order_id", ["7", "8"], ["order_id", "z"])
-    assert f('said {"q": 1, "p": {"r": 2}} then') == (1, None, None, ["p", "q"])
-    assert f('note [x] {"a": "]}"} [{"id": "]", "k": 1}]') == (1, "id", ["]"], ["id", "k"])  # arrays go first; brackets in strings are text
-    for nothing in ("open [3, {", "", None, "[4, 5]", "[]"):
-        assert f(nothing) == (None,) * 4
-    assert f(json.dumps([{f"c{i}": 0} for i in range(40)]))[3] == sorted(f"c{i}" for i in range(40))  # all records, all keys
-
-
 def episode(eid="e1", steps=((0, 0, 1), (1, 0, 1)), version="1.1.0", **kw):
     cand = {"action_raw": "```python\nprint(1)\n```", "action": {"type": "execute_code", "code": "print(1)"}}
     st = [{"step_index": i, "timestamp": "2026-01-01T00:00:00Z", "observation": "o", "action_schema_ref": "h", "candidates": [cand] * n, "chosen_index": c, "tool_result": "1",
@@ -166,6 +156,63 @@ def test_world_state(spark):
     assert ("error", "mail.sned") not in state([*steps, ("apis.mail.sned()", None, None, '{"id": 5}')])  # a later success clears it
 
 
+def plain_states(rows, max_notes=12):
+    """State after each step by applying the facts one after the other."""
+    state, notes, out = {}, [], {}
+    for step, changes in rows:
+        for kind, key, value in changes:
+            if kind == "note":
+                notes += [key] if key not in notes else []
+            elif value is None:
+                state.pop((kind, key), None)
+            else:
+                state[kind, key] = value
+        out[step] = {**state, **{("note", n): "" for n in notes[-max_notes:]}}
+    return out
+
+
+def test_state_after_each_step(spark):
+    kind = "episode_id string, step_index int, code string, error_type string, error_message string, tool_result string"
+    doc = json.dumps({"parameters": [{"name": "q", "required": True}, {"name": "page"}]})
+    steps = [
+        ("a = apis.bank.login(username='k')\nb = apis.bank.login(username='l')['access_token']\nnote('n0')", None, None, "ok"),
+        ("print(apis.api_docs.show_api_doc(app_name='bank', api_name='search'))", None, None, doc),
+        ("apis.api_docs.show_api_descriptions(app_name='mail')", None, None, '[{"name": "send"}, {"name": "read"}]'),
+        ("apis.bank.search(q=1)", "api_error", "first", "no"), ("apis.bank.search(q=2)\napis.bank.search(q=3)", "api_error", "second", "no"),
+        ("apis.bank.search(q=4)", None, None, '[{"id": 1}]'), ("apis.bank.search(q=4)", None, None, '{"id": 2, "to": "x"}'), ("", None, None, ""),
+        ("a = apis.bank.login(x=1)\na2 = apis.bank.login(x=2)", None, None, "ok"),
+        ("\n".join(f"note('n{i}')" for i in range(8)), None, None, "ok"), ("\n".join(f"note('m{i}')" for i in range(9)), None, None, "ok")]
+    df = spark.createDataFrame([("e", i, *x) for i, x in enumerate(steps)] + [("f", 0, "apis.mail.send()", None, None, "1")], kind)
+    facts = tc.facts(df)
+    rows = {}
+    for r in sorted(facts.where("episode_id = 'e'").collect(), key=lambda r: (r.step_index, r.place)):
+        rows.setdefault(r.step_index, []).append((r.kind, r.key, r.value))
+    want = plain_states([(i, rows.get(i, [])) for i in range(len(steps))])
+    spans = tc.world_intervals(facts)
+    got = {i: {} for i in want}
+    for r in tc.state_at(spans, df.where("episode_id = 'e'")).collect():
+        assert (r.kind, r.key) not in got[r.step_index]
+        got[r.step_index][r.kind, r.key] = r.value
+    assert got == want
+    sizes = {r.step_index: {k: r[f"n_{k}"] for k in tc.KINDS} for r in tc.state_sizes(spans, df).where("episode_id = 'e'").collect()}
+    assert sizes == {i: {k: sum(x[0] == k for x in s) for k in tc.KINDS} for i, s in want.items()}
+    end = {(r.kind, r.key): r.value for r in tc.world_state(facts).where("episode_id = 'e'").collect()}
+    assert end == want[len(steps) - 1] and end["auth", "bank"] == "a2" and want[0]["auth", "bank"] == "b"
+    assert end["signature", "bank.search"] == "(q, page?)" and ("api", "mail.read") in end and want[4]["error", "bank.search"] == "second"
+    assert json.loads(want[6]["entity", "bank.search"])["values"] == {"id": "2", "to": "x"} and ("error", "bank.search") not in want[5]
+
+
+def test_seeded_state(spark):
+    eps = spark.createDataFrame([("e", "Pay the rent and mail Ann"), ("f", "Nothing here"), ("g", None)], "episode_id string, task_instruction string")
+    pub = spark.createDataFrame([("venmo", "login", "(username, password)"), ("venmo", "pay", None), ("spotify", "login", "()"), ("gmail", "send", "(to)")], "app string, api string, signature string")
+    got = {(r.episode_id, r.kind, r.key): r.value for r in tc.world_state(tc.seed_facts(eps, pub)).collect()}
+    assert got == {("e", "app", "venmo"): "", ("e", "app", "gmail"): "", ("e", "api", "venmo.login"): "", ("e", "api", "venmo.pay"): "", ("e", "api", "gmail.send"): "",
+                   ("e", "signature", "venmo.login"): "(username, password)"}
+    later = spark.createDataFrame([("e", 0, 0, "signature", "venmo.login", "(u)")], "episode_id string, step_index int, place int, kind string, key string, value string")
+    spans = tc.world_intervals(tc.seed_facts(eps, pub).unionByName(later)).where("kind = 'signature'").collect()
+    assert {(r.valid_from, r.valid_to, r.value) for r in spans} == {(-1, 0, "(username, password)"), (0, None, "(u)")}
+
+
 def test_labels_of_unknown_states(spark):
     kind = ("episode_id string, step_index int, chosen_index int, code string, error_type string, success boolean, reward double, done boolean, failures int, "
             "scenario_id string, task_id string, instruction string, last_observation string, last_error string, last_code string, n_prev_errors int, schema_version string")
