@@ -22,6 +22,8 @@ from caseloom.session import literal_table, materialize
 
 #: Relative gap to the lower bound at which the linear program counts as solved.
 GAP = 0.0005
+#: Sequences a length that rounding costs anyway (about a quarter is usual); a smaller distance to the bound is not worth a step.
+ROUNDING = 0.02
 #: Weight of the best prices so far when a pattern is priced.
 CENTRE = 0.85
 
@@ -109,11 +111,11 @@ def _knapsack(lengths: np.ndarray, price: np.ndarray, size: int) -> tuple[float,
     return float(best[size]), pattern
 
 
-def solve_program(lengths: list[int], demand: np.ndarray, size: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
+def solve_program(lengths: list[int], demand: np.ndarray, size: int, gap: float = GAP, rounding: float = ROUNDING) -> tuple[np.ndarray, np.ndarray, float]:
     """(patterns as columns, their uses, lower bound of the number of sequences) by column generation.
 
-    Ends when the price test finds no better pattern or the bound is within ``gap`` or the next whole number; or, where equal solutions follow each
-    other, after as many steps without progress as there are lengths.  Prices of the basis swing widely at first, so a
+    Ends when the price test finds no better pattern, or when the bound is nearer than ``gap`` or than ``rounding`` sequences a
+    length; or, where equal solutions follow each other, after as many steps without progress as there are lengths.  Prices of the basis swing widely at first, so a
     pattern is priced between them and the prices with the best bound so far (length / size to begin with, whose bound is
     the total length); the weight of the latter is lowered whenever the pattern found does not improve the basis.
     """
@@ -124,7 +126,7 @@ def solve_program(lengths: list[int], demand: np.ndarray, size: int, gap: float
     bound = float((centre * demand).sum())
     while idle <= len(lengths):
         price, total = inverse.sum(axis=0), float(uses.sum())
-        if total <= max((1 + gap) * bound, float(np.ceil(bound - 1e-9))):  # no whole number lies between
+        if total <= bound + max(gap * bound, rounding * len(lengths)):
             break
         tried = pull * centre + (1 - pull) * price
         value, pattern = _knapsack(size_of, tried, size)

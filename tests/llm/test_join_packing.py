@@ -100,7 +100,7 @@ def test_program_is_solved_beside_a_session(spark):
     for m in (127, 1023):
         lengths, demand = list(range(1023, 1023 - m, -1)), r.integers(1, 500, m).astype(float)
         start = time.monotonic()
-        columns, uses, bound = packing.solve_program(lengths, demand, 1024)
+        columns, uses, bound = packing.solve_program(lengths, demand, 1024, rounding=0)
         assert time.monotonic() - start < 60
         assert np.allclose((columns * uses).sum(axis=1), demand) and (uses > -1e-6).all()
         assert ((columns * np.array(lengths)[:, None]).sum(axis=0) <= 1024).all()
@@ -108,6 +108,15 @@ def test_program_is_solved_beside_a_session(spark):
         assert bound >= (demand * np.array(lengths)).sum() / 1024 - 1e-6
 
 
+def test_program_ends_at_the_price_test():
+    """Without a gap: the optimum, which the bound proves, and a smaller one than the first solution."""
+    r = np.random.default_rng(1)
+    lengths, demand = sorted(r.choice(np.arange(20, 100), 12, replace=False).tolist(), reverse=True), r.integers(5, 90, 12).astype(float)
+    first = packing._fractional_start(lengths, demand, 100)[1].sum()
+    columns, uses, bound = packing.solve_program(lengths, demand, 100, gap=0, rounding=0)
+    assert np.isclose(uses.sum(), bound) and uses.sum() < first - 1e-6 and np.allclose((columns * uses).sum(axis=1), demand)
+
+
 def test_inverse_of_the_first_basis():
     lengths, demand = [9, 7, 5, 3, 2], np.array([4., 9, 1, 7, 30])
     columns, _, order = packing._fractional_start(lengths, demand, 20)
