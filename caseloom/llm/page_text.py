@@ -304,9 +304,9 @@ def train(pages: int = 240, steps: int = 60, seed: int = 1) -> TreeModel:
     for t in range(steps):
         gw, gp = np.zeros_like(w), np.zeros_like(pair)
         for x, parents, y in data:
-            s = x @ w
+            s = np.einsum("nf,f->n", x, w)  # no matrix routines beside Spark, see packing
             p, edge = marginals(parents, np.stack([0 * s, s], axis=1), pair)
-            gw += x.T @ (y - p)
+            gw += np.einsum("nf,n->f", x, y - p)
             np.add.at(gp, (y[parents[1:]], y[1:]), 1)
             gp -= edge[1:].sum(axis=0)
         mw = 0.85 * mw + gw / total - 0.0005 * w

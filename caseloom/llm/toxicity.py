@@ -8,12 +8,13 @@ Labels hold for documents while a few words decide, so training alternates: pass
 positive, then only its best-scoring passages do; all passages of clean documents are negative.  A document's score is
 that of its most toxic passage, put on a probability scale by a logistic fit on the training documents.
 
-The training sample is bounded by ``SAMPLE`` documents of each class and ``SAMPLE_CHARS`` characters each; scoring reads
-every whole text.
+The training sample is bounded by ``SAMPLE`` documents of each class, drawn whatever their length; scoring reads every
+whole text.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.llm.common import text_of
-
-#: Bound of the training sample: documents of each class, and characters of a document (longer ones are not drawn).
-SAMPLE, SAMPLE_CHARS = 500, 3000
-DIM, BUCKETS, PASSAGE = 8, 1 << 17, 8
-#: Documents of the sample that must hold an n-gram for it to get a vector, and the gradient below which steps shrink.
-LEAST_DOCUMENTS, FLOOR = 15, 1e-4
+from caseloom.session import materialize
+
+#: Bound of the training sample: documents of each class (whole texts), and passages drawn from a clean one.
+SAMPLE, DRAWN = 500, 40
+DIM, BUCKETS, PASSAGE, LONGEST_GRAM = 8, 1 << 18, 8, 6
+#: Weight decay, which keeps the vectors of rare n-grams short, and the gradient below which steps shrink.
+DECAY, FLOOR = 0.02, 1e-5
+#: Model of this worker process.
+LOADED: dict[str, Model] = {}
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\…“”„«»¿¡"
 
 
@@ -40,10 +44,10 @@ def words(text: str) -> list[str]:
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of a word and its n-grams of 3 to 5 characters, edges marked."""
+    """Buckets of a word and its n-grams of 3 to 6 characters, edges marked."""
     w = f"<{word.strip(_EDGE)}>"
     out = {w}
-    for n in (3, 4, 5):
+    for n in range(3, LONGEST_GRAM + 1):
         out.update(w[i:i + n] for i in range(len(w) - n + 1))
     return sorted(zlib.crc32(g.encode()) % BUCKETS for g in out)
 
@@ -54,7 +58,7 @@ class Model:
     def __init__(self, E: np.ndarray, W: np.ndarray, b: np.ndarray, scale: tuple[float, float]):
         self.E, self.W, self.b, self.scale = E, W, b, scale
         self.side = W[:, 1] - W[:, 0]
-        self.per_gram = E @ self.side  # the mean is linear, so a word's vector is needed only through this product
+        self.per_gram = np.einsum("gd,d->g", E, self.side)  # the mean is linear, so a word's vector is needed only through this product
         self.known: dict[str, float] = {}
 
     def word(self, w: str) -> float:
@@ -105,8 +109,15 @@ def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
-def train(samples: list[tuple[str, int]], rounds: int = 5, steps: int = 10, seed: int = 0) -> Model:
-    """Joint training on (text, label); without both classes every score is the base rate."""
+def _passages(ids: list[int], stride: int = PASSAGE // 2) -> list[list[int]]:
+    return [ids[i:i + PASSAGE] for i in range(0, max(1, len(ids) - stride), stride) if ids[i:i + PASSAGE]]
+
+
+def train(samples: list[tuple[str, int]], rounds: int = 5, steps: int = 10, seed: int = 0, drawn: int = DRAWN) -> Model:
+    """Joint training on (text, label); without both classes every score is the base rate.
+
+    Products of matrices are sums here: threads of matrix routines may hang in a process that runs Spark.
+    """
     r = np.random.default_rng(seed)
     E, W, b = r.standard_normal((BUCKETS, DIM)) * 0.02, r.standard_normal((DIM, 2)) * 0.3, np.zeros(2)
     labels = np.array([y for _, y in samples], int)
@@ -115,35 +126,31 @@ def train(samples: list[tuple[str, int]], rounds: int = 5, steps: int = 10, seed
         return Model(E, W * 0, b, (0.0, float(np.log((rate + 0.01) / (1.01 - rate)))))
     index: dict[str, int] = {}
     passages, owner = [], []
-    for d, (text, _) in enumerate(samples):
-        ids = [index.setdefault(w, len(index)) for w in words(text)]
-        for i in range(0, max(1, len(ids) - PASSAGE // 2), PASSAGE // 2):
-            if ids[i:i + PASSAGE]:
-                passages.append(ids[i:i + PASSAGE])
-                owner.append(d)
+    for d, (text, y) in enumerate(samples):
+        ws = words(text)
+        cut = _passages(list(range(len(ws))))
+        if not y and len(cut) > drawn:  # any passage of a clean text is clean
+            cut = [cut[i] for i in np.sort(r.choice(len(cut), drawn, replace=False))]
+        for part in cut:
+            passages.append([index.setdefault(ws[i], len(index)) for i in part])
+            owner.append(d)
     owner = np.array(owner)
     bags = [grams(w) for w in index]
-    gram, gram_of = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(x) for x in bags])
-    held = {}
-    for d, (text, _) in enumerate(samples):
-        for w in set(words(text)):
-            for g in bags[index[w]]:
-                held.setdefault(g, set()).add(d)
-    frequent = np.zeros(BUCKETS)
-    frequent[[g for g, ds in held.items() if len(ds) >= min(LEAST_DOCUMENTS, 1 + len(samples) // 20)]] = 1
-    E *= frequent[:, None]
-    gram_share = frequent[gram] / np.bincount(gram_of)[gram_of]
+    held, gram = np.unique(np.concatenate(bags), return_inverse=True)  # only the buckets at hand move
+    gram_of = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+    V0 = E[held]
+    gram_share = (1 / np.bincount(gram_of))[gram_of][:, None]
     sizes = np.array([len(p) for p in passages])
     word, word_of = np.concatenate(passages), np.repeat(np.arange(len(passages)), sizes)
     starts, gram_starts = np.cumsum(sizes) - sizes, np.searchsorted(gram_of, np.arange(len(bags)))
     toxic = labels[owner] == 1
-    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / max(1, (~toxic).sum()))
-    descent = _Adam(E, W, b, rate=0.05, decay=0.1)
+    weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
+    descent = _Adam(V0, W, b, rate=0.05, decay=DECAY)
 
     def forward():
-        V = np.add.reduceat(E[gram], gram_starts) / np.bincount(gram_of)[:, None]
+        V = np.add.reduceat(V0[gram] * gram_share, gram_starts)
         H = np.add.reduceat(V[word], starts) / sizes[:, None]
-        Z = H @ W + b
+        Z = np.einsum("pd,dc->pc", H, W) + b
         Z -= Z.max(axis=1, keepdims=True)
         P = np.exp(Z)
         return H, P / P.sum(axis=1, keepdims=True), Z[:, 1] - Z[:, 0]
@@ -152,10 +159,10 @@ def train(samples: list[tuple[str, int]], rounds: int = 5, steps: int = 10, seed
         for _ in range(steps):
             H, P, _z = forward()
             G = (P - np.stack([~toxic, toxic], axis=1)) * weight[:, None]
-            dH = (G @ W.T) / sizes[:, None]
+            dH = np.einsum("pc,dc->pd", G, W) / sizes[:, None]
             dV = _scatter(word, dH[word_of], len(bags))
-            dE = _scatter(gram, dV[gram_of] * gram_share[:, None], BUCKETS)
-            descent.step(dE, H.T @ G, G.sum(axis=0))
+            dE = _scatter(gram, dV[gram_of] * gram_share, len(held))
+            descent.step(dE, np.einsum("pd,pc->dc", H, G), G.sum(axis=0))
         z = forward()[2]
         best = np.full(len(samples), -np.inf)
         np.maximum.at(best, owner, z)
@@ -164,6 +171,8 @@ def train(samples: list[tuple[str, int]], rounds: int = 5, steps: int = 10, seed
         hard = ~mine & (z >= best[owner] - 0.5)  # clean passages that look worst count twice over
         clean = 0.25 / max(1, (~mine).sum()) + hard * (0.25 / max(1, hard.sum()))
         weight = np.where(chosen, 0.5 / max(1, chosen.sum()), np.where(mine, 0.0, clean))
+    E[:] = 0  # a bucket without a word of the sample says nothing
+    E[held] = V0
     model = Model(E, W, b, (1.0, 0.0))
     x = np.array([model.logit(t) for t, _ in samples])
     mid, spread = float(x.mean()), float(x.std()) or 1.0
@@ -175,19 +184,19 @@ def train(samples: list[tuple[str, int]], rounds: int = 5, steps: int = 10, seed
     return Model(E, W, b, (a / spread, c - a * mid / spread))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``per_class`` texts of each class from outside the test fold, in hash order of their ids.
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> list[tuple[str, int]]:
+    """At most ``per_class`` whole texts of each class from outside the test fold, in hash order of their ids.
 
-    Null labels and null ids are left out; a document with both labels counts as toxic.
+    Ids are chosen from ``labels`` first, so one scan of the documents finds the texts.  Null labels and null ids are left
+    out; a document with both labels counts as toxic.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    d = docs.select("doc_id", text_of("text").alias("t")).where(F.length("t") <= chars).join(known, "doc_id")
-    out = []
-    for y in (0, 1):
-        pick = d.where(F.col("y") == y).select("t", F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(per_class)
-        out += [(r.t, y) for r in pick.collect()]
-    return out
+    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    order = F.xxhash64("doc_id")
+    picked = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
+    chosen = materialize(picked[0].union(picked[1]), "toxicity-sample")  # at most twice ``per_class`` rows
+    rows = docs.select("doc_id", text_of("text").alias("t")).join(F.broadcast(chosen), "doc_id").select("t", "y", order.alias("h")).distinct()
+    return [(r.t, r.y) for r in sorted(rows.collect(), key=lambda r: (r.y, r.h, r.t))]
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,14 +205,17 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the score of no words.  Repeated rows score alike; other columns are not read; an empty
     table gives no rows.  A null id counts as not held out.
     """
-    parts = docs.sparkSession.sparkContext.broadcast((model.E.astype(np.float32), model.W, model.b, model.scale))
-    made: list[Model] = []
+    parts, name = docs.sparkSession.sparkContext.broadcast((model.E.astype(np.float32), model.W, model.b, model.scale)), uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Model(*parts.value))
+        from caseloom.llm import toxicity as here  # the module of the worker process, whose tasks share words scored before
+
+        if name not in here.LOADED:
+            here.LOADED.clear()
+            here.LOADED[name] = Model(*parts.value)
+        scorer = here.LOADED[name]
         for b in batches:
-            s = [made[0].score(t.as_py()) for t in b.column("_t")]
+            s = [scorer.score(t.as_py()) for t in b.column("_t")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

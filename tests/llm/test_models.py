@@ -90,3 +90,15 @@ def test_toxicity(spark):
     assert np.mean([a > b for a in pos for b in neg]) > 0.95
     assert 0 <= got[1000].score == got[1001].score < 0.5
     assert tx.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_toxicity_draws_long_texts_whole(spark):
+    long = "calm words here " * 20000 + "idiot"
+    docs = spark.createDataFrame([(1, long, "clash"), (2, "good day", ""), (2, "good day", ""), (3, None, ""), (4, "never labelled", ""), (6, "x" * 50000, "")],
+                                 "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (6, 0), (6, 1), (99, 1)], "doc_id long, toxic int")
+    keep = [d for d in (1, 2, 3, 6) if not tx.in_test_fold(d)]
+    want = {(t, y) for d, t, y in ((1, long, 1), (2, "good day", 0), (3, "", 0), (6, "x" * 50000, 1)) if d in keep}
+    assert set(tx.training_sample(docs, labels)) == want and 1 in keep and len(keep) > 2
+    model = tx.train([(f"calm words here you idiot {i} go on", 1) for i in range(20)] + [(f"calm words here all day {i} go on", 0) for i in range(20)])
+    assert model.score(long) > 0.5 > model.score(long[:-5]) and 0 <= model.score("x" * 100000) <= 1  # the last word of a long text
