@@ -101,4 +101,5 @@ def test_toxicity_draws_long_texts_whole(spark):
     want = {(t, y) for d, t, y in ((1, long, 1), (2, "good day", 0), (3, "", 0), (6, "x" * 50000, 1)) if d in keep}
     assert set(tx.training_sample(docs, labels)) == want and 1 in keep and len(keep) > 2
     model = tx.train([(f"calm words here you idiot {i} go on", 1) for i in range(20)] + [(f"calm words here all day {i} go on", 0) for i in range(20)])
-    assert model.score(long) > 0.5 > model.score(long[:-5]) and 0 <= model.score("x" * 100000) <= 1  # the last word of a long text
+    assert model.score(long) > 0.8 > model.score(long[:-5]) and 0 <= model.score("x" * 100000) <= 1  # the last word of a long text
+    assert model.score("you 1diot!") > 0.9 > model.score("all day")  # a misspelling that the sample does not hold
