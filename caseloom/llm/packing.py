@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from caseloom.llm.common import text_of
 from caseloom.llm.token_files import encoder
-from caseloom.session import literal_table, materialize
+from caseloom.session import materialize
 
 #: Relative gap to the lower bound at which the linear program counts as solved.
 GAP = 0.0005
@@ -232,14 +232,16 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 1024, id
     parts = parts.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("_k", "_k0"), ("_f", "_f0"))])
     inside = W.partitionBy("_part").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
     r = ranked.withColumn("_fi", F.coalesce(F.sum("_full").over(inside), F.lit(0))).join(F.broadcast(parts), "_part")
-    offsets = literal_table(spark, [(k, v) for k, v in below.items()] or [(-1, 0)], "_rest long, _below long")
+    offsets = spark.createDataFrame(pa.table({"_rest": pa.array(list(below), pa.int64()), "_below": pa.array(list(below.values()), pa.int64())}))
     r = r.join(F.broadcast(offsets), "_rest").withColumn("_rank", F.col("_i") + F.col("_k0") - F.col("_below"))
     whole = r.where("_full > 0").select("_id", "_n", "_f0", "_fi", F.posexplode(F.slice("_crc", F.lit(1), F.col("_full").cast("int"))).alias("_j", "_c"))
     whole = whole.select(
         F.col("_id").alias(id_col), (F.col("_j") * F.lit(size)).cast("long").alias("start"), F.lit(size).cast("long").alias("length"),
         F.col("_c").alias("ids_crc32"), F.col("_n").alias("doc_tokens"),
         (F.lit(sequences) + F.col("_f0") + F.col("_fi") + F.col("_j")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    table = literal_table(spark, places or [(-1, 0, 0, 1, 0, 0)], "_l long, _r0 long, _r1 long, _copies long, _s0 long, _o0 long")
+    # thousands of rows: as one Arrow table, not as an expression per cell
+    names = ("_l", "_r0", "_r1", "_copies", "_s0", "_o0")
+    table = spark.createDataFrame(pa.table({c: pa.array([p[i] for p in places], pa.int64()) for i, c in enumerate(names)}))
     k = F.col("_rank") - F.col("_r0")
     rest = r.where("_rest > 0").join(F.broadcast(table), (F.col("_rest") == F.col("_l")) & (F.col("_rank") >= F.col("_r0")) & (F.col("_rank") < F.col("_r1")))
     rest = rest.select(
