@@ -23,6 +23,14 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the caller has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` refers to it."""
     return F.transform(F.array(value), body)[0]

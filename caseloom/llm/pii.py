@@ -228,8 +228,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **li
 
     Overlapping spans become one mask, that of the first.  Other columns pass through.
     """
-    d = find_spans(docs, id_col, text_col, **limits)
-    t = F.col(text_col)
+    own = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    d, t = find_spans(own, "_id", "_text", **limits), F.col("_text")
     def masked(kind: str) -> Column:
         return F.transform(F.col(f"_{kind}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(MASK[kind]).alias("m")))
 
@@ -245,4 +245,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **li
     done = F.aggregate(marks, start, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
     some = reduce(lambda a, b: a | b, [F.size(f"_{k}") > 0 for k in MASK])
-    return d.withColumn(text_col, F.when(some, done).otherwise(t)).drop(*[f"_{k}" for k in MASK])
+    text = F.when(some, done).otherwise(t)
+    return d.select(*[(text if c == text_col else F.col("_doc")[c]).alias(c) for c in docs.columns])
