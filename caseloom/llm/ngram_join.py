@@ -3,9 +3,12 @@
 1. Documents with equal shingle sets fall together by a 128-bit fingerprint; one of each class goes on.
 2. Shingles get one global order, rare first, from counts of 2^18 hash buckets over all documents (a fixed-size table).
    Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each, in any fixed order.
-3. Shingles that occur in two prefixes or more are kept; they name the candidates.  Length and positional filters apply
-   to each shared shingle; the first one shared by a linked pair always passes.  Distinct pairs are verified once on
-   whole sets, after a suffix filter that bounds the overlap by splitting both sets at a median.
+3. Shingles that occur in two prefixes or more are kept; they name the candidates.  They are marked in a bitmap of fixed
+   size, so most others never leave the documents' tasks; a wrong mark only costs work, as the join on the shingle follows.
+   Length and positional filters apply to each shared shingle; the first one shared by a linked pair always passes.
+   Distinct pairs are verified once, after a suffix filter that bounds the overlap by splitting both sets at a median.
+   The upper halves of the hashes bound the overlap from above; the few pairs that they leave open, near the threshold,
+   are compared by whole hashes.
 4. The result is connected components, so pairs inside one component need no check.  Two rounds compare each document
    with one hub per shingle, the same hub across a group of copies, which joins large groups by as many pairs as they
    have members.  The last round takes all remaining pairs of different components, so no link is lost.
@@ -29,12 +32,14 @@ from caseloom.session import materialize
 WORDS, PERCENT = 5, 75
 #: Buckets of the frequency table that orders the shingles.
 BUCKET_BITS = 18
+#: Bits of the map of repeated shingles: 16 MB whatever their number.
+MAP_BITS = 27
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -105,15 +110,57 @@ def _signatures(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return docs.mapInArrow(work, f"_id {kind}, _f1 long, _f2 long, _n long, _prefix array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, whole: bool) -> DataFrame:
+    """Sorted shingle hashes of each text, or their upper halves."""
+    def packed(t: pa.Scalar) -> bytes:
+        s = shingles(t.as_py())
+        return (s if whole else (s >> np.uint64(32)).astype(np.uint32)).tobytes()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("_t")], pa.binary())], names=["_id", "_set"])
+                [b.column("_id"), pa.array([packed(t) for t in b.column("_t")], pa.binary())], names=["_id", "_set"])
 
     return docs.mapInArrow(work, f"_id {docs.schema['_id'].dataType.simpleString()}, _set binary")
 
 
+def _repeated(prefixes: DataFrame) -> bytes:
+    """Bitmap of the shingles that stand in two prefixes or more."""
+    words = prefixes.select(F.explode("_prefix").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    slot = F.shiftrightunsigned("_h", 64 - MAP_BITS)
+    bit = F.shiftrightunsigned("_h", 64 - MAP_BITS).bitwiseAND(F.lit(63)).cast("int")
+    rows = words.select(F.shiftright(slot, 6).cast("int").alias("_i"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_m"))
+    rows = rows.groupBy("_i").agg(F.bit_or("_m").alias("_m")).toArrow()  # at most 2 ** (MAP_BITS - 6) rows
+    out = np.zeros(1 << MAP_BITS - 6, "<i8")
+    out[rows.column("_i").to_numpy()] = rows.column("_m").to_numpy()
+    return out.tobytes()
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(``_h``, ``_id``, ``_n``, place ``_p``) of the shingles that stand in two prefixes or more."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(_repeated(prefixes))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            lists = b.column("_prefix")
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(size) - size
+            slot = (h.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+            at = np.nonzero(marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)[0]
+            row = np.searchsorted(first + size, at, side="right")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[at]), b.column("_id").take(pa.array(row)), b.column("_n").take(pa.array(row)), pa.array((at - first[row]).astype(np.int32))],
+                names=["_h", "_id", "_n", "_p"])
+
+    kind = prefixes.schema["_id"].dataType.simpleString()
+    marked = prefixes.select("_id", "_n", "_prefix").mapInArrow(work, f"_h long, _id {kind}, _n long, _p int")
+    marked = materialize(marked, "marked-shingles")
+    common = marked.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_h")
+    return materialize(marked.join(common, "_h"), "shared-shingles")
+
+
 def overlap_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     """Upper bound of the intersection of two sorted sets, by splitting both at a median ``depth`` times."""
     if depth == 0 or len(a) < 8 or len(b) < 8:
@@ -123,26 +170,55 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     return overlap_bound(a[:m], b[:k], depth - 1) + overlap_bound(a[m:], b[k:], depth - 1)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) that link."""
+def chance(a: int, b: int) -> int:
+    """More equal upper halves among different hashes of sets of these sizes than chance gives."""
+    return 3 + a * b // 2**28
+
+
+def verdict(a: np.ndarray, b: np.ndarray, percent: int, whole: bool) -> bool | None:
+    """Whether two sorted sets link; None where upper halves of hashes cannot tell."""
+    need = required(len(a), len(b), percent)
+    if overlap_bound(a, b) < need:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    same = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    if same < need:
+        return False  # equal hashes have equal halves, so halves never count too few
+    return True if whole or same >= need + chance(len(a), len(b)) else None
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, whole: bool, label: str) -> DataFrame:
+    """The pairs (a, b) that link (``_sure``) or are left open."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.uint64 if whole else np.uint32
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_x"), batch.column("_y")):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = required(len(a), len(b), percent)
-                ok = overlap_bound(a, b) >= need
-                if ok:
-                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    ok = int(np.count_nonzero(b[at] == a)) >= need
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b")], names=["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
+            said = [verdict(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind), percent, whole)
+                    for x, y in zip(batch.column("_x"), batch.column("_y"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_a"), batch.column("_b"), pa.array([x is True for x in said], pa.bool_())],
+                names=["_a", "_b", "_sure"]).filter(pa.array([x is not False for x in said], pa.bool_()))
 
     kind = sets.schema["_id"].dataType.simpleString()
     rows = pairs.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x")), "_a")
     rows = rows.join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y")), "_b")
-    return materialize(rows.select("_a", "_b", "_x", "_y").mapInArrow(work, f"_a {kind}, _b {kind}").distinct(), label)
+    out = rows.select("_a", "_b", "_x", "_y").mapInArrow(work, f"_a {kind}, _b {kind}, _sure boolean")
+    return materialize(out.groupBy("_a", "_b").agg(F.max("_sure").alias("_sure")), label)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b) that link, by upper halves of hashes and, where these leave it open, by whole ones."""
+
+    def compared(some: DataFrame, whole: bool) -> DataFrame:
+        name = f"{label}-{'whole' if whole else 'half'}"
+        ends = some.select(F.col("_a").alias("_id")).union(some.select(F.col("_b").alias("_id"))).distinct()
+        sets = materialize(_sets(docs.join(measured_side(ends, f"ends-{name}", 64), "_id", "left_semi"), whole), f"sets-{name}")
+        return _compared(some, sets, percent, whole, f"links-{name}")
+
+    half = compared(pairs, False)
+    sure, open_ = half.where("_sure").select("_a", "_b"), half.where("not _sure").select("_a", "_b")
+    return sure.union(compared(open_, True).select("_a", "_b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,26 +249,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links, itself included).
 
     Null, empty and blank texts have no shingles and stand alone, as do rows with a null id (component null).
-    A repeated row shares its twin's component; rows that share an id but not the text are one vertex.  Other columns
-    are not read; an empty table gives no rows.
+    A repeated row shares its twin's component; rows that share an id but not the text are one vertex with the links of
+    all its texts.  Other columns are not read; an empty table gives no rows.
     """
     d = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     sig = materialize(_signatures(d, _bucket_counts(d), percent), "signatures")
     keys = ["_f1", "_f2"]
-    classes = materialize(sig.where("_n > 0 and _id is not null").groupBy(*keys).agg(F.min("_id").alias("_rep")), "classes")
-    copies = sig.where("_n > 0").select("_id", *keys).join(classes, keys).where(F.col("_id") != F.col("_rep")).select("_id").distinct()
-    firsts = sig.where("_n > 0 and _id is not null").join(measured_side(copies, "copies", 64), "_id", "left_anti")
-    words = firsts.select("_id", "_n", F.posexplode("_prefix").alias("_p", "_h"))
-    common = words.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_h")
-    shared = materialize(words.join(common, "_h"), "shared-shingles")
-    links = done = None
+    rows = sig.where("_n > 0 and _id is not null")
+    classes = materialize(rows.groupBy(*keys).agg(F.min("_id").alias("_rep")), "classes")
+    copies = rows.select("_id", *keys).join(classes, keys).where(F.col("_id") != F.col("_rep"))
+    copies = materialize(copies.distinct(), "copies")
+    # ids with several texts tie the classes of these texts together
+    several = rows.groupBy("_id").agg(F.min(F.struct(*keys)).alias("_lo"), F.max(F.struct(*keys)).alias("_hi")).where("_lo <> _hi")
+    ties = copies.join(measured_side(several.select("_id"), "several-texts", 64), "_id", "left_semi")
+    links = materialize(ties.select(F.col("_rep").alias("_a"), F.col("_id").alias("_b")).distinct(), "ties")
+    firsts = rows.join(measured_side(copies.select("_id", *keys), "copies-side", 64), ["_id", *keys], "left_anti")
+    shared = _shared(firsts)
+    done = None
     for turn in (1, 2, 3):
-        rows = shared
-        if links is not None:
-            label = measured_side(components(links), f"components-{turn}", 64)
-            rows = rows.join(label.withColumnRenamed("_v", "_id"), "_id", "left").withColumn("_c", F.coalesce("_c", "_id"))
-        else:
-            rows = rows.withColumn("_c", F.col("_id"))
+        label = measured_side(components(links), f"components-{turn}", 64)
+        rows = shared.join(label.withColumnRenamed("_v", "_id"), "_id", "left").withColumn("_c", F.coalesce("_c", "_id"))
         order = F.struct(F.xxhash64("_id", F.lit(turn)).alias("o"), F.col("_id"), F.col("_n"), F.col("_p"), F.col("_c"))
         open_ = rows.groupBy("_h").agg(F.min(order).alias("_hub"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
         if turn < 3:
@@ -208,10 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if done is not None:
             pairs = pairs.join(done, ["_a", "_b"], "left_anti")
         pairs = materialize(pairs, f"pairs-{turn}")
-        ends = pairs.select(F.col("_a").alias("_id")).union(pairs.select(F.col("_b").alias("_id"))).distinct()
-        sets = materialize(_sets(d.join(measured_side(ends, f"candidates-{turn}", 64), "_id", "left_semi")), f"shingle-sets-{turn}")
-        found = _verified(pairs, sets, percent, f"links-{turn}")
-        links = found if links is None else links.union(found)
+        links = links.union(_verified(pairs, d, percent, f"round-{turn}"))
         done = pairs if done is None else done.union(pairs)
     label = components(links)
     merged = classes.join(label, F.col("_rep") == F.col("_v"), "left").select(*keys, F.coalesce("_c", "_rep").alias("_c"))

@@ -67,6 +67,32 @@ def test_join_edges(spark):
     assert nj.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_one_vertex(spark):
+    """Id 5 has a copy of id 1, a near copy of id 2 and a text of its own; id 9 is a copy of the latter."""
+    one, two, own = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = " ".join(two[:57] + ["z"])
+    rows = [(1, one), (5, one), (2, two), (5, near.split()), (5, own), (9, own), (7, ["q"] * 9)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in nj.near_duplicates(df).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (9, 1), (7, 7)}
+
+
+def test_halves_of_hashes_never_contradict_whole_ones():
+    r = np.random.default_rng(5)
+    seen = set()
+    for _ in range(400):
+        n = int(r.integers(1, 300))
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < r.choice([0.8, 0.86, 0.9, 1])], r.integers(0, 2**64, n // 8 + 1, dtype=np.uint64)]))
+        want = 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+        half = nj.verdict(*[(x >> np.uint64(32)).astype(np.uint32) for x in (a, b)], 75, False)
+        assert nj.verdict(a, b, 75, True) is want and half in (want, None)
+        seen.add(half)
+    assert seen == {True, False, None}
+    zeros = np.zeros(6, np.uint32)  # equal upper halves of different hashes are left open, never taken for a link
+    assert nj.verdict(zeros, zeros, 75, False) is None
+
+
 def test_suffix_filter_is_a_bound():
     r = np.random.default_rng(3)
     for _ in range(300):
