@@ -123,7 +123,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             out: list[tuple] = []
             for text in b.column("_t"):
                 ids = encode(text.as_py())
-                raw = ids.encode("utf-32-le")
+                raw = ids.encode("utf-32-le", "surrogatepass")
                 back = b"".join(map(decoded.__getitem__, ids))
                 out.append((len(ids), raw if with_ids else None, hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest()))
             n, raw, a, c = zip(*out) if out else ([], [], [], [])

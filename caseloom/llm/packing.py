@@ -197,7 +197,7 @@ def _token_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> D
         for b in batches:
             n, crc = [], []
             for t in b.column("_t"):
-                raw = memoryview((enc(t.as_py()) + end).encode("utf-32-le"))
+                raw = memoryview((enc(t.as_py()) + end).encode("utf-32-le", "surrogatepass"))
                 n.append(len(raw) // 4)
                 crc.append([zlib.crc32(raw[i:i + 4 * size]) for i in range(0, len(raw), 4 * size)])
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n, pa.int64()), pa.array(crc, pa.list_(pa.int64()))],

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from caseloom.llm.common import text_of
 from caseloom.llm.tokens import WordwiseEncoder
@@ -33,6 +33,8 @@ from caseloom.session import materialize, scratch_path
 MAGIC = b"CLTK1\0\0\0"
 #: Ids per block.
 BLOCK = 4096
+#: Tasks that read files; with more files, each task reads several.
+MOST_TASKS = 20_000
 
 
 def width_for(vocabulary_size: int) -> int:
@@ -109,26 +111,45 @@ class TokenFile:
         return ids[start - a * self.block:start - a * self.block + n]
 
 
-def library_encoder(path: str) -> WordwiseEncoder:
-    """Encoder of the tokenizers library for a byte-level vocabulary file."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class LibraryEncoder:
+    """Ids of the tokenizers library for a byte-level vocabulary file, as ``add_special_tokens=False`` gives them.
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # strings of special tokens are ordinary text
-    return WordwiseEncoder(lambda s: "".join(map(chr, t.encode(s, add_special_tokens=False).ids)))
+    Texts are encoded word by word.  The library takes the strings of its added tokens out of a text before the split
+    pattern sees the rest, so a text that holds one goes to the library whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.by_word = WordwiseEncoder(self.whole)
+
+    def whole(self, text: str) -> str:
+        return "".join(map(chr, self.library.encode(text, add_special_tokens=False).ids))
 
+    def __call__(self, text: str) -> str:
+        return self.whole(text) if any(a in text for a in self.added) else self.by_word(text)
 
-_encoders: dict[str, WordwiseEncoder] = {}
 
+_encoders: dict[str, LibraryEncoder] = {}
 
-def encoder(path: str) -> WordwiseEncoder:
+
+def encoder(path: str) -> LibraryEncoder:
     """One encoder per worker process and file."""
     if path not in _encoders:
-        _encoders[path] = library_encoder(path)
+        _encoders[path] = LibraryEncoder(path)
     return _encoders[path]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Spark's default file system gives it, as pyarrow reads URIs."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return f"file://{uri.getRawPath()}" if uri.getScheme() == "file" else uri.toString()
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, out_dir: str, vocabulary_size: int,
                       id_col: str = "doc_id", text_col: str = "text", file_ids: int = 32 << 20) -> DataFrame:
     """Encode whole texts, append ``end_id`` to each and write files in ascending order of id.
@@ -139,6 +160,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, out_dir: st
     only; repeated ids are separate documents next to each other.
     """
     width = width_for(vocabulary_size)
+    folder = qualified(docs.sparkSession, out_dir)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -152,10 +174,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, out_dir: st
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held
-            store, root = fs.FileSystem.from_uri(out_dir) if "://" in out_dir else (fs.LocalFileSystem(), out_dir)
+            store, root = fs.FileSystem.from_uri(folder)
             store.create_dir(root, recursive=True)
             name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tok"
-            ids = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+            ids = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
             with store.open_output_stream(f"{root}/{name}") as f:
                 for piece in file_bytes(doc_ids, counts, ids, width):
                     f.write(piece)
@@ -184,13 +206,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, out_dir: st
 def read_token_files(manifest: DataFrame, out_dir: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document from the files: id, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
 
-    File totals are summed in one small window (a row per file); each file is then read by one task.
+    File totals are summed in one small window (a row per file).  The files are then dealt over as many tasks as there
+    are files, ``MOST_TASKS`` at most.
     """
+    folder = qualified(manifest.sparkSession, out_dir)
     before = F.sum("ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1))
     files = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(out_dir) if "://" in out_dir else (fs.LocalFileSystem(), out_dir)
+        store, root = fs.FileSystem.from_uri(folder)
         for b in batches:
             for name, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
                 with store.open_input_file(f"{root}/{name}") as f:
@@ -209,7 +233,8 @@ def read_token_files(manifest: DataFrame, out_dir: str, id_col: str = "doc_id")
                             names=["_id", "start", "n_tokens", "ids_crc32"])
                         i = j
 
-    spread = files.repartition("file")
+    tasks = min(max(manifest.count(), 1), MOST_TASKS)
+    spread = files.repartition(tasks)  # round robin by a stated number, which adaptive execution does not merge
     return spread.mapInArrow(work, "_id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("_id", id_col)
 
 

@@ -3,7 +3,7 @@
 The split pattern of byte-level vocabularies never joins characters across a single space between two visible
 characters.  A text can therefore be cut there, and the ids of each cut piece be remembered: most words of a corpus
 repeat.  A text of ids is kept as a Python string with one character per id, so that joining pieces is one call and
-``encode('utf-32-le')`` gives the little-endian 32-bit ids.
+``encode('utf-32-le', 'surrogatepass')`` gives the little-endian 32-bit ids, also of vocabularies above 55,296 ids.
 """
 
 from __future__ import annotations

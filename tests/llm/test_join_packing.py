@@ -152,7 +152,6 @@ def test_inverse_of_the_first_basis():
 
 def test_pack(spark):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     r = random.Random(5)
     texts = [None, "", "x", "same text"] + ["same text"] * 20 + [" ".join(r.choice(["the", "of", "ing", "erst"]) for _ in range(r.choice([3, 50, 700, 1500, 2047, 5000]))) for _ in range(60)]
     rows = [(i * 5 % 997, t, "clash") for i, t in enumerate(texts)]

@@ -8,9 +8,11 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from caseloom.llm import bpe, token_files as tf
+from caseloom.session import scratch_path
 
 TEXTS = [
     None, "", " ", "\n", "a", "it's we'll  two   three\n\n\nfour \t five\r\n x y  z", "trailing  ", "trailing \n", " lead", "\n\nlead",
@@ -77,8 +79,9 @@ def test_pack_round_trip(width):
 @pytest.mark.parametrize("size", [50_257, 70_000])
 def test_token_files(spark, size):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = [(i * 7 % 1009, x, "clash") for i, x in enumerate(ALL)] + [(2000, "twin"  , ""), (2000, "twin", "")]
+    special = ["<|endoftext|>", "a \n<|endoftext|>\n b <|endoftext|>.x", "one <|endoftext|><|endoftext|>  two"]
+    assert 50256 in t.encode(special[0], add_special_tokens=False).ids
+    rows = [(i * 7 % 1009, x, "clash") for i, x in enumerate([*ALL, *special])] + [(2000, "twin"  , ""), (2000, "twin", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
     got = tf.round_trip(df, P.path("byte_bpe_50k.json"), 2, size).collect()
     want, at = [], 0
@@ -88,3 +91,20 @@ def test_token_files(spark, size):
         at += len(ids)
     assert sorted(map(tuple, got)) == want
     assert tf.round_trip(df.limit(0), P.path("byte_bpe_50k.json"), 2, size).count() == 0
+
+
+def test_files_are_read_by_several_tasks(spark):
+    df = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 40).alias("text"))
+    out = scratch_path(spark, "spread")
+    manifest = tf.write_token_files(df, P.path("byte_bpe_50k.json"), 2, out, 50_257, file_ids=20_000)
+    files = manifest.count()
+    back = tf.read_token_files(manifest, out)
+    assert files >= 4 and back.rdd.getNumPartitions() == files
+    assert back.select(F.spark_partition_id()).distinct().count() == files
+    rows = back.orderBy("doc_id").collect()
+    assert [r.start for r in rows] == [i * rows[0].n_tokens for i in range(4000)]
+
+
+def test_folders_are_qualified(spark):
+    assert tf.qualified(spark, "/tmp/a b/c") == tf.qualified(spark, "file:/tmp/a b/c") == "file:///tmp/a%20b/c"
+
