@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by longest matches and backtracking.
 
 Bytes are read as Latin-1 characters, so an Aho-Corasick automaton over the vocabulary finds every token that starts at
-every position in one pass.  Encoding takes the longest token at each position and steps back to a shorter one, or to
-the previous token, when two neighbours could not stand side by side.  Two tokens are compatible when merging their
+every position in one pass.  Encoding takes the longest token at each position (one call of the automaton, when all
+neighbours fit) and steps back to a shorter one, or to the previous token, when two neighbours could not stand side by side.  Two tokens are compatible when merging their
 joined bytes by rank gives exactly these two tokens; the answer is remembered per pair.  A sequence in which all
 neighbours are compatible is the sequence of the merges.  Positions that led nowhere are marked, so each is tried once
 and the work stays linear in the text.
@@ -69,28 +69,40 @@ class BytePairCoder:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        n = len(data)
+        letters = data.decode("latin-1")
+        longest = [i for _, (_, i) in self.automaton.iter_long(letters)]
+        known = self.pairs.get
+        for pair in zip(longest, longest[1:]):
+            good = known(pair)
+            if not (self.compatible(*pair) if good is None else good):
+                return self._backtracked(letters)
+        return longest
+
+    def _backtracked(self, letters: str) -> list[int]:
+        """The path that steps back from longest tokens whose neighbours do not fit."""
+        n = len(letters)
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, i) in self.automaton.iter(data.decode("latin-1")):
-            starts[end - size + 1].append((size, i))
-        for options in starts:
-            options.sort()  # the longest is tried first, from the back
+        for end, match in self.automaton.iter(letters):
+            starts[end - match[0] + 1].append(match)  # ends ascend, so the longest of a start comes last
         dead = bytearray(n + 1)
+        known = self.pairs.get
         path: list[int] = []
         at = 0
-        left = [list(starts[0])] if n else []
         while at < n:
-            options = left[-1]
+            options = starts[at]  # used up once: a position is entered again only if it is not dead
             while options:
                 size, i = options.pop()
-                if not dead[at + size] and (not path or self.compatible(path[-1], i)):
-                    path.append(i)
-                    at += size
-                    left.append(list(starts[at]) if at < n else [])
-                    break
+                if dead[at + size]:
+                    continue
+                if path:
+                    good = known((path[-1], i))
+                    if not (self.compatible(path[-1], i) if good is None else good):
+                        continue
+                path.append(i)
+                at += size
+                break
             else:
                 dead[at] = 1
-                left.pop()
                 at -= len(self.bytes_of[path.pop()])
         return path
 

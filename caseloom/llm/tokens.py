@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import product
 
 
 #: Remembered pieces per generation; two generations are held, so memory is bounded.
@@ -17,9 +18,19 @@ REMEMBERED = 600_000
 #: Pieces longer than this are not remembered.
 LONG_PIECE = 64
 _ODD = re.compile(r"[^\S \n]|\s\s(?:\s|\Z)")
+_ODD_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
+_RUNS = ["".join(run) for run in product(" \n", repeat=3)]
+_ENDS = tuple("".join(run) for run in product(" \n", repeat=2))
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def odd_spaces(text: str) -> bool:
+    """Whether a text has white space other than single or paired spaces and line feeds between visible characters."""
+    if not text.isascii():
+        return _ODD.search(text) is not None
+    return any(c in text for c in _ODD_ASCII) or any(run in text for run in _RUNS) or text.endswith(_ENDS)
+
+
 class Remembered(dict):
     """piece -> ids, computed on first use; the oldest of two generations is dropped when the newer is full."""
 
@@ -55,7 +66,7 @@ class WordwiseEncoder:
         return self.encode(" " + word)
 
     def __call__(self, text: str) -> str:
-        if _ODD.search(text):
+        if odd_spaces(text):
             # other white space, or a run of it: cut only where both neighbours of a space are visible
             return "".join(map(self.encode, _CUT.split(text))) if text else ""
         out = []

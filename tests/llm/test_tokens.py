@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseloom.llm import bpe, token_files as tf
+from caseloom.llm import bpe, token_files as tf, tokens
 from caseloom.session import scratch_path
 
 TEXTS = [
@@ -108,3 +108,24 @@ def test_files_are_read_by_several_tasks(spark):
 def test_folders_are_qualified(spark):
     assert tf.qualified(spark, "/tmp/a b/c") == tf.qualified(spark, "file:/tmp/a b/c") == "file:///tmp/a%20b/c"
 
+
+def test_odd_spaces_of_ascii_texts():
+    r = random.Random(9)
+    for _ in range(5000):
+        text = "".join(r.choice(["a", "b", " ", "\n", r.choice("\t\r\x0b\x0c\x1c\x1f\x7f")]) if r.random() < 0.5 else "w" for _ in range(r.randint(0, 12)))
+        assert tokens.odd_spaces(text) == (tokens._ODD.search(text) is not None)
+    assert tokens.odd_spaces("é\u00a0x") and not tokens.odd_spaces("é x")
+
+
+def test_backtracking_equals_merges(ranks):
+    """Pieces of short letters, where the longest tokens often do not fit together."""
+    coder = bpe.BytePairCoder(ranks, P.PATTERN)
+    r, stepped = random.Random(2), 0
+    for _ in range(3000):
+        s = "".join(r.choice("aeinorst") for _ in range(r.randint(2, 24))).encode()
+        if s not in ranks:
+            longest = [i for _, (_, i) in coder.automaton.iter_long(s.decode())]
+            want = coder.merge(s)
+            stepped += longest != want
+            assert coder.encode_piece(s) == coder._backtracked(s.decode()) == want
+    assert stepped > 300
