@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.columns import hash_key, hash_order, rnd
 from caseloom.operators.ranking import global_rank
-from caseloom.session import lookup_side
+from caseloom.operators.sequence import running_sum, sequence
+from caseloom.session import lookup_side, materialize
 
 
 def _hash_ranked(df: DataFrame, col: str, seed) -> DataFrame:
@@ -96,13 +97,35 @@ def split_groups(df: DataFrame, group: str, held_frac: float = 0.25, seed: int =
     return df.join(lookup_side(held, "groups"), group)
 
 
-def select_groups(df: DataFrame, group: str, budget: int, seed: int = 0) -> DataFrame:
-    """Whole groups in hash order while their running size stays within ``budget`` rows."""
+def select_groups(df: DataFrame, group: str, budget: int, seed: int = 0, chunk_rows: int | None = None) -> DataFrame:
+    """Whole groups in hash order, each taken if it still fits into ``budget`` rows and skipped otherwise.
+
+    One row per taken group: ``size`` and ``total``, the rows taken so far.  Null is a group of its own; a budget below
+    one takes nothing.
+
+    Let lo be the power of two with lo <= rest < 2 lo.  Until the rest falls below lo, each group smaller than lo fits,
+    and no more than one of the others does, as it brings the rest below lo.  One pass of running sums over the groups
+    finds where that happens, so there are at most log2(budget) + 1 passes however many groups are skipped.
+    """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("_h", hash_key(seed, group))
-    # every group has at least one row, so no group beyond the first ``budget`` can fit
-    w = W.orderBy("_h", group).rowsBetween(W.unboundedPreceding, W.currentRow)
-    head = sizes.orderBy("_h", group).limit(budget)
-    return head.withColumn("total", F.sum("size").over(w)).where(F.col("total") <= budget).select(group, "size", "total")
+    ranked = materialize(global_rank(sizes, ["_h", group], name="_rank").select(group, "size", "_rank", F.lit(0).alias("_all")), "groups")
+    rest, at, taken = int(budget), 0, F.lit(False)
+    while rest >= 1:
+        lo = 1 << rest.bit_length() - 1
+        open_ = ranked.where((F.col("_rank") >= at) & (F.col("size") <= rest))
+        small = F.col("size") < lo
+        runs = sequence(open_, {"_before": running_sum(F.when(small, F.col("size")).otherwise(0), inclusive=False)},
+                        case="_all", order=("_rank",), chunk_rows=chunk_rows)
+        left = F.lit(rest) - F.col("_before") - F.col("size")
+        turn = runs.where(F.when(small, left < lo).otherwise(left >= 0)).agg(F.min(F.struct("_rank", left.alias("left"))).alias("t")).first()["t"]
+        ahead = (F.col("_rank") >= at) & (F.col("size") < lo)
+        if turn is None:  # the small groups end before the rest falls below lo
+            taken = taken | ahead
+            break
+        taken = taken | (ahead & (F.col("_rank") < turn["_rank"])) | (F.col("_rank") == turn["_rank"])
+        rest, at = turn["left"], turn["_rank"] + 1
+    out = sequence(ranked.where(taken), {"total": running_sum("size")}, case="_all", order=("_rank",), chunk_rows=chunk_rows)
+    return out.select(group, "size", "total")
 
 
 def few_shot(train: DataFrame, frac: float = 0.05, at_least: int = 20, seed: int = 0) -> DataFrame:

@@ -139,8 +139,8 @@ def p18(spark, d):
 @query("j3_value_frequency", q.with_(q.A_RAW) + "SELECT event_idx, ev_k, count(*) OVER (PARTITION BY ev_k) AS freq FROM a_raw")
 def j3(spark, d):
     ev = t.clicks(spark, d)
-    vc = ev.groupBy("ev_k").agg(F.count(F.lit(1)).alias("freq"))  # pre-aggregated: a hot value is one row on this side
-    return ev.join(vc, "ev_k").select("event_idx", "ev_k", "freq")
+    vc = ev.groupBy(F.col("ev_k").alias("_value")).agg(F.count(F.lit(1)).alias("freq"))  # a hot value is one row on this side
+    return ev.join(vc, F.col("ev_k").eqNullSafe(F.col("_value"))).select("event_idx", "ev_k", "freq")  # null is a value, too
 
 
 @query("j1_split_membership", q.with_(q.A_RAW, q.split_cte("a")) + "SELECT split, count(*) AS n_events, count(DISTINCT case_id) AS n_cases FROM a_raw JOIN a_split USING (case_id) GROUP BY 1")

@@ -44,9 +44,19 @@ query("d7_fingerprint", q.with_(q.A_RAW, q.split_cte("a")) + "SELECT bit_xor(" +
 query("d8_group_holdout", f"""WITH g AS (SELECT source, row_number() OVER (ORDER BY {q.hash60(5, 'source')}, source) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))
 SELECT doc_id, source, CASE WHEN n > 1 AND r < greatest(1, floor(n * 0.25::DOUBLE)) THEN 'heldout' ELSE 'train' END AS part FROM documents JOIN g USING (source)""")(
     lambda s, d: sp.split_groups(t.table(s, d, "documents").select("doc_id", "source"), "source", seed=5))
-query("d9_group_budget", f"""WITH g AS (SELECT source, count(*) AS size, {q.hash60(2, 'source')} AS h FROM documents GROUP BY 1)
-SELECT source, size, total FROM (SELECT *, sum(size) OVER (ORDER BY h, source)::BIGINT AS total FROM g) WHERE total <= 300""")(
+def first_fit_sql(table: str, group: str, budget: int, seed: int) -> str:
+    """One group after the other, as a recursive statement."""
+    return f"""WITH RECURSIVE g AS (SELECT {group}, count(*) AS size, {q.hash60(seed, group)} AS h FROM {table} GROUP BY 1),
+o AS (SELECT {group}, size, row_number() OVER (ORDER BY h, {group}) AS r FROM g),
+f AS (SELECT 0::BIGINT AS r, 0::BIGINT AS total, false AS fits
+ UNION ALL SELECT o.r, CASE WHEN f.total + o.size <= {budget} THEN f.total + o.size ELSE f.total END, f.total + o.size <= {budget} FROM f JOIN o ON o.r = f.r + 1)
+SELECT {group}, size, total FROM f JOIN o USING (r) WHERE fits"""
+
+
+query("d9_group_budget", first_fit_sql("documents", "source", 300, 2))(
     lambda s, d: sp.select_groups(t.table(s, d, "documents"), "source", 300, seed=2))
+query("d9_customers_under_budget", first_fit_sql("orders", "o_custkey", 2500, 7))(
+    lambda s, d: sp.select_groups(t.table(s, d, "orders"), "o_custkey", 2500, seed=7))
 query("d10_few_shot", q.with_(q.A_RAW, q.split_cte("a")) + f"""SELECT case_id FROM (SELECT case_id, row_number() OVER (ORDER BY {q.hash60(9, 'case_id')}, case_id) - 1 AS r, count(*) OVER () AS n FROM a_split WHERE split = 'train') WHERE r < greatest(floor(n * 0.3::DOUBLE), 20)""")(
     lambda s, d: sp.few_shot(sp.split_random(t.clicks(s, d)).where("split = 'train'"), 0.3, seed=9))
 query("d11_sample_prefixes", q.with_(A) + f"SELECT case_id, pos FROM a WHERE pos < n - 1 ORDER BY {q.hash60(4, chr(40) + 'case_id || ' + chr(39) + ':' + chr(39) + ' || pos' + chr(41))}, case_id, pos LIMIT 500")(
