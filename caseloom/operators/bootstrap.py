@@ -8,16 +8,16 @@ and every task finds the same numbers.  Inside its block a case's count comes fr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from caseloom.functions.pyfuncs import by_value
 from caseloom.functions.columns import hash_order, hash_unit, rnd
 from caseloom.operators.ranking import exact_quantiles, global_rank
-from caseloom.session import lookup_side
+from caseloom.session import lookup_side, materialize
 
 
 def case_sums(df: DataFrame, value: str, case: str = "case_id") -> DataFrame:
@@ -130,22 +130,85 @@ def split_bootstrap_mean(df: DataFrame, value: str, case: str = "case_id", n_boo
 
 
 def split_bootstrap_median(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 100, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """Median and its interval; replicates are (value, weight) counts, so a value drawn often is one row."""
+    """Median and its interval by counts of the splitting tree; see :func:`replicate_medians`."""
     cases = global_rank(df.select(case).distinct(), [case], "idx", total="total")
-    rows = df.where(F.col(value).isNotNull()).groupBy(case, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).join(cases, case)
-    rows = rows.repartitionByRange("idx").sortWithinPartitions("idx")
+    rows = df.where(F.col(value).isNotNull()).groupBy(case, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).join(cases.hint("merge"), case)
+    rows = rows.select("v", "n", "idx", "total").repartitionByRange("idx").sortWithinPartitions("idx")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted():
         counts = _Counts(n_boot, seed, block)
+
+        def draws(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n, idx, total = (part.column(x).to_numpy(zero_copy_only=False) for x in ("n", "idx", "total"))
+            w = counts.of(idx, int(total[0])) * n
+            rep, row = np.nonzero(w)
+            return rep, row, w[rep, row]
+
+        return draws
+
+    return _median_interval(df, value, replicate_medians(rows, counted, n_boot))
+
+
+#: Ranges of values in the first pass of :func:`replicate_medians`, and rows expanded at once.
+RANGES, STEP = 1024, 2000
+
+
+def replicate_medians(rows: DataFrame, draws: Callable, n_boot: int, ranges: int = RANGES) -> DataFrame:
+    """(b, m): weighted median of every replicate, exact, without a row per draw.
+
+    ``rows`` has a double ``v`` without nulls.  ``draws()`` makes a function from a batch to the arrays (replicate, row of
+    the batch, weight).  The first pass sums weights by (replicate, range of values) inside each task.  The second one
+    counts values in the one or two ranges where a replicate's middle ranks fall.  The cut points are approximate
+    quantiles, so that ranges are even; the medians are the same for any.
+    """
+    rows = materialize(rows, "resampled")
+    cuts = rows.agg(F.percentile_approx("v", [(i + 1) / ranges for i in range(ranges - 1)], 10 * ranges)).first()[0]
+    cuts = np.unique(np.array(cuts or [], float))
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(replicate, range, value, weight) of a few rows at a time."""
+        of = draws()
         for b in batches:
-            for part in (b.slice(k, 2000) for k in range(0, len(b), 2000)):
-                v, n, idx, total = (part.column(x).to_numpy(zero_copy_only=False) for x in ("v", "n", "idx", "total"))
-                w = counts.of(idx, int(total[0])) * n
-                rep, row = np.nonzero(w)
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int32()), pa.array(v[row]), pa.array(w[rep, row])], names=["b", "v", "w"])
-
-    drawn = rows.select("v", "n", "idx", "total").mapInArrow(by_value(work), "b int, v double, w long").groupBy("b", "v").agg(F.sum("w").alias("w"))
-    reps = exact_quantiles(drawn, ["b"], "v", [0.5], "_q", weight="w").select("b", F.col("_q")[0].alias("m"))
+            for part in (b.slice(k, STEP) for k in range(0, len(b), STEP)):
+                v = part.column("v").to_numpy(zero_copy_only=False)
+                rep, row, w = of(part)
+                yield rep, np.searchsorted(cuts, v)[row], v[row], w
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(cuts) + 1
+        total = np.zeros(n_boot * width, np.int64)
+        for rep, r, _, w in expand(batches):
+            total += np.bincount(rep * width + r, w, len(total)).astype(np.int64)
+        cell = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(cell // width, pa.int32()), pa.array(cell % width, pa.int32()), pa.array(total[cell])], names=["b", "r", "w"])
+
+    cells = rows.mapInArrow(by_value(weigh), "b int, r int, w long").groupBy("b", "r").agg(F.sum("w").alias("w"))
+    order = W.partitionBy("b").orderBy("r")  # at most ``ranges`` rows
+    cells = cells.select("b", "r", "w", F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"),
+                         F.sum("w").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
+    half = (F.col("n") - 1) / 2
+    holds = lambda rank, lo, hi: (rank >= lo) & (rank < hi)
+    end = F.col("below") + F.col("w")
+    wanted = cells.where(holds(F.floor(half), F.col("below"), end) | holds(F.ceil(half), F.col("below"), end)).drop("w")
+    wanted = materialize(wanted, "middle-ranges")  # one or two rows a replicate
+    open_ = np.zeros((n_boot, len(cuts) + 1), bool)
+    for x in wanted.select("b", "r").collect():
+        open_[x.b, x.r] = True
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rep, r, v, w in expand(batches):
+            k = open_[rep, r]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[k], pa.int32()), pa.array(r[k], pa.int32()), pa.array(v[k]), pa.array(w[k], pa.int64())], names=["b", "r", "v", "w"])
+
+    near = rows.mapInArrow(by_value(count), "b int, r int, v double, w long").groupBy("b", "r", "v").agg(F.sum("w").alias("w")).join(F.broadcast(wanted), ["b", "r"])
+    hi = F.col("below") + F.sum("w").over(W.partitionBy("b", "r").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = near.select("b", "v", "n", (hi - F.col("w")).alias("lo"), hi.alias("hi"))
+    at = lambda rank: F.max(F.when(holds(rank, F.col("lo"), F.col("hi")), F.col("v")))
+    out = near.groupBy("b").agg(at(F.floor(half)).alias("x"), at(F.ceil(half)).alias("y"), F.max(half - F.floor(half)).alias("g"))
+    return out.select("b", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("x") + (F.col("y") - F.col("x")) * F.col("g")).alias("m"))
+
+
+def _median_interval(df: DataFrame, value: str, reps: DataFrame) -> DataFrame:
     mid = exact_quantiles(df, [], value, [0.5], "_q").agg(F.max(F.col("_q")[0]).alias("m")).scalar()
     q = F.percentile("m", [0.025, 0.975])
     return reps.agg(rnd(F.max(mid)).alias("median"), rnd(q[0]).alias("lo"), rnd(q[1]).alias("hi"), F.count(F.lit(1)).alias("n_boot"))
@@ -158,14 +221,28 @@ def _interval(df: DataFrame, value: str, reps: DataFrame) -> DataFrame:
     return reps.agg(rnd(F.max(mean)).alias("mean"), rnd(q[0]).alias("lo"), rnd(q[1]).alias("hi"), F.count(F.lit(1)).alias("n_boot"))
 
 
-def bootstrap_median(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 100, seed: int = 0) -> DataFrame:
-    """Median and its interval: replicates need the resampled rows, kept as (replicate, value, multiplicity) counts."""
+def drawn_rows(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 100, seed: int = 0) -> DataFrame:
+    """(v, bs): value of each row and the replicates that drew its case, once per draw.
+
+    File sizes say little about draws, so the joins are named: Spark would broadcast them.
+    """
     cases = global_rank(df.select(case).distinct(), [case], "idx", total="total")
     slots = cases.select(F.col("idx").alias("slot"), "total", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    mult = slots.select("b", (hash_order(seed, "b", "slot") % F.col("total")).alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
-    rows = df.where(F.col(value).isNotNull()).join(cases.drop("total"), case).select("idx", F.col(value).alias("v"))
-    drawn = rows.join(mult, "idx").select("b", F.explode(F.array_repeat("v", F.col("w").cast("int"))).alias("v"))
-    reps = exact_quantiles(drawn, ["b"], "v", [0.5], "_q").select("b", F.col("_q")[0].alias("m"))
-    mid = exact_quantiles(df, [], value, [0.5], "_q").agg(F.max(F.col("_q")[0]).alias("m")).scalar()
-    q = F.percentile("m", [0.025, 0.975])
-    return reps.agg(rnd(F.max(mid)).alias("median"), rnd(q[0]).alias("lo"), rnd(q[1]).alias("hi"), F.count(F.lit(1)).alias("n_boot"))
+    draws = slots.select("b", (hash_order(seed, "b", "slot") % F.col("total")).alias("idx")).groupBy("idx").agg(F.collect_list("b").alias("bs"))
+    known = cases.select(case, "idx").join(draws.hint("merge"), "idx").drop("idx")
+    rows = df.where(F.col(value).isNotNull()).select(case, F.col(value).cast("double").alias("v"))
+    return rows.join(known.hint("merge"), case).select("v", "bs")
+
+
+def bootstrap_median(df: DataFrame, value: str, case: str = "case_id", n_boot: int = 100, seed: int = 0) -> DataFrame:
+    """Median and its interval by the draws of :func:`replicates`; see :func:`replicate_medians`."""
+
+    def listed():
+        def draws(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            bs = part.column("bs")
+            rep = bs.flatten().to_numpy(zero_copy_only=False)
+            return rep, np.repeat(np.arange(len(part)), bs.value_lengths().to_numpy(zero_copy_only=False)), np.ones(len(rep), np.int64)
+
+        return draws
+
+    return _median_interval(df, value, replicate_medians(drawn_rows(df, value, case, n_boot, seed), listed, n_boot))

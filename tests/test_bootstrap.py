@@ -3,6 +3,9 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from caseloom.functions.columns import hash_order
 from caseloom.operators import bootstrap as bo
 
 
@@ -63,3 +66,44 @@ def test_median_from_weights(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "case_id string, v double")
     assert bo.split_replicates(df, "v", n_boot=3).count() == 0
+
+
+def test_drawn_medians_against_plain_lists(spark):
+    data, n_boot = [*rows(), (None, 1e9), ("c001", float("inf"))], 12
+    df = spark.createDataFrame(data, "case_id string, v double").repartition(3)
+    cases = [None, *sorted({c for c, _ in data if c is not None})]
+    slots = spark.range(len(cases)).select("id", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    draws = [[] for _ in range(n_boot)]
+    for r in slots.select("b", (hash_order(4, "b", "id") % len(cases)).alias("i")).collect():
+        draws[r.b] += [v for c, v in data if c is not None and c == cases[r.i] and v is not None]
+    want = [np.median(x) for x in draws]
+    for limit in ("0", str(1 << 26)):
+        spark.conf.set("caseloom.smallInputBytes", limit)
+        try:
+            got = bo.bootstrap_median(df, "v", n_boot=n_boot, seed=4).first()
+            assert got.n_boot == n_boot and np.isclose(got.median, np.median([v for _, v in data if v is not None]))
+            assert np.allclose([got.lo, got.hi], np.quantile(want, [0.025, 0.975]), atol=1e-6)
+            plan = bo.drawn_rows(df, "v", n_boot=n_boot)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 2
+        finally:
+            spark.conf.unset("caseloom.smallInputBytes")
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_medians_by_ranges(spark, ranges):
+    r, n_boot = np.random.default_rng(2), 9
+    v = np.concatenate([r.normal(0, 1, 3000), np.zeros(500), [np.inf, -np.inf]])
+    weight = r.integers(0, 3, (n_boot, len(v)))
+    weight[8] = 0  # a replicate without rows
+    df = spark.createDataFrame([(float(x), k) for k, x in enumerate(v)], "v double, k int").repartition(4)
+
+    def listed():
+        def draws(part):
+            w = weight[:, part.column("k").to_numpy()]
+            rep, row = np.nonzero(w)
+            return rep, row, w[rep, row]
+
+        return draws
+
+    got = {x.b: x.m for x in bo.replicate_medians(df, listed, n_boot, ranges).collect()}
+    assert sorted(got) == list(range(8)) and np.allclose([got[b] for b in range(8)], [np.median(np.repeat(v, weight[b])) for b in range(8)])
