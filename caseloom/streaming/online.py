@@ -56,12 +56,17 @@ def online_features(stream: DataFrame) -> DataFrame:
     return ev.groupBy("case_id").applyInPandasWithState(by_value(_advance), ONLINE, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Buckets of cases; the cases of a bucket share its timer and its list of waiting events.
+BUCKETS = 2048
+
+
 class CaseClock(StatefulProcessor):
-    """Prefix features of one case in order of event time.
+    """Prefix features of the cases of one bucket, each in order of event time.
 
     Events wait in a list state; a timer at the oldest one fires when the watermark has passed it and releases all that
-    are due.  The list holds what arrived within the watermark's delay, never a whole case.  ``idle_ms`` after the last
-    applied event the state of a case is given up.
+    are due.  The list holds what arrived within the watermark's delay, never a whole case.  A case's state is read and
+    written once when events of it are due: each access is a call to the state store, which costs far more than the
+    events in it.  ``idle_ms`` after the last applied event the state of a case is given up.
     """
 
     CHUNK = 1000
@@ -71,64 +76,79 @@ class CaseClock(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_idx long, activity string")
-        self.last = handle.getValueState("last", "pos long, prev1 string, prev2 string, first_us long, last_us long")
-        self.bag = handle.getMapState("bag", "activity string", "n long")
+        self.waiting = handle.getListState("waiting", "case_id array<string>, us array<long>, event_idx array<long>, activity array<string>")
+        self.cases = handle.getMapState("cases", "case_id string", "pos long, prev1 string, prev2 string, first_us long, last_us long, bag string")
+        self.done = set()  # buckets released in this micro-batch
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed, held, oldest = timerValues.getCurrentWatermarkInMs() * 1000, [], None
         for r in rows:
-            if r["us"] is None or r["activity"] is None:
+            case, us, idx, activity = r["case_id"], r["us"], r["event_idx"], r["activity"]
+            if us is None or activity is None:
                 continue
-            if r["us"] < passed:
-                yield FEATURE(key[0], r["event_idx"], r["us"], r["activity"], None, None, None, None, None, None, True)
+            if us < passed:
+                yield FEATURE(case, idx, us, activity, None, None, None, None, None, None, True)
                 continue
-            held.append((r["us"], r["event_idx"], r["activity"]))
-            oldest = r["us"] if oldest is None else min(oldest, r["us"])
+            held.append((case, us, idx, activity))
+            oldest = us if oldest is None else min(oldest, us)
             if len(held) >= self.CHUNK:
-                self.waiting.appendList(held)
+                self.waiting.appendList(self._packed(held))
                 held = []
         if held:
-            self.waiting.appendList(held)
+            self.waiting.appendList(self._packed(held))
         if oldest is not None:
             self.handle.registerTimer(oldest // 1000 + 1)
 
+    def _packed(self, events: list[tuple]) -> list[tuple]:
+        parts = (events[k:k + self.CHUNK] for k in range(0, len(events), self.CHUNK))
+        return [tuple(list(c) for c in zip(*part)) for part in parts]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if key in self.done:
+            return
+        self.done.add(key)
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
-        due = [e for e in held if e[0] < now * 1000]
-        if due:
-            yield from self._apply(key[0], due)
-            rest = held[len(due):]
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(rest[0][0] // 1000 + 1)
-            else:
-                self.waiting.clear()
-        if self.idle_ms is not None and len(due) == len(held) and self.last.exists():
-            end = self.last.get()[4] // 1000 + self.idle_ms + 1
-            if end <= now:
-                self.last.clear()
-                self.bag.clear()
-            else:
-                self.handle.registerTimer(end)
+        due: dict = {}
+        rest = []
+        for block in self.waiting.get():
+            for e in zip(*block):
+                if e[1] < now * 1000:
+                    due.setdefault(e[0], []).append(e[1:])
+                else:
+                    rest.append(e)
+        for case, events in due.items():
+            yield from self._apply(case, sorted(events))
+        if rest:
+            if due:
+                self.waiting.put(self._packed(rest))
+            self.handle.registerTimer(min(e[1] for e in rest) // 1000 + 1)
+        elif due:
+            self.waiting.clear()
+        if self.idle_ms is not None:
+            self._give_up(now, {e[0] for e in rest})
+
+    def _give_up(self, now: int, waiting: set) -> None:
+        """Drop cases that have been idle; cases with waiting events are looked at when those are due."""
+        ends = [(k[0], v[4] // 1000 + self.idle_ms + 1) for k, v in self.cases.iterator()]
+        for case, end in ends:
+            if end <= now and case not in waiting:
+                self.cases.removeKey((case,))
+        if later := [end for case, end in ends if end > now and case not in waiting]:
+            self.handle.registerTimer(min(later))
 
     def _apply(self, case, events) -> Iterator[Row]:
         import json
 
-        pos, p1, p2, first, last = self.last.get() if self.last.exists() else (0, None, None, None, None)
-        bag = {k[0]: v[0] for k, v in self.bag.iterator()} if self.bag.exists() else {}
-        changed = set()
+        pos, p1, p2, first, last, bag = self.cases.getValue((case,)) or (0, None, None, None, None, "{}")
+        counts = json.loads(bag)
         for us, idx, activity in events:
             first = us if first is None else first
             gap = 0.0 if last is None else (us - last) / 1e6
-            bag[activity] = bag.get(activity, 0) + 1
-            changed.add(activity)
-            yield FEATURE(case, idx, us, activity, pos, p1, p2, max(gap, 0.0), (us - first) / 1e6, json.dumps(bag, sort_keys=True), False)
+            counts[activity] = counts.get(activity, 0) + 1
+            bag = json.dumps(counts, sort_keys=True)
+            yield FEATURE(case, idx, us, activity, pos, p1, p2, max(gap, 0.0), (us - first) / 1e6, bag, False)
             pos, p1, p2, last = pos + 1, activity, p1, us
-        self.last.update((pos, p1, p2, first, last))
-        for activity in changed:
-            self.bag.updateValue((activity,), (bag[activity],))
+        self.cases.updateValue((case,), (pos, p1, p2, first, last, bag))
 
     def close(self) -> None:
         pass
@@ -142,8 +162,9 @@ def event_time_features(stream: DataFrame, delay: str, idle_ms: int | None = Non
     RocksDB state store (:func:`run_available` selects it).
     """
     ev = stream.select("case_id", "event_idx", "us", "activity", F.timestamp_micros("us").alias("_at")).withWatermark("_at", delay)
+    ev = ev.withColumn("_bucket", F.pmod(F.xxhash64("case_id"), F.lit(BUCKETS)))
     # without the time column Spark does not drop late rows before the processor sees them
-    return ev.drop("_at").groupBy("case_id").transformWithState(by_value(CaseClock)(idle_ms), ONLINE, "Append", "EventTime")
+    return ev.drop("_at").groupBy("_bucket").transformWithState(by_value(CaseClock)(idle_ms), ONLINE, "Append", "EventTime")
 
 
 def clock_row(df: DataFrame, us) -> DataFrame:

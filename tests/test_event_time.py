@@ -55,3 +55,42 @@ def test_idle_cases_are_given_up(spark):
     assert kept[("a", 1)].pos == 1 and kept[("b", 1)].pos == 1
     gone = run(spark, turns, "1 second", idle_ms=30_000)
     assert gone[("a", 1)].pos == 0 and gone[("a", 1)].elapsed_s == 0.0 and gone[("b", 1)].pos == 1
+
+
+def test_state_is_read_once_a_case():
+    calls = {"get": 0, "update": 0, "list": 0}
+
+    class Waiting(list):
+        def appendList(self, rows):
+            calls["list"] += 1
+            self.extend(rows)
+
+        def get(self):
+            calls["list"] += 1
+            return iter(list(self))
+
+    class Cases(dict):
+        def getValue(self, k):
+            calls["get"] += 1
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            calls["update"] += 1
+            self[k] = v
+
+    class Handle:
+        getListState = staticmethod(lambda *a: Waiting())
+        getMapState = staticmethod(lambda *a: Cases())
+        registerTimer = staticmethod(lambda ms: None)
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    clock = on.CaseClock(None)
+    clock.init(Handle())
+    rows_ = [{"case_id": f"c{k % 50}", "us": 1000 * (700 - k), "event_idx": k, "activity": "x" if k % 3 else "y"} for k in range(700)]
+    assert not list(clock.handleInputRows((7,), iter(rows_), Clock(0)))
+    out = list(clock.handleExpiredTimer((7,), Clock(10_000), None)) + list(clock.handleExpiredTimer((7,), Clock(10_000), None))
+    assert len(out) == 700 and not clock.waiting and calls == {"get": 50, "update": 50, "list": 2}
+    assert sorted(r.pos for r in out if r.case_id == "c3") == list(range(14))
