@@ -11,7 +11,7 @@ from caseloom.functions.columns import SPECIALS, UNK, decompose_activity, local_
 from caseloom.operators.frame import prefix_frame
 from caseloom.operators.ranking import global_rank
 from caseloom.schema import EventLog
-from caseloom.session import literal_table, lookup_side, materialize, materialize_counted
+from caseloom.session import key_side, literal_table, lookup_side, materialize, materialize_counted
 
 CAT_SPECIALS = SPECIALS[:2]
 
@@ -154,7 +154,7 @@ def prepare(events: DataFrame, schema: EventLog, split: DataFrame | None = None,
     ``split`` may be left out when the events carry a ``split`` column (see ``splits.assign_random``).
     The frame is read many times (fit, calibrate, score), so it is written once by default.
     """
-    ev = events if split is None else events.join(lookup_side(split.select("case_id", "split"), "split"), "case_id")
+    ev = events if split is None else events.join(key_side(split.select("case_id", "split")), "case_id")
     if vocab is None:
         vocab, size = materialize_counted(fit_vocab(ev.where(F.col("split") == "train"), "activity"), "vocab")
     else:

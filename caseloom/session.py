@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SMALL_INPUT_KEY = "caseloom.smallInputBytes"
 SMALL_INPUT_DEFAULT = 64 * 1024 * 1024
 BROADCAST_BYTES = 128 * 1024 * 1024
+KEY_BYTES = 2 * 1024 * 1024
 
 
 def local_session(name: str = "caseloom", cpus: int | str = "*", partitions: int = 8, **conf) -> SparkSession:
@@ -112,3 +113,11 @@ def lookup_side(df: DataFrame, label: str = "lookup") -> DataFrame:
     stored = materialize(df, label)
     size = input_bytes(stored)
     return F.broadcast(stored) if size is not None and size <= BROADCAST_BYTES else stored
+
+
+def key_side(df: DataFrame) -> DataFrame:
+    """Prepare a table with a row for each case or customer for a join: it grows with the facts, and its files are far
+    smaller than its rows in memory, so beyond a few megabytes of input it is never sent through the driver."""
+    size = input_bytes(df)
+    small = size is not None and size <= min(KEY_BYTES, small_limit(df.sparkSession))
+    return F.broadcast(df) if small else df.hint("merge")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.functions.columns import activity_label, epoch_us
 from caseloom.schema import CLICKS, DIALOGS, ORDERS, EventLog
-from caseloom.session import lookup_side
+from caseloom.session import key_side
 
 
 # Declared, not inferred: opening a table starts no job.
@@ -60,7 +60,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("_c"), F.col("c_mktsegment").alias("case_segment"),
         F.col("c_acctbal").alias("case_balance"), F.col("c_nationkey").cast("string").alias("case_nation"),
     )
-    ev = o.join(lookup_side(c, "customer"), "_c").withColumn("case_id", F.col("_c").cast("string")).drop("_c")
+    ev = o.join(key_side(c), "_c").withColumn("case_id", F.col("_c").cast("string")).drop("_c")
     return with_activity(ev, ORDERS)
 
 

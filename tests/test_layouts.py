@@ -156,3 +156,18 @@ def test_plans_avoid_products_and_global_windows(spark, sf_dir):
     assert "WindowGroupLimit" in qs["w9_last_turns"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     scan = qs["k1_top_values"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<props:string>" in scan
+
+
+def test_tables_by_key_are_not_broadcast_beyond_small_inputs(spark, tmp_path):
+    from caseloom.operators import encode as en, splits as sp
+    from caseloom.schema import ORDERS
+    from caseloom.sources import tables as t
+
+    spark.range(400_000).selectExpr("id as c_custkey", "cast(id as string) as c_name", "1 as c_nationkey", "rand(1) as c_acctbal", "'x' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20).selectExpr("id as o_orderkey", "id % 4 as o_custkey", "'F' as o_orderstatus", "1.5d as o_totalprice", "timestamp_ntz'2024-01-01 00:00:00' as o_orderdate", "'5-LOW' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    ev = t.orders(spark, str(tmp_path))
+    joined = en.prepare(ev, ORDERS, sp.split_cv(ev, 0, 3), assume_complete=True, store=False).frame
+    # the vocabulary is the only table still broadcast with a key; customers and the split are not
+    plan = ev._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "strategy=broadcast" not in plan
+    assert "strategy=merge" in joined._jdf.queryExecution().optimizedPlan().toString() and joined.count() == 20
