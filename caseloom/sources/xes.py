@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from caseloom.functions.columns import epoch_us
+from caseloom.operators.sparse import bind
 
 TYPES = ["string", "date", "int", "float", "boolean", "id"]
 _LEAF = "struct<_key:string,_value:string>"
@@ -27,21 +28,28 @@ def _children(arr: Column, child: str) -> Column:
 
 
 def _entries(get) -> Column:
-    """(key, value) pairs of one element: direct attributes, then children as ``parent.child``."""
+    """(key, value) pairs of one element: direct attributes, then children as ``parent.child``.
+
+    Types an element lacks and attributes without children are passed over: most are.
+    """
+    none = F.array().cast("array<struct<key:string,value:string>>")
     flat = []
     for t in TYPES:
-        arr = F.coalesce(get(t), F.array())
-        flat.append(F.transform(arr, lambda a: F.struct(a["_key"].alias("key"), a["_value"].alias("value"))))
-        flat += [_children(arr, c) for c in TYPES]
+        arr = get(t)
+        direct = F.transform(arr, lambda a: F.struct(a["_key"].alias("key"), a["_value"].alias("value")))
+        nested = F.exists(arr, lambda a: F.coalesce(*[a[c] for c in TYPES]).isNotNull())
+        children = F.when(nested, F.concat(*[_children(arr, c) for c in TYPES])).otherwise(none)
+        flat.append(F.when(arr.isNull(), none).otherwise(F.concat(direct, children)))
     return F.concat(*flat)
 
 
 def _as_map(entries: Column) -> Column:
-    """Map of the pairs, the last one winning on a repeated key."""
-    named = F.filter(entries, lambda e: e["key"].isNotNull())
-    keys = F.array_distinct(F.transform(named, lambda e: e["key"]))
-    last = lambda k: F.element_at(F.filter(named, lambda e: e["key"] == k), -1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, last))
+    """Map of the pairs, the last one winning on a repeated key; the pairs are built once."""
+    def build(named: Column) -> Column:
+        last = lambda k: F.element_at(F.filter(named, lambda e: e["key"] == k), -1)["value"]
+        return bind(F.array_distinct(F.transform(named, lambda e: e["key"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, last)))
+
+    return bind(F.filter(entries, lambda e: e["key"].isNotNull()), build)
 
 
 def read_traces(spark: SparkSession, path: str | list[str]) -> DataFrame:

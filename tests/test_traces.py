@@ -275,3 +275,14 @@ def test_event_log_file(spark, tmp_path, zipped):
     h = xes.read_header(spark, str(f)).first()
     assert h["log_attrs"] == {"source": "unit"} and h["classifiers"] == {"Activity": ["concept:name", "lifecycle:transition"]}
     assert h["globals_trace"] == {"concept:name": "none"} and set(h["globals_event"]) == {"org:role", "time:timestamp"}
+
+
+def test_attribute_pairs_are_built_once(spark):
+    leaf = "struct<_key:string,_value:string>"
+    attr = f"struct<_key:string,_value:string,{','.join(f'{t}:array<{leaf}>' for t in xes.TYPES)}>"
+    df = spark.range(1).selectExpr(f"""from_json('{{"string": [{{"_key": "a", "_value": "1"}}, null, {{"_key": "b", "int": [{{"_key": "c", "_value": "2"}}]}}, {{"_value": "x"}}, {{"_key": "a", "_value": "3"}}]}}',
+        'struct<{','.join(f'{t}:array<{attr}>' for t in xes.TYPES)}>') as e""")
+    out = df.select(xes._as_map(xes._entries(lambda t: F.col("e")[t])).alias("m"))
+    assert out.first().m == {"a": "3", "b": None, "b.c": "2"}
+    pairs = spark.createDataFrame([([("a", "1"), ("a", "2")],)], "pairs array<struct<key:string,value:string>>").select(xes._as_map(F.col("pairs")).alias("m"))
+    assert pairs._jdf.queryExecution().analyzed().toString().split("\n")[0].count("pairs#") == 1 and pairs.first().m == {"a": "2"}
