@@ -21,27 +21,26 @@ def _padded(seqs: list, fill: int) -> tuple[np.ndarray, np.ndarray]:
 def edit_distances(a: list, b: list) -> np.ndarray:
     """Unrestricted Damerau-Levenshtein distances of pairs (a[k], b[k]) of label id sequences, all pairs at once.
 
-    The table is filled by anti-diagonals.  Where a label of one side last stood on the other side follows from the
-    labels alone, so it is laid out before; shorter pairs read their cell of the padded table.
+    The table is filled by rows, with the pairs along the last axis, so that a row is one run of memory.  Insertions
+    along a row are a running minimum; shorter pairs read their cell of the padded table.
     """
     (x, n), (y, m) = _padded(a, -1), _padded(b, -2)
     count, rows, cols = len(a), x.shape[1], y.shape[1]
-    same = x[:, :, None] == y[:, None, :]
-    above, before = np.zeros(same.shape, np.int32), np.zeros(same.shape, np.int32)  # last row above, last column before, with a match
-    above[:, 1:] = np.maximum.accumulate(np.where(same, np.arange(1, rows + 1)[:, None], 0), axis=1)[:, :-1]
-    before[:, :, 1:] = np.maximum.accumulate(np.where(same, np.arange(1, cols + 1), 0), axis=2)[:, :, :-1]
-    wide, far = cols + 2, rows + cols
-    table = np.full((count, rows + 2, wide), far, np.int32)
-    table[:, 1:, 1], table[:, 1, 1:] = np.arange(rows + 1), np.arange(cols + 1)
-    flat = table.reshape(count, -1)
-    for k in range(2, rows + cols + 1):
-        i = np.arange(max(1, k - cols), min(rows, k - 1) + 1)
-        j = k - i
-        up, left = above[:, i - 1, j - 1], before[:, i - 1, j - 1]
-        swap = np.take_along_axis(flat, up * wide + left, 1) + (k - 1 - up - left)
-        step = np.minimum(flat[:, i * wide + j + 1], flat[:, (i + 1) * wide + j]) + 1
-        flat[:, (i + 1) * wide + j + 1] = np.minimum(np.minimum(flat[:, i * wide + j] + ~same[:, i - 1, j - 1], step), swap)
-    return table[np.arange(count), n + 1, m + 1]
+    x, y, wide = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), cols + 2
+    table = np.full((rows + 2, wide, count), rows + cols, np.int32)
+    table[1:, 1], table[1, 1:] = np.arange(rows + 1)[:, None], np.arange(cols + 1)[:, None]
+    cells, pair, at = table.reshape(-1), np.arange(count), np.arange(1, cols + 1)[:, None]
+    step = at.astype(np.int32)
+    above, before = np.zeros((cols, count), np.int64), np.zeros((cols, count), np.int64)  # last row above, last column before, with a match
+    for i in range(1, rows + 1):
+        last, row, same = table[i], table[i + 1], x[i - 1] == y
+        before[1:] = np.maximum.accumulate(np.where(same, at, 0), axis=0)[:-1]
+        best = np.minimum(last[1:-1] + ~same, last[2:] + 1)
+        best = np.minimum(best, cells[(above * wide + before) * count + pair] + (i - 1 - above + at - before)).astype(np.int32) - step
+        best[0] = np.minimum(best[0], i)
+        row[2:] = np.minimum.accumulate(best, axis=0) + step
+        above[same] = i
+    return table[n + 1, m + 1, pair]
 
 
 def similarities(pairs: list[tuple[tuple, tuple]]) -> np.ndarray:

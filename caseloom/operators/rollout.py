@@ -111,14 +111,14 @@ def greedy(prefixes: DataFrame, m: TransitionModel, max_len: int = 50) -> DataFr
 
 def sample(prefixes: DataFrame, m: TransitionModel, max_len: int, n: int = 5, seed: int = 0, every: int = 8) -> DataFrame:
     """(case_id, pos, sample, suffix): ancestral continuations; each draw is a hash of (case, pos, sample, step)."""
-    table = materialize(m.probs.select("k", "ctx", "dist"), "distributions")
+    table = materialize(m.probs.select("k", "ctx", sparse.intervals("dist").alias("cum")), "distributions")
     front = _start(prefixes.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
 
     def pick(step: int) -> Column:
         u = hash_unit(seed, "case_id", "pos", "sample", F.lit(step))
-        return sparse.draw("_v", u)
+        return sparse.draw_interval("_v", u)
 
-    return _loop(front, table, "dist", sparse.uniform(m.size), pick, m.order, max_len, every)
+    return _loop(front, table, "cum", sparse.intervals(sparse.uniform(m.size)), pick, m.order, max_len, every)
 
 
 def consensus(samples: DataFrame, truth: DataFrame, keys=("case_id", "pos")) -> DataFrame:

@@ -144,24 +144,42 @@ def divergence(p, q, eps: float = 1e-9) -> Column:
                 + (p["size"] - F.size(ids)) * term(p["rest"], q["rest"]))
 
 
-def draw(d, u) -> Column:
-    """The class at ``u`` of the cumulative distribution in order of ids; the last class where rounding leaves a gap.
+def intervals(d) -> Column:
+    """The cumulative distribution in order of ids, as far as a draw needs it: one interval per listed class or unbroken run
+    of others, with its upper bound ``up``, the mass below it ``lo``, and its classes ``at`` ... ``until`` - 1."""
+    d = _col(d)
+
+    def add(a: Column, at: Column, until: Column, up: Column) -> Column:
+        part = F.struct(up.alias("up"), a["mass"].alias("lo"), at.cast("int").alias("at"), until.cast("int").alias("until"))
+        return F.struct(up.alias("mass"), until.cast("int").alias("next"), F.concat(a["parts"], F.array(part)).alias("parts"))
+
+    def gap(a: Column, until: Column) -> Column:
+        """A run of classes that are not listed."""
+        return F.when(until > a["next"], add(a, a["next"], until, a["mass"] + (until - a["next"]) * d["rest"])).otherwise(a)
 
-    One pass over the listed classes: state is the mass passed, the next class, and the answer once found.
+    kind = "struct<mass: double, next: int, parts: array<struct<up: double, lo: double, at: int, until: int>>>"
+    start = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("next"), F.array().alias("parts")).cast(kind)
+    step = lambda a, e: bind(gap(a, e["ids"]), lambda b: add(b, e["ids"], e["ids"] + 1, b["mass"] + e["ps"])).cast(kind)
+    listed = F.aggregate(F.arrays_zip(d["ids"].alias("ids"), d["ps"].alias("ps")), start, step)
+    return bind(listed, lambda a: bind(gap(a, d["size"])["parts"], lambda p: F.struct(
+        p["up"].alias("up"), p["lo"].alias("lo"), p["at"].alias("at"), p["until"].alias("until"), d["rest"].alias("rest"), d["size"].alias("size"))))
+
+
+def draw_interval(c, u) -> Column:
+    """The class at ``u`` of :func:`intervals`; the last class where rounding leaves a gap.
+
+    ``u`` is computed once: a lambda computes an expression from outside again for every element.
     """
-    d, u = _col(d), _col(u)
+    c, last = _col(c), _col(c)["size"] - 1
 
-    def skip(mass: Column, at: Column, until: Column) -> Column:
-        """The class among unlisted ``at`` ... ``until`` - 1 in which ``u`` falls, or null."""
-        k = F.floor((u - mass) / d["rest"])
-        return F.when((d["rest"] > 0) & (u < mass + (until - at) * d["rest"]), F.least(at + F.greatest(k, F.lit(0)), until - 1).cast("int"))
+    def inside(i: Column, u: Column) -> Column:
+        at, until = F.get(c["at"], i), F.get(c["until"], i)
+        k = F.floor((u - F.get(c["lo"], i)) / c["rest"])
+        return F.when(until - at > 1, F.least(at + F.greatest(k, F.lit(0)), until - 1).cast("int")).otherwise(at)
 
-    start = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("hit"))
+    return bind(_col(u), lambda u: bind(F.size(F.filter(c["up"], lambda x: x <= u)), lambda i: F.coalesce(inside(i, u), last)))
 
-    def step(a: Column, e: Column) -> Column:
-        before = a["mass"] + (e["ids"] - a["at"]) * d["rest"]
-        hit = F.coalesce(a["hit"], F.when(e["ids"] > a["at"], skip(a["mass"], a["at"], e["ids"])), F.when(u < before + e["ps"], e["ids"]))
-        return F.struct((before + e["ps"]).alias("mass"), (e["ids"] + 1).alias("at"), hit.alias("hit"))
 
-    end = lambda a: F.coalesce(a["hit"], F.when(d["size"] > a["at"], skip(a["mass"], a["at"], d["size"])), d["size"] - 1)
-    return F.aggregate(F.arrays_zip(d["ids"].alias("ids"), d["ps"].alias("ps")), start, step, end)
+def draw(d, u) -> Column:
+    """The class at ``u`` of the cumulative distribution in order of ids."""
+    return bind(intervals(d), lambda c: draw_interval(c, u))

@@ -109,6 +109,18 @@ def test_similarities_of_many_pairs_at_once(monkeypatch):
     assert np.allclose(pyfuncs.similarities(pairs), want, atol=1e-12) and len(pyfuncs.similarities([])) == 0
 
 
+def test_distances_hold_two_tables_at_most():
+    """Beside the table itself, a call keeps rows of it, not further tables of the same size."""
+    import tracemalloc
+
+    pairs = [([k % 7] * 60, [(k + j) % 5 for j in range(60)]) for k in range(500)]
+    tracemalloc.start()
+    pyfuncs.edit_distances(*map(list, zip(*pairs)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 500 * 62 * 62 * 4
+
+
 def test_medoids_of_many_rows():
     r = random.Random(5)
     rows = [[[r.randrange(3) for _ in range(r.randrange(6))] for _ in range(k)] for k in (1, 2, 4, 4, 5, 5)]

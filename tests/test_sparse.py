@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from caseloom.functions.columns import hash_unit
 from caseloom.operators import metrics as me, sparse as sp, transitions as tr
 
 SIZE = 9
@@ -69,3 +70,14 @@ def test_table_follows_seen_classes(spark):
     assert got[""].ids == [1, 3] and np.allclose(got[""].ps, [2.1 / 100007, 5.1 / 100007]) and np.isclose(got["7"].rest, 0.1 / 100001)
     low = {r.ctx: r.dist for r in tr.floor_vectors(counts, 10).collect()}
     assert np.isclose(sum(low[""].ps) + 8 * low[""].rest, 1) and np.isclose(low[""].rest / low[""].ps[0], 1e-6 / (2 / 7))
+
+
+def test_draws_compute_the_unit_once_and_read_intervals(spark):
+    rows = cases()
+    df = spark.createDataFrame([((*c[:4],), c[5], i) for i, c in enumerate(rows)], f"dist {sp.SCHEMA}, u double, i int")
+    hashed = df.select(sp.draw("dist", hash_unit(1, "i")).alias("c"))
+    assert hashed._jdf.queryExecution().analyzed().toString().count("md5(") == 1  # not once for each listed class
+    for g in df.select("i", sp.intervals("dist").alias("c"), "u").select("i", "c", sp.draw_interval("c", "u").alias("draw")).collect():
+        p, c = dense(rows[g.i]), g.c
+        assert np.allclose(c.up, np.cumsum(p)[np.array(c.until, int) - 1]) and c.lo == [0.0, *c.up[:-1]]
+        assert [c.at, c.until] == [[0, *c.until[:-1]], [*c.at[1:], SIZE]] and g.draw == min(int((np.cumsum(p) <= rows[g.i][5]).sum()), SIZE - 1)
