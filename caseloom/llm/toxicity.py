@@ -30,6 +30,8 @@ SAMPLE, DRAWN = 500, 40
 DIM, BUCKETS, PASSAGE, LONGEST_GRAM = 8, 1 << 18, 8, 6
 #: Weight decay, which keeps the vectors of rare n-grams short, and the gradient below which steps shrink.
 DECAY, FLOOR = 0.02, 1e-5
+#: Texts scored together, whose new words are looked up in one go.
+TOGETHER = 32
 #: Model of this worker process.
 LOADED: dict[str, Model] = {}
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\…“”„«»¿¡"
@@ -52,6 +54,50 @@ def grams(word: str) -> list[int]:
     return sorted(zlib.crc32(g.encode()) % BUCKETS for g in out)
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = (t >> np.uint32(1)) ^ np.where(t & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return t
+
+
+_CRC = _crc_table()
+#: First byte of a character of so many UTF-8 bytes, without its bits.
+_LEAD = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)
+
+
+def bags(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`grams` of many words at once: buckets, and the place of the word of each.
+
+    The crc of all n-grams grows by one character a step, by the bytes of its UTF-8 form.
+    """
+    marked = [f"<{w.strip(_EDGE)}>" for w in ws]
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(m) for m in marked])
+    word = np.repeat(np.arange(len(ws)), sizes)
+    left = np.cumsum(sizes)[word] - np.arange(len(code))  # characters up to the word's end
+    count = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    most, state = int(count.max()), np.full(len(code), 0xFFFFFFFF, np.uint32)
+    if most > 1:
+        rest = 6 * (count - 1).astype(np.uint32)  # bits after the first byte
+        utf8 = [_LEAD[count] | code >> rest] + [0x80 | code >> (np.maximum(rest, 6 * b) - 6 * b) & 0x3F for b in range(1, most)]
+    else:
+        utf8 = [code]
+    found, owner = [np.array([zlib.crc32(m.encode()) for m in marked], np.int64)], [np.arange(len(ws))]
+    for n in range(1, LONGEST_GRAM + 1):
+        state = state[:len(code) - n + 1]
+        for b, byte in enumerate(utf8):
+            grown = _CRC[(state ^ byte[n - 1:]) & 0xFF] ^ state >> 8
+            state = np.where(count[n - 1:] > b, grown, state) if b else grown
+        if n >= 3:
+            at = np.nonzero(left[:len(state)] >= n)[0]
+            found.append((~state[at]).astype(np.int64))
+            owner.append(word[at])
+    key = np.sort(np.concatenate(owner) << 32 | np.concatenate(found))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return key & BUCKETS - 1, key >> 32
+
+
 class Model:
     """``E``: n-gram vectors; ``W``, ``b``: softmax; ``scale``: logistic map of the best passage's logit."""
 
@@ -61,32 +107,45 @@ class Model:
         self.per_gram = np.einsum("gd,d->g", E, self.side)  # the mean is linear, so a word's vector is needed only through this product
         self.known: dict[str, float] = {}
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember the values of words not met before."""
+        if len(self.known) > 600_000:
+            self.known.clear()
+        new = list(set().union(*texts).difference(self.known))
+        for i in range(0, len(new), 20_000):
+            part = new[i:i + 20_000]
+            bucket, place = bags(part)
+            self.known.update(zip(part, (np.bincount(place, self.per_gram[bucket]) / np.bincount(place)).tolist()))
+
     def word(self, w: str) -> float:
-        v = self.known.get(w)
-        if v is None:
-            if len(self.known) > 600_000:
-                self.known.clear()
-            v = self.known[w] = float(self.per_gram[grams(w)].mean())
-        return v
+        self.learn([[w]])
+        return self.known[w]
+
+    def logits(self, texts: list[str]) -> list[float]:
+        """Logit of the most toxic passage of each text."""
+        split = [words(t) for t in texts]
+        self.learn(split)
+        known, bias, out = self.known, float(self.b[1] - self.b[0]), []
+        for ws in split:
+            v = np.array([known[w] for w in ws])
+            if not len(v):
+                out.append(bias)
+            elif len(v) <= PASSAGE:
+                out.append(bias + float(v.mean()))
+            else:
+                c = np.concatenate([[0.0], np.cumsum(v)])
+                out.append(bias + float((c[PASSAGE:] - c[:-PASSAGE]).max()) / PASSAGE)
+        return out
 
     def logit(self, text: str) -> float:
-        """Logit of the most toxic passage."""
-        known, ws = self.known, words(text)
-        try:
-            v = np.array([known[w] for w in ws])
-        except KeyError:
-            v = np.array([self.word(w) for w in ws])
-        bias = float(self.b[1] - self.b[0])
-        if not len(v):
-            return bias
-        if len(v) <= PASSAGE:
-            return bias + float(v.mean())
-        c = np.concatenate([[0.0], np.cumsum(v)])
-        return bias + float((c[PASSAGE:] - c[:-PASSAGE]).max()) / PASSAGE
+        return self.logits([text])[0]
 
-    def score(self, text: str) -> float:
+    def scores(self, texts: list[str]) -> list[float]:
         a, c = self.scale
-        return float(1 / (1 + np.exp(-np.clip(a * self.logit(text) + c, -40, 40))))
+        return (1 / (1 + np.exp(-np.clip(a * np.array(self.logits(texts)) + c, -40, 40)))).tolist()
+
+    def score(self, text: str) -> float:
+        return self.scores([text])[0]
 
 
 class _Adam:
@@ -215,7 +274,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             here.LOADED[name] = Model(*parts.value)
         scorer = here.LOADED[name]
         for b in batches:
-            s = [scorer.score(t.as_py()) for t in b.column("_t")]
+            s = [x for i in range(0, len(b), TOGETHER) for x in scorer.scores(b.column("_t").slice(i, TOGETHER).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -103,3 +103,14 @@ def test_toxicity_draws_long_texts_whole(spark):
     model = tx.train([(f"calm words here you idiot {i} go on", 1) for i in range(20)] + [(f"calm words here all day {i} go on", 0) for i in range(20)])
     assert model.score(long) > 0.8 > model.score(long[:-5]) and 0 <= model.score("x" * 100000) <= 1  # the last word of a long text
     assert model.score("you 1diot!") > 0.9 > model.score("all day")  # a misspelling that the sample does not hold
+
+
+def test_grams_of_many_words_at_once():
+    ws = ["", "a", "hate", "aaaaaaaa", "naïve,", "日本語テキスト", "a😀b😀c", "(word)", "߿ࠀ￿𐀀", "x" * 40]
+    bucket, place = tx.bags(ws)
+    assert [sorted(bucket[place == i].tolist()) for i in range(len(ws))] == [tx.grams(w) for w in ws]
+    r = np.random.default_rng(0)
+    model = tx.Model(r.standard_normal((tx.BUCKETS, tx.DIM)), r.standard_normal((tx.DIM, 2)), np.zeros(2), (1.0, 0.0))
+    texts = ["", "one two", " ".join(ws * 3), "hate"]
+    assert np.allclose([model.word(w) for w in ws], [model.per_gram[tx.grams(w)].mean() for w in ws], atol=1e-12)
+    assert model.scores(texts) == [model.score(t) for t in texts] and model.scores([]) == []
