@@ -16,6 +16,7 @@ enter the manifest, so a repeated or abandoned attempt leaves an unused file and
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -111,6 +112,19 @@ class TokenFile:
         return ids[start - a * self.block:start - a * self.block + n]
 
 
+#: Byte -> the visible character that stands for it in a byte-level vocabulary.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
+
+
+def plain_byte_level(library) -> bool:
+    """Whether a text is only split by the byte-level pattern and its matches looked up by the model."""
+    made = json.loads(library.to_str())
+    split = made["pre_tokenizer"] or {}
+    return (made["normalizer"] is None and made["truncation"] is None and made["padding"] is None and made["model"].get("dropout") is None
+            and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"])
+
+
 class LibraryEncoder:
     """Ids of the tokenizers library for a byte-level vocabulary file, as ``add_special_tokens=False`` gives them.
 
@@ -123,12 +137,17 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.by_word = WordwiseEncoder(self.whole)
+        self.by_word = WordwiseEncoder(self.whole, match=self.match if plain_byte_level(self.library) else None)
 
     def whole(self, text: str) -> str:
         return "".join(map(chr, self.library.encode(text, add_special_tokens=False).ids))
 
+    def match(self, piece: str) -> str:
+        """Ids of one match of the split pattern, from the library's model without its steps before and after."""
+        return "".join([chr(t.id) for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))])
+
     def __call__(self, text: str) -> str:
         return self.whole(text) if any(a in text for a in self.added) else self.by_word(text)
 

@@ -17,6 +17,8 @@ from itertools import product
 REMEMBERED = 600_000
 #: Pieces longer than this are not remembered.
 LONG_PIECE = 64
+#: Letters below are letters in any version of Unicode that a library may follow.
+_LATIN = "\u0250"
 _ODD = re.compile(r"[^\S \n]|\s\s(?:\s|\Z)")
 _ODD_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
 _RUNS = ["".join(run) for run in product(" \n", repeat=3)]
@@ -50,10 +52,13 @@ class Remembered(dict):
 
 
 class WordwiseEncoder:
-    """Encodes texts with ``encode(piece) -> str of ids``, which must follow the byte-level split pattern."""
+    """Encodes texts with ``encode(piece) -> str of ids``, which must follow the byte-level split pattern.
 
-    def __init__(self, encode: Callable[[str], str], limit: int = REMEMBERED):
-        self.encode = encode
+    ``match`` may be a shorter way for a piece that is a single match of that pattern: a space and Latin letters.
+    """
+
+    def __init__(self, encode: Callable[[str], str], limit: int = REMEMBERED, match: Callable[[str], str] | None = None):
+        self.encode, self.match = encode, match
         self.first = Remembered(lambda w: encode(w) if w else "", limit)
         self.later = Remembered(self._word, limit)
         self.newline = encode("\n")
@@ -61,6 +66,8 @@ class WordwiseEncoder:
 
     def _word(self, word: str) -> str:
         """Ids of a space and a word; letters and a closing mark are separate matches of the split pattern."""
+        if self.match and word.isalpha() and max(word) < _LATIN:
+            return self.match(" " + word)
         if word[-1:] in self.mark and word[:-1].isalpha():
             return self.later[word[:-1]] + self.mark[word[-1]]
         return self.encode(" " + word)

@@ -129,3 +129,22 @@ def test_backtracking_equals_merges(ranks):
             stepped += longest != want
             assert coder.encode_piece(s) == coder._backtracked(s.decode()) == want
     assert stepped > 300
+
+
+def test_words_of_letters_skip_the_steps_around_the_model(monkeypatch):
+    enc = tf.LibraryEncoder(P.path("byte_bpe_50k.json"))
+    texts = ["a few naïve words, über alles", "x Straße ÿ ŉ ɐb 日本 a1 don't it's ǅ", "end.  two\n\nlines ª º"]
+    want, asked = [enc.whole(t) for t in texts], []
+    whole = enc.by_word.encode
+    monkeypatch.setattr(enc.by_word, "encode", lambda piece: asked.append(piece) or whole(piece))
+    assert [enc(t) for t in texts] == want
+    assert not {" few", " words", " über", " alles"} & set(asked)
+
+
+def test_other_settings_keep_the_whole_way():
+    from tokenizers import normalizers
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert tf.plain_byte_level(library)
+    library.normalizer = normalizers.Lowercase()
+    assert not tf.plain_byte_level(library)
