@@ -3,6 +3,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -77,6 +78,59 @@ def test_texts_of_one_id_are_one_vertex(spark):
     assert got == {(1, 1), (2, 1), (5, 1), (9, 1), (7, 7)}
 
 
+@pytest.mark.parametrize("block", [1, 60, 1 << 20])
+def test_shingles_of_a_block_are_those_of_each_text(monkeypatch, block):
+    """Word lengths around eights and the limit, zero bytes, every white space, short and empty texts, slices."""
+    monkeypatch.setattr(nj, "BLOCK_BYTES", block)
+    r = random.Random(block)
+    long = "x" * 62
+    words = ["a", "A", "a\0", "\0", "é", "É", "[", "@", "z", "Z", "12345678", "123456789", "12345678\0", "k" * 16, "k" * 17,
+             *[long + e for e in ("", "y", "z", "yy", "yz", "yyy", "yyz", "yyyyyyyyyy")], "no\u00a0break", "\x1c"]
+    texts = ["", " ", "\t\n\v\f\r ", *words, *[" ".join(words[i:i + n]) for n in range(1, 7) for i in range(20)]]
+    for _ in range(100):
+        n = r.choice([0, 1, 2, 3, 4, 5, 6, 30, 200])
+        texts.append(r.choice(["", "  "]) + "".join(r.choice(words) + r.choice([" ", "\n", "\t\r", "\v\f "]) for _ in range(n)) + r.choice(["", "end"]))
+    r.shuffle(texts)
+    got = {}
+    for some, h, at in nj.shingles(pa.array(["cut off", *texts, "cut off"])[1:-1]):
+        for i, text in enumerate(texts[some]):
+            got[text] = h[at[i]:at[i + 1]].tolist()
+    assert set(got) == set(texts)
+    names = {}
+    for text, hashes in got.items():
+        w = text.encode().lower().split()
+        want = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert hashes == sorted(set(hashes)) and len(hashes) == len(want)
+        for shingle in want:  # the hashes of all texts that hold it have one in common, its own
+            names[shingle] = names.get(shingle, set(hashes)) & set(hashes)
+    alone = [names[s].pop() for s in names if len(names[s]) == 1]
+    assert len(alone) == len(set(alone)) > 100 and all(names.get((w.encode().lower(),)) is not None for w in words if w.strip())
+    assert list(nj.shingles(pa.array([], pa.string()))) == []
+
+
+def test_prefixes_are_rare_first(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "_id long, _t string").fillna("", "_t").coalesce(1)
+    counts = nj._bucket_counts(df)
+    assert counts.sum() == sum(n for _, n, _ in brute_components(rows))
+    for r, (_, t) in zip(nj._signatures(df, counts, 75).sort("_id").collect(), sorted(rows)):
+        (_, s, _), = nj.shingles(pa.array([t or ""]))
+        order = np.lexsort((s, counts[(s >> np.uint64(64 - nj.BUCKET_BITS)).astype(np.int64)]))
+        assert r._prefix == s[order][:len(s) - -(-75 * len(s) // 100) + 1].view(np.int64).tolist() and r._n == len(s)
+
+
+def test_counting_follows_the_text_and_not_the_documents(spark):
+    """Short documents cost what their words cost; each used to cost a vector over all buckets."""
+    def seconds(n):
+        df = spark.range(n).selectExpr("concat('some few words of document ', id) AS _t").coalesce(1)
+        start = time.monotonic()
+        assert nj._bucket_counts(df).sum() == 2 * n
+        return time.monotonic() - start
+
+    seconds(10)
+    assert seconds(40_000) < seconds(10) + 4
+
+
 def test_halves_of_hashes_never_contradict_whole_ones():
     r = np.random.default_rng(5)
     seen = set()
