@@ -11,7 +11,9 @@
    are compared by whole hashes.
 4. The result is connected components, so pairs inside one component need no check.  Two rounds compare each document
    with one hub per shingle, the same hub across a group of copies, which joins large groups by as many pairs as they
-   have members.  The last round takes all remaining pairs of different components, so no link is lost.
+   have members.  Where more pairs than shared shingles are left (a large group whose members link with some of the others
+   only), further rounds compare the rest with several hubs, as long as that helps.  The last round takes all remaining
+   pairs of different components, so no link is lost.
 
 Shingles are 64-bit hashes.  Within one set or one pair equal hashes of different shingles are beyond chance.
 """
@@ -32,8 +34,10 @@ from caseloom.session import materialize
 WORDS, PERCENT = 5, 75
 #: Buckets of the frequency table that orders the shingles.
 BUCKET_BITS = 18
-#: Bits of the map of repeated shingles: 16 MB whatever their number.
-MAP_BITS = 27
+#: Bits of the map of repeated shingles: 16 MB whatever their number; they are counted by this many bits of their hashes.
+MAP_BITS, COUNT_BITS = 27, 40
+#: Hubs of a shingle in the further rounds.
+HUBS = 8
 #: Bytes of text whose words are hashed at once, and bytes of a word up to which that is done eight at a time.
 BLOCK_BYTES, LONG_WORD = 1 << 20, 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -190,10 +194,11 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
 
 
 def _repeated(prefixes: DataFrame) -> bytes:
-    """Bitmap of the shingles that stand in two prefixes or more."""
-    words = prefixes.select(F.explode("_prefix").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    slot = F.shiftrightunsigned("_h", 64 - MAP_BITS)
-    bit = F.shiftrightunsigned("_h", 64 - MAP_BITS).bitwiseAND(F.lit(63)).cast("int")
+    """Bitmap of the shingles that stand in two prefixes or more, and few others: only the upper bits are counted."""
+    upper = prefixes.select(F.explode("_prefix").alias("_h")).select(F.shiftrightunsigned("_h", 64 - COUNT_BITS).alias("_u"))
+    words = upper.groupBy("_u").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    slot = F.shiftright("_u", COUNT_BITS - MAP_BITS)
+    bit = slot.bitwiseAND(F.lit(63)).cast("int")
     rows = words.select(F.shiftright(slot, 6).cast("int").alias("_i"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_m"))
     rows = rows.groupBy("_i").agg(F.bit_or("_m").alias("_m")).toArrow()  # at most 2 ** (MAP_BITS - 6) rows
     out = np.zeros(1 << MAP_BITS - 6, "<i8")
@@ -310,6 +315,20 @@ def _passes(percent: int, n1, p1, n2, p2):
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (most * (100 + percent) >= (n1 + n2) * percent)
 
 
+def _with_hubs(rows: DataFrame, turn: int, hubs: int) -> DataFrame:
+    """Rows beside ``_hub``, one of the hubs of their shingle, where it is in another component.
+
+    With several hubs, only rows outside the smallest component ``_lo`` of their shingle.
+    """
+    order = [F.struct(F.xxhash64("_id", F.lit(turn), *[F.lit(i)] * (hubs > 1)).alias("o"), "_id", "_n", "_p", "_c") for i in range(hubs)]
+    if hubs == 1:
+        open_ = rows.groupBy("_h").agg(F.min(order[0]).alias("_hub"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
+    else:
+        open_ = rows.groupBy("_h").agg(F.array_distinct(F.array(*map(F.min, order))).alias("_hubs")).select("_h", F.explode("_hubs").alias("_hub"))
+        rows = rows.where("_c <> _lo")
+    return rows.join(open_.select("_h", "_hub"), "_h").where(F.col("_c") != F.col("_hub._c"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links, itself included).
 
@@ -330,17 +349,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(ties.select(F.col("_rep").alias("_a"), F.col("_id").alias("_b")).distinct(), "ties")
     firsts = rows.join(measured_side(copies.select("_id", *keys), "copies-side", 64), ["_id", *keys], "left_anti")
     shared = _shared(firsts)
-    done = None
-    for turn in (1, 2, 3):
+    done, turn, left, last = None, 0, None, False
+    while not last:
+        turn += 1
         label = measured_side(components(links), f"components-{turn}", 64)
         rows = shared.join(label.withColumnRenamed("_v", "_id"), "_id", "left").withColumn("_c", F.coalesce("_c", "_id"))
-        order = F.struct(F.xxhash64("_id", F.lit(turn)).alias("o"), F.col("_id"), F.col("_n"), F.col("_p"), F.col("_c"))
-        open_ = rows.groupBy("_h").agg(F.min(order).alias("_hub"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
-        if turn < 3:
-            two = rows.join(open_.select("_h", "_hub"), "_h").where(F.col("_c") != F.col("_hub._c"))
+        if turn > 2:
+            open_ = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_k"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
+            rows = materialize(rows.join(open_.drop("_hi"), "_h"), f"open-{turn}")
+            before, left = left, rows.where("_c <> _lo").agg(F.coalesce(F.sum("_k"), F.lit(0))).first()[0]  # no fewer pairs
+            last = left <= shared.count() or before is not None and left > 0.9 * before
+        if not last:
+            two = _with_hubs(rows, turn, 1 if turn < 3 else HUBS)
             other = [F.col(f"_hub.{c}") for c in ("_id", "_n", "_p")]
         else:
-            rows = rows.join(open_.select("_h"), "_h", "left_semi")
             right = rows.select("_h", *[F.col(c).alias(f"_r{c}") for c in ("_id", "_n", "_p", "_c")])
             two = rows.join(right, "_h").where(F.col("_c") < F.col("_r_c"))
             other = [F.col(f"_r{c}") for c in ("_id", "_n", "_p")]

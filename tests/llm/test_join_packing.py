@@ -131,6 +131,29 @@ def test_counting_follows_the_text_and_not_the_documents(spark):
     assert seconds(40_000) < seconds(10) + 4
 
 
+def test_group_of_near_copies_is_joined_without_all_its_pairs(spark, monkeypatch):
+    """Each copy links with one in eight others.  Two rounds leave most outside; their pairs all used to be compared."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(400):
+        k = r.randrange(5, 55)
+        texts.append(" ".join(base[:k] + [f"own{i}"] + base[k + 1:]))
+    rows = list(enumerate(texts))
+    pairs, real = [], nj.materialize
+
+    def counted(df, label="stage"):
+        out = real(df, label)
+        if label.startswith("pairs-"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "materialize", counted)
+    got = sorted(map(tuple, nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_components(rows)
+    assert len(pairs) > 3 and sum(pairs) < len(rows) * 40
+
+
 def test_halves_of_hashes_never_contradict_whole_ones():
     r = np.random.default_rng(5)
     seen = set()
